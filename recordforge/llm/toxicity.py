@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from recordforge.llm.textarrays import append_columns, chunked, encode, ngram_buckets, owners
@@ -51,7 +52,7 @@ def _add_document_counts(df: np.ndarray, labels: np.ndarray, texts: list, bits:
         seen[at] = False
 
 
-def fit(sample: DataFrame, text_col: str, label_col: str, bits: int = BITS, orders: tuple = ORDERS, min_df: int = 3, min_chi2: float = 15.0, most_features: int = 8192, l2: float = 0.01, steps: int = 300) -> dict:
+def fit(sample: DataFrame, text_col: str, label_col: str, bits: int = BITS, orders: tuple = ORDERS, min_df: int = 3, min_chi2: float = 15.0, most_features: int = 2048, l2: float = 0.01, steps: int = 300) -> dict:
     """Learns from all rows of `sample`, which the caller has bounded.
 
     Class counts of the n-grams are summed over partitions; the regression then
@@ -97,19 +98,25 @@ def fit(sample: DataFrame, text_col: str, label_col: str, bits: int = BITS, orde
     place = np.full(size, -1, np.int32)
     place[chosen] = np.arange(len(chosen), dtype=np.int32)
 
-    def regress(batches):
-        y, owner_all, feature_all, seen = [], [], [], 0
+    def features(batches):
         for batch in batches:
             texts = batch.column(0).to_pylist()
+            found = []
             for lo, hi in chunked(texts):
                 owner, bucket = _present(texts[lo:hi], place >= 0, bits, orders)
-                owner_all.append((owner + seen + lo).astype(np.int32))
-                feature_all.append(place[bucket])
-            y.append(np.asarray(batch.column(1)).astype(np.float64))
-            seen += len(texts)
+                found += np.split(place[bucket], np.searchsorted(owner, np.arange(1, hi - lo)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["label", "features"])
+
+    def regress(batches):
+        y, feature, sizes = [np.zeros(0)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            y.append(np.asarray(batch.column(0)).astype(np.float64))
+            feature.append(np.asarray(batch.column(1).flatten()))
+            sizes.append(np.asarray(pa.compute.list_value_length(batch.column(1))))
+        y, feature, sizes = np.concatenate(y), np.concatenate(feature), np.concatenate(sizes)
+        seen, owner = len(y), np.repeat(np.arange(len(y)), sizes)
         if not seen:
             return
-        y, owner, feature = np.concatenate(y), np.concatenate(owner_all), np.concatenate(feature_all)
         w, b = np.zeros(len(chosen)), np.log(n1 / n0)
         grad2_w, grad2_b = np.full(len(chosen), 1e-8), 1e-8
         for _ in range(steps):
@@ -123,7 +130,7 @@ def fit(sample: DataFrame, text_col: str, label_col: str, bits: int = BITS, orde
             b -= 0.3 * gb / np.sqrt(grad2_b)
         yield pa.RecordBatch.from_arrays([pa.array([(ratio * w).astype(np.float32).tobytes()]), pa.array([float(b)])], names=["w", "b"])
 
-    learned = rows.coalesce(1).mapInArrow(regress, "w binary, b double").first()
+    learned = rows.mapInArrow(features, "label int, features array<int>").repartition(1).mapInArrow(regress, "w binary, b double").first()
     rows.unpersist()
     weights[chosen] = np.frombuffer(learned["w"], np.float32)
     return {"weights": weights, "bias": learned["b"], "bits": bits, "orders": orders}
