@@ -1,18 +1,23 @@
-"""Labelled training rows without a shuffle of the texts."""
+"""Labelled rows without a shuffle of the texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from recordforge.llm.textarrays import bounded_sample, held_out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, part: int, most: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(text, label) of about `most` labelled documents that are not held out.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: Column, most: int, text_col: str = "text", id_col: str = "doc_id", extra: tuple = ()) -> DataFrame:
+    """(text, extra columns, label) of about `most` labelled documents.
 
     The bound is on label rows, so the sampled ids have a proven size and can be
     broadcast; each text stays where it was read.
     """
-    usable = labels.select(id_col, F.col(label_col).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, parts, part))
-    chosen = bounded_sample(usable, id_col, most).withColumnRenamed(id_col, "_labelled")
-    return docs.select(id_col, text_col).join(F.broadcast(chosen), F.col(id_col) == F.col("_labelled")).select(F.col(text_col).alias("text"), "label")
+    usable = labels.select(F.col(id_col).alias("_labelled"), label.alias("label")).filter("label is not null and _labelled is not null")
+    chosen = bounded_sample(usable, "_labelled", most)
+    return docs.select(id_col, text_col, *extra).join(F.broadcast(chosen), F.col(id_col) == F.col("_labelled")).select(F.col(text_col).alias("text"), *extra, "label")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, part: int, most: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The same for a 0/1 label, without the documents that are held out."""
+    return labelled_rows(docs, labels.filter(~held_out(id_col, parts, part)), F.col(label_col).cast("int"), most, text_col, id_col)

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordforge.llm import toxicity
-from recordforge.llm.labelled import training_rows
+from recordforge.llm import line_templates, mixing, toxicity, url_rules
+from recordforge.llm.labelled import labelled_rows, training_rows
 from recordforge.llm.textarrays import held_out
 from recordforge.sources.tables import load
 
 #: Labelled rows that a classifier learns from, at the most.
 TRAIN_ROWS = 20_000
+#: The rules of the URL query: action, host, path.
+HOST_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+#: Target shares of tokens, by language and by quality label.
+LANGUAGE_SHARES = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
+QUALITY_SHARES = {0: 0.05, 1: 0.95}
+MIX_TARGETS = {f"{lang}/{quality}": a * b for lang, a in LANGUAGE_SHARES.items() for quality, b in QUALITY_SHARES.items()}
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +25,70 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity,)}
-ORACLE_SQL: dict[str, str] = {}
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+OP2_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), parsed AS (
+  SELECT doc_id, text, pos, line, string_split_regex(regexp_replace(trim(line), '[0-9]+', '<*>', 'g'), '\s+') AS tok FROM lines
+), counted AS (
+  SELECT *, len(tok) AS n, CAST(ceil((len(tok) - 3) / 4.0) AS INTEGER) AS w FROM parsed
+), templates AS (
+  SELECT doc_id, text, pos, n, s, tok[1:3 + w * s] AS head, tok[4 + w * (s + 1):n] AS tail FROM counted, (SELECT unnest([0, 1, 2, 3]) AS s) WHERE n >= 8
+  UNION ALL
+  SELECT doc_id, text, pos, n, -1, tok, [] FROM counted WHERE n >= 5 AND n < 8
+), firsts AS (
+  SELECT n, s, head, tail, min(doc_id) AS first_doc FROM templates GROUP BY ALL HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, text, pos FROM templates JOIN firsts USING (n, s, head, tail) WHERE doc_id > first_doc
+), kept AS (
+  SELECT l.doc_id, l.text, count(*) FILTER (g.pos IS NULL) AS n_kept, count(*) FILTER (g.pos IS NOT NULL) AS n_gone,
+         string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS rest
+  FROM (SELECT DISTINCT * FROM lines) l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.text = g.text AND l.pos = g.pos GROUP BY l.doc_id, l.text
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines,
+       coalesce(k.n_gone, 0) AS n_dropped, CASE WHEN coalesce(k.n_gone, 0) = 0 THEN d.text ELSE coalesce(k.rest, '') END AS text
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id AND d.text = k.text
+"""
+
+
+def mix_by_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Domains are language and quality label; the labels teach the classifier."""
+    label = F.when(F.col("quality").isin(*QUALITY_SHARES), F.col("quality"))
+    rows = labelled_rows(docs, load(spark, sf_dir, "labels"), label, TRAIN_ROWS, extra=("lang",))
+    domain = F.when(F.col("lang").isin(*LANGUAGE_SHARES), F.concat_ws("/", "lang", "label"))
+    return mixing.mix(docs, rows.withColumn("domain", domain), MIX_TARGETS)
+
+
+def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_by_labels(spark, load(spark, sf_dir, "documents").select("doc_id", "text", "lang"), sf_dir)
+    return mixed.select("doc_id", "n_tokens", "domain", F.round(F.array_max("posterior"), 6).alias("confidence"), "rate", "copies")
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_rules.host_rule(*r) for r in HOST_RULES] + [url_rules.pattern_rule("block", *p) for p in url_rules.SPAM_PATTERNS]
+    return url_rules.judge(load(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+_RULE_ROWS = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in HOST_RULES)
+OP4_SQL = rf"""
+WITH parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{url_rules.UPPER}', '{url_rules.LOWER}'), '') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), rules(action, rule_host, rule_path) AS (VALUES {_RULE_ROWS}),
+fits AS (
+  SELECT DISTINCT host, path, action, rule_host || rule_path AS rule FROM parts JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+), best AS (
+  SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action FROM fits GROUP BY host, path
+)
+SELECT page_id, p.host, p.path, rule, coalesce(action, CASE WHEN regexp_matches(p.host || p.path, '^[^/]*(^|[.-])({"|".join(url_rules.SPAM_WORDS)})[.-]') THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
+"""
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_mix, op4_url_rules)}
+ORACLE_SQL = {"op2_line_templates": OP2_SQL, "op4_url_rules": OP4_SQL}
