@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordforge.llm import line_templates, mixing, toxicity, url_rules
+from recordforge.llm import language, line_templates, mixing, quality, toxicity, url_rules
 from recordforge.llm.labelled import labelled_rows, training_rows
 from recordforge.llm.textarrays import held_out
 from recordforge.sources.tables import load
 
 #: Labelled rows that a classifier learns from, at the most.
 TRAIN_ROWS = 20_000
+#: The same for the embeddings, whose features take more memory.
+QUALITY_TRAIN_ROWS = 8_000
 #: The rules of the URL query: action, host, path.
 HOST_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Target shares of tokens, by language and by quality label.
@@ -90,5 +92,18 @@ SELECT page_id, p.host, p.path, rule, coalesce(action, CASE WHEN regexp_matches(
 FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 """
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_mix, op4_url_rules)}
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(training_rows(docs, load(spark, sf_dir, "labels"), "quality", 4, 2, QUALITY_TRAIN_ROWS), "text", "label")
+    return quality.score(docs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.filter(~held_out("doc_id", 3, 1)), "text", "lang")
+    return language.predict(docs.drop("lang"), model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_mix, op4_url_rules, op7_quality, op9_language)}
 ORACLE_SQL = {"op2_line_templates": OP2_SQL, "op4_url_rules": OP4_SQL}

@@ -20,12 +20,12 @@ ODD64 = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86
 BASE64 = 0x5851F42D4C957F2D
 
 
-def chunked(texts: list, limit: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about `limit` characters each."""
+def chunked(texts: list, limit: int = CHUNK, most_rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about `limit` characters and at most `most_rows` texts each."""
     lo = held = 0
     for i, text in enumerate(texts):
         n = len(text) if text else 0
-        if i > lo and held + n > limit:
+        if i > lo and (held + n > limit or i - lo >= most_rows):
             yield lo, i
             lo, held = i, 0
         held += n
@@ -82,6 +82,16 @@ def alnum_table() -> np.ndarray:
     return table
 
 
+def letters_only(codes: np.ndarray) -> np.ndarray:
+    """The code points with every one of the basic plane that is no letter made a blank."""
+    kinds = np.unique(codes)
+    other = kinds[[i < (1 << 16) and not chr(i).isalpha() for i in kinds.tolist()]]
+    table = np.ones(1 << 16, bool)
+    table[other] = False
+    small = codes < (1 << 16)
+    return np.where(table[np.where(small, codes, 65)], codes, np.uint32(32))
+
+
 def blank_table() -> np.ndarray:
     """True for all code points but the six ASCII blanks and the 0 between texts."""
     table = np.ones(1 << 16, bool)
