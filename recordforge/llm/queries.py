@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordforge.llm import language, line_templates, mixing, quality, toxicity, url_rules
+from recordforge.llm import chosen_path, language, line_templates, mixing, quality, toxicity, url_rules
 from recordforge.llm.labelled import labelled_rows, training_rows
 from recordforge.llm.textarrays import held_out
 from recordforge.sources.tables import load
@@ -93,6 +93,10 @@ FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 """
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.join(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(training_rows(docs, load(spark, sf_dir, "labels"), "quality", 4, 2, QUALITY_TRAIN_ROWS), "text", "label")
@@ -105,5 +109,5 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.drop("lang"), model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_mix, op4_url_rules, op7_quality, op9_language)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_mix, op4_url_rules, op5_jaccard_join, op7_quality, op9_language)}
 ORACLE_SQL = {"op2_line_templates": OP2_SQL, "op4_url_rules": OP4_SQL}
