@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordforge.llm import chosen_path, language, line_templates, mixing, quality, toxicity, url_rules
+from recordforge.llm import chosen_path, language, line_templates, lm_scoring, mixing, quality, toxicity, url_rules
 from recordforge.llm.labelled import labelled_rows, training_rows
 from recordforge.llm.textarrays import held_out
 from recordforge.sources.tables import load
@@ -103,11 +103,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(load(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out("doc_id", 7, 2))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.filter(~held_out("doc_id", 3, 1)), "text", "lang")
     return language.predict(docs.drop("lang"), model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_mix, op4_url_rules, op5_jaccard_join, op7_quality, op9_language)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_mix, op4_url_rules, op5_jaccard_join, op7_quality, op8_lm_score, op9_language)}
 ORACLE_SQL = {"op2_line_templates": OP2_SQL, "op4_url_rules": OP4_SQL}

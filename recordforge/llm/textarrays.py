@@ -93,9 +93,9 @@ def letters_only(codes: np.ndarray) -> np.ndarray:
 
 
 def blank_table() -> np.ndarray:
-    """True for all code points but the six ASCII blanks and the 0 between texts."""
+    """True for all code points but the six ASCII blanks."""
     table = np.ones(1 << 16, bool)
-    table[[0, 9, 10, 11, 12, 13, 32]] = False
+    table[[9, 10, 11, 12, 13, 32]] = False
     return table
 
 
