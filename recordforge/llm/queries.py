@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordforge.llm import chosen_path, language, line_templates, lm_scoring, mixing, quality, toxicity, url_rules
+from recordforge.llm import ball_tree, chosen_path, language, line_templates, lm_scoring, mixing, quality, toxicity, url_rules
 from recordforge.llm.labelled import labelled_rows, training_rows
 from recordforge.llm.textarrays import held_out
 from recordforge.sources.tables import load
@@ -97,6 +97,23 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.join(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+OP6_SQL = """
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(training_rows(docs, load(spark, sf_dir, "labels"), "quality", 4, 2, QUALITY_TRAIN_ROWS), "text", "label")
@@ -113,5 +130,5 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.drop("lang"), model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_mix, op4_url_rules, op5_jaccard_join, op7_quality, op8_lm_score, op9_language)}
-ORACLE_SQL = {"op2_line_templates": OP2_SQL, "op4_url_rules": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_mix, op4_url_rules, op5_jaccard_join, op6_ball_tree, op7_quality, op8_lm_score, op9_language)}
+ORACLE_SQL = {"op2_line_templates": OP2_SQL, "op4_url_rules": OP4_SQL, "op6_ball_tree": OP6_SQL}
