@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordforge.llm import ball_tree, chosen_path, language, line_templates, lm_scoring, mixing, quality, toxicity, url_rules
+from recordforge.llm import ball_tree, chosen_path, language, latent_decontam, line_templates, lm_scoring, mixing, quality, toxicity, url_rules
 from recordforge.llm.labelled import labelled_rows, training_rows
 from recordforge.llm.textarrays import held_out
 from recordforge.sources.tables import load
@@ -130,5 +130,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.drop("lang"), model).select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_mix, op4_url_rules, op5_jaccard_join, op6_ball_tree, op7_quality, op8_lm_score, op9_language)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = latent_decontam.flag(docs, load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("items") > 0).cast("int").alias("contaminated"), "items", "overlap")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_mix, op4_url_rules, op5_jaccard_join, op6_ball_tree, op7_quality, op8_lm_score, op9_language, op10_decontaminate)}
 ORACLE_SQL = {"op2_line_templates": OP2_SQL, "op4_url_rules": OP4_SQL, "op6_ball_tree": OP6_SQL}
