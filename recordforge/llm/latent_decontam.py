@@ -2,9 +2,9 @@
 
 Passages are windows of `WINDOW` words, every `STRIDE` words, of documents, and
 the benchmark's items. Their TF-IDF vectors are over the items' terms; other
-words count in a passage's length only. (Passages are so short that a term's
-occurrences stand for its passages; the occurrences are counted over all
-documents, in `BITS`-bit buckets.) A distributed randomised SVD finds the
+words count in a passage's norm only. (Passages are so short that a term's
+occurrences stand for its passages; they are counted over all documents, in
+`BITS`-bit buckets.) A distributed randomised SVD finds the
 latent space: every task multiplies its passages with a random matrix and back,
 the products are added up, and one small factorisation gives the leading right
 singular vectors of all passages (single-pass Nystrom form). A passage whose
@@ -38,8 +38,8 @@ from recordforge.llm import sums
 from recordforge.llm.textarrays import Powers, alnum_table, append_columns, chunked, encode, words
 from recordforge.sources.tables import materialise
 
-WINDOW, STRIDE, BITS, RANK, OVERSAMPLE = 24, 12, 18, 96, 32
-COSINE, VERBATIM, PARAPHRASE, ANSWER, LEAST, ITEMS = 0.4, 0.8, 0.6, 0.8, 5, 4096
+WINDOW, STRIDE, BITS, RANK, OVERSAMPLE = 32, 16, 18, 192, 16
+COSINE, VERBATIM, PARAPHRASE, ANSWER, LEAST, ITEMS = 0.55, 0.8, 0.6, 0.8, 5, 1024
 
 
 def _words(texts: list, table: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +77,7 @@ class Items:
                 self.words.append(h)
                 self.answers.append(_words([last], table, powers)[0])
         self.terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]))
-        self.idf = np.log1p(counts.sum() / (1.0 + counts)).astype(np.float32)
+        self.idf = np.log(np.maximum(1.0, counts.sum() / (WINDOW * (1.0 + counts)))).astype(np.float32)
         self.vectors = np.zeros((len(self.ids), len(self.terms)), np.float32)
         for v, w in zip(self.vectors, self.words):
             np.add.at(v, np.searchsorted(self.terms, w), self.weights(w))
@@ -87,8 +87,8 @@ class Items:
         return self.idf[(h >> np.uint64(64 - BITS)).astype(np.int64)]
 
 
-def _windows(h: np.ndarray, first: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, text, term indexes and weights (over the passage's norm) of the windows that could reach the cosine.
+def _windows(h: np.ndarray, first: np.ndarray, items: Items, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, text, term indexes and weights (over the passage's norm) of the windows with a share `least` of their norm on item terms.
 
     A term index is -1 past the window's text and for words of no item.
     """
@@ -103,8 +103,7 @@ def _windows(h: np.ndarray, first: np.ndarray, items: Items) -> tuple[np.ndarray
     run = lambda x: np.concatenate(([0.0], np.cumsum(x, dtype=np.float64)))
     whole, mine = run(w * w), run(np.where(known, w * w, 0))
     norm2 = whole[end] - whole[start]
-    # Repeated words in a window make its norm larger than this sum; the bound allows for it below.
-    keep = np.flatnonzero(mine[end] - mine[start] >= COSINE**2 * norm2)
+    keep = np.flatnonzero((norm2 > 1e-6) & (mine[end] - mine[start] >= least**2 * norm2))
     start, end, text = start[keep], end[keep], text[keep]
     place = start[:, None] + np.arange(WINDOW)
     inside = place < end[:, None]
@@ -135,7 +134,7 @@ def latent_space(docs: DataFrame, text_col: str, items: Items) -> np.ndarray:
                 h, first = _words(texts[lo:hi], table, powers)
                 if not len(h):
                     continue
-                _, _, terms, weights = _windows(h, first, items)
+                _, _, terms, weights = _windows(h, first, items, COSINE)
                 for a in range(0, len(terms), 2048):
                     t, w = terms[a : a + 2048], weights[a : a + 2048]
                     y = _project(t, w, random)
@@ -188,7 +187,9 @@ def _judge(h: np.ndarray, first: int, last: int, start: int, item: np.ndarray, a
 def _flag_block(docs: DataFrame, items: Items, text_col: str) -> DataFrame:
     basis = latent_space(docs, text_col, items)
     mine = items.vectors @ basis
-    mine /= np.maximum(np.linalg.norm(mine, axis=1, keepdims=True), 1e-12)
+    kept = (mine**2).sum(1)
+    mine /= np.maximum(kept[:, None], 1e-12)
+    least = COSINE * float(np.sqrt(kept.min()))
 
     def make():
         table, powers = alnum_table(), Powers()
@@ -201,7 +202,7 @@ def _flag_block(docs: DataFrame, items: Items, text_col: str) -> DataFrame:
                 h, first = _words(texts[lo:hi], table, powers)
                 if not len(h):
                     continue
-                start, text, terms, weights = _windows(h, first, items)
+                start, text, terms, weights = _windows(h, first, items, least)
                 for a in range(0, len(start), 4096):
                     near = _project(terms[a : a + 4096], weights[a : a + 4096], basis) @ mine.T
                     for w, k in zip(*np.nonzero(near >= COSINE)):
