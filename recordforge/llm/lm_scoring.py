@@ -31,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recordforge.llm import gru
-from recordforge.llm.textarrays import Powers, blank_table, chunked, encode, words
+from recordforge.llm.textarrays import Powers, blank_table, chunked, encode, text_slices, words
 from recordforge.sources.tables import materialise
 
-HEAD, HEADS, WIDTH, TAILS, HIDDEN = 131_072, 64, 64, 64, 16
+HEAD, HEADS, WIDTH, TAILS, HIDDEN = 131_072, 48, 64, 32, 16
 LANES, WINDOW, RATE, WARM_TOKENS = 512, 16, 0.1, 600_000
 #: Key of the end token.
 END = 0x5D1F3A7792C0E4B1
-#: Tokens that are trained on or scored together.
-BATCH = 1_000_000
+#: Tokens that are trained on or counted together; bytes of text that are scored, and split into tokens, together.
+BATCH, SCORED, SPLIT = 500_000, 5_000_000, 300_000
 
 
 def tokens(texts: list, table: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,7 +48,7 @@ def tokens(texts: list, table: np.ndarray, powers: Powers) -> tuple[np.ndarray,
     codes = np.where((codes >= 65) & (codes <= 90), codes + np.uint32(32), codes)
     h, begin, end, first = words(codes, starts, lens, table, powers)
     c0, c1 = codes[begin].astype(np.uint32), np.where(end - begin > 1, codes[np.minimum(begin + 1, len(codes) - 1)], 0).astype(np.uint32)
-    tail = ((c0 * np.uint32(0x9E3779B1) + c1 * np.uint32(0x85EBCA77)) >> np.uint32(26)).astype(np.int16) % TAILS
+    tail = (((c0 * np.uint32(0x9E3779B1) + c1 * np.uint32(0x85EBCA77)) >> np.uint32(16)).astype(np.int32) % TAILS).astype(np.int16)
     at = first[1:]
     return np.insert(h, at, np.uint64(END)), np.insert(tail, at, 0), np.diff(first) + 1
 
@@ -67,12 +67,11 @@ def count_tokens(docs: DataFrame, text_col: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(t[at], pa.int16()), pa.array(n)], names=["token", "tail", "n"])
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in chunked(texts):
-                h, t, _ = tokens(texts[lo:hi], table, powers)
+            for _, _, texts in text_slices(batch.column(0), SPLIT):
+                h, t, _ = tokens(texts, table, powers)
                 held.append((h, t))
                 size += len(h)
-                if size > 2 * BATCH:
+                if size > BATCH:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -136,14 +135,13 @@ def _train_on(batches, vocab: dict, p: dict, past: dict, most: int | None = None
         held.clear()
 
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for lo, hi in chunked(texts):
-            h, tail, sizes = tokens(texts[lo:hi], table, powers)
+        for _, _, texts in text_slices(batch.column(0), SPLIT):
+            h, tail, sizes = tokens(texts, table, powers)
             _, ids, c, s = _look_up(h, tail, vocab)
             held.append((_previous(ids, sizes), c, s))
             size += len(h)
             seen += len(h)
-            if size >= BATCH // 2:
+            if size >= BATCH:
                 go()
                 size = 0
             if most and seen >= most:
@@ -235,9 +233,8 @@ def score(docs: DataFrame, train: Column, text_col: str = "text", held_out_col:
     def run(batches):
         table, powers = blank_table(), Powers()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in chunked(texts, 6 * BATCH):
-                parts = [tokens(texts[lo + a : lo + b], table, powers) for a, b in chunked(texts[lo:hi])]
+            for lo, hi, texts in text_slices(batch.column(1), SCORED):
+                parts = [tokens(texts[a:b], table, powers) for a, b in chunked(texts, SPLIT)]
                 h, tail, sizes = (np.concatenate([q[i] for q in parts]) for i in range(3))
                 n, ids, c, s = _look_up(h, tail, vocab)
                 owner = np.repeat(np.arange(hi - lo), sizes)

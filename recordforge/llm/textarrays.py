@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Characters in a chunk. Longer texts are chunks of their own.
@@ -33,6 +34,19 @@ def chunked(texts: list, limit: int = CHUNK, most_rows: int = 1 << 30) -> Iterat
         yield lo, len(texts)
 
 
+def text_slices(column: pa.Array, limit: int = CHUNK, most_rows: int = 1 << 30) -> Iterator[tuple[int, int, list]]:
+    """The same over an Arrow column: only the texts of one range are decoded at a time."""
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
+    lo = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > lo and (held + n > limit or i - lo >= most_rows):
+            yield lo, i, column.slice(lo, i - lo).to_pylist()
+            lo, held = i, 0
+        held += n
+    if lo < len(sizes):
+        yield lo, len(sizes), column.slice(lo).to_pylist()
+
+
 def encode(texts: list, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of all texts, a 0 after each; where each starts; its length."""
     parts = ["" if t is None else t.lower() if lower else t for t in texts]
