@@ -164,6 +164,8 @@ def fit(train: DataFrame, text_col: str, vocab: dict) -> dict:
         yield pa.RecordBatch.from_arrays([pa.array([gru.pack(p)]), pa.array([gru.pack(past)])], names=["p", "past"])
 
     got = docs.limit(WARM_TOKENS // 100).coalesce(1).mapInArrow(warm, "p binary, past binary").first()
+    if got is None:
+        return first
     start, start_past = (gru.unpack(got[k], first) for k in ("p", "past"))
     blocks = 16
 

@@ -42,7 +42,7 @@ def _words(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*keep, F.explode(F.split(F.lower("_text"), "\\s+")).alias("_w")).filter("_w <> ''").select(*keep, F.pmod(F.xxhash64("_w"), F.lit(BUCKETS)).cast("int").alias("_bucket"))
 
 
-def fit_domains(labelled: DataFrame, text_col: str, domain_col: str) -> tuple[DataFrame, list[str], list[float]]:
+def fit_domains(labelled: DataFrame, text_col: str, domain_col: str) -> tuple[DataFrame | None, list[str], list[float]]:
     """Word table (bucket, log-likelihood of each domain), the domains and their log priors.
 
     The caller bounds the labelled rows; the table has at most `BUCKETS` rows.
@@ -50,10 +50,12 @@ def fit_domains(labelled: DataFrame, text_col: str, domain_col: str) -> tuple[Da
     rows = labelled.select(F.col(text_col).alias("_text"), F.col(domain_col).cast("string").alias("_domain")).filter("_domain is not null")
     priors = {r["_domain"]: r["n"] for r in rows.groupBy("_domain").agg(F.count("*").alias("n")).collect()}
     domains = sorted(priors)
+    if not domains:
+        return None, [], []
     counts = _words(rows, ["_domain"]).groupBy("_bucket").agg(*[F.sum(F.when(F.col("_domain") == d, 1).otherwise(0)).alias(f"_c{i}") for i, d in enumerate(domains)])
     all_buckets = labelled.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("_bucket"))
     counts = materialise(all_buckets.join(counts, "_bucket", "left").na.fill(0).coalesce(1), "mixing-words")
-    totals = counts.agg(*[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(domains))]).first() if domains else []
+    totals = counts.agg(*[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(domains))]).first()
     table = counts.select("_bucket", *[F.log((F.col(f"_c{i}") + 0.1) / (totals[i] + 0.1 * BUCKETS)).alias(f"_l{i}") for i in range(len(domains))])
     n = sum(priors.values())
     return table, domains, [math.log(priors[d] / n) for d in domains]
@@ -65,7 +67,7 @@ def posteriors(docs: DataFrame, text_col: str, table: DataFrame, domains: list[s
     words = _words(numbered.select("_row", F.col(text_col).alias("_text")), ["_row"])
     k = range(len(domains))
     sums = words.join(F.broadcast(table), "_bucket").groupBy("_row").agg(F.count("*").alias("_tokens"), *[F.sum(f"_l{i}").alias(f"_s{i}") for i in k])
-    weight = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.col("_tokens"))
+    weight = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.col("_tokens"), F.lit(1)))
     logits = [F.lit(log_priors[i]) + F.coalesce(F.col(f"_s{i}") * weight, F.lit(0.0)) for i in k]
     top = F.greatest(*logits) if len(logits) > 1 else logits[0]
     joined = numbered.drop(text_col).join(sums, "_row", "left").withColumn("_tokens", F.coalesce("_tokens", F.lit(0)))
