@@ -66,7 +66,7 @@ def find_json(text: str | None) -> str | None:
     return first_balanced(text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _find_json(text: pd.Series) -> pd.Series:
     return text.map(find_json)
 
@@ -116,7 +116,7 @@ def mend_json(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _mend_json(text: pd.Series) -> pd.Series:
     return text.map(mend_json)
 
