@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -9,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from recordforge.functions import jsonx, prompts, text
 from recordforge.jobs import base, templates
 from recordforge.operators import attempts as at, inputs as ins, ledger, run as runs_, topics as tp
+from recordforge.sources import files
 from recordforge.sources.files import read_html_pages
 from recordforge.sources.tables import load, shared_dir
+from recordforge.streaming import streams
 from recordforge.streaming.streams import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -605,3 +608,99 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
   FROM (SELECT doc_id, doc_id * 10000 + pos AS idx, length(array_to_string(toks[pos * 380 + 1:pos * 380 + 400], ' ')) AS n FROM chunks) q JOIN documents d USING (doc_id) LEFT JOIN labels l USING (doc_id)) GROUP BY run_id""", TOKENS)
 def curate_documents(spark, d):
     return flagship(spark, d)
+
+
+# Files and snapshots
+
+
+@query(f"SELECT page_id, CASE WHEN regexp_matches(path, 'youtube\\.com|youtu\\.be') THEN 'youtube_' || regexp_extract(path, '(?:[?&]v=|youtu\\.be/)([^&?#/]+)', 1) WHEN regexp_matches(path, '^https?://') THEN replace(regexp_extract(path, '^https?://([^/?#]*)', 1), '.', '_') ELSE regexp_extract(path, '([^/.]+)\\.[^./]*$', 1) END || '.txt' AS name, page_id AS text FROM (SELECT page_id, {PATH} AS path FROM pages)")
+def write_documents(spark, d):
+    path = f"{shared_dir(spark)}/texts"
+    files.write_documents(_paths(spark, d).select(text.output_name(F.col("path")).alias("name"), F.col("page_id").alias("text")), path)
+    return spark.read.parquet(path).select(F.col("text").alias("page_id"), "name", "text")
+
+
+@query("SELECT o_orderkey AS idx, o_orderstatus AS status, 'orders' AS source FROM orders")
+def save_run_snapshot(spark, d):
+    path = f"{shared_dir(spark)}/snapshot"
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_orderstatus").alias("status"))
+    ledger.save_run_snapshot(rows, {"source": "orders"}, path)
+    back, config = ledger.load_run_snapshot(spark, path)
+    return back.withColumn("source", F.lit(config["source"]))
+
+
+@query("SELECT c_custkey AS master_job_id, CASE WHEN o.n IS NULL THEN r.status ELSE 'completed' END AS status, o.stop AS end_time, coalesce(o.n, 0) AS completed FROM (SELECT master_job_id AS c_custkey, status FROM runs) r LEFT JOIN (SELECT master_job_id AS c_custkey, count(*) AS n, max(end_time) AS stop FROM tasks WHERE status = 'completed' GROUP BY 1) o USING (c_custkey)", base.RUNS, base.TASKS)
+def close_run(spark, d):
+    done = at.filter_status(base.tasks(spark, d), "completed").groupBy("master_job_id").agg(F.max("end_time").alias("end_time"), F.count("*").alias("completed")).withColumn("status", F.lit("completed"))
+    open_runs = base.runs(spark, d).select("master_job_id", "status", F.lit(None).cast("timestamp_ntz").alias("end_time"))
+    return ledger.close_rows(open_runs, done, "master_job_id", ["completed"])
+
+
+# Streams over the given tables
+
+
+def _stream(spark, d, name):
+    # A pattern, as a plain path must be a folder and a table may be one file.
+    return spark.readStream.schema(load(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
+def _worked_off(stream: DataFrame, step=lambda batch: batch) -> DataFrame:
+    root = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    streams.stream_run(stream, step, f"{root}/out", f"{root}/checkpoint")
+    return stream.sparkSession.read.parquet(f"{root}/out").drop("batch")
+
+
+@query("SELECT event_id AS idx, event_type FROM events WHERE event_id % 2 = 0")
+def stream_run(spark, d):
+    return _worked_off(_stream(spark, d, "events"), lambda b: b.filter("event_id % 2 = 0").select(F.col("event_id").alias("idx"), "event_type"))
+
+
+@query("SELECT DISTINCT md5(text) AS key FROM documents WHERE text IS NOT NULL")
+def stream_mark_duplicates(spark, d):
+    return _worked_off(streams.stream_first_rows(_stream(spark, d, "documents").filter("text is not null").select(F.md5("text").alias("key")), ["key"]))
+
+
+@query("SELECT source AS topic, count(*) AS n, CAST(least(count(*) - 1, 100) AS INTEGER) AS longest FROM documents GROUP BY source")
+def stream_topic_memory(spark, d):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = _stream(spark, d, "documents").select(F.col("source").alias("topic"), F.col("doc_id").alias("idx"), F.col("lang").alias("value"))
+    return _worked_off(streams.stream_topic_memory(rows)).groupBy("topic").agg(F.count("*").alias("n"), F.max(F.size("history")).alias("longest"))
+
+
+# Composite jobs with a scripted model
+
+
+def scripted_model(asked: list[str]) -> list[str]:
+    """Answers each kind of prompt of the composite jobs; some calls and solutions are wrong at first."""
+    starts = (
+        ("Name ", lambda p: '[{"subtopic": "s1"}, {"subtopic": "s2"}]'),
+        ("Round 1", lambda p: '[{"query": "q", "answer": [{"name": "get_weather", "arguments": {%s}}]}]' % ("" if p.endswith("s1") else '"location": "x"')),
+        ("Round 2", lambda p: '[{"query": "q2", "answer": [{"name": "get_weather", "arguments": {"location": "y"}}]}]'),
+        ("Does", lambda p: '[{"match": "Yes"}]'),
+        ("Write problems", lambda p: '[{"problem": "p1", "answer": "1", "reasoning": "r"}, {"problem": "p2", "answer": "bad", "reasoning": "r"}]'),
+        ("Rewrite", lambda p: '[{"problem": "p2", "answer": "2", "reasoning": "r"}]'),
+        ("Is the answer", lambda p: '[{"verified": "%s"}]' % ("False" if "bad" in p else "True")),
+    )
+    return [next((make(p) for start, make in starts if p.startswith(start)), "none") for p in asked]
+
+
+def _brands(spark, d):
+    return load(spark, d, "part").select(F.col("p_brand").alias("topic")).distinct()
+
+
+BRANDS = "brands AS (SELECT DISTINCT p_brand AS topic FROM part)"
+
+
+@query("SELECT topic, unnest(['s1', 's2']) AS subtopic FROM brands", BRANDS)
+def subtopics(spark, d):
+    return templates.subtopics(_brands(spark, d), 7, scripted_model)
+
+
+@query("SELECT topic, 's1' AS subtopic, 'q2' AS query, true AS ok FROM brands UNION ALL SELECT topic, 's2', 'q', true FROM brands", BRANDS)
+def function_call_dataset(spark, d):
+    return templates.function_call_dataset(_brands(spark, d), CONTRACT, scripted_model, 10_000).select("topic", "subtopic", "query", "ok")
+
+
+@query("SELECT topic, unnest(['p1', 'p2']) AS problem, unnest(['1', '2']) AS answer FROM brands", BRANDS)
+def verified_reasoning(spark, d):
+    return templates.verified_reasoning(_brands(spark, d), scripted_model).select("topic", "problem", "answer")

@@ -6,6 +6,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F, types as T
 
 from recordforge.jobs import base, templates
+from recordforge.jobs.queries import CONTRACT, scripted_model
 from recordforge.operators import attempts as at, inputs as ins, ledger, run as runs, topics as tp
 from recordforge.streaming import streams
 
@@ -178,37 +179,14 @@ def test_streams_equal_batch(spark, tmp_path):
         assert sorted([*longest.history, longest.value]) == sorted(history)
 
 
-def scripted(asked):
-    """Answers each kind of prompt of the composite jobs, some wrong at first."""
-    out = []
-    for p in asked:
-        if p.startswith("Name "):
-            out.append('[{"subtopic": "s1"}, {"subtopic": "s2"}]')
-        elif p.startswith("Round 1"):
-            out.append('[{"query": "q", "answer": [{"name": "f", "arguments": {}}]}]' if "s1" in p else '[{"query": "q", "answer": [{"name": "f", "arguments": {"a": "x"}}]}]')
-        elif p.startswith("Round 2"):
-            out.append('[{"query": "q2", "answer": [{"name": "f", "arguments": {"a": "y"}}]}]')
-        elif p.startswith("Does"):
-            out.append('[{"match": "Yes"}]')
-        elif p.startswith("Write problems"):
-            out.append('[{"problem": "p1", "answer": "1", "reasoning": "r"}, {"problem": "p2", "answer": "bad", "reasoning": "r"}]')
-        elif p.startswith("Rewrite"):
-            out.append('[{"problem": "p2", "answer": "2", "reasoning": "r"}]')
-        elif p.startswith("Is the answer"):
-            out.append('[{"verified": "%s"}]' % ("False" if "bad" in p else "True"))
-        else:
-            out.append("none")
-    return out
-
-
 def test_function_call_dataset(spark):
     topics = spark.createDataFrame([("t1",), ("t2",)], "topic string")
-    got = templates.function_call_dataset(topics, {"name": "f", "parameters": {"a": {"type": "string"}}}, scripted, 4).collect()
+    got = templates.function_call_dataset(topics, CONTRACT, scripted_model, 4).collect()
     assert len(got) == 4 and all(r.ok for r in got) and sorted(r.query for r in got) == ["q", "q", "q2", "q2"]
 
 
 def test_verified_reasoning(spark):
-    got = templates.verified_reasoning(spark.createDataFrame([("t",)], "topic string"), scripted).collect()
+    got = templates.verified_reasoning(spark.createDataFrame([("t",)], "topic string"), scripted_model).collect()
     assert sorted((r.problem, r.answer) for r in got) == [("p1", "1"), ("p2", "2")]
 
 
