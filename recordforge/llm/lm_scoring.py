@@ -28,7 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from recordforge.llm import gru
 from recordforge.llm.textarrays import Powers, blank_table, chunked, encode, text_slices, words
@@ -235,7 +235,7 @@ def score(docs: DataFrame, train: Column, text_col: str = "text", held_out_col:
     def run(batches):
         table, powers = blank_table(), Powers()
         for batch in batches:
-            for lo, hi, texts in text_slices(batch.column(1), SCORED):
+            for lo, hi, texts in text_slices(batch.column(batch.num_columns - 1), SCORED):
                 parts = [tokens(texts[a:b], table, powers) for a, b in chunked(texts, SPLIT)]
                 h, tail, sizes = (np.concatenate([q[i] for q in parts]) for i in range(3))
                 n, ids, c, s = _look_up(h, tail, vocab)
@@ -252,12 +252,13 @@ def score(docs: DataFrame, train: Column, text_col: str = "text", held_out_col:
                 at = np.flatnonzero(edge)
                 times = np.diff(np.append(at, len(fo))).astype(np.int32)
                 cuts = pa.array(np.searchsorted(fo[at], np.arange(hi - lo + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), pa.array(sums(n > 0).astype(np.int64)), pa.array(base), pa.array(model), pa.ListArray.from_arrays(cuts, pa.array(fh[at].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times))], names=["_row", "n_tokens", "near", "base", "model", "far", "times"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)), pa.array(sizes.astype(np.int64)), pa.array(sums(n > 0).astype(np.int64)), pa.array(base), pa.array(model), pa.ListArray.from_arrays(cuts, pa.array(fh[at].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times))], names=[*batch.schema.names[:-1], "n_tokens", "_near", "_base", "_model", "_far", "_times"])
 
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    scored = materialise(numbered.select("_row", F.col(text_col).alias("_text")).mapInArrow(run, "_row long, n_tokens long, near long, base double, model double, far array<long>, times array<int>"), "lm-scored")
-    far = scored.select("_row", F.explode(F.arrays_zip("far", "times")).alias("_f")).select("_row", F.col("_f.far").alias("token"), F.col("_f.times").alias("_times"))
+    others = [c for c in docs.columns if c != text_col]
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), *others, F.col(text_col).alias("_text"))
+    schema = T.StructType([*numbered.schema.fields[:-1], *T.StructType.fromDDL("n_tokens long, _near long, _base double, _model double, _far array<long>, _times array<int>").fields])
+    scored = materialise(numbered.mapInArrow(run, schema), "lm-scored")
+    far = scored.select("_row", F.explode(F.arrays_zip("_far", "_times")).alias("_f")).select("_row", F.col("_f._far").alias("token"), F.col("_f._times").alias("_times"))
     rest = far.join(counts.select("token", "n"), "token").groupBy("_row").agg(F.sum("_times").alias("_known"), F.sum(F.col("_times") * F.log10(F.col("n") + 1.0)).alias("_log"))
-    kept = numbered.select("_row", *[c for c in docs.columns if c != text_col])
     log = F.coalesce("_log", F.lit(0.0))
-    return kept.join(scored.drop("far", "times"), "_row").join(rest, "_row", "left").select(*[c for c in docs.columns if c != text_col], "n_tokens", (F.col("near") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(int(vocab["N"])).cast("long").alias("train_tokens"), (F.col("base") + log).alias("base_score"), (F.col("model") + log).alias("score"))
+    return scored.drop("_far", "_times").join(rest, "_row", "left").select(*others, "n_tokens", (F.col("_near") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(int(vocab["N"])).cast("long").alias("train_tokens"), (F.col("_base") + log).alias("base_score"), (F.col("_model") + log).alias("score"))

@@ -39,7 +39,9 @@ STEPS, TOLERANCE = 60, 1e-5
 
 
 def _words(df: DataFrame, keep: list[str]) -> DataFrame:
-    return df.select(*keep, F.explode(F.split(F.lower("_text"), "\\s+")).alias("_w")).filter("_w <> ''").select(*keep, F.pmod(F.xxhash64("_w"), F.lit(BUCKETS)).cast("int").alias("_bucket"))
+    """(kept columns, place, bucket) of every word; place 0 is each text's first."""
+    words = F.array_remove(F.split(F.lower("_text"), "\\s+"), "")
+    return df.select(*keep, F.posexplode(words).alias("_place", "_w")).select(*keep, "_place", F.pmod(F.xxhash64("_w"), F.lit(BUCKETS)).cast("int").alias("_bucket"))
 
 
 def fit_domains(labelled: DataFrame, text_col: str, domain_col: str) -> tuple[DataFrame | None, list[str], list[float]]:
@@ -61,19 +63,25 @@ def fit_domains(labelled: DataFrame, text_col: str, domain_col: str) -> tuple[Da
     return table, domains, [math.log(priors[d] / n) for d in domains]
 
 
-def posteriors(docs: DataFrame, text_col: str, table: DataFrame, domains: list[str], log_priors: list[float]) -> DataFrame:
-    """Adds _row, _tokens and _p0.._pD: each document's tokens and posterior."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    words = _words(numbered.select("_row", F.col(text_col).alias("_text")), ["_row"])
+def posteriors(docs: DataFrame, text_col: str, id_col: str, table: DataFrame, domains: list[str], log_priors: list[float]) -> DataFrame:
+    """Adds _tokens and _p0.._pD, each document's tokens and posterior; drops the text.
+
+    The sums of a document meet its row by id and hash of the text, so the plan
+    may run each side of the join on its own. Repeated rows share their sums,
+    which are divided by the number of such rows.
+    """
+    keyed = docs.withColumn("_hash", F.xxhash64(text_col))
+    words = _words(keyed.select(F.col(id_col).alias("_id"), "_hash", F.col(text_col).alias("_text")), ["_id", "_hash"])
     k = range(len(domains))
-    sums = words.join(F.broadcast(table), "_bucket").groupBy("_row").agg(F.count("*").alias("_tokens"), *[F.sum(f"_l{i}").alias(f"_s{i}") for i in k])
+    rows = F.count_if(F.col("_place") == 0)
+    sums = words.join(F.broadcast(table), "_bucket").groupBy("_id", "_hash").agg((F.count("*") / rows).cast("long").alias("_tokens"), *[(F.sum(f"_l{i}") / rows).alias(f"_s{i}") for i in k]).withColumnRenamed("_hash", "_hash_of")
     weight = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.col("_tokens"), F.lit(1)))
     logits = [F.lit(log_priors[i]) + F.coalesce(F.col(f"_s{i}") * weight, F.lit(0.0)) for i in k]
     top = F.greatest(*logits) if len(logits) > 1 else logits[0]
-    joined = numbered.drop(text_col).join(sums, "_row", "left").withColumn("_tokens", F.coalesce("_tokens", F.lit(0)))
+    joined = keyed.drop(text_col).join(sums, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_hash_of")), "left").withColumn("_tokens", F.coalesce("_tokens", F.lit(0)))
     shifted = joined.select("*", *[F.exp(z - top).alias(f"_e{i}") for i, z in enumerate(logits)])
     total = reduce(lambda a, b: a + b, [F.col(f"_e{i}") for i in k])
-    return shifted.select(*[c for c in joined.columns if not c.startswith("_s")], *[(F.col(f"_e{i}") / total).alias(f"_p{i}") for i in k])
+    return shifted.select(*[c for c in docs.columns if c != text_col], "_tokens", *[(F.col(f"_e{i}") / total).alias(f"_p{i}") for i in k])
 
 
 def _rate(steps: list[list[float]]):
@@ -120,7 +128,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text_co
     if missing := set(domains) - set(targets):
         raise ValueError(f"no target for {sorted(missing)}")
     total = sum(targets[d] for d in domains)
-    soft = materialise(posteriors(docs, text_col, table, domains, log_priors), "mixing-posteriors")
+    soft = materialise(posteriors(docs, text_col, id_col, table, domains, log_priors), "mixing-posteriors")
     steps, _ = fit_rates(soft, [targets[d] / total for d in domains])
     p = [F.col(f"_p{i}") for i in range(len(domains))]
     best = F.greatest(*p) if len(p) > 1 else p[0]
