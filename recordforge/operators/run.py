@@ -19,13 +19,14 @@ from recordforge.operators.ledger import done_inputs, pending_inputs, restore_ou
 from recordforge.sources.tables import materialise
 
 
-def run_records(df: DataFrame, fn: Callable[[list[dict]], list], out: T.StructType, retries: int = 1, threshold: int = 3, timeout: float = 60, batch_size: int = 64, run_id: str = "run", concurrency: int | None = None, keep: bool = True) -> DataFrame:
+def run_records(df: DataFrame, fn: Callable[[list[dict]], list], out: T.StructType | str, retries: int = 1, threshold: int = 3, timeout: float = 60, batch_size: int = 64, run_id: str = "run", concurrency: int | None = None, keep: bool = True) -> DataFrame:
     """Attempts (run_id, idx, attempt, seq, status, output, err_str) of every row.
 
     An attempt calls the generator up to retries + 1 times; a timeout is not
     retried within it. An input is tried until it completes or `threshold`
     attempts have failed, so at most threshold * (retries + 1) calls.
     """
+    out = T.StructType.fromDDL(out) if isinstance(out, str) else out
     schema = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("idx", T.LongType()), T.StructField("attempt", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("status", T.StringType()), T.StructField("output", T.ArrayType(out)), T.StructField("err_str", T.StringType())])
     names = [f.name for f in out.fields]
     rows = df.repartition(concurrency) if concurrency else df
