@@ -704,3 +704,40 @@ def function_call_dataset(spark, d):
 @query("SELECT topic, unnest(['p1', 'p2']) AS problem, unnest(['1', '2']) AS answer FROM brands", BRANDS)
 def verified_reasoning(spark, d):
     return templates.verified_reasoning(_brands(spark, d), scripted_model).select("topic", "problem", "answer")
+
+
+# Round trips through files
+
+
+@query("SELECT record_uid, status FROM records WHERE starts_with(record_uid, '101') AND length(record_uid) >= 4", base.RECORDS)
+def read_records(spark, d):
+    path = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    ledger.write_records(base.records(spark, d), path)
+    return ledger.read_records(spark, path, "101").select("record_uid", "status")
+
+
+@query("SELECT c_custkey AS idx, c_mktsegment AS segment, CAST(c_custkey % 5 = 0 AS INTEGER) AS target FROM customer")
+def load_run_snapshot(spark, d):
+    path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    ledger.save_run_snapshot(load(spark, d, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_mktsegment").alias("segment")), {"every": 5}, path)
+    back, config = ledger.load_run_snapshot(spark, path)
+    return back.withColumn("target", (F.col("idx") % config["every"] == 0).cast("int"))
+
+
+@query("SELECT run_id, CAST(100 + count(*) FILTER (status = 'failed') AS BIGINT) AS failed FROM attempts GROUP BY run_id", A)
+def initial_state(spark, d):
+    return base.attempts(spark, d).groupBy("run_id").agg((F.count_if(F.col("status") == "failed") + 100).alias("failed"))
+
+
+@query("SELECT page_id % 50 AS part, string_agg(url, chr(10) ORDER BY url) || chr(10) AS text FROM pages GROUP BY 1")
+def read_text_files(spark, d):
+    path = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    lines = load(spark, d, "pages").select((F.col("page_id") % 50).alias("part"), "url")
+    lines.repartition("part").sortWithinPartitions("part", "url").write.partitionBy("part").text(path)
+    return files.read_text_files(spark, f"{path}/part=*/*.txt").select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part"), "text")
+
+
+@query("SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(text, '[^a-zA-Z0-9 ' || chr(10) || ']', '', 'g'), chr(10)), lambda p: trim(p) <> ''), chr(10) || chr(10)) AS text FROM documents WHERE text IS NOT NULL")
+def decode_office_files(spark, d):
+    plain = load(spark, d, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.regexp_replace("text", "[^a-zA-Z0-9 \n]", "").alias("text"))
+    return files.decode_office_files(plain.mapInPandas(files.as_docx, "path string, content binary")).select(F.col("path").cast("long").alias("doc_id"), "text")

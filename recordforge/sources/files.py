@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -93,3 +94,16 @@ def decode_office_files(df: DataFrame, content: str = "content", key: str = "pat
 def write_documents(df: DataFrame, path: str, files: int = 8) -> None:
     """Extracted texts beside their output names, in a few large files."""
     df.select("name", "text").repartition(files).write.mode("overwrite").parquet(path)
+
+
+def as_docx(frames):
+    """(path, text) as (path, content): minimal docx files, a paragraph for each line."""
+    for frame in frames:
+        content = []
+        for text in frame["text"]:
+            body = "".join(f"<w:p><w:r><w:t>{escape(line)}</w:t></w:r></w:p>" for line in text.split("\n"))
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("word/document.xml", f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>')
+            content.append(out.getvalue())
+        yield pd.DataFrame({"path": frame["path"], "content": content})
