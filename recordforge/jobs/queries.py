@@ -543,7 +543,7 @@ def missing_params(spark, d):
 # Running
 
 
-@query(f"""SELECT idx, status, n FROM (SELECT n_nationkey AS idx, CASE WHEN {base.sql_bucket("n_name || '-0'", 100)} < 10 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN {base.sql_bucket("n_name || '-0'", 100)} >= 10 THEN {base.sql_bucket("n_name || '-0-n'", 3)} + 1 END AS n FROM nation), LATERAL (SELECT unnest(range(CASE status WHEN 'failed' THEN 3 ELSE 1 END)))""")
+@query(f"""SELECT idx, status, n FROM (SELECT CAST(n_nationkey AS BIGINT) AS idx, CASE WHEN {base.sql_bucket("n_name || '-0'", 100)} < 10 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN {base.sql_bucket("n_name || '-0'", 100)} >= 10 THEN {base.sql_bucket("n_name || '-0-n'", 3)} + 1 END AS n FROM nation), LATERAL (SELECT unnest(range(CASE status WHEN 'failed' THEN 3 ELSE 1 END)))""")
 def run_records(spark, d):
     rows = load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("idx"), F.col("n_name").alias("city"))
     out = T.StructType([T.StructField("answer", T.StringType())])
