@@ -52,8 +52,8 @@ WITH lines AS (
          string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL) AS rest
   FROM (SELECT DISTINCT * FROM lines) l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.text = g.text AND l.pos = g.pos GROUP BY l.doc_id, l.text
 )
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines,
-       coalesce(k.n_gone, 0) AS n_dropped, CASE WHEN coalesce(k.n_gone, 0) = 0 THEN d.text ELSE coalesce(k.rest, '') END AS text
+SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS INTEGER) AS n_lines,
+       CAST(coalesce(k.n_gone, 0) AS INTEGER) AS n_dropped, CASE WHEN coalesce(k.n_gone, 0) = 0 THEN d.text ELSE coalesce(k.rest, '') END AS text
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id AND d.text = k.text
 """
 
