@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from recordforge.operators.inputs import rank_within
 
 STATUSES = ("completed", "duplicate", "filtered", "failed")
 ALIASES = {"duplicated": "duplicate"}
@@ -142,11 +144,19 @@ def dead_letters(attempts: DataFrame, threshold: int = 3) -> DataFrame:
     return bad.groupBy("run_id", "idx").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq")).filter(F.col("n") >= threshold)
 
 
-def stop_point(attempts: DataFrame, n: int = 3) -> DataFrame:
-    """(run_id, seq): the first attempt with which the last n results of its run are all not completed."""
-    last = Window.partitionBy("run_id").orderBy("seq").rowsBetween(1 - n, 0)
-    bad = F.when(F.col("status") != "completed", 1).otherwise(0)
-    return attempts.withColumn("_bad", F.sum(bad).over(last)).filter(F.col("_bad") == n).groupBy("run_id").agg(F.min("seq").alias("seq"))
+def stop_point(attempts: DataFrame, n: int = 3, width: int = 100_000) -> DataFrame:
+    """(run_id, seq): the first attempt with which the last n results of its run are all not completed.
+
+    Rows that did not complete and follow each other have the same difference of
+    their ranks among all rows and among such rows. Ranks are made in slices of
+    `width` sequence numbers, so a long run is many tasks' work.
+    """
+    slices = F.floor(F.col("seq") / width)
+    ranked = rank_within(attempts.select("run_id", "seq", "status"), ["run_id"], slices, [F.col("seq")], "_rank")
+    bad = rank_within(ranked.filter(F.col("status") != "completed"), ["run_id"], slices, [F.col("seq")], "_bad").withColumn("_stretch", F.col("_rank") - F.col("_bad"))
+    long_enough = bad.groupBy("run_id", "_stretch").agg(F.count("*").alias("_n"), F.min("_bad").alias("_first")).filter(F.col("_n") >= n)
+    ends = long_enough.groupBy("run_id").agg((F.min("_first") + n - 1).alias("_bad"))
+    return bad.join(ends, ["run_id", "_bad"]).select("run_id", "seq")
 
 
 def mark_duplicates(df: DataFrame, keys: Sequence[str], order: str = "idx") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def read_inputs(spark: SparkSession, src, fmt: str = "parquet") -> DataFrame:
@@ -78,14 +78,25 @@ def shuffle_rows(df: DataFrame, key: str = "idx", seed: int = 0, name: str = "pl
 
 def global_rank(df: DataFrame, bucket: Column, order: list[Column], name: str) -> DataFrame:
     """Adds the rank over the whole table by (bucket, order); `bucket` has few, ordered values."""
-    from pyspark.sql import Window
+    return rank_within(df, [], bucket, order, name)
 
+
+def rank_within(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
+    """Adds each row's rank (from 1) among the rows of its keys, by (bucket, order).
+
+    Buckets are ordered slices of a key's rows. Only their sizes are added up
+    per key; rows are numbered within a bucket, so a hot key is many tasks' work.
+    """
     tagged = df.withColumn("_bucket", bucket)
-    sizes = tagged.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_bucket").orderBy(*order)
-    return tagged.join(offsets, "_bucket").withColumn(name, F.col("_before") + F.row_number().over(inside)).drop("_bucket", "_before")
+    sizes = tagged.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_slice"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.col("_bucket").eqNullSafe(F.col("_slice"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    joined = tagged.join(offsets, same)
+    return joined.withColumn(name, F.col("_before") + F.row_number().over(inside)).drop("_bucket", "_slice", "_before", *[f"_key{i}" for i in range(len(keys))])
 
 
 def attach_contract(df: DataFrame, contract: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from recordforge.operators.inputs import rank_within
+
 
 def first_topics(topics: DataFrame) -> DataFrame:
     """The first mention of each topic."""
@@ -87,13 +89,13 @@ def topic_history(rows: DataFrame) -> DataFrame:
     return rows.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_l")).select("topic", F.col("_l.value").alias("history"))
 
 
-def earlier_example(rows: DataFrame, seed: int = 0) -> DataFrame:
+def earlier_example(rows: DataFrame, seed: int = 0, width: int = 100_000) -> DataFrame:
     """Adds example: the value of one earlier row of the same topic, null for the first.
 
     Instead of growing lists, each row draws the rank of an earlier row by a
-    hash and joins it.
+    hash and joins it. Ranks are made in slices of `width` indexes.
     """
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("topic").orderBy("idx")))
+    ranked = rank_within(rows, ["topic"], F.floor(F.col("idx") / width), [F.col("idx")], "_rank")
     h = F.conv(F.substring(F.md5(F.concat(F.col("idx").cast("string"), F.lit(f"-{seed}"))), 1, 8), 16, 10).cast("long")
     drawn = ranked.withColumn("_pick", F.when(F.col("_rank") > 1, h % (F.col("_rank") - 1) + 1))
     source = ranked.select(F.col("topic").alias("_topic"), F.col("_rank").alias("_source"), F.col("value").alias("example"))

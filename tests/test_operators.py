@@ -61,6 +61,7 @@ def test_stop_point_brute_force(spark, n):
     df = spark.createDataFrame([("r", i, s) for i, s in enumerate(statuses)], "run_id string, seq long, status string")
     want = next(i for i in range(n - 1, 6) if all(s != "completed" for s in statuses[i - n + 1 : i + 1]))
     assert at.stop_point(df, n).first().seq == want
+    assert at.stop_point(df, n, width=2).first().seq == want
 
 
 def test_zip_inputs(spark):
