@@ -60,7 +60,7 @@ def judge(df: DataFrame, rules: list[dict], url_col: str = "url", default: str =
             raise ValueError(f"rule without a literal token: {r['pattern']}")
     table = spark.createDataFrame([(i, r["rule"], r["action"], r["pattern"], r["rank"], r["tokens"]) for i, r in enumerate(rules)], "rule_id int, rule string, action string, pattern string, rank int, tokens array<string>")
     parsed = split_url(df.drop("host", "path", "rule", "verdict"), url_col)
-    urls = parsed.select("host", "path").filter(F.col("host") != "").distinct()
+    urls = parsed.select("host", "path").filter("host <> '' or path <> ''").distinct()
     full = F.concat("host", "path")
     tokens = urls.select("host", "path", F.explode(F.array_distinct(F.split(F.translate(full, UPPER, LOWER), "[^a-z0-9]+"))).alias("token"))
     wanted = table.select("rule_id", F.explode("tokens").alias("token"))
