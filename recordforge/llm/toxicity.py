@@ -72,33 +72,33 @@ def fit(sample: DataFrame, text_col: str, label_col: str, bits: int = BITS, orde
         if docs.any():
             yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()]), pa.array([docs.tobytes()])], names=["df", "docs"])
 
-    def add(batches):
+    def select(batches):
         df, docs = np.zeros(2 * size, np.int64), np.zeros(2, np.int64)
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 df += np.frombuffer(a, np.int32)
                 docs += np.frombuffer(b, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()]), pa.array([docs.tobytes()])], names=["df", "docs"])
-
-    got = rows.mapInArrow(count, "df binary, docs binary").repartition(1).mapInArrow(add, "df binary, docs binary").first()
-    df = np.frombuffer(got["df"], np.int64).reshape(2, size).astype(np.float64)
-    n0, n1 = np.frombuffer(got["docs"], np.int64)
-    weights = np.zeros(size, np.float32)
+        df = df.reshape(2, size).astype(np.float64)
+        n0, n1 = docs
+        n, both = n0 + n1, df.sum(0)
+        chi2 = n * (df[1] * (n0 - df[0]) - df[0] * (n1 - df[1])) ** 2 / np.maximum(1, both * (n - both) * n0 * n1)
+        chi2[both < min_df] = 0
+        best = np.argsort(-chi2, kind="stable")[:most_features]
+        best = np.sort(best[chi2[best] >= min_chi2])
+        ratio = np.log((df[1][best] + 1) / (df[1].sum() + size)) - np.log((df[0][best] + 1) / (df[0].sum() + size))
+        yield pa.RecordBatch.from_arrays([pa.array([best.astype(np.int32).tobytes()]), pa.array([ratio.tobytes()]), pa.array([int(n0)]), pa.array([int(n1)])], names=["chosen", "ratio", "n0", "n1"])
+
+    # Selected in a task: the driver sees at most `most_features` of the buckets.
+    got = rows.mapInArrow(count, "df binary, docs binary").repartition(1).mapInArrow(select, "chosen binary, ratio binary, n0 long, n1 long").first()
+    chosen, ratio, n0, n1 = np.frombuffer(got["chosen"], np.int32), np.frombuffer(got["ratio"], np.float64), got["n0"], got["n1"]
     if not n0 or not n1:
         rows.unpersist()
         share = np.clip(n1 / max(1, n0 + n1), 1e-4, 1 - 1e-4)
-        return {"weights": weights, "bias": float(np.log(share / (1 - share))), "bits": bits, "orders": orders}
-
-    n, both = n0 + n1, df.sum(0)
-    chi2 = n * (df[1] * (n0 - df[0]) - df[0] * (n1 - df[1])) ** 2 / np.maximum(1, both * (n - both) * n0 * n1)
-    chi2[both < min_df] = 0
-    chosen = np.argsort(-chi2, kind="stable")[:most_features]
-    chosen = np.sort(chosen[chi2[chosen] >= min_chi2])
-    ratio = np.log((df[1][chosen] + 1) / (df[1].sum() + size)) - np.log((df[0][chosen] + 1) / (df[0].sum() + size))
-    place = np.full(size, -1, np.int32)
-    place[chosen] = np.arange(len(chosen), dtype=np.int32)
+        return {"chosen": chosen[:0], "weights": np.zeros(0, np.float32), "bias": float(np.log(share / (1 - share))), "bits": bits, "orders": orders}
 
     def features(batches):
+        place = np.full(size, -1, np.int32)
+        place[chosen] = np.arange(len(chosen), dtype=np.int32)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             found = []
@@ -132,15 +132,16 @@ def fit(sample: DataFrame, text_col: str, label_col: str, bits: int = BITS, orde
 
     learned = rows.mapInArrow(features, "label int, features array<int>").repartition(1).mapInArrow(regress, "w binary, b double").first()
     rows.unpersist()
-    weights[chosen] = np.frombuffer(learned["w"], np.float32)
-    return {"weights": weights, "bias": learned["b"], "bits": bits, "orders": orders}
+    return {"chosen": chosen, "weights": np.frombuffer(learned["w"], np.float32), "bias": learned["b"], "bits": bits, "orders": orders}
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.3, score_col: str = "score", flag_col: str = "predicted") -> DataFrame:
     """Adds the probability of toxicity and a 0/1 flag; reads each whole text once."""
 
     def make():
-        weights, bits = model["weights"], model["bits"]
+        bits = model["bits"]
+        weights = np.zeros(1 << bits, np.float32)
+        weights[model["chosen"]] = model["weights"]
         selected = weights != 0
 
         def fn(batch):
