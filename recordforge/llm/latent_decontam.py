@@ -13,7 +13,17 @@ cosine with an item, in that space, reaches `COSINE` is a candidate.
 A candidate is checked on its words: the longest common subsequence of the item
 and the text around the passage, as a share of the item. The document holds the
 item if the share is at least `VERBATIM`, or at least `PARAPHRASE` while the
-item's answer (its last sentence) is there too.
+item's answer (its last sentence) is there too. The text around a passage is
+the passage and as many words on each side as the item has.
+
+A cosine cannot bound what that check accepts: an edited item may keep its
+common words only, and an item far longer or shorter than a window shares little
+of its norm with one. So the check also looks wherever enough of an item's words
+stand together (`_stretches`). An item of which the share `PARAPHRASE` is kept
+loses at most the rest of its words, hence keeps m of its rarest m + rest; text
+around a passage with fewer than m of them cannot hold the item. This bound is
+exact, for items of any length, and independent of the latent space, which
+decides only which passages are checked first.
 
 Windows whose TF-IDF weight is mostly on words outside the benchmark cannot
 reach the cosine and are not projected: an exact bound, not a cut.
@@ -29,6 +39,7 @@ empty benchmark flags nothing; columns of the new names are replaced.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +51,8 @@ from recordforge.sources.tables import materialise
 
 WINDOW, STRIDE, BITS, RANK, OVERSAMPLE = 32, 16, 18, 192, 16
 COSINE, VERBATIM, PARAPHRASE, ANSWER, LEAST, ITEMS = 0.55, 0.8, 0.6, 0.8, 5, 1024
+#: Share of an item that must stand together as its rarest words; word places looked up at once.
+RARE, PLACES = 0.15, 1 << 22
 
 
 def _words(texts: list, table: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -82,6 +95,13 @@ class Items:
         for v, w in zip(self.vectors, self.words):
             np.add.at(v, np.searchsorted(self.terms, w), self.weights(w))
         self.vectors /= np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-12)
+        self.known = [frozenset(w.tolist()) for w in self.words]
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        needed = np.ceil(PARAPHRASE * self.sizes - 1e-9).astype(np.int64)
+        self.together = np.minimum(needed, np.maximum(1, np.ceil(RARE * self.sizes).astype(np.int64)))
+        rare = [np.unique(np.searchsorted(self.terms, w[np.argsort(-self.weights(w), kind="stable")[:n]])) for w, n in zip(self.words, self.sizes - needed + self.together)]
+        self.rare = np.concatenate([np.zeros(0, np.int64), *rare])
+        self.rare_first = np.cumsum([0, *map(len, rare)])
 
     def weights(self, h: np.ndarray) -> np.ndarray:
         return self.idf[(h >> np.uint64(64 - BITS)).astype(np.int64)]
@@ -173,9 +193,13 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def _judge(h: np.ndarray, first: int, last: int, start: int, item: np.ndarray, answer: np.ndarray) -> float:
-    """Share of the item in the text around a window; 0 unless it is held."""
+def _judge(h: np.ndarray, first: int, last: int, start: int, item: np.ndarray, answer: np.ndarray, known: frozenset) -> float:
+    """Share of the item in the text around a window; 0 unless it is held. known: the item's words."""
     span = h[max(first, start - len(item)) : min(last, start + WINDOW + len(item))]
+    inside = [x in known for x in span.tolist()]
+    if sum(inside) < PARAPHRASE * len(item) - 1e-9:
+        return 0.0
+    span = span[inside]
     share = common(item, span) / len(item)
     if share >= VERBATIM:
         return share
@@ -184,6 +208,50 @@ def _judge(h: np.ndarray, first: int, last: int, start: int, item: np.ndarray, a
     return 0.0
 
 
+def _stretches(h: np.ndarray, first: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
+    """(item, text, start) of every window whose surroundings have enough of the item's rarest words.
+
+    Items are looked up in lots of at most `PLACES` places (or one item), so
+    memory does not grow with the benchmark.
+    """
+    at = np.minimum(np.searchsorted(items.terms, h), len(items.terms) - 1)
+    place = np.flatnonzero(items.terms[at] == h)
+    term = at[place]
+    place = place[np.argsort(term, kind="stable")]
+    count = np.bincount(term, minlength=len(items.terms))
+    begin = np.cumsum(count) - count
+    upto = np.concatenate(([0], np.cumsum(count[items.rare])))[items.rare_first]
+    base = np.int64(len(h) + 1)
+    lo = 0
+    while lo < len(items.ids):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PLACES, "right")) - 1)
+        rare = items.rare[items.rare_first[lo] : items.rare_first[hi]]
+        n = count[rare]
+        which = np.repeat(begin[rare] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        owner = np.repeat(np.repeat(np.arange(lo, hi), np.diff(items.rare_first[lo : hi + 1])), n)
+        item, at = np.divmod(np.sort(owner * base + place[which]), base)
+        lo = hi
+        a = np.arange(len(at))
+        b = a + items.together[item] - 1
+        a, b = a[b < len(at)], b[b < len(at)]
+        a, b = (x[(item[a] == item[b]) & (at[b] - at[a] < WINDOW + 2 * items.sizes[item[a]])] for x in (a, b))
+        text = np.searchsorted(first, at[a], "right") - 1
+        same = at[b] < first[text + 1]
+        a, b, text = a[same], b[same], text[same]
+        item, size = item[a], items.sizes[item[a]]
+        # Windows whose surroundings, from `size` words before them to `size` words after, hold both ends.
+        final = np.maximum(0, -(-(first[text + 1] - first[text] - WINDOW) // STRIDE))
+        low = np.maximum(0, -(-(at[b] + 1 - WINDOW - size - first[text]) // STRIDE))
+        high = np.minimum(final, (at[a] + size - first[text]) // STRIDE)
+        now, done = (-1, -1), 0
+        for k, i, x, y in zip(item.tolist(), text.tolist(), low.tolist(), high.tolist()):
+            if (k, i) != now:
+                now, done = (k, i), 0
+            for w in range(max(x, done), y + 1):
+                yield k, i, int(first[i]) + STRIDE * w
+            done = max(done, y + 1)
+
+
 def _flag_block(docs: DataFrame, items: Items, text_col: str) -> DataFrame:
     basis = latent_space(docs, text_col, items)
     mine = items.vectors @ basis
@@ -209,10 +277,17 @@ def _flag_block(docs: DataFrame, items: Items, text_col: str) -> DataFrame:
                         i = int(text[a + w])
                         if items.ids[k] in held[lo + i]:
                             continue
-                        share = _judge(h, int(first[i]), int(first[i + 1]), int(start[a + w]), items.words[k], items.answers[k])
+                        share = _judge(h, int(first[i]), int(first[i + 1]), int(start[a + w]), items.words[k], items.answers[k], items.known[k])
                         if share:
                             held[lo + i].append(items.ids[k])
                             best[lo + i] = max(best[lo + i], share)
+                for k, i, place in _stretches(h, first, items):
+                    if items.ids[k] in held[lo + i]:
+                        continue
+                    share = _judge(h, int(first[i]), int(first[i + 1]), place, items.words[k], items.answers[k], items.known[k])
+                    if share:
+                        held[lo + i].append(items.ids[k])
+                        best[lo + i] = max(best[lo + i], share)
             return pa.array([sorted(x) for x in held], pa.list_(pa.int64())), best
 
         return fn

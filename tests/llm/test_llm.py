@@ -459,6 +459,39 @@ def test_decontamination_finds_verbatim_and_paraphrase(spark):
     assert not any(got[200 + k] for k in range(30))
 
 
+def brute_decontamination(texts, items):
+    """The check at every window, without any retrieval: {text index: item ids}."""
+    table, powers = textarrays.alnum_table(), textarrays.Powers()
+    hashed = lambda t: latent_decontam._words([t], table, powers)[0]
+    held = defaultdict(list)
+    for k, text in items:
+        item, answer = hashed(text), hashed(re.split(r"(?<=[.!?])\s+", text)[-1])
+        for i, t in enumerate(texts):
+            h = hashed(t)
+            spans = [h[max(0, s - len(item)) : s + 32 + len(item)] for s in range(0, max(1, len(h) - 16), 16)]
+            kept = [(latent_decontam.common(item, x) / len(item), latent_decontam.common(answer, x) / len(answer)) for x in spans]
+            if any(x >= 0.8 or x >= 0.6 and y >= 0.8 for x, y in kept):
+                held[i].append(k)
+    return {i: sorted(x) for i, x in held.items()}
+
+
+def test_decontamination_equals_the_check_at_every_window(spark):
+    rng = random.Random(18)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(900)]
+    prose = lambda n: [vocabulary[int(900 * rng.random() ** 3)] for _ in range(n)]
+    items = [(i, " ".join(prose(rng.randint(9, 53))) + ". " + " ".join(prose(6)) + ".") for i in range(40)]
+    texts = []
+    for _, text in items:
+        for share in (0.2, 0.3, 0.35, 0.4):
+            w = text.split()
+            for k in rng.sample(range(len(w) - 6), min(len(w) - 6, round(share * len(w)))):
+                w[k] = prose(1)[0]
+            texts.append(" ".join(prose(rng.randint(0, 120)) + w + prose(rng.randint(0, 120))))
+    want = brute_decontamination(texts, items)
+    got = latent_decontam.flag(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) > 0.8 * len(texts) and {r.doc_id: r["items"] for r in got if r["items"]} == want
+
+
 def test_decontamination_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(latent_decontam, "ITEMS", 3)
     rng = random.Random(9)
