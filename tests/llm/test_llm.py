@@ -492,6 +492,16 @@ def test_decontamination_equals_the_check_at_every_window(spark):
     assert len(want) > 0.8 * len(texts) and {r.doc_id: r["items"] for r in got if r["items"]} == want
 
 
+def test_decontamination_finds_verbatim_items_of_any_length(spark):
+    rng = random.Random(28)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(3000)]
+    prose = lambda n: " ".join(vocabulary[int(3000 * rng.random() ** 2)] for _ in range(n))
+    items = [(10 * n + k, prose(n)) for n in (5, 8, 12, 100, 150, 300) for k in range(6)]
+    docs = [(i, f"{prose(rng.randint(300, 340))} {t} {prose(300)}") for i, t in items]
+    got = {r.doc_id: r["items"] for r in latent_decontam.flag(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(i in got[i] for i, _ in items)
+
+
 def test_decontamination_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(latent_decontam, "ITEMS", 3)
     rng = random.Random(9)
