@@ -288,6 +288,18 @@ def test_runs_needed_reach_the_recall():
         assert (1 - 0.8**levels) ** n <= 1 - chosen_path.RECALL < (1 - 0.8**levels) ** (n - 1)
 
 
+def test_leaves_reach_the_recall_in_large_nodes(spark):
+    """Pairs of similarity 0.8 in four levels of nodes far above SMALL; every token has one of four values."""
+    rng, pairs = np.random.default_rng(6), 4000
+    width = chosen_path.SIGNATURE + chosen_path.MOST_RUNS * (chosen_path.LEVELS - 1)
+    a = rng.integers(0, 4, (pairs, width))
+    b = np.where(rng.random(a.shape) < 0.8, a, (a + rng.integers(1, 4, a.shape)) % 4)
+    rows = [(2 * i + side, x[: chosen_path.SIGNATURE].tolist(), x[chosen_path.SIGNATURE :].tolist()) for side, both in enumerate((a, b)) for i, x in enumerate(both)]
+    sets = spark.createDataFrame(rows, "set long, sig array<long>, deeper array<int>").repartition(4).cache()
+    met = chosen_path.leaves(sets, []).groupBy("key", F.floor(F.col("set") / 2).alias("pair")).count().filter("count = 2").select("pair").distinct().count()
+    assert pairs - met <= 0.002 * pairs
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(30)]
