@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,37 +18,65 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: `spark.checkpoint.dir`.
 
-    Only where the session names none (a test, a laptop) is a local temporary
-    folder set for it.
+    Only in local mode (a test, a laptop), where the session names none, a local
+    temporary folder is set for it; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        found = context._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(path)
+        context.setCheckpointDir(path)
     return path
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a result to the shared folder as Parquet and reads it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    for held in _kept:
+        held.append(path)
+    return out
+
+
+#: Open `scratch` blocks, each the paths written within it.
+_kept: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end what `materialise` wrote within; remove from the list what is to stay."""
+    paths: list[str] = []
+    _kept.append(paths)
+    try:
+        yield paths
+    finally:
+        _kept.remove(paths)
+        for path in paths:
+            _delete(spark, path)
 
 
 def discard(df: DataFrame) -> None:
     """Deletes the files of a materialised result that nothing reads any more."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    jvm = spark.sparkContext._jvm
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for parent in parents:
-        if root.split(":", 1)[-1].lstrip("/") in parent:
-            path = jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if path := getattr(df, "_scratch", None):
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
