@@ -7,15 +7,13 @@ parse go through the vectorised helper.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-#: Replies longer than this are not scanned.
-LONGEST = 1_000_000
-FENCE = "```"
 #: Field types of user schemas: the Spark type of each.
 FIELD_TYPES = {"str": "string", "int": "bigint", "float": "double", "bool": "boolean", "null": "string"}
 #: Type names of JSON schemas and of API contracts, as prefixes of schema_of_variant.
@@ -25,66 +23,71 @@ VARIANT_PREFIXES = {
 }
 
 
-def first_balanced(text: str) -> str | None:
-    """The first balanced {..} or [..]; quotes and escapes count, and a bracket that never closes is passed over once.
+OPENING = re.compile(r"[{\[]")
+#: What changes the nesting: whole strings, brackets, and a quote that no other one ends.
+NESTING = re.compile(r'"(?:[^"\\]|\\.)*+"|["{}\[\]]', re.S)
+BRACKETS = re.compile(r"[{}\[\]]")
+CLOSES = {"{": "}", "[": "]"}
 
-    A closing bracket of the wrong kind is ignored.
-    """
-    for m in re.finditer(r"[{\[]", text):
-        stack, quoted, skip = [], False, False
-        for at in range(m.start(), len(text)):
-            c = text[at]
-            if quoted:
-                if skip:
-                    skip = False
-                elif c == "\\":
-                    skip = True
-                elif c == '"':
-                    quoted = False
-            elif c == '"':
-                quoted = True
-            elif c in "{[":
-                stack.append("}" if c == "{" else "]")
-            elif c in "}]" and stack[-1] == c:
-                stack.pop()
-                if not stack:
-                    return text[m.start() : at + 1]
-    return None
 
+def balanced(text: str) -> str | None:
+    """The first {..} or [..] that closes, else the first one within such as never do.
 
-def find_json(text: str | None) -> str | None:
-    """The JSON part of a reply, or null: a fence tagged json, any fence, a balanced value."""
-    if text is None or len(text) > LONGEST:
+    One pass with a stack of the open brackets and their places. Brackets in
+    strings do not count, nor does a closing bracket of the wrong kind. A quote
+    that is never ended is a plain character, and so are all that follow it.
+    """
+    first = OPENING.search(text)
+    if not first:
         return None
-    tagged = text.partition(f"{FENCE}json")[2]
-    if FENCE in tagged:
-        return tagged.partition(FENCE)[0].strip()
-    parts = text.split(FENCE)
-    if len(parts) > 2:
-        head, newline, rest = parts[1].partition("\n")
-        return (rest if newline and head.strip()[:1] not in ("{", "[") else parts[1]).strip()
-    return first_balanced(text)
+    opened: list[tuple[str, int]] = []
+    inner: tuple[int, int] | None = None
+    at, tokens = first.start(), NESTING
+    while m := tokens.search(text, at):
+        at, c = m.end(), m[0]
+        if c == '"':
+            if inner:
+                break
+            opened.clear()
+            tokens = BRACKETS
+        elif c in CLOSES:
+            opened.append((c, m.start()))
+        elif opened and CLOSES[opened[-1][0]] == c:
+            start = opened.pop()[1]
+            if not opened:
+                return text[start:at]
+            if inner is None or start < inner[0]:
+                inner = (start, at)
+    return text[slice(*inner)] if inner else None
 
 
 @F.pandas_udf(T.StringType())
-def _find_json(text: pd.Series) -> pd.Series:
-    return text.map(find_json)
+def _balanced(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else balanced(t))
 
 
+#: Fenced blocks: one tagged json; any, whose first line is a tag unless a value begins there.
 TAGGED = r"(?s)```json(.*?)```"
+FENCED = r"(?s)```(?:(?!\s*[{\[])[^\n`]*\n)?(.*?)```"
 
 
 def extract_json(text: Column) -> Column:
-    """The JSON text of a reply; null if there is none. Rows with a tagged fence stay in the JVM."""
-    return F.when(text.rlike(TAGGED), F.regexp_replace(F.regexp_extract(text, TAGGED, 1), r"^\s+|\s+$", "")).otherwise(_find_json(F.when(~text.rlike(TAGGED), text)))
+    """The JSON text of a reply, or null: a fence tagged json, any fence, a balanced value.
+
+    Rows with a fence stay in the JVM.
+    """
+    inside = lambda pattern: F.regexp_replace(F.regexp_extract(text, pattern, 1), r"^\s+|\s+$", "")
+    fenced = text.rlike(FENCED) | text.rlike(TAGGED)
+    return F.when(text.rlike(TAGGED), inside(TAGGED)).when(fenced, inside(FENCED)).otherwise(_balanced(F.when(~fenced, text)))
 
 
 def extract_json_loose(text: Column) -> Column:
-    """The whole text if it parses, else a fence, else from the first { to the last } (or [ to ])."""
-    fence = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
-    braces, brackets = F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.regexp_extract(text, r"(?s)(\[.*\])", 1)
+    """The whole text if it is an object or list, else a fence, else from the first bracket to the last of its kind; null unless it parses."""
+    whole = F.regexp_replace(text, r"^\s+|\s+$", "")
+    fence = F.regexp_extract(whole, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+    widest = F.regexp_extract(whole, r"(?s)(\{.*\}|\[.*\])", 1)
     pick = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
-    return F.coalesce(pick(text), pick(fence), pick(braces), pick(brackets))
+    return F.coalesce(F.when(whole.rlike(r"(?s)^(\{.*\}|\[.*\])$"), pick(whole)), pick(fence), pick(widest))
 
 
 STRING = re.compile(r'"[^"\\]*(?:\\.[^"\\]*)*"', re.S)
@@ -100,18 +103,24 @@ def _without_controls(text: str) -> str:
     return STRING.sub(lambda m: "".join(ESCAPES.get(c, "" if c < " " else c) for c in m[0]), text)
 
 
+def _finite(text: str) -> float | None:
+    x = float(text)
+    return x if math.isfinite(x) else None
+
+
 def mend_json(text: str | None) -> str | None:
     """Valid JSON for a reply's JSON part, or null.
 
     Tried in turn: as it stands; backslashes in strings doubled; control
-    characters in strings escaped or dropped; both.
+    characters in strings escaped or dropped; both. Of repeated keys the last
+    counts; numbers that JSON cannot hold (NaN, infinities) become null.
     """
-    if text is None or len(text) > LONGEST:
+    if text is None:
         return None
     for repaired in (lambda t: t, _escaped, _without_controls, lambda t: _without_controls(_escaped(t))):
         try:
-            return json.dumps(json.loads(repaired(text)), ensure_ascii=False)
-        except ValueError:
+            return json.dumps(json.loads(repaired(text), parse_constant=lambda _: None, parse_float=_finite))
+        except (ValueError, RecursionError):
             continue
     return None
 

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from recordforge.functions import jsonx, prompts, text
-from recordforge.jobs import base, templates
+from recordforge.jobs import base, offline, templates
 from recordforge.operators import attempts as at, inputs as ins, ledger, run as runs_, topics as tp
 from recordforge.sources import files
 from recordforge.sources.files import read_html_pages
-from recordforge.sources.tables import load, shared_dir
+from recordforge.sources.tables import load, scratch_path
 from recordforge.streaming import streams
-from recordforge.streaming.streams import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -218,11 +216,14 @@ def upsert_ledger(spark, d):
     return ledger.upsert_ledger(rows.select("record_uid", "status", F.lit(1).alias("version")), changes, "record_uid", "version")
 
 
-@query("""SELECT t.job_id, CASE WHEN s.n IS NULL THEN t.status ELSE 'closed' END AS status, coalesce(s.stop, t.end_time) AS end_time, coalesce(s.completed, 0) AS completed, coalesce(s.failed, 0) AS failed
-  FROM tasks t LEFT JOIN (SELECT job_id, count(*) AS n, max(start_time) AS stop, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM records GROUP BY job_id) s USING (job_id)""", base.TASKS, base.RECORDS)
+@query("""SELECT t.job_id, CASE WHEN s.n IS NULL THEN t.status ELSE 'closed' END AS status, CASE WHEN s.n IS NULL THEN t.end_time ELSE coalesce(s.stop, t.end_time) END AS end_time,
+    CASE WHEN s.n IS NULL THEN t.job_id % 7 ELSE s.completed END AS completed, CASE WHEN s.n IS NULL THEN t.job_id % 5 ELSE s.failed END AS failed
+  FROM tasks t LEFT JOIN (SELECT job_id, count(*) AS n, max(start_time) AS stop, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM records WHERE job_id % 3 > 0 GROUP BY job_id) s USING (job_id)""", base.TASKS, base.RECORDS)
 def close_tasks(spark, d):
-    summary = base.records(spark, d).groupBy("job_id").agg(F.max("start_time").alias("end_time"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed")).withColumn("status", F.lit("closed"))
-    return ledger.close_rows(base.tasks(spark, d), summary, "job_id", ["completed", "failed"]).select("job_id", "status", "end_time", "completed", "failed")
+    rows = base.records(spark, d).filter("job_id % 3 > 0")
+    summary = rows.groupBy("job_id").agg(F.max("start_time").alias("end_time"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed")).withColumn("status", F.lit("closed"))
+    before = base.tasks(spark, d).withColumns({"completed": F.col("job_id") % 7, "failed": F.col("job_id") % 5})
+    return ledger.close_rows(before, summary, "job_id", ["completed", "failed"]).select("job_id", "status", "end_time", "completed", "failed")
 
 
 @query("SELECT status, count(*) AS n FROM records WHERE job_id % 2 = 0 GROUP BY status", base.RECORDS)
@@ -270,7 +271,8 @@ def done_inputs(spark, d):
     return ledger.done_inputs(base.inputs(spark, d), base.tasks(spark, d), F.lit(True))
 
 
-RESTORED = "SELECT i.idx, string_agg(CAST(r.quantity AS INTEGER), ',' ORDER BY r.record_uid) AS output FROM inputs i JOIN tasks t USING (run_config_hash) JOIN records r USING (job_id) WHERE t.status = 'completed' GROUP BY i.idx"
+RESTORED = """SELECT i.idx, coalesce(string_agg(CAST(r.quantity AS INTEGER), ',' ORDER BY r.record_uid), '') AS output
+  FROM inputs i JOIN (SELECT run_config_hash, min(job_id) AS job_id FROM tasks WHERE status = 'completed' GROUP BY 1) t USING (run_config_hash) LEFT JOIN records r USING (job_id) GROUP BY i.idx"""
 
 
 def _restore(spark, d):
@@ -297,7 +299,7 @@ def task_durations(spark, d):
 
 @query("SELECT record_uid, status, CASE WHEN length(record_uid) < 4 THEN 'XX' ELSE substr(record_uid, 1, 2) END AS p1, CASE WHEN length(record_uid) < 4 THEN 'XX' ELSE substr(record_uid, 3, 2) END AS p2 FROM records", base.RECORDS)
 def write_records(spark, d):
-    path = f"{shared_dir(spark)}/records"
+    path = scratch_path(spark, "records")
     ledger.write_records(base.records(spark, d), path)
     return ledger.read_records(spark, path).select("record_uid", "status", F.col("p1").cast("string").alias("p1"), "p2")
 
@@ -346,9 +348,9 @@ def plan_topics(spark, d):
     return tp.plan_topics(rows, rows.select("pos", F.concat("topic", F.lit("x")).alias("topic")), 2000, 5)
 
 
-@query("SELECT c_nationkey, string_agg(topic, ',' ORDER BY pos) AS exclude FROM (SELECT c_nationkey, c_custkey AS pos, c_name AS topic FROM customer) GROUP BY c_nationkey")
+@query("SELECT c_nationkey, slice, string_agg(topic, ',' ORDER BY pos) AS exclude FROM (SELECT c_nationkey, c_custkey AS pos, c_name AS topic, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 50 AS slice FROM customer) GROUP BY c_nationkey, slice")
 def exclude_text(spark, d):
-    return tp.exclude_text(load(spark, d, "customer").select("c_nationkey", F.col("c_custkey").alias("pos"), F.col("c_name").alias("topic")), ["c_nationkey"])
+    return tp.exclude_text(load(spark, d, "customer").select("c_nationkey", F.col("c_custkey").alias("pos"), F.col("c_name").alias("topic")), ["c_nationkey"], 50)
 
 
 def _values(spark, d):
@@ -358,9 +360,9 @@ def _values(spark, d):
 VALUES = "vals AS (SELECT source AS topic, doc_id AS idx, lang || '-' || n_chars AS value FROM documents)"
 
 
-@query("SELECT topic, string_agg(value, '|' ORDER BY idx) AS history FROM vals GROUP BY topic", VALUES)
+@query("SELECT topic, slice, string_agg(value, '|' ORDER BY idx) AS history FROM (SELECT *, (row_number() OVER (PARTITION BY topic ORDER BY idx) - 1) // 200 AS slice FROM vals) GROUP BY topic, slice", VALUES)
 def topic_history(spark, d):
-    return tp.topic_history(_values(spark, d)).select("topic", F.array_join("history", "|").alias("history"))
+    return tp.topic_history(_values(spark, d), 200).select("topic", "slice", F.array_join("history", "|").alias("history"))
 
 
 @query("""SELECT a.topic, a.idx, a.value, b.value AS example FROM ranked a LEFT JOIN ranked b ON a.topic = b.topic AND a.rk > 1
@@ -385,44 +387,61 @@ def plan_distribution(spark, d):
 # Text
 
 
-PATH = "CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN 'https://www.youtube.com/watch?v=id' || page_id || '&t=1' WHEN 2 THEN '/data/file' || page_id || '.PDF' WHEN 3 THEN 'notes' || page_id || '.txt' WHEN 4 THEN 'x' || page_id || '.bin' WHEN 5 THEN 'https://youtu.be/v' || page_id ELSE 'https://drive.google.com/f/' || page_id END"
+PATH = "CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN 'https://www.youtube.com/watch?v=id' || page_id || '&t=1' WHEN 2 THEN '/data/file' || page_id || '.PDF' WHEN 3 THEN 'notes' || page_id || '.txt' WHEN 4 THEN 'x' || page_id || '.bin' WHEN 5 THEN 'https://youtu.be/v' || page_id || '?t=2#x' ELSE 'https://files.example.com/f/' || page_id || '.docx?v=' || page_id END"
 
 
 def _paths(spark, d):
     return load(spark, d, "pages").select("page_id", F.expr(PATH).alias("path"))
 
 
-@query(f"""SELECT page_id, CASE WHEN regexp_matches(path, '^https?://') THEN CASE WHEN contains(path, 'youtube.com') OR contains(path, 'youtu.be') THEN 'youtube' WHEN contains(path, 'drive.google.com') THEN 'google_drive' ELSE 'html' END
-  ELSE CASE lower(regexp_extract(path, '(\\.[^./\\\\]+)$', 1)) WHEN '.pdf' THEN 'pdf' WHEN '.txt' THEN 'txt' ELSE 'unsupported' END END AS route FROM (SELECT page_id, {PATH} AS path FROM pages)""")
+ROUTES = " ".join(f"WHEN contains(path, '{part}') THEN '{name}'" for part, name in text.URL_ROUTES)
+NAME = r"""CASE WHEN regexp_matches(path, '^https?://') AND regexp_matches(path, 'youtube\.com|youtu\.be') THEN 'youtube_' || regexp_extract(path, '(?:v=|\.be/)([^&]+)', 1) WHEN regexp_matches(path, '^https?://') THEN replace(regexp_extract(path, '^https?://([^/?#]*)', 1), '.', '_')
+  ELSE regexp_extract(path, '([^/.]+)\.[^./]*$', 1) END || '.txt'"""
+
+
+@query(f"""SELECT page_id, CASE WHEN regexp_matches(path, '^https?://') THEN CASE {ROUTES} ELSE 'html' END
+  ELSE CASE lower(regexp_extract(path, '(\\.[^./]+)$', 1)) WHEN '.pdf' THEN 'pdf' WHEN '.txt' THEN 'txt' ELSE 'unsupported' END END AS route FROM (SELECT page_id, {PATH} AS path FROM pages)""")
 def route_documents(spark, d):
     return _paths(spark, d).select("page_id", text.route_documents(F.col("path")).alias("route"))
 
 
-@query(f"""SELECT page_id, CASE WHEN regexp_matches(path, 'youtube\\.com|youtu\\.be') THEN 'youtube_' || regexp_extract(path, '(?:[?&]v=|youtu\\.be/)([^&?#/]+)', 1) WHEN regexp_matches(path, '^https?://') THEN replace(regexp_extract(path, '^https?://([^/?#]*)', 1), '.', '_')
-  ELSE regexp_extract(path, '([^/.]+)\\.[^./]*$', 1) END || '.txt' AS name FROM (SELECT page_id, {PATH} AS path FROM pages)""")
+@query(f"SELECT page_id, {NAME} AS name FROM (SELECT page_id, {PATH} AS path FROM pages)")
 def output_name(spark, d):
     return _paths(spark, d).select("page_id", text.output_name(F.col("path")).alias("name"))
 
 
-META = """SELECT page_id, nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title, nullif(regexp_extract(html, '(?is)<meta[^>]*charset="?([^"\\s/>]+)', 1), '') AS charset,
-  nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), '') AS domain, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages"""
+# Every page with a description, a type and another charset in turn, in either order of attributes and either kind of quotes.
+HEAD = r"""replace(replace(html, '<meta charset="utf-8">', CASE page_id % 3 WHEN 0 THEN "<meta charset='utf-8'>" WHEN 1 THEN '<meta http-equiv="x" content="text/html; charset=latin-1">' ELSE '' END),
+  '</title>', '</title><meta ' || CASE page_id % 2 WHEN 0 THEN 'name="description" content="about > ' || page_id || '">' ELSE "content='about > " || page_id || "' name='Description'>" END || CASE WHEN page_id % 5 = 0 THEN '<META content=article property="og:type">' ELSE '' END)"""
+META = """SELECT page_id, nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title, 'about > ' || page_id AS description, CASE WHEN page_id % 5 = 0 THEN 'article' END AS type,
+  CASE page_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'latin-1' END AS charset, nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1), '') AS domain, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages"""
 
 
 @query(META)
 def html_meta(spark, d):
-    return load(spark, d, "pages").select("page_id", *[c.alias(k) for k, c in text.html_meta(F.col("html"), F.col("url")).items() if k not in ("description", "type")])
+    pages = load(spark, d, "pages").withColumn("html", F.expr(HEAD))
+    return pages.select("page_id", *[c.alias(k) for k, c in text.html_meta(F.col("html"), F.col("url")).items()])
+
+
+# Scripts, styles, comments and tags go (an unfinished one at the end, too), then the entities that the pages use.
+PAGE_TEXT = "html"
+for _pattern in ("(?is)<(script|style)[^>]*>.*?</(script|style)>", "(?s)<!--.*?-->", "(?s)<[a-zA-Z/!][^>]*(>|$)"):
+    PAGE_TEXT = f"regexp_replace({PAGE_TEXT}, '{_pattern}', '', 'g')"
+for _entity, _sign in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    PAGE_TEXT = f"replace({PAGE_TEXT}, '{_entity}', '{_sign}')"
+PAGE_TEXT = f"array_to_string(list_filter(list_transform(flatten(list_transform(string_split({PAGE_TEXT}, chr(10)), lambda line: string_split(trim(line), '  '))), lambda x: trim(x)), lambda x: x <> ''), chr(10))"
 
 
-@query(f"SELECT page_id, title, domain, true AS has_text FROM ({META})")
+@query(f"SELECT page_id, title, domain, text FROM (SELECT page_id, md5({PAGE_TEXT}) AS text FROM pages) JOIN ({META}) USING (page_id)")
 def read_html_pages_(spark, d):
-    return read_html_pages(load(spark, d, "pages")).select("page_id", "title", "domain", (F.length("text") > 0).alias("has_text"))
+    return read_html_pages(load(spark, d, "pages")).select("page_id", "title", "domain", F.md5("text").alias("text"))
 
 
 QUERIES["read_html_pages"] = QUERIES.pop("read_html_pages_")
 ORACLE_SQL["read_html_pages"] = ORACLE_SQL.pop("read_html_pages_")
 
 
-@query()
+@query(f"SELECT page_id, {PAGE_TEXT} AS text FROM pages")
 def html_to_text(spark, d):
     return load(spark, d, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))
 
@@ -436,10 +455,18 @@ def split_tokens(spark, d):
     return load(spark, d, "documents").select("doc_id", F.posexplode(text.split_tokens(F.col("text"))).alias("pos", "chunk")).withColumn("chunk", F.md5("chunk"))
 
 
-@query("SELECT doc_id, 1 AS n, md5(t) AS chunk FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents WHERE NOT contains(text, chr(10) || chr(10))) WHERE length(t) >= 100")
+# The same packing as a fold in SQL: state and paragraphs have one type there.
+_TAIL = r"trim(list_reduce(list_prepend({'t': '', 'x': false}, list_transform(list_reverse(list_filter(string_split(regexp_replace(a.held, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')), lambda s: {'t': s, 'x': false})), lambda b, s: CASE WHEN NOT b.x AND length(b.t) + length(s.t) <= 20 THEN {'t': s.t || ' ' || b.t, 'x': false} ELSE {'t': b.t, 'x': true} END).t)"
+PACKED = rf"""packed AS (SELECT doc_id, CASE WHEN s.held <> '' AND length(s.held) >= 100 THEN list_append(s.chunks, s.held) ELSE s.chunks END AS chunks FROM (
+  SELECT doc_id, list_reduce(list_prepend({{'chunks': CAST([] AS VARCHAR[]), 'held': ''}}, list_transform(list_filter(string_split_regex(regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '^\s+|\s+$', '', 'g'), '\n{{2,}}'), lambda p: regexp_matches(p, '\S')), lambda p: {{'chunks': CAST([] AS VARCHAR[]), 'held': p}})),
+    lambda a, p: CASE WHEN a.held = '' THEN {{'chunks': a.chunks, 'held': p.held}} WHEN length(a.held) + length(p.held) > 400 AND length(a.held) >= 100 THEN {{'chunks': list_append(a.chunks, a.held), 'held': {_TAIL} || chr(10) || chr(10) || p.held}}
+      ELSE {{'chunks': a.chunks, 'held': a.held || chr(10) || chr(10) || p.held}} END) AS s FROM documents WHERE text IS NOT NULL))"""
+
+
+@query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, md5(chunks[i]) AS chunk FROM (SELECT *, unnest(range(1, len(chunks) + 1)) AS i FROM packed)", PACKED)
 def split_paragraphs(spark, d):
-    one = load(spark, d, "documents").filter(~F.col("text").contains("\n\n"))
-    return one.select("doc_id", text.split_paragraphs(F.col("text")).alias("c")).filter(F.size("c") > 0).select("doc_id", F.size("c").alias("n"), F.md5(F.element_at("c", 1)).alias("chunk"))
+    spread = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+    return load(spark, d, "documents").select("doc_id", F.posexplode(text.split_paragraphs(spread)).alias("pos", "chunk")).withColumn("chunk", F.md5("chunk"))
 
 
 @query("SELECT doc_id, CAST(pos AS INTEGER) AS pos, md5('Write ' || greatest(1, CAST(round_even(8.0 / (count(*) OVER (PARTITION BY doc_id)), 0) AS INTEGER)) || ' question and answer pairs about this text:' || chr(10) || array_to_string(toks[pos * 380 + 1:pos * 380 + 400], ' ')) AS prompt FROM chunks", TOKENS)
@@ -487,14 +514,21 @@ def extract_json(spark, d):
     return base.replies(spark, d).select("idx", jsonx.extract_json(F.col("reply")).alias("found"))
 
 
-@query(f"SELECT idx, {FOUND} AS found FROM replies", R)
+@query("SELECT idx, CASE WHEN idx % 5 IN (0, 1, 2) THEN props WHEN idx % 5 = 3 THEN reply END AS found FROM replies", R)
 def extract_json_loose(spark, d):
-    return base.replies(spark, d).select("idx", jsonx.extract_json_loose(F.col("reply")).alias("found"))
+    amid = F.when(F.col("idx") % 5 == 3, F.concat(F.lit("Items "), "reply", F.lit(" as {asked)"))).otherwise(F.col("reply"))
+    return base.replies(spark, d).select("idx", jsonx.extract_json_loose(amid).alias("found"))
 
 
-@query("SELECT idx, CASE WHEN idx % 5 IN (0, 3) THEN true ELSE false END AS parses FROM replies", R)
+# Each event's type and number in JSON that is broken in one of six ways, one of them beyond repair.
+@query("SELECT idx, CASE WHEN idx % 6 < 5 THEN event_type || CASE idx % 6 WHEN 1 THEN ' \\le' WHEN 2 THEN chr(10) || 'next' WHEN 3 THEN ' \\a' || chr(9) || 't' ELSE '' END END AS name, CASE WHEN idx % 6 < 4 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM replies", R)
 def repair_json(spark, d):
-    return base.replies(spark, d).select("idx", jsonx.repair_json(F.col("reply")).isNotNull().alias("parses"))
+    rows = load(spark, d, "events").select(F.col("event_id").alias("idx"), "event_type", "props")
+    kind, k = F.col("idx") % 6, F.get_json_object(F.col("props"), "$.k")
+    name = F.concat("event_type", F.when(kind == 1, " \\le").when(kind == 2, "\nnext").when(kind == 3, " \\a\tt").otherwise(""))
+    broken = F.concat(F.lit('{"name": "'), name, F.lit('", "k": '), F.when(kind == 4, "NaN").when(kind == 5, "}").otherwise(k), F.lit("}"))
+    mended = F.try_parse_json(jsonx.repair_json(broken))
+    return rows.select("idx", F.try_variant_get(mended, "$.name", "string").alias("name"), F.try_variant_get(mended, "$.k", "bigint").alias("k"))
 
 
 @query("SELECT idx, CASE WHEN idx % 5 = 3 THEN 2 WHEN idx % 5 = 0 THEN 1 END AS n FROM replies", R)
@@ -505,10 +539,9 @@ def unwrap_json(spark, d):
 FIELDS = [{"name": "k", "type": "int"}, {"name": "other", "type": "str", "required": False}]
 
 
-@query("SELECT idx, CASE idx % 5 WHEN 3 THEN '0: type: k is string' ELSE '' END AS errors FROM replies WHERE idx % 5 IN (0, 3)", R)
+@query("SELECT idx, CASE WHEN idx % 5 = 3 THEN '0: type: k is string' WHEN idx % 5 = 0 THEN '' END AS errors FROM replies", R)
 def validate_items(spark, d):
-    rows = base.replies(spark, d).filter("idx % 5 in (0, 3)")
-    return rows.select("idx", F.array_join(jsonx.validate_items(jsonx.unwrap_json(F.try_parse_json("reply")), FIELDS, True), "; ").alias("errors"))
+    return base.replies(spark, d).select("idx", F.array_join(jsonx.validate_items(jsonx.unwrap_json(F.try_parse_json("reply")), FIELDS, True), "; ").alias("errors"))
 
 
 @query("SELECT idx, CASE WHEN idx % 5 = 4 THEN 'failed' ELSE 'ok' END AS parse_status, CASE WHEN idx % 5 = 4 THEN 'no JSON found' END AS parse_error, CASE WHEN idx % 5 = 3 THEN 2 WHEN idx % 5 <> 4 THEN 1 END AS n FROM replies", R)
@@ -525,17 +558,17 @@ def parse_typed(spark, d):
 CONTRACT = {"name": "get_weather", "description": "weather", "parameters": {"location": {"type": "string", "required": True}, "days": {"type": "integer", "required": False}}}
 
 
-@query("""SELECT n_nationkey, CASE n_nationkey % 6 WHEN 1 THEN 'missing parameters: location' WHEN 2 THEN 'unknown parameters: x' WHEN 3 THEN 'name differs from the contract' WHEN 4 THEN 'days should be integer' WHEN 5 THEN 'arguments is no object' ELSE '' END AS reasons, n_nationkey % 6 = 0 AS format_ok FROM nation""")
+@query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 1 THEN 'missing parameters: location' WHEN 2 THEN 'unknown parameters: x' WHEN 3 THEN 'name differs from the contract' WHEN 4 THEN 'days should be integer' WHEN 5 THEN 'arguments is no object' ELSE '' END AS reasons, c_custkey % 6 = 0 AS format_ok FROM customer""")
 def check_calls(spark, d):
-    rows = load(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("query"), (F.col("n_nationkey") % 6).alias("k"))
+    rows = load(spark, d, "customer").select("c_custkey", F.col("c_name").alias("query"), (F.col("c_custkey") % 6).alias("k"))
     args = F.when(F.col("k") == 1, '{"days": 2}').when(F.col("k") == 2, '{"location": "a", "x": 1}').when(F.col("k") == 4, '{"location": "a", "days": "two"}').when(F.col("k") == 5, "[1]").otherwise('{"location": "a", "days": 2}')
     answer = F.concat(F.lit('[{"name": "'), F.when(F.col("k") == 3, "other").otherwise(" get_weather "), F.lit('", "arguments": '), args, F.lit("}]"))
-    return jsonx.check_calls(rows.withColumn("answer", answer), "query", "answer", CONTRACT).select("n_nationkey", F.array_join("reasons", "; ").alias("reasons"), "format_ok")
+    return jsonx.check_calls(rows.withColumn("answer", answer), "query", "answer", CONTRACT).select("c_custkey", F.array_join("reasons", "; ").alias("reasons"), "format_ok")
 
 
-@query("SELECT idx, CASE WHEN idx % 5 = 0 THEN 'a' ELSE 'a,b' END AS missing, CASE WHEN idx % 5 = 0 THEN 'c' ELSE 'k' END AS unknown FROM replies WHERE idx % 5 < 2", R)
+@query("SELECT idx, CASE WHEN idx % 5 = 0 THEN 'a' WHEN idx % 5 IN (1, 2) THEN 'a,b' END AS missing, CASE WHEN idx % 5 = 0 THEN 'c' WHEN idx % 5 IN (1, 2) THEN 'k' END AS unknown FROM replies", R)
 def missing_params(spark, d):
-    rows = base.replies(spark, d).filter("idx % 5 < 2")
+    rows = base.replies(spark, d)
     given = F.when(F.col("idx") % 5 == 0, F.array(F.lit("b"), F.lit("c"))).otherwise(F.json_object_keys(jsonx.extract_json(F.col("reply"))))
     return rows.select("idx", *[F.array_join(c, ",").alias(k) for k, c in jsonx.missing_params(given, ["a", "b"], ["a", "b"]).items()])
 
@@ -543,25 +576,39 @@ def missing_params(spark, d):
 # Running
 
 
-@query(f"""SELECT idx, status, n FROM (SELECT CAST(n_nationkey AS BIGINT) AS idx, CASE WHEN {base.sql_bucket("n_name || '-0'", 100)} < 10 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN {base.sql_bucket("n_name || '-0'", 100)} >= 10 THEN {base.sql_bucket("n_name || '-0-n'", 3)} + 1 END AS n FROM nation), LATERAL (SELECT unnest(range(CASE status WHEN 'failed' THEN 3 ELSE 1 END)))""")
+def _cities(df: DataFrame, key: str, parts: int) -> DataFrame:
+    return df.select(F.col(key).alias("idx"), F.concat(F.lit("c"), (F.col(key) % parts).cast("string")).alias("city"))
+
+
+# A city's generator fails or answers by its name; the same answer twice is a duplicate, one in ten inputs is filtered; all of these are tried three times.
+_FAILS = base.sql_bucket("'c' || (c_custkey % 400) || '-0'", 100) + " < 10"
+RUN = f"""SELECT idx, status, n, CAST(unnest(range(1, CASE status WHEN 'completed' THEN 2 ELSE 4 END)) AS INTEGER) AS attempt FROM (
+  SELECT idx, CASE WHEN fails THEN 'failed' WHEN idx > first THEN 'duplicate' WHEN {base.sql_bucket("'f' || idx", 10)} = 0 THEN 'filtered' ELSE 'completed' END AS status, CASE WHEN NOT fails THEN items END AS n
+  FROM (SELECT c_custkey AS idx, min(c_custkey) OVER (PARTITION BY c_custkey % 400) AS first, {_FAILS} AS fails, {base.sql_bucket("'c' || (c_custkey % 400) || '-0-n'", 3)} + 1 AS items FROM customer))"""
+
+
+@query(RUN)
 def run_records(spark, d):
-    rows = load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("idx"), F.col("n_name").alias("city"))
-    out = T.StructType([T.StructField("answer", T.StringType())])
-    return runs_.run_records(rows, runs_.offline_answers, out, retries=1, threshold=3).select("idx", "status", F.size("output").alias("n"))
+    hooks = [runs_.seen_before(F.get("output", F.lit(0))["answer"]), runs_.drop_if(base.bucket(F.concat(F.lit("f"), "idx"), 10) == 0)]
+    got = runs_.run_records(_cities(load(spark, d, "customer"), "c_custkey", 400), offline.answers, "answer string", hooks=hooks)
+    return got.select("idx", "status", F.size("output").alias("n"), "attempt")
 
 
-def offline_model(asked: list[str]) -> list[str]:
-    """A model for tests: one record that repeats the prompt's length."""
-    return [f'```json\n[{{"question": "q{len(p)}", "answer": "a{len(p)}"}}]\n```' for p in asked]
+# Waves of about 40 inputs in the order of their numbers, until 100 have completed.
+@query(f"""SELECT idx, status FROM (SELECT *, sum(done) OVER (ORDER BY wave) - done_in AS before FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY wave ORDER BY idx) = 1 THEN done_in ELSE 0 END AS done FROM (SELECT *, count(*) FILTER (status = 'completed') OVER (PARTITION BY wave) AS done_in FROM (
+  SELECT c_custkey AS idx, CASE WHEN {_FAILS} THEN 'failed' ELSE 'completed' END AS status, (c_custkey - low) // greatest(1, (high - low + 1) * 40 // total) AS wave FROM customer, (SELECT min(c_custkey) AS low, max(c_custkey) AS high, count(*) AS total FROM customer))))) WHERE before < 100""")
+def run_to_target(spark, d):
+    got = runs_.run_records(_cities(load(spark, d, "customer"), "c_custkey", 400), offline.answers, "answer string", threshold=1, target=100, wave=40)
+    return got.select("idx", "status")
 
 
 QA = [{"name": "question", "type": "str"}, {"name": "answer", "type": "str"}]
 
 
-@query("SELECT doc_id, 'ok' AS parse_status, 'q' || (length(lang) + 12) AS question FROM documents")
+@query("SELECT doc_id, 'ok' AS parse_status, 'q-' || substr(md5('Write about ' || lang || ' of ' || n_chars), 1, 8) AS question FROM documents")
 def ask_model(spark, d):
-    rows = load(spark, d, "documents").select("doc_id", F.concat(F.lit("Write about "), "lang").alias("prompt"))
-    return runs_.ask_model(rows, "prompt", QA, offline_model).select("doc_id", "parse_status", F.try_variant_get(F.get("data", F.lit(0)), "$.question", "string").alias("question"))
+    rows = load(spark, d, "documents").select("doc_id", F.concat(F.lit("Write about "), "lang", F.lit(" of "), "n_chars").alias("prompt"))
+    return runs_.ask_model(rows, "prompt", QA, offline.echo).select("doc_id", "parse_status", F.try_variant_get(F.get("data", F.lit(0)), "$.question", "string").alias("question"))
 
 
 @query("SELECT topic, n + 1 AS n FROM first_topics WHERE n IS NOT NULL", base.TOPICS, base.FIRST_TOPICS)
@@ -574,9 +621,17 @@ def fold_state(spark, d):
     return runs_.fold_state(base.attempts(spark, d), {"done": F.count_if(F.col("status") == "completed"), "items": F.sum(F.size("output"))}, {"done": 10}).select("done", "items")
 
 
+def _stream(spark, d, name):
+    # A pattern, as a plain path must be a folder and a table may be one file.
+    return spark.readStream.schema(load(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
 @query("SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_progress(spark, d):
-    return progress(load(spark, d, "events"), "6 hours", "ts", "event_type")
+    root = scratch_path(spark, "progress")
+    events = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    streams.stream_progress(events, f"{root}/out", f"{root}/checkpoint", width="6 hours", time="ts", status="event_type", late="1 day")
+    return spark.read.parquet(f"{root}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 # Composite jobs
@@ -584,18 +639,28 @@ def stream_progress(spark, d):
 
 @query("SELECT doc_id, CAST(pos AS INTEGER) AS chunk, 0 AS pos, 'q' || (length(array_to_string(toks[pos * 380 + 1:pos * 380 + 400], ' ')) + 51) AS question FROM chunks", TOKENS)
 def document_qa(spark, d):
-    return templates.document_qa(load(spark, d, "documents").select("doc_id", "text"), offline_model).select("doc_id", "chunk", "pos", "question")
+    return templates.document_qa(load(spark, d, "documents").select("doc_id", "text"), offline.model).select("doc_id", "chunk", "pos", "question")
+
 
+# Records in the order of md5; a second-round one shows an item of the first round of its topic, drawn by md5.
+TOPIC_ROWS = """planned AS (SELECT topic, n FROM first_topics WHERE n IS NOT NULL),
+keyed AS (SELECT topic, k, topic || '-' || k AS key FROM (SELECT topic, unnest(range(1, n + 1)) AS k FROM planned)),
+placed AS (SELECT topic, k, row_number() OVER (ORDER BY md5(key || '-0'), key) AS idx FROM keyed),
+round1 AS (SELECT topic, idx, substr(md5('Write about ' || topic || '.'), 1, 8) AS said, row_number() OVER (PARTITION BY topic ORDER BY idx) AS rk, count(*) OVER (PARTITION BY topic) AS n FROM placed WHERE k % 2 = 1),
+round2 AS (SELECT p.topic, p.idx, '{"question":"q-' || r.said || '","answer":"a-' || r.said || '"}' AS example FROM placed p JOIN round1 r ON p.topic = r.topic AND p.k % 2 = 0 AND r.rk = CAST('0x' || substr(md5(p.idx || '-0'), 1, 8) AS BIGINT) % r.n + 1)"""
 
-@query()
+
+@query("""SELECT idx, topic, NULL AS example, CAST(0 AS INTEGER) AS pos, 'q-' || said AS question, 'a-' || said AS answer FROM round1 UNION ALL
+  SELECT idx, topic, example, 0, 'q-' || said, 'a-' || said FROM (SELECT *, substr(md5('Write about ' || topic || '. Unlike ' || example || '.'), 1, 8) AS said FROM round2)""", base.TOPICS, base.FIRST_TOPICS, TOPIC_ROWS)
 def generate_by_topic(spark, d):
-    return templates.generate_by_topic(tp.plan_topics(base.topics(spark, d), base.topics(spark, d), 500, 5).select("pos", "topic", "n"), "Write about {topic}.{% if example %} Unlike {example}.{% endif %}", QA, offline_model)
+    plan = tp.first_topics(base.topics(spark, d)).filter("n is not null")
+    return templates.generate_by_topic(plan, "Write about {topic}.{% if example %} Unlike {example}.{% endif %}", QA, offline.echo)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Documents -> chunks -> prompts -> offline model -> parsed replies -> hooks -> run summary."""
     docs = load(spark, d, "documents").select("doc_id", "text", "source")
-    answers = templates.document_qa(docs, offline_model)
+    answers = templates.document_qa(docs, offline.model)
     rows = answers.join(load(spark, d, "labels"), "doc_id", "left").join(docs.select("doc_id", "source"), "doc_id")
     order = F.col("doc_id") * 10_000 + F.col("chunk")
     marked = at.mark_duplicates(rows.withColumn("idx", order), ["question"]).withColumn("status", F.lit("completed"))
@@ -613,97 +678,91 @@ def curate_documents(spark, d):
 # Files and snapshots
 
 
-@query(f"SELECT page_id, CASE WHEN regexp_matches(path, 'youtube\\.com|youtu\\.be') THEN 'youtube_' || regexp_extract(path, '(?:[?&]v=|youtu\\.be/)([^&?#/]+)', 1) WHEN regexp_matches(path, '^https?://') THEN replace(regexp_extract(path, '^https?://([^/?#]*)', 1), '.', '_') ELSE regexp_extract(path, '([^/.]+)\\.[^./]*$', 1) END || '.txt' AS name, page_id AS text FROM (SELECT page_id, {PATH} AS path FROM pages)")
+@query(f"SELECT page_id, {NAME} AS name, page_id AS text FROM (SELECT page_id, {PATH} AS path FROM pages)")
 def write_documents(spark, d):
-    path = f"{shared_dir(spark)}/texts"
+    path = scratch_path(spark, "texts")
     files.write_documents(_paths(spark, d).select(text.output_name(F.col("path")).alias("name"), F.col("page_id").alias("text")), path)
     return spark.read.parquet(path).select(F.col("text").alias("page_id"), "name", "text")
 
 
 @query("SELECT o_orderkey AS idx, o_orderstatus AS status, 'orders' AS source FROM orders")
 def save_run_snapshot(spark, d):
-    path = f"{shared_dir(spark)}/snapshot"
+    path = scratch_path(spark, "snapshot")
     rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_orderstatus").alias("status"))
     ledger.save_run_snapshot(rows, {"source": "orders"}, path)
     back, config = ledger.load_run_snapshot(spark, path)
     return back.withColumn("source", F.lit(config["source"]))
 
 
-@query("SELECT c_custkey AS master_job_id, CASE WHEN o.n IS NULL THEN r.status ELSE 'completed' END AS status, o.stop AS end_time, coalesce(o.n, 0) AS completed FROM (SELECT master_job_id AS c_custkey, status FROM runs) r LEFT JOIN (SELECT master_job_id AS c_custkey, count(*) AS n, max(end_time) AS stop FROM tasks WHERE status = 'completed' GROUP BY 1) o USING (c_custkey)", base.RUNS, base.TASKS)
+@query("SELECT c_custkey AS master_job_id, CASE WHEN o.n IS NULL THEN r.status ELSE 'completed' END AS status, o.stop AS end_time, coalesce(o.n, c_custkey % 11) AS completed FROM (SELECT master_job_id AS c_custkey, status FROM runs) r LEFT JOIN (SELECT master_job_id AS c_custkey, count(*) AS n, max(end_time) AS stop FROM tasks WHERE status = 'completed' GROUP BY 1) o USING (c_custkey)", base.RUNS, base.TASKS)
 def close_run(spark, d):
     done = at.filter_status(base.tasks(spark, d), "completed").groupBy("master_job_id").agg(F.max("end_time").alias("end_time"), F.count("*").alias("completed")).withColumn("status", F.lit("completed"))
-    open_runs = base.runs(spark, d).select("master_job_id", "status", F.lit(None).cast("timestamp_ntz").alias("end_time"))
+    open_runs = base.runs(spark, d).select("master_job_id", "status", F.lit(None).cast("timestamp_ntz").alias("end_time"), (F.col("master_job_id") % 11).alias("completed"))
     return ledger.close_rows(open_runs, done, "master_job_id", ["completed"])
 
 
 # Streams over the given tables
 
 
-def _stream(spark, d, name):
-    # A pattern, as a plain path must be a folder and a table may be one file.
-    return spark.readStream.schema(load(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
-
-
 def _worked_off(stream: DataFrame, step=lambda batch: batch) -> DataFrame:
-    root = f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    root = scratch_path(stream.sparkSession, "stream")
     streams.stream_run(stream, step, f"{root}/out", f"{root}/checkpoint")
     return stream.sparkSession.read.parquet(f"{root}/out").drop("batch")
 
 
-@query("SELECT event_id AS idx, event_type FROM events WHERE event_id % 2 = 0")
+_CITY = "'c' || (event_id % 300) || '-0"
+
+
+@query(f"""SELECT event_id AS idx, CASE WHEN {base.sql_bucket(_CITY + "'", 100)} < 10 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN {base.sql_bucket(_CITY + "'", 100)} >= 10 THEN {base.sql_bucket(_CITY + "-n'", 3)} + 1 END AS n FROM events""")
 def stream_run(spark, d):
-    return _worked_off(_stream(spark, d, "events"), lambda b: b.filter("event_id % 2 = 0").select(F.col("event_id").alias("idx"), "event_type"))
+    run = lambda batch: runs_.run_records(_cities(batch, "event_id", 300), offline.answers, "answer string", threshold=1)
+    return _worked_off(_stream(spark, d, "events"), run).select("idx", "status", F.size("output").alias("n"))
 
 
-@query("SELECT DISTINCT md5(text) AS key FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id AS idx, doc_id > min(doc_id) OVER (PARTITION BY text) AS duplicate FROM documents")
 def stream_mark_duplicates(spark, d):
-    return _worked_off(streams.stream_first_rows(_stream(spark, d, "documents").filter("text is not null").select(F.md5("text").alias("key")), ["key"]))
+    root = scratch_path(spark, "stream")
+    rows = _stream(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.md5("text").alias("key"))
+    streams.stream_mark_duplicates(rows, ["key"], f"{root}/out", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out").select("idx", "duplicate")
 
 
-@query("SELECT source AS topic, count(*) AS n, CAST(least(count(*) - 1, 100) AS INTEGER) AS longest FROM documents GROUP BY source")
+@query("SELECT source AS topic, count(*) AS n, count(*) - 1 AS longest, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS looked_back, bit_xor(doc_id) AS ids FROM documents GROUP BY source")
 def stream_topic_memory(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = _stream(spark, d, "documents").select(F.col("source").alias("topic"), F.col("doc_id").alias("idx"), F.col("lang").alias("value"))
-    return _worked_off(streams.stream_topic_memory(rows)).groupBy("topic").agg(F.count("*").alias("n"), F.max(F.size("history")).alias("longest"))
+    with streams.rocks_db(spark):
+        got = _worked_off(streams.stream_topic_memory(rows))
+    return got.groupBy("topic").agg(F.count("*").alias("n"), F.max("earlier").alias("longest"), F.sum("earlier").alias("looked_back"), F.bit_xor("idx").alias("ids"))
 
 
 # Composite jobs with a scripted model
 
 
-def scripted_model(asked: list[str]) -> list[str]:
-    """Answers each kind of prompt of the composite jobs; some calls and solutions are wrong at first."""
-    starts = (
-        ("Name ", lambda p: '[{"subtopic": "s1"}, {"subtopic": "s2"}]'),
-        ("Round 1", lambda p: '[{"query": "q", "answer": [{"name": "get_weather", "arguments": {%s}}]}]' % ("" if p.endswith("s1") else '"location": "x"')),
-        ("Round 2", lambda p: '[{"query": "q2", "answer": [{"name": "get_weather", "arguments": {"location": "y"}}]}]'),
-        ("Does", lambda p: '[{"match": "Yes"}]'),
-        ("Write problems", lambda p: '[{"problem": "p1", "answer": "1", "reasoning": "r"}, {"problem": "p2", "answer": "bad", "reasoning": "r"}]'),
-        ("Rewrite", lambda p: '[{"problem": "p2", "answer": "2", "reasoning": "r"}]'),
-        ("Is the answer", lambda p: '[{"verified": "%s"}]' % ("False" if "bad" in p else "True")),
-    )
-    return [next((make(p) for start, make in starts if p.startswith(start)), "none") for p in asked]
-
-
 def _brands(spark, d):
     return load(spark, d, "part").select(F.col("p_brand").alias("topic")).distinct()
 
 
 BRANDS = "brands AS (SELECT DISTINCT p_brand AS topic FROM part)"
+SUBTOPICS = "subs AS (SELECT topic, topic || ' ' || part || '-' || unnest(range(0, CASE part WHEN 0 THEN 5 ELSE 2 END)) AS subtopic FROM brands, (SELECT unnest([0, 1]) AS part))"
 
 
-@query("SELECT topic, unnest(['s1', 's2']) AS subtopic FROM brands", BRANDS)
+@query("SELECT topic, subtopic FROM subs", BRANDS, SUBTOPICS)
 def subtopics(spark, d):
-    return templates.subtopics(_brands(spark, d), 7, scripted_model)
+    return templates.subtopics(_brands(spark, d), 7, offline.scripted)
+
+
+# The calls about one subtopic in three lack their parameter at first and are mended, knowing why.
+CALLS = f"""calls AS (SELECT topic, subtopic, 0 AS pos, 'where is ' || subtopic AS query, true AS ok, '[{{"arguments":{{"location":"' || CASE WHEN {base.sql_bucket("subtopic", 3)} = 0 THEN 'mended ' ELSE '' END || subtopic || '"}},"name":"get_weather"}}]' AS answer FROM subs)"""
 
 
-@query("SELECT topic, 's1' AS subtopic, 'q2' AS query, true AS ok FROM brands UNION ALL SELECT topic, 's2', 'q', true FROM brands", BRANDS)
+@query("SELECT topic, subtopic, query, ok, answer FROM (SELECT *, subtopic || '-' || pos || '-' || query AS key FROM calls) ORDER BY md5(key || '-0'), key LIMIT 100", BRANDS, SUBTOPICS, CALLS)
 def function_call_dataset(spark, d):
-    return templates.function_call_dataset(_brands(spark, d), CONTRACT, scripted_model, 10_000).select("topic", "subtopic", "query", "ok")
+    return templates.function_call_dataset(_brands(spark, d), CONTRACT, offline.scripted, 100, 7).select("topic", "subtopic", "query", "ok", "answer")
 
 
-@query("SELECT topic, unnest(['p1', 'p2']) AS problem, unnest(['1', '2']) AS answer FROM brands", BRANDS)
+@query(f"""SELECT topic, problem, CASE WHEN bad THEN 'mended' ELSE 'good ' || i END AS answer FROM (SELECT topic, i, topic || '/' || i AS problem, {base.sql_bucket("topic || '/' || i", 2)} = 1 AS bad FROM brands, (SELECT unnest([0, 1]) AS i)) WHERE NOT bad OR {base.sql_bucket("problem || '-again'", 4)} <> 0""", BRANDS)
 def verified_reasoning(spark, d):
-    return templates.verified_reasoning(_brands(spark, d), scripted_model).select("topic", "problem", "answer")
+    return templates.verified_reasoning(_brands(spark, d), offline.scripted).select("topic", "problem", "answer")
 
 
 # Round trips through files
@@ -711,14 +770,14 @@ def verified_reasoning(spark, d):
 
 @query("SELECT record_uid, status FROM records WHERE starts_with(record_uid, '101') AND length(record_uid) >= 4", base.RECORDS)
 def read_records(spark, d):
-    path = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "records")
     ledger.write_records(base.records(spark, d), path)
     return ledger.read_records(spark, path, "101").select("record_uid", "status")
 
 
 @query("SELECT c_custkey AS idx, c_mktsegment AS segment, CAST(c_custkey % 5 = 0 AS INTEGER) AS target FROM customer")
 def load_run_snapshot(spark, d):
-    path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "snapshot")
     ledger.save_run_snapshot(load(spark, d, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_mktsegment").alias("segment")), {"every": 5}, path)
     back, config = ledger.load_run_snapshot(spark, path)
     return back.withColumn("target", (F.col("idx") % config["every"] == 0).cast("int"))
@@ -726,18 +785,20 @@ def load_run_snapshot(spark, d):
 
 @query("SELECT run_id, CAST(100 + count(*) FILTER (status = 'failed') AS BIGINT) AS failed FROM attempts GROUP BY run_id", A)
 def initial_state(spark, d):
-    return base.attempts(spark, d).groupBy("run_id").agg((F.count_if(F.col("status") == "failed") + 100).alias("failed"))
+    begun = runs_.initial_state(base.attempts(spark, d), {"failed": 100})
+    return begun.groupBy("run_id").agg((F.max("state.failed") + F.count_if(F.col("status") == "failed")).alias("failed"))
 
 
 @query("SELECT page_id % 50 AS part, string_agg(url, chr(10) ORDER BY url) || chr(10) AS text FROM pages GROUP BY 1")
 def read_text_files(spark, d):
-    path = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "text")
     lines = load(spark, d, "pages").select((F.col("page_id") % 50).alias("part"), "url")
     lines.repartition("part").sortWithinPartitions("part", "url").write.partitionBy("part").text(path)
     return files.read_text_files(spark, f"{path}/part=*/*.txt").select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("long").alias("part"), "text")
 
 
-@query("SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(text, '[^a-zA-Z0-9 ' || chr(10) || ']', '', 'g'), chr(10)), lambda p: trim(p) <> ''), chr(10) || chr(10)) AS text FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(text, '[' || chr(1) || '-' || chr(9) || chr(11) || '-' || chr(31) || chr(65534) || chr(65535) || ']', '', 'g'), chr(10)), lambda p: regexp_matches(p, '\\S')), chr(10) || chr(10)) AS text FROM documents WHERE text IS NOT NULL")
 def decode_office_files(spark, d):
-    plain = load(spark, d, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.regexp_replace("text", "[^a-zA-Z0-9 \n]", "").alias("text"))
-    return files.decode_office_files(plain.mapInPandas(files.as_docx, "path string, content binary")).select(F.col("path").cast("long").alias("doc_id"), "text")
+    # Control characters are no XML.
+    plain = load(spark, d, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.regexp_replace("text", "[\\x00-\\x09\\x0B-\\x1F\\uFFFE\\uFFFF]", "").alias("text"))
+    return files.decode_office_files(plain.mapInPandas(offline.as_docx, "path string, content binary")).select(F.col("path").cast("long").alias("doc_id"), "text")

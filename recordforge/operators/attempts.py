@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from recordforge.operators.inputs import rank_within
+from recordforge.sources.tables import materialise
 
 STATUSES = ("completed", "duplicate", "filtered", "failed")
 ALIASES = {"duplicated": "duplicate"}
@@ -109,10 +110,10 @@ def task_counts(records: DataFrame, task: str = "job_id") -> DataFrame:
     return records.groupBy(task).agg(*_counts())
 
 
-def error_counts(attempts: DataFrame, longest: int = 200) -> DataFrame:
-    """Failures per trimmed, lower-cased error text, cut to `longest` characters."""
+def error_counts(attempts: DataFrame) -> DataFrame:
+    """Failures per trimmed, lower-cased error text."""
     err = F.lower(F.trim(F.coalesce("err_str", F.lit("unknown error"))))
-    return filter_status(attempts, "failed").groupBy(F.substring(err, 1, longest).alias("error")).agg(F.count("*").alias("n"))
+    return filter_status(attempts, "failed").groupBy(err.alias("error")).agg(F.count("*").alias("n"))
 
 
 def success_rate(kept: DataFrame, initial: DataFrame) -> DataFrame:
@@ -166,9 +167,11 @@ def mark_duplicates(df: DataFrame, keys: Sequence[str], order: str = "idx") -> D
     of the keys and joins back, so a key of very many rows never fills a window.
     Rows that tie for first are all firsts.
     """
-    key = lambda: F.md5(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
-    firsts = df.groupBy(key().alias("_key")).agg(F.min(order).alias("_first"))
-    return df.withColumn("_key", key()).join(firsts, "_key").withColumn("duplicate", F.col(order) > F.col("_first")).drop("_key", "_first")
+    key = F.md5(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+    keyed = df.withColumn("_key", key)
+    # Written, so that both sides of the join are plain exchanges, which Spark splits where a key is hot.
+    repeated = materialise(keyed.groupBy("_key").agg(F.min(order).alias("_first"), F.max(order).alias("_last")).filter("_first < _last").drop("_last"), "repeated-keys")
+    return keyed.join(repeated, "_key", "left").withColumn("duplicate", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_key", "_first")
 
 
 def apply_hooks(df: DataFrame, duplicate: Sequence[Column] = (), filtered: Sequence[Column] = ()) -> DataFrame:

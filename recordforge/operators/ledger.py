@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 COUNTERS = ("completed", "filtered", "duplicate", "failed")
 
@@ -19,11 +19,17 @@ def upsert_ledger(base: DataFrame, changes: DataFrame, key: str, version: str) -
 
 
 def close_rows(rows: DataFrame, summary: DataFrame, key: str, counters: Sequence[str] = COUNTERS) -> DataFrame:
-    """Sets status, end_time and the counters of the rows that `summary` names; missing counters become 0."""
-    s = summary.select(key, F.col("status").alias("_status"), F.col("end_time").alias("_end"), *[F.col(c).alias(f"_{c}") for c in counters])
-    joined = rows.join(s, key, "left")
-    out = {"status": F.coalesce("_status", "status"), "end_time": F.coalesce("_end", "end_time")} | {c: F.coalesce(f"_{c}", F.lit(0)) for c in counters}
-    return joined.withColumns(out).drop("_status", "_end", *[f"_{c}" for c in counters])
+    """Sets status, end_time and the counters of the rows that `summary` names; a null counter there is 0.
+
+    All other rows stay as they are; counters that `rows` does not have start at 0.
+    """
+    s = summary.select(F.col(key).alias("_named"), F.col("status").alias("_status"), F.col("end_time").alias("_end"), *[F.col(c).alias(f"_{c}") for c in counters])
+    joined = rows.join(s, F.col(key) == F.col("_named"), "left")
+    named = F.col("_named").isNotNull()
+    old = {c: F.col(c) if c in rows.columns else F.lit(0) for c in counters}
+    out = {"status": F.when(named, F.coalesce("_status", "status")).otherwise(F.col("status")), "end_time": F.when(named, F.coalesce("_end", "end_time")).otherwise(F.col("end_time"))}
+    out |= {c: F.when(named, F.coalesce(f"_{c}", F.lit(0))).otherwise(old[c]) for c in counters}
+    return joined.withColumns(out).drop("_named", "_status", "_end", *[f"_{c}" for c in counters])
 
 
 def count_by_status(records: DataFrame, run: Column, statuses: Sequence[str] | None = None) -> DataFrame:
@@ -78,11 +84,16 @@ def done_inputs(inputs: DataFrame, tasks: DataFrame, run: Column) -> DataFrame:
 
 
 def restore_outputs(inputs: DataFrame, tasks: DataFrame, records: DataFrame, payload: DataFrame, run: Column) -> DataFrame:
-    """(idx, output): payloads of the completed tasks, in the order of their record ids."""
-    done = tasks.filter(run & (F.col("status") == "completed")).select("run_config_hash", "job_id")
-    found = inputs.select("idx", "run_config_hash").join(done, "run_config_hash").join(records.select("job_id", "record_uid"), "job_id").join(payload, "record_uid")
-    rows = found.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("record_uid", "payload"))).alias("_rows"))
-    return rows.select("idx", F.col("_rows.payload").alias("output"))
+    """(idx, output): payloads of the completed tasks, in the order of their record ids.
+
+    A task without records has an empty output. Of several completed tasks of
+    one configuration the one with the smallest id counts, so none comes twice.
+    """
+    done = tasks.filter(run & (F.col("status") == "completed")).groupBy("run_config_hash").agg(F.min("job_id").alias("job_id"))
+    stored = records.select("job_id", "record_uid").join(payload, "record_uid").groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("record_uid", "payload"))).alias("_rows"))
+    found = inputs.select("idx", "run_config_hash").join(done, "run_config_hash").join(stored, "job_id", "left")
+    empty = F.array().cast(T.ArrayType(payload.schema["payload"].dataType))
+    return found.select("idx", F.coalesce(F.col("_rows.payload"), empty).alias("output"))
 
 
 def task_durations(tasks: DataFrame) -> DataFrame:

@@ -1,77 +1,209 @@
-"""Running a generator over records: attempts, retries, dead letters, resume.
+"""Running a generator over records: attempts, hooks, retries, dead letters, resume.
 
 `fn` takes a list of input dicts (a batch) and returns, for each, a list of
-output dicts or an exception. It runs inside `mapInPandas`; the attempts are
-written once and read back, so that no plan calls the generator twice.
+output dicts or an exception. It runs inside `mapInPandas`; every round's
+attempts are written once and read back, so that no plan calls it twice.
 """
 
 from __future__ import annotations
 
-import hashlib
+import queue
+import threading
+import time
+import traceback
 from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor, TimeoutError as TimedOut
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from recordforge.functions.jsonx import parse_replies
+from recordforge.operators.attempts import STATUSES, mark_duplicates, stop_point
 from recordforge.operators.ledger import done_inputs, pending_inputs, restore_outputs
 from recordforge.sources.tables import materialise
 
+#: (a round's attempts, all earlier ones or None, the state) -> the attempts with their status.
+Hook = Callable[[DataFrame, DataFrame | None, dict], DataFrame]
 
-def run_records(df: DataFrame, fn: Callable[[list[dict]], list], out: T.StructType | str, retries: int = 1, threshold: int = 3, timeout: float = 60, batch_size: int = 64, run_id: str = "run", concurrency: int | None = None, keep: bool = True) -> DataFrame:
-    """Attempts (run_id, idx, attempt, seq, status, output, err_str) of every row.
 
-    An attempt calls the generator up to retries + 1 times; a timeout is not
-    retried within it. An input is tried until it completes or `threshold`
-    attempts have failed, so at most threshold * (retries + 1) calls.
+class TimedOut(Exception):
+    """A call that took longer than its deadline."""
+
+
+def in_parallel(fn: Callable[[list], list], batches: list[list], timeout: float, concurrency: int) -> list[list]:
+    """fn of every batch, up to `concurrency` at a time; exceptions stand in for results.
+
+    Each batch has a deadline of its own, from when it begins. A call that misses
+    it is left behind in its own daemon thread and takes up no place.
     """
-    out = T.StructType.fromDDL(out) if isinstance(out, str) else out
-    schema = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("idx", T.LongType()), T.StructField("attempt", T.IntegerType()), T.StructField("seq", T.LongType()), T.StructField("status", T.StringType()), T.StructField("output", T.ArrayType(out)), T.StructField("err_str", T.StringType())])
-    names = [f.name for f in out.fields]
-    rows = df.repartition(concurrency) if concurrency else df
+    out: list[list | None] = [None] * len(batches)
+    ended: queue.SimpleQueue = queue.SimpleQueue()
+    running: dict[int, float] = {}
+    waiting = list(range(len(batches)))[::-1]
 
-    def call(pool, batch: list[dict]) -> list:
+    def call(i: int) -> None:
         try:
-            return pool.submit(fn, batch).result(timeout)
-        except TimedOut:
-            return [TimedOut("timed out")] * len(batch)
-        except Exception as e:  # a batch that fails as a whole fails for each of its rows
-            return [e] * len(batch)
-
-    def attempt(pool, batch: list[dict]) -> list:
-        got = call(pool, batch)
-        for _ in range(retries):
-            again = [i for i, g in enumerate(got) if isinstance(g, Exception) and not isinstance(g, TimedOut)]
-            if not again:
-                break
-            for i, g in zip(again, call(pool, [batch[i] for i in again])):
-                got[i] = g
-        return got
+            got = fn(batches[i])
+            if len(got) != len(batches[i]):
+                raise ValueError(f"{len(got)} results for {len(batches[i])} inputs")
+            ended.put((i, list(got)))
+        except Exception as e:
+            ended.put((i, [e] * len(batches[i])))
+
+    while waiting or running:
+        while waiting and len(running) < concurrency:
+            i = waiting.pop()
+            running[i] = time.monotonic() + timeout
+            threading.Thread(target=call, args=(i,), daemon=True).start()
+        try:
+            i, got = ended.get(timeout=max(0.001, min(running.values()) - time.monotonic()))
+            if running.pop(i, None) is not None:
+                out[i] = got
+        except queue.Empty:
+            now = time.monotonic()
+            for i in [i for i, end in running.items() if end <= now]:
+                del running[i]
+                out[i] = [TimedOut("timed out")] * len(batches[i])
+    return out
+
+
+def attempt(fn: Callable[[list], list], inputs: list, retries: int, timeout: float, batch_size: int, concurrency: int) -> list:
+    """One result or exception for each input.
+
+    A batch that fails or times out as a whole says nothing about its rows: each
+    is called again alone, with a deadline of its own. Rows that fail are called
+    up to `retries` more times; a row that times out alone is not.
+    """
+    cut = lambda rows, size: [rows[lo : lo + size] for lo in range(0, len(rows), size)]
+    out: list = [None] * len(inputs)
+
+    def go(places: list[int], size: int) -> None:
+        parts = cut(places, size)
+        alone = []
+        for part, got in zip(parts, in_parallel(fn, [[inputs[i] for i in p] for p in parts], timeout, concurrency)):
+            if len(part) > 1 and all(isinstance(g, Exception) and g is got[0] for g in got):
+                alone += part
+            else:
+                for i, g in zip(part, got):
+                    out[i] = g
+        if alone:
+            go(alone, 1)
+
+    go(list(range(len(inputs))), batch_size)
+    for _ in range(retries):
+        again = [i for i, g in enumerate(out) if isinstance(g, Exception) and not isinstance(g, TimedOut)]
+        if not again:
+            break
+        go(again, batch_size)
+    return out
+
+
+def _round(pending: DataFrame, fn, out: T.StructType, run_id: str, threshold: int, retries: int, timeout: float, batch_size: int, concurrency: int) -> DataFrame:
+    """One attempt of every row of `pending` (idx, attempt, _input)."""
+    fields = "run_id string, idx long, attempt int, seq long, status string"
+    schema = T.StructType([*T.StructType.fromDDL(fields).fields, T.StructField("output", T.ArrayType(out)), *T.StructType.fromDDL("err_str string, err_trace array<string>").fields, pending.schema["_input"]])
+    names = [f.name for f in out.fields]
 
     def run(frames):
-        pool = ThreadPoolExecutor(4)
         for frame in frames:
-            for lo in range(0, len(frame), batch_size):
-                part = frame.iloc[lo : lo + batch_size]
-                ids = part["idx"].tolist()
-                inputs = part.drop(columns="idx").to_dict("records")
-                todo, found = list(range(len(ids))), []
-                for k in range(1, threshold + 1):
-                    got = attempt(pool, [inputs[i] for i in todo])
-                    left = []
-                    for i, g in zip(todo, got):
-                        bad = isinstance(g, Exception)
-                        found.append((run_id, ids[i], k, ids[i] * threshold + k - 1, "failed" if bad else "completed", None if bad else [{n: x.get(n) for n in names} for x in g], str(g) if bad else None))
-                        if bad:
-                            left.append(i)
-                    todo = left
-                    if not todo:
-                        break
-                yield pd.DataFrame(found, columns=[f.name for f in schema.fields])
-
-    attempts = rows.mapInPandas(run, schema)
-    return materialise(attempts, "attempts") if keep else attempts
+            raw = frame["_input"].tolist()
+            inputs = [x if isinstance(x, dict) else x.asDict() for x in raw]
+            rows = []
+            for idx, k, given, got in zip(frame["idx"].tolist(), frame["attempt"].tolist(), raw, attempt(fn, inputs, retries, timeout, batch_size, concurrency)):
+                if isinstance(got, Exception):
+                    trace = [line for part in traceback.format_exception(got) for line in part.splitlines()]
+                    rows.append((run_id, idx, k, idx * threshold + k - 1, "failed", None, str(got), trace, given))
+                else:
+                    rows.append((run_id, idx, k, idx * threshold + k - 1, "completed", [{n: x.get(n) for n in names} for x in got], None, None, given))
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return pending.mapInPandas(run, schema)
+
+
+def run_records(
+    df: DataFrame, fn: Callable[[list[dict]], list], out: T.StructType | str, retries: int = 1, threshold: int = 3, timeout: float = 60, batch_size: int = 64, run_id: str = "run", concurrency: int = 10,
+    hooks: Sequence[Hook] = (), state: dict | None = None, updates: dict[str, Column] | None = None, retry_statuses: Sequence[str] = STATUSES[1:], target: int = 0, stop_after: int = 0, wave: int = 0,
+) -> DataFrame:
+    """Attempts (run_id, idx, attempt, seq, status, output, err_str, err_trace) of the rows of `df`.
+
+    Rounds. A round makes one attempt for every pending input: up to retries + 1
+    calls, of which `concurrency` batches run at a time in a partition. Then each
+    hook may call completed attempts duplicate or filtered; what one called
+    failed or duplicate, no later one changes, and duplicate beats filtered.
+    Inputs whose status is in `retry_statuses`
+    are tried again in the next round, `threshold` attempts at the most; what
+    has then not completed is a dead letter.
+
+    State. A dict of start values that hooks read; after each round the
+    aggregates `updates` of its attempts are added. `run_state` of the result
+    gives the last one.
+
+    Stopping. With a `target`, or with `stop_after` n, inputs are worked off in
+    waves of `wave` (or the target) in the order of idx. No wave begins once the
+    target of completed inputs is reached, or once n attempts in a row of all
+    so far have not completed.
+    """
+    out = T.StructType.fromDDL(out) if isinstance(out, str) else out
+    inputs = df.select(F.col("idx").cast("long").alias("idx"), F.struct(*[c for c in df.columns if c != "idx"]).alias("_input"))
+    state, done = dict(state or {}), None
+    for part in _waves(inputs, wave or target) if target or stop_after else [inputs]:
+        pending = part.select("idx", F.lit(1).alias("attempt"), "_input")
+        for k in range(1, threshold + 1):
+            raw = materialise(_round(pending, fn, out, run_id, threshold, retries, timeout, batch_size, concurrency), "calls")
+            judged = raw
+            for hook in hooks:
+                got = hook(judged.withColumn("_before", F.col("status")), done, state)
+                status = F.when(F.col("_before").isin("failed", "duplicate") | (F.col("status") == "duplicate"), F.when(F.col("_before") == "failed", "failed").otherwise("duplicate"))
+                judged = got.withColumn("status", status.when(F.col("_before") == "filtered", "filtered").otherwise(F.col("status"))).drop("_before")
+            if hooks:
+                judged = materialise(judged.select(raw.columns), "attempts")
+            done = judged if done is None else done.unionByName(judged)
+            if updates:
+                row = judged.agg(*[c.alias(n) for n, c in updates.items()]).first()
+                state |= {n: state.get(n, 0) + (row[n] or 0) for n in updates}
+            again = judged.filter(F.col("status").isin(*retry_statuses))
+            if k == threshold or again.isEmpty():
+                break
+            pending = again.select("idx", F.lit(k + 1).alias("attempt"), "_input")
+        if target and done.filter("status = 'completed'").select("idx").distinct().count() >= target:
+            break
+        if stop_after and not stop_point(done, stop_after).isEmpty():
+            break
+    result = done.drop("_input")
+    result.run_state = state
+    return result
+
+
+def _waves(inputs: DataFrame, size: int):
+    """The inputs in ranges of idx that hold about `size` rows each."""
+    if size < 1:
+        raise ValueError("a run that may stop needs a target or the size of a wave")
+    first, last, n = inputs.agg(F.min("idx"), F.max("idx"), F.count("*")).first()
+    if not n:
+        yield inputs
+        return
+    span = max(1, (last - first + 1) * size // n)
+    for lo in range(first, last + 1, span):
+        yield inputs.filter(F.col("idx").between(lo, lo + span - 1))
+
+
+def seen_before(value: Column) -> Hook:
+    """A hook: duplicate if an earlier completed attempt, or one of the same round with a smaller idx, has the same value."""
+
+    def hook(rows: DataFrame, earlier: DataFrame | None, state: dict) -> DataFrame:
+        fresh = rows.withColumn("_value", F.when(F.col("status") == "completed", value))
+        told = mark_duplicates(fresh.filter("_value is not null"), ["_value"])
+        if earlier is not None:
+            known = earlier.filter("status = 'completed'").select(value.alias("_known")).filter("_known is not null").distinct()
+            told = told.join(known, F.col("_value") == F.col("_known"), "left").withColumn("duplicate", F.col("duplicate") | F.col("_known").isNotNull())
+        told = told.withColumn("status", F.when(F.col("duplicate"), "duplicate").otherwise(F.col("status")))
+        return told.select(rows.columns).unionByName(fresh.filter("_value is null").select(rows.columns))
+
+    return hook
+
+
+def drop_if(condition: Column) -> Hook:
+    """A hook: filtered where the condition holds."""
+    return lambda rows, earlier, state: rows.withColumn("status", F.when(F.coalesce(condition, F.lit(False)), "filtered").otherwise(F.col("status")))
 
 
 def require_output(attempts: DataFrame) -> DataFrame:
@@ -81,22 +213,28 @@ def require_output(attempts: DataFrame) -> DataFrame:
     return attempts
 
 
-def ask_model(df: DataFrame, prompt: str, fields: Sequence[dict], model: Callable[[list[str]], list[str]], wrapper: str | None = None, batch_size: int = 64, concurrency: int | None = None) -> DataFrame:
-    """Adds reply, data, parse_status and parse_error; rows with a null prompt get no reply."""
-    schema = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType())])
-    rows = df.repartition(concurrency) if concurrency else df
+def ask_model(df: DataFrame, prompt: str, fields: Sequence[dict], model: Callable[[list[str]], list[str]], wrapper: str | None = None, retries: int = 1, timeout: float = 60, batch_size: int = 64, concurrency: int = 10) -> DataFrame:
+    """Adds reply, data, parse_status and parse_error; rows with a null prompt get no reply.
+
+    A call that raises, times out or gives too few replies is a failed row with
+    that error, after `retries` more calls.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("reply", T.StringType()), T.StructField("_error", T.StringType())])
 
     def ask(frames):
         for frame in frames:
             replies: list = [None] * len(frame)
+            errors: list = [None] * len(frame)
             asked = [i for i, p in enumerate(frame[prompt]) if isinstance(p, str)]
-            for lo in range(0, len(asked), batch_size):
-                part = asked[lo : lo + batch_size]
-                for i, r in zip(part, model([frame[prompt].iloc[i] for i in part])):
+            for i, r in zip(asked, attempt(model, [frame[prompt].iloc[i] for i in asked], retries, timeout, batch_size, concurrency)):
+                if isinstance(r, Exception):
+                    errors[i] = f"model: {r}"
+                else:
                     replies[i] = r
-            yield frame.assign(reply=replies)
+            yield frame.assign(reply=replies, _error=errors)
 
-    return parse_replies(materialise(rows.mapInPandas(ask, schema), "replies"), "reply", fields, wrapper)
+    parsed = parse_replies(materialise(df.mapInPandas(ask, schema), "replies"), "reply", fields, wrapper)
+    return parsed.withColumn("parse_error", F.coalesce("_error", "parse_error")).drop("_error")
 
 
 def chain(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -106,6 +244,11 @@ def chain(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return df
 
 
+def initial_state(df: DataFrame, values: dict) -> DataFrame:
+    """The start values of a run's state beside every row, as one struct `state`."""
+    return df.withColumn("state", F.struct(*[F.lit(v).alias(k) for k, v in values.items()]))
+
+
 def fold_state(df: DataFrame, updates: dict[str, Column], start: dict | None = None) -> DataFrame:
     """One row of state: aggregates of a round's rows, added to the start values."""
     state = df.agg(*[c.alias(k) for k, c in updates.items()])
@@ -115,22 +258,19 @@ def fold_state(df: DataFrame, updates: dict[str, Column], start: dict | None = N
 def resume_run(inputs: DataFrame, tasks: DataFrame, records: DataFrame, payload: DataFrame, run: Column, again: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(idx, output, restored): stored outputs of completed inputs, new ones of all others.
 
-    `again` maps the pending inputs to (idx, output).
+    `again` maps the pending inputs to (idx, output); dead letters are tried again.
     """
     old = restore_outputs(done_inputs(inputs, tasks, run), tasks, records, payload, run).withColumn("restored", F.lit(True))
     new = again(pending_inputs(inputs, tasks, run)).select("idx", "output").withColumn("restored", F.lit(False))
     return old.unionByName(new)
 
 
-def bucket(key: str, parts: int) -> int:
-    """A repeatable number from 0 to parts - 1: the first four hex digits of the md5."""
-    return int(hashlib.md5(key.encode()).hexdigest()[:4], 16) % parts
+#: What a resumed run may change of its stored configuration.
+OVERRIDES = ("target", "concurrency", "timeout", "retries", "threshold", "batch_size", "stop_after", "wave")
 
 
-def offline_answers(rows: list[dict], key: str = "city", failures: int = 10, seed: int = 0) -> list:
-    """A generator for tests: 1 to 3 answers for each row, or a failure, by hash."""
-    out: list = []
-    for r in rows:
-        k = f"{r[key]}-{seed}"
-        out.append(RuntimeError("offline failure") if bucket(k, 100) < failures else [{"answer": f"{r[key]}_{i}"} for i in range(1, bucket(f"{k}-n", 3) + 2)])
-    return out
+def with_overrides(config: dict, **overrides) -> dict:
+    """A stored configuration with the values that a resumed run changes; nulls change nothing."""
+    if unknown := set(overrides) - set(OVERRIDES):
+        raise ValueError(f"cannot override {sorted(unknown)}; use {OVERRIDES}")
+    return config | {k: v for k, v in overrides.items() if v is not None}

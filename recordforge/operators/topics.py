@@ -1,14 +1,20 @@
 """Planning: how many records of which topic.
 
 A topics table has `pos, topic, n`: n is null for a topic given as text only.
-Plans are small tables; windows over all their rows are meant.
+Ranks are made in slices of `WIDTH` positions, so no task orders a whole table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from recordforge.operators.inputs import rank_within
+from recordforge.operators.inputs import global_rank, rank_within
+
+WIDTH = 100_000
+
+
+def _ranked(topics: DataFrame) -> DataFrame:
+    return global_rank(topics, F.floor(F.col("pos") / WIDTH), [F.col("pos")], "_rn")
 
 
 def first_topics(topics: DataFrame) -> DataFrame:
@@ -20,15 +26,15 @@ def first_topics(topics: DataFrame) -> DataFrame:
 def spread_evenly(topics: DataFrame, total: int) -> DataFrame:
     """n = total // k, one more for the first total % k topics; topics with 0 are dropped."""
     k = topics.agg(F.count("*").alias("_k"))
-    ranked = topics.withColumn("_rn", F.row_number().over(Window.orderBy("pos"))).crossJoin(F.broadcast(k))
+    ranked = _ranked(topics).crossJoin(F.broadcast(k))
     n = F.floor(F.lit(total) / F.col("_k")) + F.when(F.col("_rn") <= F.lit(total) % F.col("_k"), 1).otherwise(0)
     return ranked.withColumn("n", n.cast("long")).filter("n > 0").drop("_rn", "_k")
 
 
 def fill_topics(topics: DataFrame, remaining: int, per_topic: int) -> DataFrame:
     """Each topic in turn takes `per_topic` until nothing remains; topics with 0 are dropped."""
-    rn = F.row_number().over(Window.orderBy("pos"))
-    return topics.withColumn("n", F.greatest(F.lit(0), F.least(F.lit(per_topic), F.lit(remaining) - F.lit(per_topic) * (rn - 1))).cast("long")).filter("n > 0")
+    n = F.greatest(F.lit(0), F.least(F.lit(per_topic), F.lit(remaining) - F.lit(per_topic) * (F.col("_rn") - 1)))
+    return _ranked(topics).withColumn("n", n.cast("long")).filter("n > 0").drop("_rn")
 
 
 def new_topics(generated: DataFrame, known: DataFrame) -> DataFrame:
@@ -78,15 +84,22 @@ def plan_topics(topics: DataFrame, generated: DataFrame, total: int | None, per_
     return plan
 
 
-def exclude_text(topics: DataFrame, group: list[str] | None = None) -> DataFrame:
-    """Known topics in order, joined by commas."""
-    listed = F.array_sort(F.collect_list(F.struct("pos", "topic")))
-    return topics.groupBy(*(group or [])).agg(listed.alias("_l")).select(*(group or []), F.array_join("_l.topic", ",").alias("exclude"))
+def _in_slices(rows: DataFrame, keys: list[str], order: str, value: str, size: int) -> DataFrame:
+    """(keys, slice, values): the values of each key in order, `size` of them a row."""
+    ranked = rank_within(rows, keys, F.floor(F.col(order) / WIDTH), [F.col(order), F.col(value)], "_rank")
+    part = F.floor((F.col("_rank") - 1) / size).cast("long").alias("slice")
+    listed = F.array_sort(F.collect_list(F.struct("_rank", F.col(value).alias("value"))))
+    return ranked.groupBy(*keys, part).agg(listed.alias("_l")).select(*keys, "slice", F.col("_l.value").alias("values"))
+
+
+def exclude_text(topics: DataFrame, group: list[str] | None = None, size: int = WIDTH) -> DataFrame:
+    """(group, slice, exclude): known topics in order, joined by commas; one row for each `size` of them."""
+    return _in_slices(topics, group or [], "pos", "topic", size).select(*(group or []), "slice", F.array_join("values", ",").alias("exclude"))
 
 
-def topic_history(rows: DataFrame) -> DataFrame:
-    """All values of a topic as a list in the order of idx."""
-    return rows.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_l")).select("topic", F.col("_l.value").alias("history"))
+def topic_history(rows: DataFrame, size: int = WIDTH) -> DataFrame:
+    """(topic, slice, history): all values of a topic in the order of idx; one row for each `size` of them."""
+    return _in_slices(rows, ["topic"], "idx", "value", size).withColumnRenamed("values", "history")
 
 
 def earlier_example(rows: DataFrame, seed: int = 0, width: int = 100_000) -> DataFrame:

@@ -6,10 +6,9 @@ import io
 import re
 import zipfile
 from xml.etree import ElementTree
-from xml.sax.saxutils import escape
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from recordforge.functions.text import html_meta, html_to_text
 
@@ -33,7 +32,9 @@ def _texts(root, name: str) -> str:
 
 
 def _docx(z: zipfile.ZipFile) -> str:
-    body = ElementTree.fromstring(z.read("word/document.xml"))[0]
+    body = next(iter(ElementTree.fromstring(z.read("word/document.xml"))), ())
+    if not len(body):
+        return ""
     paragraphs = [_texts(p, "t") for p in body if _tag(p) == "p"]
     cells = [_texts(c, "t") for c in body.iter() if _tag(c) == "tc"]
     return "\n\n".join(x for x in [*paragraphs, *cells] if x.strip())
@@ -52,7 +53,8 @@ def _xlsx(z: zipfile.ZipFile) -> str:
             for c in row:
                 value = _texts(c, "v") or _texts(c, "t")
                 if value:
-                    cells.append(shared[int(value)] if c.get("t") == "s" else value)
+                    is_shared = c.get("t") == "s"
+                    cells.append(shared[int(value)] if is_shared and value.isdecimal() and int(value) < len(shared) else "" if is_shared else value)
             if cells:
                 out.append("\t".join(cells))
     return "\n".join(out)
@@ -72,38 +74,28 @@ OFFICE = (("word/document.xml", _docx), ("xl/workbook.xml", _xlsx), ("ppt/presen
 
 
 def office_text(content: bytes | None) -> str | None:
-    """Text of a docx, xlsx or pptx file; null for anything else."""
+    """Text of a docx, xlsx or pptx file; null for anything else, broken and encrypted archives too."""
     try:
         with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
             names = set(z.namelist())
             return next((read(z) for part, read in OFFICE if part in names), None)
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError):
+    except Exception:  # whatever is wrong with one file must not end the job
         return None
 
 
-def decode_office_files(df: DataFrame, content: str = "content", key: str = "path") -> DataFrame:
-    """(key, text) of files read as bytes."""
+def decode_office_files(df: DataFrame, content: str = "content", text: str = "text") -> DataFrame:
+    """All columns but the files' bytes, and their text. One file is decoded at a time."""
+    kept = [c for c in df.columns if c not in (content, text)]
+    rows = df.select(*kept, content)
 
-    def run(frames):
-        for frame in frames:
-            yield pd.DataFrame({key: frame[key], "text": frame[content].map(office_text)})
+    def run(batches):
+        for batch in batches:
+            texts = pa.array((office_text(x.as_py()) for x in batch.column(len(kept))), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*kept, text])
 
-    return df.select(key, content).mapInPandas(run, f"{key} string, text string")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], T.StructField(text, T.StringType())]))
 
 
 def write_documents(df: DataFrame, path: str, files: int = 8) -> None:
     """Extracted texts beside their output names, in a few large files."""
     df.select("name", "text").repartition(files).write.mode("overwrite").parquet(path)
-
-
-def as_docx(frames):
-    """(path, text) as (path, content): minimal docx files, a paragraph for each line."""
-    for frame in frames:
-        content = []
-        for text in frame["text"]:
-            body = "".join(f"<w:p><w:r><w:t>{escape(line)}</w:t></w:r></w:p>" for line in text.split("\n"))
-            out = io.BytesIO()
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr("word/document.xml", f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>')
-            content.append(out.getvalue())
-        yield pd.DataFrame({"path": frame["path"], "content": content})

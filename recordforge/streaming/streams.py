@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+
+from recordforge.operators.attempts import mark_duplicates
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def stream_run(source: DataFrame, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> None:
@@ -24,41 +28,80 @@ def stream_run(source: DataFrame, step: Callable[[DataFrame], DataFrame], out: s
 
 
 class TopicMemory(StatefulProcessor):
-    """Keeps the last `most` values of each topic; gives each row the values before it."""
-
-    def __init__(self, most: int) -> None:
-        self.most = most
+    """Counts the values of each topic; tells each row how many came before it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.values = handle.getListState("values", StructType([StructField("value", StringType())]))
+        self.seen = handle.getValueState("seen", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = [v[0] for v in self.values.get()]
+        n = self.seen.get()[0] if self.seen.exists() else 0
         for frame in rows:
-            frame = frame.sort_values("idx")
-            before = []
-            for value in frame["value"]:
-                before.append(list(held))
-                held = [*held, value][-self.most :]
-            yield pd.DataFrame({"topic": key[0], "idx": frame["idx"], "value": frame["value"], "history": before})
-        self.values.put([(v,) for v in held])
+            yield pd.DataFrame({"topic": key[0], "idx": frame["idx"], "value": frame["value"], "earlier": range(n, n + len(frame))})
+            n += len(frame)
+        self.seen.update((n,))
 
     def close(self) -> None:
         pass
 
 
-def stream_topic_memory(source: DataFrame, most: int = 100) -> DataFrame:
-    """topic, idx, value and the values that the topic had before."""
-    return source.select("topic", "idx", "value").groupBy("topic").transformWithStateInPandas(TopicMemory(most), "topic string, idx long, value string, history array<string>", "Append", "None")
+@contextlib.contextmanager
+def rocks_db(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed processors need, for streams that are started within."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+
+
+def stream_topic_memory(source: DataFrame) -> DataFrame:
+    """topic, idx, value and earlier: how many values of the topic had arrived before.
+
+    The state is one number for each topic, whatever its length. All values that
+    a row may look back on are the rows of its topic with a smaller `earlier`.
+    Start the query within `rocks_db`.
+    """
+    return source.select("topic", "idx", "value").groupBy("topic").transformWithStateInPandas(TopicMemory(), "topic string, idx long, value string, earlier long", "Append", "None")
 
 
 def stream_first_rows(source: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The first row of each key ever seen; all others are duplicates."""
+    """The first row of each key ever seen; duplicates are left out."""
     return source.dropDuplicates(list(keys))
 
 
+def stream_mark_duplicates(source: DataFrame, keys: Sequence[str], out: str, checkpoint: str, order: str = "idx") -> None:
+    """Writes every row with `duplicate`: the same keys came in an earlier batch, or in this one with a smaller `order`.
+
+    What was written before is the state; a batch that is tried again reads only
+    the batches before it.
+    """
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        marked = mark_duplicates(batch, keys, order)
+        if batch_id:
+            before = spark.read.parquet(out).filter((F.col("batch") < batch_id) & ~F.col("duplicate")).select(*[F.col(k).alias(f"_{k}") for k in keys], F.lit(True).alias("_seen")).distinct()
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+            marked = marked.join(before, same, "left").withColumn("duplicate", F.col("duplicate") | F.coalesce("_seen", F.lit(False))).drop("_seen", *[f"_{k}" for k in keys])
+        marked.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def progress(attempts: DataFrame, width: str = "3 seconds", time: str = "ts", status: str = "status", late: str | None = None) -> DataFrame:
     """Counts per window and status; the same for batch and stream (with a watermark `late`)."""
     rows = attempts.withWatermark(time, late) if late else attempts
     window: Column = F.window(time, width)
     return rows.groupBy(window.alias("_w"), status).agg(F.count("*").alias("n")).select(F.col("_w.start").alias("window_start"), status, "n")
+
+
+def stream_progress(source: DataFrame, out: str, checkpoint: str, **how) -> None:
+    """Keeps the counts of `progress` up to date: `out` holds those of all that has arrived."""
+
+    def one(counts: DataFrame, batch_id: int) -> None:
+        counts.write.mode("overwrite").parquet(out)
+
+    progress(source, **how).writeStream.outputMode("complete").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

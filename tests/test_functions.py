@@ -1,5 +1,7 @@
 import io
 import json
+import random
+import time
 import zipfile
 
 import pytest
@@ -7,43 +9,32 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F, types as T
 
 from recordforge.functions import jsonx, prompts, text
-from recordforge.sources.files import office_text, read_text_files
+from recordforge.sources.files import decode_office_files, office_text, read_text_files
 
 
-def test_paragraphs_short_text_has_no_chunk():
-    assert text.paragraph_chunks("short") == []
-    assert text.paragraph_chunks(None) == []
+def chunks_of(spark, *texts, **how):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return [r.c for r in df.select("i", text.split_paragraphs(F.col("t"), **how).alias("c")).orderBy("i").collect()]
 
 
-def test_paragraphs_one_long_is_never_cut():
-    assert text.paragraph_chunks("a" * 1000) == ["a" * 1000]
-
-
-def test_paragraphs_over_the_limit_overlap_by_sentences():
+def test_paragraphs(spark):
+    assert chunks_of(spark, "short", None, "", "a" * 1000) == [[], [], [], ["a" * 1000]]
     a, b = "One sentence here. " * 15 + "Last one.", "b" * 200
-    chunks = text.paragraph_chunks(f"{a}\n\n\n{b}", 300, 20, 100)
-    assert chunks[0] == a and chunks[1] == f"Last one.\n\n{b}"
-
-
-def test_paragraphs_empty_overlap_starts_with_blank_line():
+    assert chunks_of(spark, f"{a}\n\n\n{b}", size=300) == [[a, f"Last one.\n\n{b}"]]
     a, b = "x" * 150, "y" * 300
-    assert text.paragraph_chunks(f"{a}\n\n{b}", 200, 5, 100) == [a, f"\n\n{b}"]
-
-
-def test_paragraphs_small_chunk_goes_on_growing():
+    assert chunks_of(spark, f"{a}\n\n{b}", size=200, overlap=5) == [[a, f"\n\n{b}"]]
     a, b = "x" * 50, "y" * 390
-    assert text.paragraph_chunks(f"{a}\n\n{b}") == [f"{a}\n\n{b}"]
+    assert chunks_of(spark, f"{a}\n\n{b}") == [[f"{a}\n\n{b}"]]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("ab .", min_size=1, max_size=300), max_size=8))
-def test_paragraphs_lose_no_paragraph_but_a_short_end(parts):
-    whole = "\n\n".join(parts)
-    chunks = text.paragraph_chunks(whole)
-    held = "\n\n".join(chunks)
-    kept = [p for p in whole.strip().split("\n\n") if p.strip()]
-    missing = [p for p in kept if p not in held]
-    assert len("\n\n".join(missing)) < 100 + 2 * len(missing)
+def test_paragraphs_lose_none_but_a_short_end(spark):
+    rng = random.Random(4)
+    wholes = ["\n\n".join("".join(rng.choice("ab .") for _ in range(rng.randint(1, 300))) for _ in range(rng.randint(0, 8))) for _ in range(120)]
+    for whole, chunks in zip(wholes, chunks_of(spark, *wholes)):
+        held = "\n\n".join(chunks)
+        kept = [p for p in whole.strip().split("\n\n") if p.strip()]
+        missing = [p for p in kept if p not in held]
+        assert len("\n\n".join(missing)) < 100 + 2 * len(missing)
 
 
 def test_token_windows(spark):
@@ -55,6 +46,23 @@ def test_token_windows(spark):
 def test_page_text_drops_script_and_breaks_at_double_blanks():
     html = "<title>T</title><script>var t='</p>';</script><style>p{}</style><p> a  b </p>\n<p>&amp; c</p><!-- no -->"
     assert text.page_text(html) == "T a\nb\n& c" or text.page_text(html).replace("\n", " ") == "T a b & c"
+    assert text.page_text("<p>a<![foo[ b ]]>c<![if x]>d") and text.page_text("<![") is not None and text.page_text(None) is None
+
+
+def test_html_meta_in_any_order_and_quotes(spark):
+    pages = ["<meta content='a > b' name=Description>", '<META NAME="description" content="x"><meta name="description" content="y">', "<meta name='keywords' content='k'>", None]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, h string")
+    got = [r.d for r in df.select("i", text.html_meta(F.col("h"), F.lit("u"))["description"].alias("d")).orderBy("i").collect()]
+    assert got == ["a > b", "x", None, None]
+
+
+def test_routes(spark):
+    cases = {"https://x/a.pdf": "pdf", "https://x/watch?v=1.txt": "txt", "https://youtube.com/a.pdf": "youtube", "/d/.pdf": "unsupported", "a.b.HTML": "html", "http://x/": "html"}
+    df = spark.createDataFrame(list(cases.items()), "p string, want string")
+    assert all(r.got == r.want for r in df.select("want", text.route_documents(F.col("p")).alias("got")).collect())
+    names = {"https://youtu.be/v7?t=1": "youtube_v7?t=1.txt", "https://youtube.com/": "youtube_com.txt", "/d/.profile": ".profile.txt", "/d/a.tar.gz": "a.tar.txt"}
+    df = spark.createDataFrame(list(names.items()), "p string, want string")
+    assert all(r.got == r.want for r in df.select("want", text.output_name(F.col("p")).alias("got")).collect())
 
 
 JSON_CASES = [
@@ -63,16 +71,32 @@ JSON_CASES = [
 ]
 
 
-@pytest.mark.parametrize("reply, want", JSON_CASES)
-def test_find_json(reply, want):
-    assert jsonx.find_json(reply) == want
+BALANCED = {"x [{\"a\":1}] y": '[{"a":1}]', '{ "abc [1,2] ': "[1,2]", 'say "use {x} now': "{x}", "{ [1] {[2]}": "[1]", '{"a": ]1}': '{"a": ]1}', '{"a": "\\"}"}': '{"a": "\\"}"}', "[ { ( ": None}
+
+
+@pytest.mark.parametrize("reply", BALANCED)
+def test_balanced(reply):
+    assert jsonx.balanced(reply) == BALANCED[reply]
+
+
+def test_balanced_is_linear():
+    began = time.time()
+    for part in ("[", '{"', '{"\\" [', '{"a" '):
+        jsonx.balanced(part * 200_000)
+    assert time.time() - began < 10
 
 
-def test_extract_json_lanes_agree(spark):
+def test_extract_json(spark):
     df = spark.createDataFrame([(r,) for r, _ in JSON_CASES], "r string")
     assert [x.j for x in df.select(jsonx.extract_json(F.col("r")).alias("j")).collect()] == [w for _, w in JSON_CASES]
 
 
+def test_extract_json_loose_takes_the_leftmost(spark):
+    cases = {'x [{"a":1}] y': '[{"a":1}]', 'x {"a":[1]} y': '{"a":[1]}', " 5 ": None, ' {"a":1} ': '{"a":1}', '```json\n[1]\n```': "[1]"}
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, r string")
+    assert [r.j for r in df.select("i", jsonx.extract_json_loose(F.col("r")).alias("j")).orderBy("i").collect()] == list(cases.values())
+
+
 BROKEN = ['[{"a": "x \\le y"}]', '[{"a": "line\nbreak\tand tab"}]', '[{"a": "\\alpha\nnext"}]', '[{"a": "bell\x07"}]', '{"a": "$\\{A, B\\}$"}']
 
 
@@ -85,13 +109,14 @@ def test_mend_json_keeps_meaning():
     assert json.loads(jsonx.mend_json(BROKEN[0])) == [{"a": "x \\le y"}]
     assert json.loads(jsonx.mend_json(BROKEN[1])) == [{"a": "line\nbreak\tand tab"}]
     assert jsonx.mend_json("{not json") is None
+    assert jsonx.mend_json('{"a": NaN, "b": 1e999, "a": -Infinity}') == '{"a": null, "b": null}'
+    assert jsonx.mend_json("[" * 100_000) is None and json.loads(jsonx.mend_json('"' + "x" * 2_000_000 + '"'))
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.recursive(st.none() | st.booleans() | st.integers(-9, 9) | st.text(max_size=8), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=4), x, max_size=3), max_leaves=8))
-def test_round_trip_through_a_fence(value):
-    body = json.dumps([value])
-    assert json.loads(jsonx.mend_json(jsonx.find_json(f"Sure:\n```json\n{body}\n```"))) == [value] or "```" in body
+def test_balanced_finds_any_value(value):
+    assert json.loads(jsonx.mend_json(jsonx.balanced(f"Sure: {json.dumps([value])} ]"))) == [value]
 
 
 PERSON = [{"name": "name", "type": "str"}, {"name": "age", "type": "int"}, {"name": "address", "type": "dict", "required": False, "properties": [{"name": "city", "type": "str"}]}]
@@ -176,6 +201,16 @@ def test_office_files():
     pptx = _zip({"ppt/presentation.xml": "<p/>", "ppt/slides/slide1.xml": "<s><sp><t>Title</t></sp><sp><t>Body</t></sp></s>"})
     assert office_text(pptx) == "--- Slide 1 ---\nTitle\nBody"
     assert office_text(b"no archive") is None and office_text(None) is None
+    assert office_text(_zip({"word/document.xml": "<a/>"})) == "" and office_text(docx[:60] + b"x" * 20 + docx[80:]) is None
+    bad = _zip({"xl/workbook.xml": '<w><sheets><sheet name="S"/></sheets></w>', "xl/worksheets/sheet1.xml": '<w><sheetData><row><c t="s"><v>9</v></c><c t="s"><v>x</v></c><c><v>2</v></c></row></sheetData></w>'})
+    assert office_text(bad) == "--- Sheet: S ---\n\t\t2"
+
+
+def test_decode_office_files_keeps_columns(spark):
+    docx = _zip({"word/document.xml": '<w:document xmlns:w="w"><w:body><w:p><w:t>é</w:t></w:p></w:body></w:document>'})
+    df = spark.createDataFrame([("a", bytearray(docx), 1), ("b", None, 2), ("c", bytearray(b"zip"), None)], "path string, content binary, n int")
+    got = decode_office_files(df).orderBy("path").collect()
+    assert [(r.path, r.n, r.text) for r in got] == [("a", 1, "é"), ("b", 2, None), ("c", None, None)]
 
 
 def test_read_text_files(spark, tmp_path):

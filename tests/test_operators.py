@@ -5,8 +5,8 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F, types as T
 
-from recordforge.jobs import base, templates
-from recordforge.jobs.queries import CONTRACT, scripted_model
+from recordforge.jobs import base, offline, templates
+from recordforge.jobs.queries import CONTRACT
 from recordforge.operators import attempts as at, inputs as ins, ledger, run as runs, topics as tp
 from recordforge.streaming import streams
 
@@ -30,16 +30,70 @@ def test_run_records_retries_and_dead_letters(spark):
         runs.require_output(done)
 
 
-def test_run_records_timeout(spark):
+def test_run_records_one_slow_row_fails_alone(spark):
     import time
 
     def slow(rows):
-        time.sleep(1)
-        return [[] for _ in rows]
+        for r in rows:
+            if int(r["city"]) % 8 == 0:
+                time.sleep(3)
+        return [[{"answer": r["city"]}] for r in rows]
 
-    df = spark.range(1).select(F.col("id").alias("idx"), F.lit("x").alias("city"))
-    got = runs.run_records(df, slow, OUT, timeout=0.05, threshold=1).collect()
-    assert [r.status for r in got] == ["failed"]
+    df = spark.range(24).coalesce(1).select(F.col("id").alias("idx"), F.col("id").cast("string").alias("city"))
+    began = time.time()
+    got = runs.run_records(df, slow, OUT, timeout=0.3, threshold=1, batch_size=8, concurrency=4).collect()
+    assert sorted(r.idx for r in got if r.status == "failed") == [0, 8, 16] and len(got) == 24
+    assert all(r.err_str == "timed out" for r in got if r.status == "failed") and time.time() - began < 30
+
+
+def test_calls_run_side_by_side_and_too_few_results_fail():
+    import time
+
+    began = time.time()
+    got = runs.in_parallel(lambda b: time.sleep(0.4) or b, [[i] for i in range(8)], 5, 8)
+    assert got == [[i] for i in range(8)] and time.time() - began < 2
+    assert all(isinstance(x, ValueError) for x in runs.attempt(lambda b: b[:-1], [1, 2, 3], 0, 5, 2, 2))
+    assert runs.attempt(lambda b: b if len(b) == 1 else b[:-1], [1, 2, 3], 0, 5, 2, 2) == [1, 2, 3]
+
+
+def test_run_records_hooks_requeue_and_state(spark):
+    """Filtered until a third attempt would be needed; duplicates of an earlier output; the state counts."""
+    df = spark.createDataFrame([(0, "a"), (1, "a"), (2, "b"), (3, "c")], "idx long, city string")
+    one = lambda rows: [[{"answer": r["city"]}] for r in rows]
+    until = lambda rows, earlier, state: rows.withColumn("status", F.when((F.col("idx") == 2) & F.lit(state["tries"] < 6), "filtered").otherwise(F.col("status")))
+    got = runs.run_records(df, one, OUT, hooks=[until, runs.seen_before(F.col("output")[0]["answer"])], state={"tries": 1}, updates={"tries": F.count("*")})
+    assert sorted((r.idx, r.attempt, r.status) for r in got.collect()) == [(0, 1, "completed"), (1, 1, "duplicate"), (1, 2, "duplicate"), (1, 3, "duplicate"), (2, 1, "filtered"), (2, 2, "filtered"), (2, 3, "completed"), (3, 1, "completed")]
+    assert got.run_state == {"tries": 9}
+    assert [r.idx for r in at.dead_letters(got).collect()] == [1]
+    only = runs.run_records(df, one, OUT, hooks=[runs.seen_before(F.col("output")[0]["answer"])], retry_statuses=["failed"])
+    assert only.count() == 4 and "_input" not in only.columns
+
+
+def test_run_records_stops(spark):
+    df = spark.range(100).select(F.col("id").alias("idx"), F.col("id").cast("string").alias("city"))
+    one = lambda rows: [[{"answer": r["city"]}] for r in rows]
+    assert runs.run_records(df, one, OUT, target=25, wave=10).count() == 30
+    bad = lambda rows: [ValueError("no") if int(r["city"]) >= 20 else [] for r in rows]
+    got = runs.run_records(df, bad, OUT, threshold=1, stop_after=5, wave=10).collect()
+    assert max(r.idx for r in got) == 29 and sum(r.status == "failed" for r in got) == 10
+    assert any("ValueError" in line for r in got if r.status == "failed" for line in r.err_trace)
+
+
+def test_ask_model_survives_its_model(spark):
+    def model(asked):
+        if any("bad" in p for p in asked):
+            raise RuntimeError("down")
+        return offline.model(asked)
+
+    df = spark.createDataFrame([(1, "good one"), (2, "bad"), (3, None), (4, "fine")], "i int, prompt string").coalesce(1)
+    got = {r.i: (r.parse_status, r.parse_error) for r in runs.ask_model(df, "prompt", [{"name": "question", "type": "str"}, {"name": "answer", "type": "str"}], model).collect()}
+    assert got[1][0] == got[4][0] == "ok" and got[2] == ("failed", "model: down") and got[3] == ("failed", "no JSON found")
+
+
+def test_overrides():
+    assert runs.with_overrides({"target": 3, "x": 1}, target=5, timeout=None) == {"target": 5, "x": 1}
+    with pytest.raises(ValueError, match="cannot override"):
+        runs.with_overrides({}, x=2)
 
 
 def test_status_names(spark, sf):
@@ -146,6 +200,23 @@ def test_records_fan_out(spark, tmp_path):
     assert ledger.read_records(spark, str(tmp_path / "r"), "abc").count() == 1
 
 
+def test_close_rows_leaves_others_alone(spark):
+    rows = spark.createDataFrame([(1, "running", None, 7, 2), (2, "running", None, 7, 2)], "run int, status string, end_time int, completed int, failed int")
+    summary = spark.createDataFrame([(1, "completed", 9, 5, None)], "run int, status string, end_time int, completed int, failed int")
+    got = {r.run: (r.status, r.end_time, r.completed, r.failed) for r in ledger.close_rows(rows, summary, "run", ["completed", "failed"]).collect()}
+    assert got == {1: ("completed", 9, 5, 0), 2: ("running", None, 7, 2)}
+
+
+def test_restore_keeps_tasks_without_records(spark):
+    inputs = spark.createDataFrame([(0, "h0"), (1, "h1"), (2, "h2")], "idx long, run_config_hash string")
+    tasks = spark.createDataFrame([("h0", "j0", "completed"), ("h0", "j9", "completed"), ("h1", "j1", "completed"), ("h2", "j2", "failed")], "run_config_hash string, job_id string, status string")
+    records = spark.createDataFrame([("j0", "r1"), ("j0", "r2"), ("j9", "r3")], "job_id string, record_uid string")
+    payload = records.select("record_uid", F.lit("p").alias("payload"))
+    again = lambda rows: rows.select("idx", F.array(F.lit("n")).alias("output"))
+    got = runs.resume_run(inputs, tasks, records, payload, F.lit(True), again)
+    assert {r.idx: r.output for r in got.collect()} == {0: ["p", "p"], 1: [], 2: ["n"]} and at.index_audit(got, 3).count() == 0
+
+
 def test_resume_any_number_of_times(spark):
     inputs = ins.config_hash(spark.range(100).select(F.col("id").alias("idx"), F.concat(F.lit("c"), F.col("id") % 7).alias("city")), ["idx", "city"])
     tasks = inputs.filter("idx % 3 = 0").select("run_config_hash", F.concat(F.lit("j"), "idx").alias("job_id"), F.lit("completed").alias("status"))
@@ -171,24 +242,52 @@ def test_streams_equal_batch(spark, tmp_path):
 
     firsts = collect(streams.stream_first_rows(source(), ["topic", "value"]), "firsts")
     assert firsts.count() == at.mark_duplicates(rows, ["topic", "value"]).filter("not duplicate").count()
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    memory = collect(streams.stream_topic_memory(source()), "memory").collect()
-    assert len(memory) == 40
+    with streams.rocks_db(spark):
+        memory = collect(streams.stream_topic_memory(source()), "memory").collect()
+    assert spark.conf.get(streams.PROVIDER, None) is None or "RocksDB" not in spark.conf.get(streams.PROVIDER)
     full = {r.topic: r.history for r in tp.topic_history(rows).collect()}
     for topic, history in full.items():
-        longest = max((r for r in memory if r.topic == topic), key=lambda r: len(r.history))
-        assert sorted([*longest.history, longest.value]) == sorted(history)
+        mine = [r for r in memory if r.topic == topic]
+        assert sorted(r.earlier for r in mine) == list(range(len(history))) and sorted(r.value for r in mine) == sorted(history)
+
+
+def test_stream_marks_duplicates_of_earlier_batches(spark, tmp_path):
+    schema = "idx long, key string"
+    source = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    got = {}
+    for rows in ([(3, "a"), (1, "b"), (2, "a")], [(0, "a"), (5, None), (6, None), (7, "c")]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        streams.stream_mark_duplicates(source(), ["key"], str(tmp_path / "out"), str(tmp_path / "ck"))
+        got = {r.idx: r.duplicate for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: False, 2: False, 3: True, 0: True, 5: False, 6: True, 7: False}
+
+
+def test_histories_in_slices(spark):
+    rows = spark.createDataFrame([("t", i, str(i)) for i in range(7)] + [("u", 0, "x")], "topic string, idx long, value string")
+    got = sorted((r.topic, r.slice, r.history) for r in tp.topic_history(rows, 3).collect())
+    assert got == [("t", 0, ["0", "1", "2"]), ("t", 1, ["3", "4", "5"]), ("t", 2, ["6"]), ("u", 0, ["x"])]
 
 
 def test_function_call_dataset(spark):
     topics = spark.createDataFrame([("t1",), ("t2",)], "topic string")
-    got = templates.function_call_dataset(topics, CONTRACT, scripted_model, 4).collect()
-    assert len(got) == 4 and all(r.ok for r in got) and sorted(r.query for r in got) == ["q", "q", "q2", "q2"]
+    got = templates.function_call_dataset(topics, CONTRACT, offline.scripted, 9, 5).collect()
+    assert len(got) == 9 and all(r.ok and r.why is None for r in got)
+    assert {("mended" in r.answer) for r in got} == {True, False} and all(("mended" in r.answer) == (offline.bucket(r.subtopic, 3) == 0) for r in got)
+
+
+def test_generate_by_topic_shows_what_was_generated(spark):
+    plan = spark.createDataFrame([(0, "a", 5), (1, "b", 1)], "pos long, topic string, n long")
+    fields = [{"name": "question", "type": "str"}, {"name": "answer", "type": "str"}]
+    got = templates.generate_by_topic(plan, "On {topic}{% if example %} not {{ example }}{% endif %}", fields, offline.echo).collect()
+    first = {r.question for r in got if r.example is None}
+    assert len(got) == 6 and sum(r.example is not None for r in got) == 2
+    assert all(any(q in r.example for q in first) for r in got if r.example is not None)
 
 
 def test_verified_reasoning(spark):
-    got = templates.verified_reasoning(spark.createDataFrame([("t",)], "topic string"), scripted_model).collect()
-    assert sorted((r.problem, r.answer) for r in got) == [("p1", "1"), ("p2", "2")]
+    got = templates.verified_reasoning(spark.createDataFrame([(f"t{i}",) for i in range(20)], "topic string"), offline.scripted).collect()
+    want = {(f"t{i}/{k}", f"good {k}" if not offline.bucket(f"t{i}/{k}", 2) else "mended") for i in range(20) for k in range(2) if not offline.bucket(f"t{i}/{k}", 2) or offline.bucket(f"t{i}/{k}-again", 4)}
+    assert {(r.problem, r.answer) for r in got} == want
 
 
 def test_sample_exact_and_shuffle(spark):
