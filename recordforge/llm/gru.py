@@ -29,31 +29,48 @@ def new(words: np.ndarray, classes: np.ndarray, heads: int, width: int, hidden:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place."""
+    x *= 0.5
+    np.tanh(x, out=x)
+    x *= 0.5
+    x += 0.5
+    return x
 
 
 def states(p: dict, x: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-    """Hidden states after each of the inputs x (steps, lanes), from h (lanes, hidden).
+    """Hidden states (steps, hidden, lanes) after each of the inputs x (steps, lanes), from h (hidden, lanes).
 
     The last input of the table starts a document: it clears the state.
     """
-    n = h.shape[1]
-    out, tape = np.empty((*x.shape, n), np.float32), []
-    goes_on = (x != len(p["x"]) - 1).astype(np.float32)[:, :, None]
+    n = len(h)
+    out, tape = np.empty((len(x), n, x.shape[1]), np.float32), []
+    start = x == len(p["x"]) - 1
+    some = start.any(1)
+    given = np.ascontiguousarray(p["x"][x].transpose(0, 2, 1))
+    back = np.ascontiguousarray(p["u"].T)
     for t in range(len(x)):
-        h = h * goes_on[t]
-        g = p["x"][x[t]]
-        a = h @ p["u"]
-        zr = _sigmoid(g[:, : 2 * n] + a[:, : 2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(g[:, 2 * n :] + r * a[:, 2 * n :])
-        after = c + z * (h - c)
+        if some[t]:
+            h = h * ~start[t]
+        a = back @ h
+        zr = _sigmoid(given[t, : 2 * n] + a[: 2 * n])
+        z, r = zr[:n], zr[n:]
+        c = r * a[2 * n :]
+        c += given[t, 2 * n :]
+        np.tanh(c, out=c)
+        after = h - c
+        after *= z
+        after += c
         if keep:
-            tape.append((h, zr, c, a[:, 2 * n :]))
+            tape.append((h, zr, c, a[2 * n :]))
         out[t] = h = after
     return out, tape
 
 
+def by_token(hs: np.ndarray) -> np.ndarray:
+    """States as rows (steps * lanes, hidden)."""
+    return np.ascontiguousarray(hs.transpose(0, 2, 1)).reshape(-1, hs.shape[1])
+
+
 def _log_softmax_at(z: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log of the softmax of z + bias, at one column a row; z is overwritten.
 
@@ -87,19 +104,29 @@ def log_probs(p: dict, h: np.ndarray, classes: np.ndarray, slots: np.ndarray) ->
     return out
 
 
-def gradients(p: dict, x: np.ndarray, classes: np.ndarray, slots: np.ndarray, h0: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Mean-loss gradients over one window (backpropagation stops at its start), the last state, the loss."""
+def gradients(p: dict, x: np.ndarray, classes: np.ndarray, slots: np.ndarray, h0: np.ndarray, real: np.ndarray | None = None) -> tuple[dict, np.ndarray, float]:
+    """Mean-loss gradients over one window (backpropagation stops at its start), the last state, the loss.
+
+    `real` (steps, lanes) is false for places that only fill up the window.
+    """
     steps, lanes = x.shape
-    n = h0.shape[1]
+    n = len(h0)
     hs, tape = states(p, x, h0, keep=True)
-    h, classes, slots = hs.reshape(-1, n), classes.ravel(), slots.ravel()
+    h, classes, slots = by_token(hs), classes.ravel(), slots.ravel()
     m = len(h)
+    if real is not None:
+        real = real.ravel()
+        m = max(1, int(real.sum()))
+        classes = np.where(real, classes, len(p["w"]))
     g = {"c": np.zeros_like(p["c"]), "cb": np.zeros_like(p["cb"]), "w": {}, "wb": {}}
     dh = np.empty_like(h)
     loss, back = 0.0, np.ascontiguousarray(p["c"].T)
-    for lo in range(0, m, ROWS):
+    for lo in range(0, len(h), ROWS):
         part, true = h[lo : lo + ROWS], classes[lo : lo + ROWS]
         q, k = _softmax(part @ p["c"], p["cb"]), np.arange(len(part))
+        if real is not None:
+            q *= real[lo : lo + ROWS, None]
+            k, true = k[real[lo : lo + ROWS]], true[real[lo : lo + ROWS]]
         loss -= np.log(q[k, true]).sum()
         q[k, true] -= 1
         q /= m
@@ -114,27 +141,43 @@ def gradients(p: dict, x: np.ndarray, classes: np.ndarray, slots: np.ndarray, h0
         q /= m
         g["w"][c], g["wb"][c] = hc.T @ q, q.sum(0)
         dh[rows] += q @ p["w"][c].T
-    dh = dh.reshape(steps, lanes, n)
-    du, dx = np.zeros_like(p["u"]), np.empty((steps, lanes, 3 * n), np.float32)
-    goes_on = (x != len(p["x"]) - 1).astype(np.float32)[:, :, None]
-    carry, da = np.zeros_like(h0), np.empty((lanes, 3 * n), np.float32)
+    dh = np.ascontiguousarray(dh.reshape(steps, lanes, n).transpose(0, 2, 1))
+    du, dx = np.zeros((3 * n, n), np.float32), np.empty((steps, 3 * n, lanes), np.float32)
+    start = x == len(p["x"]) - 1
+    some = start.any(1)
+    carry, da = np.zeros_like(h0), np.empty((3 * n, lanes), np.float32)
     for t in range(steps - 1, -1, -1):
         before, zr, c, an = tape[t]
-        z, r = zr[:, :n], zr[:, n:]
-        d = dh[t] + carry
-        dc = d * (1 - z) * (1 - c * c)
-        dx[t, :, 2 * n :] = dc
-        dx[t, :, :n] = d * (before - c) * z * (1 - z)
-        dx[t, :, n : 2 * n] = dc * an * r * (1 - r)
-        da[:, : 2 * n] = dx[t, :, : 2 * n]
-        da[:, 2 * n :] = dc * r
-        du += before.T @ da
-        carry = (d * z + da @ p["u"].T) * goes_on[t]
-    g["u"] = du
+        z, r = zr[:n], zr[n:]
+        d = dh[t]
+        d += carry
+        dc = dx[t, 2 * n :]
+        np.multiply(c, c, out=dc)
+        np.subtract(1, dc, out=dc)
+        dc *= d
+        slope = 1 - zr
+        dc *= slope[:n]
+        slope *= zr
+        dz, dr = dx[t, :n], dx[t, n : 2 * n]
+        np.subtract(before, c, out=dz)
+        dz *= d
+        dz *= slope[:n]
+        np.multiply(dc, an, out=dr)
+        dr *= slope[n:]
+        da[: 2 * n] = dx[t, : 2 * n]
+        np.multiply(dc, r, out=da[2 * n :])
+        du += da @ before.T
+        carry = p["u"] @ da
+        d *= z
+        carry += d
+        if some[t]:
+            carry *= ~start[t]
+    g["u"] = np.ascontiguousarray(du.T)
     flat = x.ravel()
     order = np.argsort(flat, kind="stable")
-    rows, first = np.unique(flat[order], return_index=True)
-    g["x"] = (rows, np.add.reduceat(dx.reshape(-1, 3 * n)[order], first, axis=0))
+    rows = flat[order]
+    first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+    g["x"] = (rows[first], np.add.reduceat(by_token(dx)[order], first, axis=0))
     return g, hs[-1], float(loss / m)
 
 
@@ -158,14 +201,19 @@ def fresh_past(p: dict) -> dict:
 
 
 def train(p: dict, past: dict, x: np.ndarray, classes: np.ndarray, slots: np.ndarray, lanes: int, window: int, rate: float) -> None:
-    """One pass over a token stream, cut into lanes that advance side by side."""
+    """One pass over a token stream, cut into lanes that advance side by side; every token is learned from once.
+
+    A lane that begins within a document begins there without a state.
+    """
     lanes = max(1, min(lanes, len(x) // window))
-    length = len(x) // lanes
-    cut = lambda a: np.ascontiguousarray(a[: lanes * length].reshape(lanes, length).T)
-    x, classes, slots = cut(x), cut(classes), cut(slots)
-    h = np.zeros((lanes, p["u"].shape[0]), np.float32)
+    length = -(-len(x) // lanes)
+    fill = lanes * length - len(x)
+    cut = lambda a, end: np.ascontiguousarray(np.pad(a, (0, fill), constant_values=end).reshape(lanes, length).T)
+    x, classes, slots, real = cut(x, len(p["x"]) - 1), cut(classes, 0), cut(slots, 0), cut(np.ones(len(x), bool), False)
+    h = np.zeros((p["u"].shape[0], lanes), np.float32)
     for t in range(0, length, window):
-        g, h, _ = gradients(p, x[t : t + window], classes[t : t + window], slots[t : t + window], h)
+        part = real[t : t + window]
+        g, h, _ = gradients(p, x[t : t + window], classes[t : t + window], slots[t : t + window], h, None if part.all() else part)
         step(p, past, g, rate)
 
 

@@ -3,7 +3,7 @@
 A text, with all but letters made blanks, is a TF-IDF vector over hashed
 character n-grams, of unit length. The
 document frequencies come from all training texts. The vectors of about
-`per_language` training texts of each language are clustered by spherical
+`per_language` distinct training texts of each language, one at least, are clustered by spherical
 k-means, in one task a language; a text takes the language of the nearest of
 all centroids. A text whose best cosine is below `least` is rejected: too far
 from every known language.
@@ -21,7 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from recordforge.llm.textarrays import append_columns, chunked, encode, letters_only, ngram_buckets, owners
+from recordforge.llm import sums
+from recordforge.llm.textarrays import append_columns, chunked, encode, letters_only, ngram_buckets, owners, text_slices
+from recordforge.sources.tables import materialise
 
 BITS, ORDERS, CENTROIDS, PER_LANGUAGE, LEAST_COSINE = 12, (1, 2, 3), 4, 1500, 0.15
 #: Languages that the labels may hold; more would not be languages.
@@ -57,39 +59,35 @@ def fit(train: DataFrame, text_col: str, lang_col: str, bits: int = BITS, orders
     size = 1 << bits
 
     def count(batches):
-        df, seen = np.zeros(size, np.int64), 0
+        df = np.zeros(size + 1, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in chunked(texts, most_rows=ROWS):
-                df += (_counts(texts[lo:hi], bits, orders) > 0).sum(0)
-            seen += len(texts)
-        yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()]), pa.array([seen])], names=["df", "n"])
-
-    def add(batches):
-        df, seen = np.zeros(size, np.int64), 0
-        for batch in batches:
-            for x, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                df += np.frombuffer(x, np.int64)
-                seen += n
-        yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()]), pa.array([seen])], names=["df", "n"])
-
-    got = rows.select("text").mapInArrow(count, "df binary, n long").repartition(1).mapInArrow(add, "df binary, n long").first()
-    idf = (np.log((1 + got["n"]) / (1 + np.frombuffer(got["df"], np.int64))) + 1).astype(np.float32)
-
-    per = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+            for lo, hi, texts in text_slices(batch.column(0), most_rows=ROWS):
+                df[:size] += (_counts(texts, bits, orders) > 0).sum(0)
+                df[size] += hi - lo
+        yield sums.emit(df)
+
+    got = sums.total(rows.select("text").mapInArrow(count, sums.SCHEMA), np.int64)
+    df, seen = (np.zeros(size), 0) if got is None else (got[:size], got[size])
+    idf = (np.log((1 + seen) / (1 + df)) + 1).astype(np.float32)
+
+    # Distinct texts by their hash, so that copies do not crowd out others; each language keeps one at least.
+    hashed = rows.select("lang", F.xxhash64(F.lit("lang"), "text").alias("_hash"))
+    distinct = materialise(hashed.distinct(), "language-texts")
+    per = distinct.groupBy("lang").agg(F.count("*").alias("n"), F.min("_hash").alias("first")).limit(MOST_LANGUAGES + 1).collect()
     if len(per) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not per:
         return {"idf": idf, "langs": [], "centroids": np.zeros((0, size), np.float32), "bits": bits, "orders": orders}
     scale = 1_000_000_007
-    limit = F.create_map(*[F.lit(x) for r in per for x in (r["lang"], min(scale, int(scale * per_language / r["n"])))])
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit("lang"), "text"), F.lit(scale)) < limit[F.col("lang")])
+    table = lambda of, kind: F.create_map(*[x for r in per for x in (F.lit(r["lang"]), F.lit(of(r)).cast(kind))])
+    below = F.pmod(F.col("_hash"), F.lit(scale)) < table(lambda r: min(scale, int(scale * per_language / r["n"])), "long")[F.col("lang")]
+    chosen = below | (F.col("_hash") == table(lambda r: r["first"], "long")[F.col("lang")])
+    sample = rows.withColumn("_hash", F.xxhash64(F.lit("lang"), "text")).filter(chosen).dropDuplicates(["lang", "_hash"]).select("text", "lang")
 
     def vectors(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in chunked(texts, most_rows=ROWS):
-                v = _vectors(texts[lo:hi], idf, bits, orders).astype(np.float16)
+            for lo, hi, texts in text_slices(batch.column(0), most_rows=ROWS):
+                v = _vectors(texts, idf, bits, orders).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array([x.tobytes() for x in v], pa.binary())], names=["lang", "v"])
 
     def cluster(table: pa.Table) -> pa.Table:
@@ -113,8 +111,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", least: float =
     def make():
         langs, c = model["langs"], model["centroids"]
 
-        def fn(batch):
-            texts = batch[text_col]
+        def fn(texts):
             names, best = ["und"] * len(texts), np.zeros(len(texts))
             for lo, hi in chunked(texts, most_rows=ROWS) if langs else ():
                 cosine = _vectors(texts[lo:hi], model["idf"], model["bits"], model["orders"]) @ c.T
@@ -127,4 +124,4 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", least: float =
 
         return fn
 
-    return append_columns(docs, [T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType()), T.StructField(rejected_col, T.BooleanType())], make, [text_col])
+    return append_columns(docs, [T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType()), T.StructField(rejected_col, T.BooleanType())], make, text_col)

@@ -28,12 +28,14 @@ decides only which passages are checked first.
 Windows whose TF-IDF weight is mostly on words outside the benchmark cannot
 reach the cosine and are not projected: an exact bound, not a cut.
 
-A benchmark of more than `ITEMS` items is worked off in blocks of that many, so
-what a task holds is bounded.
-
-Defined cases: null and empty texts hold no item; items that are null or of
-fewer than `LEAST` words are never found; repeated rows are judged alike; an
-empty benchmark flags nothing; columns of the new names are replaced.
+A benchmark of more than `ITEMS` items has a latent space for each block of that
+many; a task reads its texts once for up to `PASS` blocks, so what it holds is
+bounded. Nothing is written between blocks.
+
+Defined cases: null and empty texts hold no item; null items are never found;
+items of fewer than `LEAST` words, which any text may hold by chance, are found
+where they are all the words of a text; repeated rows are judged alike; an empty
+benchmark flags nothing; columns of the new names are replaced.
 """
 
 from __future__ import annotations
@@ -46,11 +48,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from recordforge.llm import sums
-from recordforge.llm.textarrays import Powers, alnum_table, append_columns, chunked, encode, words
-from recordforge.sources.tables import materialise
+from recordforge.llm.textarrays import Powers, alnum_table, append_columns, encode, text_slices, words
 
 WINDOW, STRIDE, BITS, RANK, OVERSAMPLE = 32, 16, 18, 192, 16
-COSINE, VERBATIM, PARAPHRASE, ANSWER, LEAST, ITEMS = 0.55, 0.8, 0.6, 0.8, 5, 1024
+COSINE, VERBATIM, PARAPHRASE, ANSWER, LEAST, ITEMS, PASS = 0.55, 0.8, 0.6, 0.8, 5, 1024, 4
 #: Share of an item that must stand together as its rarest words; word places looked up at once.
 RARE, PLACES = 0.15, 1 << 22
 
@@ -66,9 +67,8 @@ def occurrences(docs: DataFrame, text_col: str) -> np.ndarray:
     def run(batches):
         table, powers, n = alnum_table(), Powers(), np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in chunked(texts):
-                h, _ = _words(texts[lo:hi], table, powers)
+            for _, _, texts in text_slices(batch.column(0)):
+                h, _ = _words(texts, table, powers)
                 n += np.bincount((h >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS)
         yield sums.emit(n)
 
@@ -82,6 +82,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], counts: np.ndarray) -> None:
         table, powers = alnum_table(), Powers()
         self.ids, self.words, self.answers = [], [], []
+        self.short: dict[tuple, list[int]] = {}
         for item, text in rows:
             h, _ = _words([text], table, powers)
             if len(h) >= LEAST:
@@ -89,20 +90,41 @@ class Items:
                 self.ids.append(item)
                 self.words.append(h)
                 self.answers.append(_words([last], table, powers)[0])
+            elif len(h):
+                self.short.setdefault(tuple(h.tolist()), []).append(item)
         self.terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]))
         self.idf = np.log(np.maximum(1.0, counts.sum() / (WINDOW * (1.0 + counts)))).astype(np.float32)
-        self.vectors = np.zeros((len(self.ids), len(self.terms)), np.float32)
-        for v, w in zip(self.vectors, self.words):
-            np.add.at(v, np.searchsorted(self.terms, w), self.weights(w))
-        self.vectors /= np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-12)
-        self.known = [frozenset(w.tolist()) for w in self.words]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint64), *self.words])
+        self.places = np.searchsorted(self.terms, flat)
+        self.owner = np.repeat(np.arange(len(self.ids)), self.sizes)
+        # A word that an item repeats adds up, so the norm is over distinct words.
+        cell = self.owner * np.int64(max(1, len(self.terms))) + self.places
+        u, back = np.unique(cell, return_inverse=True)
+        w = self.weights(flat)
+        per_cell = np.bincount(back, w, minlength=len(u))
+        norm = np.sqrt(np.bincount(u // max(1, len(self.terms)), per_cell**2, minlength=len(self.ids)))
+        self.shares = (w / np.maximum(norm[self.owner], 1e-12)).astype(np.float32)
+        self.known = [frozenset(w.tolist()) for w in self.words]
         needed = np.ceil(PARAPHRASE * self.sizes - 1e-9).astype(np.int64)
         self.together = np.minimum(needed, np.maximum(1, np.ceil(RARE * self.sizes).astype(np.int64)))
         rare = [np.unique(np.searchsorted(self.terms, w[np.argsort(-self.weights(w), kind="stable")[:n]])) for w, n in zip(self.words, self.sizes - needed + self.together)]
         self.rare = np.concatenate([np.zeros(0, np.int64), *rare])
         self.rare_first = np.cumsum([0, *map(len, rare)])
 
+    def project(self, basis: np.ndarray) -> np.ndarray:
+        """The items' unit vectors (items x terms) times basis."""
+        out = np.zeros((len(self.ids), basis.shape[1]), np.float32)
+        for i, (a, b) in enumerate(zip(np.cumsum(self.sizes) - self.sizes, np.cumsum(self.sizes))):
+            out[i] = self.shares[a:b] @ basis[self.places[a:b]]
+        return out
+
+    def spread(self, y: np.ndarray) -> np.ndarray:
+        """Their transpose times y."""
+        out = np.zeros((len(self.terms), y.shape[1]), np.float32)
+        np.add.at(out, self.places, self.shares[:, None] * y[self.owner])
+        return out
+
     def weights(self, h: np.ndarray) -> np.ndarray:
         return self.idf[(h >> np.uint64(64 - BITS)).astype(np.int64)]
 
@@ -140,43 +162,45 @@ def _project(terms: np.ndarray, weights: np.ndarray, basis: np.ndarray) -> np.nd
     return out
 
 
-def latent_space(docs: DataFrame, text_col: str, items: Items) -> np.ndarray:
-    """Leading right singular vectors (terms x rank) of all passages, items among them."""
-    d = len(items.terms)
-    size = min(RANK + OVERSAMPLE, d)
-    random = np.random.default_rng(11).normal(size=(d, size)).astype(np.float32)
+def latent_spaces(docs: DataFrame, text_col: str, blocks: list[Items]) -> list[np.ndarray]:
+    """For each block, the leading right singular vectors (terms x rank) of all passages, items among them."""
+    randoms = [np.random.default_rng(11).normal(size=(len(x.terms), min(RANK + OVERSAMPLE, len(x.terms)))).astype(np.float32) for x in blocks]
+
+    def add(z, h, first, items, random):
+        _, _, terms, weights = _windows(h, first, items, COSINE)
+        for a in range(0, len(terms), 2048):
+            t, w = terms[a : a + 2048], weights[a : a + 2048]
+            y = _project(t, w, random)
+            row, col = np.nonzero(t >= 0)
+            order = np.argsort(t[row, col], kind="stable")
+            row, col = row[order], col[order]
+            u, begin = np.unique(t[row, col], return_index=True)
+            if len(u):
+                z[u] += np.add.reduceat(w[row, col][:, None] * y[row], begin, axis=0)
 
     def run(batches):
-        table, powers, z = alnum_table(), Powers(), np.zeros((d, size))
+        table, powers, all_z = alnum_table(), Powers(), [np.zeros(r.shape) for r in randoms]
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in chunked(texts):
-                h, first = _words(texts[lo:hi], table, powers)
-                if not len(h):
-                    continue
-                _, _, terms, weights = _windows(h, first, items, COSINE)
-                for a in range(0, len(terms), 2048):
-                    t, w = terms[a : a + 2048], weights[a : a + 2048]
-                    y = _project(t, w, random)
-                    row, col = np.nonzero(t >= 0)
-                    order = np.argsort(t[row, col], kind="stable")
-                    row, col = row[order], col[order]
-                    u, begin = np.unique(t[row, col], return_index=True)
-                    if len(u):
-                        z[u] += np.add.reduceat(w[row, col][:, None] * y[row], begin, axis=0)
-        yield sums.emit(z.astype(np.float32))
+            for _, _, texts in text_slices(batch.column(0)):
+                h, first = _words(texts, table, powers)
+                if len(h):
+                    for z, items, random in zip(all_z, blocks, randoms):
+                        add(z, h, first, items, random)
+        yield sums.emit(np.concatenate([z.ravel() for z in all_z]).astype(np.float32))
 
     got = sums.total(docs.select(text_col).mapInArrow(run, sums.SCHEMA), np.float32)
-    z = np.zeros((d, size)) if got is None else got.reshape(d, size).astype(np.float64)
-    scale = max(1.0, np.abs(z).max() / max(1e-9, np.abs(items.vectors.T @ (items.vectors @ random)).max()))
-    z += scale * (items.vectors.T @ (items.vectors @ random))
-    core = random.T @ z
-    core = (core + core.T) / 2
-    values, vectors = np.linalg.eigh(core)
-    good = values > values.max() * 1e-9
-    half = z @ (vectors[:, good] / np.sqrt(values[good]))
-    left, _, _ = np.linalg.svd(half, full_matrices=False)
-    return left[:, :RANK].astype(np.float32)
+    out, at = [], 0
+    for items, random in zip(blocks, randoms):
+        z = np.zeros(random.shape) if got is None else got[at : at + random.size].reshape(random.shape).astype(np.float64)
+        at += random.size
+        own = items.spread(items.project(random))
+        z += max(1.0, np.abs(z).max() / max(1e-9, np.abs(own).max())) * own
+        core = random.T @ z
+        values, vectors = np.linalg.eigh((core + core.T) / 2)
+        good = values > values.max() * 1e-9
+        left, _, _ = np.linalg.svd(z @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
+        out.append(left[:, :RANK].astype(np.float32))
+    return out
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -252,67 +276,84 @@ def _stretches(h: np.ndarray, first: np.ndarray, items: Items) -> Iterator[tuple
             done = max(done, y + 1)
 
 
-def _flag_block(docs: DataFrame, items: Items, text_col: str) -> DataFrame:
-    basis = latent_space(docs, text_col, items)
-    mine = items.vectors @ basis
-    kept = (mine**2).sum(1)
-    mine /= np.maximum(kept[:, None], 1e-12)
-    least = COSINE * float(np.sqrt(kept.min()))
+class _Block:
+    """A block's items and their latent coordinates."""
+
+    def __init__(self, items: Items, basis: np.ndarray) -> None:
+        self.items, self.basis = items, basis
+        self.mine = items.project(basis)
+        kept = (self.mine**2).sum(1)
+        self.mine /= np.maximum(kept[:, None], 1e-12)
+        self.least = COSINE * float(np.sqrt(kept.min()))
+
+    def find(self, h: np.ndarray, first: np.ndarray, held: list[list[int]], best: np.ndarray) -> None:
+        """Adds the items held by each text, and the largest share."""
+        items = self.items
+
+        def judge(i: int, k: int, place: int) -> None:
+            if items.ids[k] in held[i]:
+                return
+            share = _judge(h, int(first[i]), int(first[i + 1]), place, items.words[k], items.answers[k], items.known[k])
+            if share:
+                held[i].append(items.ids[k])
+                best[i] = max(best[i], share)
+
+        start, text, terms, weights = _windows(h, first, items, self.least)
+        for a in range(0, len(start), 4096):
+            near = _project(terms[a : a + 4096], weights[a : a + 4096], self.basis) @ self.mine.T
+            for w, k in zip(*np.nonzero(near >= COSINE)):
+                judge(int(text[a + w]), k, int(start[a + w]))
+        for k, i, place in _stretches(h, first, items):
+            judge(i, k, place)
+
 
+def _find(docs: DataFrame, blocks: list[_Block], short: dict, text_col: str, names: tuple[str, str]) -> DataFrame:
     def make():
         table, powers = alnum_table(), Powers()
 
-        def fn(batch):
-            texts = batch[text_col]
+        def fn(texts):
             held: list[list[int]] = [[] for _ in texts]
             best = np.zeros(len(texts))
-            for lo, hi in chunked(texts):
-                h, first = _words(texts[lo:hi], table, powers)
-                if not len(h):
-                    continue
-                start, text, terms, weights = _windows(h, first, items, least)
-                for a in range(0, len(start), 4096):
-                    near = _project(terms[a : a + 4096], weights[a : a + 4096], basis) @ mine.T
-                    for w, k in zip(*np.nonzero(near >= COSINE)):
-                        i = int(text[a + w])
-                        if items.ids[k] in held[lo + i]:
-                            continue
-                        share = _judge(h, int(first[i]), int(first[i + 1]), int(start[a + w]), items.words[k], items.answers[k], items.known[k])
-                        if share:
-                            held[lo + i].append(items.ids[k])
-                            best[lo + i] = max(best[lo + i], share)
-                for k, i, place in _stretches(h, first, items):
-                    if items.ids[k] in held[lo + i]:
-                        continue
-                    share = _judge(h, int(first[i]), int(first[i + 1]), place, items.words[k], items.answers[k], items.known[k])
-                    if share:
-                        held[lo + i].append(items.ids[k])
-                        best[lo + i] = max(best[lo + i], share)
-            return pa.array([sorted(x) for x in held], pa.list_(pa.int64())), best
+            h, first = _words(texts, table, powers)
+            if len(h):
+                for i in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < LEAST)).tolist() if short else ():
+                    if found := short.get(tuple(h[first[i] : first[i + 1]].tolist())):
+                        held[i] += found
+                        best[i] = 1.0
+                for b in blocks:
+                    b.find(h, first, held, best)
+            return pa.array([sorted(set(x)) for x in held], pa.list_(pa.int64())), best
 
         return fn
 
-    return append_columns(docs, [T.StructField("items", T.ArrayType(T.LongType())), T.StructField("overlap", T.DoubleType())], make, [text_col])
+    return append_columns(docs, [T.StructField(names[0], T.ArrayType(T.LongType())), T.StructField(names[1], T.DoubleType())], make, text_col)
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Adds items (ids of the benchmark items held) and overlap (the largest share, 0 if none)."""
     known = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).filter("item is not null and text is not null").distinct()
-    blocks = max(1, -(-known.count() // ITEMS))
+    n = max(1, -(-known.count() // ITEMS))
     counts = occurrences(docs, text_col)
     out = docs.drop("items", "overlap")
-    for b in range(blocks):
-        part = known.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        items = Items(sorted((r["item"], r["text"]) for r in part.collect()), counts)
-        if not items.ids:
+    names = []
+    for lo in range(0, n, PASS):
+        all_items = [Items(sorted((r["item"], r["text"]) for r in known.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).collect()), counts) for b in range(lo, min(n, lo + PASS))]
+        short = _merged([x.short for x in all_items])
+        some = [x for x in all_items if x.ids]
+        if not some and not short:
             continue
-        before = out.columns
-        if "items" in before:
-            out = materialise(out.withColumnsRenamed({"items": "_items", "overlap": "_overlap"}), "decontam")
-        out = _flag_block(out, items, text_col)
-        if "items" in before:
-            merged = {"items": F.sort_array(F.array_union("items", "_items")), "overlap": F.greatest("overlap", "_overlap")}
-            out = out.withColumns(merged).drop("_items", "_overlap")
-    if "items" not in out.columns:
-        out = out.withColumns({"items": F.array().cast("array<bigint>"), "overlap": F.lit(0.0)})
+        blocks = [_Block(x, basis) for x, basis in zip(some, latent_spaces(docs, text_col, some))] if some else []
+        names.append((f"_items{lo}", f"_overlap{lo}"))
+        out = _find(out, blocks, short, text_col, names[-1])
+    if not names:
+        return out.withColumns({"items": F.array().cast("array<bigint>"), "overlap": F.lit(0.0)})
+    items, overlap = F.array_sort(F.array_distinct(F.flatten(F.array(*[a for a, _ in names])))), [F.col(b) for _, b in names]
+    return out.withColumns({"items": items, "overlap": F.greatest(*overlap) if len(overlap) > 1 else overlap[0]}).drop(*[c for pair in names for c in pair])
+
+
+def _merged(tables: list[dict]) -> dict:
+    out: dict = {}
+    for t in tables:
+        for k, v in t.items():
+            out.setdefault(k, []).extend(v)
     return out

@@ -7,13 +7,15 @@ beyond it meet their counts in a join.
 
 Model. The `heads * width` most frequent words have their own slot in the
 class-factored softmax. All other words fall into `TAILS` further classes by
-their first two characters; within such a class a word has the probability
+their first two bytes; within such a class a word has the probability
 (c + 1) / (N + V + 1) of the class's own counts, so that one unseen word per
 class has a share too. A gated recurrent network predicts the class and slot
-from all earlier tokens of the document. It is warmed up on a bounded sample;
+from all earlier tokens of the document. It is warmed up on about `WARM_TOKENS`
+tokens of documents drawn from all partitions, in one task;
 then every partition of all training documents trains its own copy by truncated
 backpropagation, and the copies are averaged by tokens, in two rounds of
-partial sums. Scoring carries the state from window to window through the
+partial sums: every training token is learned from, and scores depend a little
+on how the documents are dealt over partitions. Scoring carries the state from window to window through the
 whole document.
 
 Defined cases: a null text is empty and holds just the end; repeated rows get
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from recordforge.llm import gru
-from recordforge.llm.textarrays import Powers, blank_table, chunked, encode, text_slices, words
+from recordforge.llm.textarrays import Powers, byte_words, column_slices
 from recordforge.sources.tables import materialise
 
 HEAD, HEADS, WIDTH, TAILS, HIDDEN = 131_072, 48, 64, 32, 16
@@ -42,22 +44,30 @@ END = 0x5D1F3A7792C0E4B1
 BATCH, SCORED, SPLIT = 500_000, 5_000_000, 300_000
 
 
-def tokens(texts: list, table: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of all texts with their ends, the tail class of each, and the tokens per text."""
-    codes, starts, lens = encode(texts, lower=False)
-    codes = np.where((codes >= 65) & (codes <= 90), codes + np.uint32(32), codes)
-    h, begin, end, first = words(codes, starts, lens, table, powers)
-    c0, c1 = codes[begin].astype(np.uint32), np.where(end - begin > 1, codes[np.minimum(begin + 1, len(codes) - 1)], 0).astype(np.uint32)
-    tail = (((c0 * np.uint32(0x9E3779B1) + c1 * np.uint32(0x85EBCA77)) >> np.uint32(16)).astype(np.int32) % TAILS).astype(np.int16)
-    at = first[1:]
-    return np.insert(h, at, np.uint64(END)), np.insert(tail, at, 0), np.diff(first) + 1
+class Tokenizer:
+    """Token hashes of all texts with their ends, the tail class of each, and the tokens per text; works on UTF-8 bytes."""
+
+    def __init__(self) -> None:
+        self.powers = Powers()
+        self.inside = np.ones(256, bool)
+        self.inside[[9, 10, 11, 12, 13, 32]] = False
+        self.lower = np.arange(256, dtype=np.uint32)
+        self.lower[65:91] += 32
+        self.values = self.lower.astype(np.uint64) + np.uint64(1)
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        h, begin, end, first, raw = byte_words(column, self.inside, self.values, self.powers)
+        c0, c1 = self.lower[raw[begin]], np.where(end - begin > 1, self.lower[raw[np.minimum(begin + 1, len(raw) - 1)]], 0).astype(np.uint32)
+        tail = (((c0 * np.uint32(0x9E3779B1) + c1 * np.uint32(0x85EBCA77)) >> np.uint32(16)).astype(np.int32) % TAILS).astype(np.int16)
+        at = first[1:]
+        return np.insert(h, at, np.uint64(END)), np.insert(tail, at, 0), np.diff(first) + 1
 
 
 def count_tokens(docs: DataFrame, text_col: str) -> DataFrame:
     """(token, tail, n) of all texts; tasks add up large batches first."""
 
     def run(batches):
-        table, powers = blank_table(), Powers()
+        tokens = Tokenizer()
         held, size = [], 0
 
         def flush():
@@ -67,8 +77,8 @@ def count_tokens(docs: DataFrame, text_col: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(t[at], pa.int16()), pa.array(n)], names=["token", "tail", "n"])
 
         for batch in batches:
-            for _, _, texts in text_slices(batch.column(0), SPLIT):
-                h, t, _ = tokens(texts, table, powers)
+            for _, _, part in column_slices(batch.column(0), SPLIT):
+                h, t, _ = tokens(part)
                 held.append((h, t))
                 size += len(h)
                 if size > BATCH:
@@ -103,16 +113,29 @@ def vocabulary(counts: DataFrame) -> dict:
     return {"key": key[order], "n": head["n"].to_numpy(np.int64)[order], "rank": np.where(order < k, order, -1).astype(np.int32), "slots": slots, "classes": classes, "tail_n": tail_n, "tail_v": tail_v, "N": sum(n for n, _ in by_tail.values()), "V": sum(v for _, v in by_tail.values())}
 
 
-def _look_up(h: np.ndarray, tail: np.ndarray, vocab: dict) -> tuple[np.ndarray, ...]:
-    """Count in the head (0 if not there), model input, class and slot of each token."""
-    if len(vocab["key"]):
-        at = np.minimum(np.searchsorted(vocab["key"], h), len(vocab["key"]) - 1)
-        found = vocab["key"][at] == h
-        n, rank = np.where(found, vocab["n"][at], 0), np.where(found, vocab["rank"][at], -1)
-    else:
-        n, rank = np.zeros(len(h), np.int64), np.full(len(h), -1)
-    own = rank >= 0
-    return n, np.where(own, rank, HEADS * WIDTH + tail).astype(np.int32), np.where(own, rank // WIDTH, HEADS + tail).astype(np.int32), np.where(own, rank % WIDTH, 0).astype(np.int32)
+class Head:
+    """Looks tokens up among the head: count (0 if not there), model input, class and slot of each.
+
+    Keys are spread evenly, so the place of a key's leading bits is at most a few keys from it.
+    """
+
+    def __init__(self, vocab: dict) -> None:
+        self.key, self.n, self.rank = (np.append(vocab[k], x) for k, x in (("key", np.uint64(0)), ("n", 0), ("rank", -1)))
+        self.shift = np.uint64(64 - max(1, int(len(vocab["key"])).bit_length() + 2))
+        lead = (vocab["key"] >> self.shift).astype(np.int64)
+        places = np.bincount(lead, minlength=1 << int(np.uint64(64) - self.shift))
+        self.first, self.most = (np.cumsum(places) - places).astype(np.int32), int(places.max(initial=0))
+
+    def __call__(self, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, ...]:
+        at, last = self.first[(h >> self.shift).astype(np.int64)], len(self.key) - 1
+        found = np.full(len(h), last, np.int32)
+        for k in range(self.most):
+            here = np.minimum(at + k, last)
+            hit = self.key[here] == h
+            found[hit] = here[hit]
+        n, rank = self.n[found], self.rank[found]
+        own = rank >= 0
+        return n, np.where(own, rank, HEADS * WIDTH + tail).astype(np.int32), np.where(own, rank // WIDTH, HEADS + tail).astype(np.int32), np.where(own, rank % WIDTH, 0).astype(np.int32)
 
 
 START = HEADS * WIDTH + TAILS
@@ -126,8 +149,8 @@ def _previous(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return x
 
 
-def _train_on(batches, vocab: dict, p: dict, past: dict, most: int | None = None) -> int:
-    table, powers, held, size, seen = blank_table(), Powers(), [], 0, 0
+def _train_on(batches, vocab: dict, p: dict, past: dict) -> int:
+    tokens, look_up, held, size, seen = Tokenizer(), Head(vocab), [], 0, 0
 
     def go():
         x, c, s = (np.concatenate([h[i] for h in held]) for i in range(3))
@@ -135,19 +158,15 @@ def _train_on(batches, vocab: dict, p: dict, past: dict, most: int | None = None
         held.clear()
 
     for batch in batches:
-        for _, _, texts in text_slices(batch.column(0), SPLIT):
-            h, tail, sizes = tokens(texts, table, powers)
-            _, ids, c, s = _look_up(h, tail, vocab)
+        for _, _, part in column_slices(batch.column(0), SPLIT):
+            h, tail, sizes = tokens(part)
+            _, ids, c, s = look_up(h, tail)
             held.append((_previous(ids, sizes), c, s))
             size += len(h)
             seen += len(h)
             if size >= BATCH:
                 go()
                 size = 0
-            if most and seen >= most:
-                break
-        if most and seen >= most:
-            break
     if held:
         go()
     return seen
@@ -160,10 +179,12 @@ def fit(train: DataFrame, text_col: str, vocab: dict) -> dict:
 
     def warm(batches):
         p, past = {k: v.copy() for k, v in first.items()}, gru.fresh_past(first)
-        _train_on(batches, vocab, p, past, WARM_TOKENS)
+        _train_on(batches, vocab, p, past)
         yield pa.RecordBatch.from_arrays([pa.array([gru.pack(p)]), pa.array([gru.pack(past)])], names=["p", "past"])
 
-    got = docs.limit(WARM_TOKENS // 100).coalesce(1).mapInArrow(warm, "p binary, past binary").first()
+    # Rows from all partitions, so many that about WARM_TOKENS tokens come.
+    share = F.pmod(F.xxhash64(F.lit("warm"), F.monotonically_increasing_id()), F.lit(1_000_003)) <= int(1_000_003 * WARM_TOKENS / max(1, vocab["N"]))
+    got = docs.filter(share).repartition(1).mapInArrow(warm, "p binary, past binary").first()
     if got is None:
         return first
     start, start_past = (gru.unpack(got[k], first) for k in ("p", "past"))
@@ -202,17 +223,17 @@ def _score_batch(p: dict, ids: np.ndarray, classes: np.ndarray, slots: np.ndarra
     order = np.argsort(-sizes, kind="stable")
     first, left = (np.cumsum(sizes) - sizes)[order], sizes[order]
     total = np.zeros(len(sizes))
-    h = np.zeros((len(sizes), HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, len(sizes)), np.float32)
     t = 0
     while (active := int(np.searchsorted(-left, -t, "left"))) > 0:
         span = int(min(max(8192 // active, 16), 2048, left[0] - t))
         steps = np.arange(t, t + span)[:, None]
         inside = steps < left[None, :active]
         at = np.where(inside, first[None, :active] + steps, first[None, :active])
-        hs, _ = gru.states(p, x[at], h[:active])
-        h[:active] = hs[-1]
+        hs, _ = gru.states(p, x[at], h[:, :active])
+        h[:, :active] = hs[-1]
         rows, flat = np.flatnonzero(inside.ravel()), at.ravel()
-        got = gru.log_probs(p, hs.reshape(-1, HIDDEN)[rows], classes[flat[rows]], slots[flat[rows]])
+        got = gru.log_probs(p, gru.by_token(hs)[rows], classes[flat[rows]], slots[flat[rows]])
         total[order[:active]] += np.bincount(rows % active, got, minlength=active)
         t += span
     return total
@@ -233,12 +254,12 @@ def score(docs: DataFrame, train: Column, text_col: str = "text", held_out_col:
     tail_log = np.log10(vocab["tail_n"] + vocab["tail_v"] + 1)
 
     def run(batches):
-        table, powers = blank_table(), Powers()
+        tokens, look_up = Tokenizer(), Head(vocab)
         for batch in batches:
-            for lo, hi, texts in text_slices(batch.column(batch.num_columns - 1), SCORED):
-                parts = [tokens(texts[a:b], table, powers) for a, b in chunked(texts, SPLIT)]
+            for lo, hi, texts in column_slices(batch.column(batch.num_columns - 1), SCORED):
+                parts = [tokens(q) for _, _, q in column_slices(texts, SPLIT)]
                 h, tail, sizes = (np.concatenate([q[i] for q in parts]) for i in range(3))
-                n, ids, c, s = _look_up(h, tail, vocab)
+                n, ids, c, s = look_up(h, tail)
                 owner = np.repeat(np.arange(hi - lo), sizes)
                 sums = lambda v: np.bincount(owner, v, minlength=hi - lo)  # noqa: B023, E731
                 log_n, in_tail = np.log10(n + 1.0), c >= HEADS

@@ -1,9 +1,8 @@
 """Quality: supervised subword embeddings with a softmax output.
 
 A document is the average of the learned vectors of its features: its words
-(runs of non-blanks, case kept), its character n-grams and, for a word equal to
-the one before it, one vector that all such repeats share. Words and n-grams
-are hashed into one table. A linear layer with softmax over the two classes
+(runs of non-blanks, case kept), its pairs of neighbouring words and its
+character n-grams. Words, pairs and n-grams are hashed into one table. A linear layer with softmax over the two classes
 reads the average. Vectors and layer are trained together by stochastic
 gradient descent in numpy (per-row Adagrad steps), one document at a time, in
 one task on the caller's bounded sample.
@@ -24,11 +23,9 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from recordforge.llm.textarrays import Powers, append_columns, blank_table, chunked, encode, ngram_buckets, owners, words
+from recordforge.llm.textarrays import ODD64, Powers, append_columns, blank_table, chunked, encode, mix, ngram_buckets, owners, text_slices, words
 
 BITS, ORDERS, DIMENSIONS, EPOCHS = 16, (2, 3), 12, 6
-#: The table row of all repeated words.
-REPEAT = 0
 
 
 def _features(texts: list, bits: int, orders: tuple, table: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -37,9 +34,9 @@ def _features(texts: list, bits: int, orders: tuple, table: np.ndarray, powers:
     h, begin, _, first = words(codes, starts, lens, table, powers)
     owner = owners(begin, starts)
     rows = (h >> np.uint64(64 - bits)).astype(np.int64)
-    again = np.zeros(len(h), bool)
-    again[1:] = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
-    found = [(owner, rows), (owner[again], np.full(int(again.sum()), REPEAT))]
+    inner = np.flatnonzero(owner[1:] == owner[:-1])
+    pairs = mix(h[inner] * np.uint64(ODD64[0]) + h[inner + 1] * np.uint64(ODD64[1]))
+    found = [(owner, rows), (owner[inner], (pairs >> np.uint64(64 - bits)).astype(np.int64))]
     for n in orders:
         buckets, inside = ngram_buckets(codes, starts, lens, n, bits)
         at = np.flatnonzero(inside)
@@ -54,10 +51,9 @@ def fit(sample: DataFrame, text_col: str, label_col: str, bits: int = BITS, orde
     def features(batches):
         table, powers = blank_table(), Powers()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
             ids, shares = [], []
-            for lo, hi in chunked(texts):
-                owner, row = _features(texts[lo:hi], bits, orders, table, powers)
+            for lo, hi, texts in text_slices(batch.column(0)):
+                owner, row = _features(texts, bits, orders, table, powers)
                 pairs, n = np.unique((owner.astype(np.int64) << bits) | row, return_counts=True)
                 doc = pairs >> bits
                 total = np.bincount(doc, n, minlength=hi - lo)
@@ -116,8 +112,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", threshold: float
     def make():
         table, powers, logit = blank_table(), Powers(), model["logit"]
 
-        def fn(batch):
-            texts = batch[text_col]
+        def fn(texts):
             z = np.empty(len(texts))
             for lo, hi in chunked(texts):
                 owner, row = _features(texts[lo:hi], model["bits"], model["orders"], table, powers)
@@ -128,4 +123,4 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", threshold: float
 
         return fn
 
-    return append_columns(docs, [T.StructField(score_col, T.DoubleType()), T.StructField(flag_col, T.IntegerType())], make, [text_col])
+    return append_columns(docs, [T.StructField(score_col, T.DoubleType()), T.StructField(flag_col, T.IntegerType())], make, text_col)

@@ -153,8 +153,46 @@ def words(codes: np.ndarray, starts: np.ndarray, lens: np.ndarray, table: np.nda
     return h, begin, end, first
 
 
-def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable, used: list[str]) -> DataFrame:
-    """Adds columns computed by `make()(batch as {name: list}) -> list of arrays`.
+def column_slices(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, pa.Array]]:
+    """Ranges of rows of about `limit` bytes, as Arrow slices that are not decoded."""
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
+    lo = held = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > lo and held + n > limit:
+            yield lo, i, column.slice(lo, i - lo)
+            lo, held = i, 0
+        held += n
+    if lo < len(sizes):
+        yield lo, len(sizes), column.slice(lo)
+
+
+def byte_words(column: pa.Array, inside: np.ndarray, values: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`words` on the bytes of an Arrow text column: hashes, begins, ends, each text's first word, and the bytes.
+
+    inside, values: for each of the 256 bytes, whether it is part of a word, and
+    the number that it counts as. Null texts are empty.
+    """
+    column = pa.compute.fill_null(column, "")
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, ends, data = column.buffers()
+    at = np.frombuffer(ends, width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    some = np.flatnonzero(at[1:] > at[:-1])
+    there = inside[raw]
+    opens, closes = there.copy(), there.copy()
+    opens[1:] &= ~there[:-1]
+    closes[:-1] &= ~there[1:]
+    opens[at[some]], closes[at[some + 1] - 1] = there[at[some]], there[at[some + 1] - 1]
+    begin, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    up, down = powers.upto(len(raw) + 1)
+    pre = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(values[raw] * up[: len(raw)], out=pre[1:])
+    return mix((pre[end] - pre[begin]) * down[begin]), begin, end, np.searchsorted(begin, at), raw
+
+
+def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable, text_col: str) -> DataFrame:
+    """Adds columns computed by `make()(list of texts) -> list of arrays`, from texts of about a chunk at a time.
 
     `make` runs once per task. Existing columns of the new names are replaced.
     """
@@ -165,8 +203,8 @@ def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable, u
     def run(batches):
         fn = make()
         for batch in batches:
-            got = fn({c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in used})
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in got)], names=[*batch.schema.names, *(f.name for f in fields)])
+            for lo, hi, texts in text_slices(batch.column(batch.schema.get_field_index(text_col))):
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns), *(pa.array(x) for x in fn(texts))], names=[*batch.schema.names, *(f.name for f in fields)])
 
     return kept.mapInArrow(run, schema)
 

@@ -6,7 +6,8 @@ the log-count ratio of naive Bayes between toxic and other training texts is
 taken; logistic regression is then fitted on the features multiplied by their
 ratios. Features whose counts do not differ between the classes beyond chance
 (chi-squared below `min_chi2`) get no weight, so that the many n-grams of a
-long text add no noise.
+long text add no noise; of those that do, the `most_features` with the largest
+chi-squared get one.
 
 Defined cases: a null text counts as empty; an empty text gets the score of the
 bias; repeated rows are scored alike; rows with a null label are not learned
@@ -21,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from recordforge.llm.textarrays import append_columns, chunked, encode, ngram_buckets, owners
+from recordforge.llm.textarrays import append_columns, chunked, encode, ngram_buckets, owners, text_slices
 
 BITS = 19
 ORDERS = (3, 4, 5)
@@ -65,9 +66,9 @@ def fit(sample: DataFrame, text_col: str, label_col: str, bits: int = BITS, orde
         df = np.zeros((2, size), np.int32)
         docs = np.zeros(2, np.int64)
         for batch in batches:
-            texts, labels = batch.column(0).to_pylist(), np.asarray(batch.column(1))
-            for lo, hi in chunked(texts):
-                _add_document_counts(df, labels[lo:hi], texts[lo:hi], bits, orders)
+            labels = np.asarray(batch.column(1))
+            for lo, hi, texts in text_slices(batch.column(0)):
+                _add_document_counts(df, labels[lo:hi], texts, bits, orders)
             docs += np.bincount(labels, minlength=2)
         if docs.any():
             yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()]), pa.array([docs.tobytes()])], names=["df", "docs"])
@@ -100,10 +101,9 @@ def fit(sample: DataFrame, text_col: str, label_col: str, bits: int = BITS, orde
         place = np.full(size, -1, np.int32)
         place[chosen] = np.arange(len(chosen), dtype=np.int32)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
             found = []
-            for lo, hi in chunked(texts):
-                owner, bucket = _present(texts[lo:hi], place >= 0, bits, orders)
+            for lo, hi, texts in text_slices(batch.column(0)):
+                owner, bucket = _present(texts, place >= 0, bits, orders)
                 found += np.split(place[bucket], np.searchsorted(owner, np.arange(1, hi - lo)))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["label", "features"])
 
@@ -144,8 +144,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", threshold: float
         weights[model["chosen"]] = model["weights"]
         selected = weights != 0
 
-        def fn(batch):
-            texts = batch[text_col]
+        def fn(texts):
             z = np.full(len(texts), model["bias"])
             for lo, hi in chunked(texts):
                 owner, bucket = _present(texts[lo:hi], selected, bits, model["orders"])
@@ -155,4 +154,4 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", threshold: float
 
         return fn
 
-    return append_columns(docs, [T.StructField(score_col, T.DoubleType()), T.StructField(flag_col, T.IntegerType())], make, [text_col])
+    return append_columns(docs, [T.StructField(score_col, T.DoubleType()), T.StructField(flag_col, T.IntegerType())], make, text_col)
