@@ -8,14 +8,19 @@ from recordforge.llm.textarrays import bounded_sample, held_out
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, label: Column, most: int, text_col: str = "text", id_col: str = "doc_id", extra: tuple = ()) -> DataFrame:
-    """(text, extra columns, label) of about `most` labelled documents.
+    """(text, extra columns, label) of about `most` labelled documents, one row for each id.
 
     The bound is on label rows, so the sampled ids have a proven size and can be
-    broadcast; each text stays where it was read.
+    broadcast; only texts of these ids are shuffled. Of several rows of one id
+    the smallest (by text, extra columns and label) counts, so repeated rows do
+    not exceed the bound. Null ids and null labels are left out; a null text
+    stays null; without labels the result is empty.
     """
     usable = labels.select(F.col(id_col).alias("_labelled"), label.alias("label")).filter("label is not null and _labelled is not null")
     chosen = bounded_sample(usable, "_labelled", most)
-    return docs.select(id_col, text_col, *extra).join(F.broadcast(chosen), F.col(id_col) == F.col("_labelled")).select(F.col(text_col).alias("text"), *extra, "label")
+    found = docs.select(id_col, text_col, *extra).join(F.broadcast(chosen), F.col(id_col) == F.col("_labelled"))
+    row = F.struct(F.col(text_col).alias("text"), *extra, "label")
+    return found.groupBy("_labelled").agg(F.min(row).alias("_row")).select("_row.*")
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, parts: int, part: int, most: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -26,6 +26,7 @@ replaced. Targets must name every domain that the labels have.
 from __future__ import annotations
 
 import math
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -63,8 +64,8 @@ def fit_domains(labelled: DataFrame, text_col: str, domain_col: str) -> tuple[Da
     return table, domains, [math.log(priors[d] / n) for d in domains]
 
 
-def posteriors(docs: DataFrame, text_col: str, id_col: str, table: DataFrame, domains: list[str], log_priors: list[float]) -> DataFrame:
-    """Adds _tokens and _p0.._pD, each document's tokens and posterior; drops the text.
+def posteriors(docs: DataFrame, text_col: str, id_col: str, table: DataFrame, domains: list[str], log_priors: list[float], keep_text: bool = False) -> DataFrame:
+    """Adds _tokens and _p0.._pD, each document's tokens and posterior; drops the text unless it is to stay.
 
     The sums of a document meet its row by id and hash of the text, so the plan
     may run each side of the join on its own. Repeated rows share their sums,
@@ -78,10 +79,11 @@ def posteriors(docs: DataFrame, text_col: str, id_col: str, table: DataFrame, do
     weight = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.col("_tokens"), F.lit(1)))
     logits = [F.lit(log_priors[i]) + F.coalesce(F.col(f"_s{i}") * weight, F.lit(0.0)) for i in k]
     top = F.greatest(*logits) if len(logits) > 1 else logits[0]
-    joined = keyed.drop(text_col).join(sums, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_hash_of")), "left").withColumn("_tokens", F.coalesce("_tokens", F.lit(0)))
+    rest = keyed if keep_text else keyed.drop(text_col)
+    joined = rest.join(sums, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_hash_of")), "left").withColumn("_tokens", F.coalesce("_tokens", F.lit(0)))
     shifted = joined.select("*", *[F.exp(z - top).alias(f"_e{i}") for i, z in enumerate(logits)])
     total = reduce(lambda a, b: a + b, [F.col(f"_e{i}") for i in k])
-    return shifted.select(*[c for c in docs.columns if c != text_col], "_tokens", *[(F.col(f"_e{i}") / total).alias(f"_p{i}") for i in k])
+    return shifted.select(*[c for c in docs.columns if keep_text or c != text_col], "_tokens", *[(F.col(f"_e{i}") / total).alias(f"_p{i}") for i in k])
 
 
 def _rate(steps: list[list[float]]):
@@ -113,8 +115,11 @@ def fit_rates(soft: DataFrame, targets: list[float]) -> tuple[list[list[float]],
     return steps, shares
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text_col: str = "text", id_col: str = "doc_id", domain_col: str = "domain") -> DataFrame:
-    """All columns of `docs` but the text, with n_tokens, domain, posterior, rate and copies.
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text_col: str = "text", id_col: str = "doc_id", domain_col: str = "domain", keep_text: bool = False) -> DataFrame:
+    """All columns of `docs`, with n_tokens, domain, posterior, rate and copies; the text only if asked for.
+
+    A warning tells which domains miss their target by more than a thousandth
+    (none can be reached of which hardly any document is likely).
 
     `labelled` has the text and `domain_col`. `copies` rounds the rate up or down
     by a hash of the id, so that its expectation is the rate.
@@ -122,14 +127,17 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text_co
     table, domains, log_priors = fit_domains(labelled, text_col, domain_col)
     new = ["n_tokens", "domain", "posterior", "rate", "copies"]
     docs = docs.drop(*new)
-    kept = [c for c in docs.columns if c != text_col]
+    kept = [c for c in docs.columns if keep_text or c != text_col]
     if not domains:
         return docs.select(*kept, F.coalesce(F.size(F.filter(F.split(text_col, "\\s+"), lambda w: w != "")), F.lit(0)).cast("long").alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     if missing := set(domains) - set(targets):
         raise ValueError(f"no target for {sorted(missing)}")
     total = sum(targets[d] for d in domains)
-    soft = materialise(posteriors(docs, text_col, id_col, table, domains, log_priors), "mixing-posteriors")
-    steps, _ = fit_rates(soft, [targets[d] / total for d in domains])
+    soft = materialise(posteriors(docs, text_col, id_col, table, domains, log_priors, keep_text), "mixing-posteriors")
+    wanted = [targets[d] / total for d in domains]
+    steps, reached = fit_rates(soft, wanted)
+    if missed := {d: round(r, 4) for d, w, r in zip(domains, wanted, reached) if abs(r - w) > 1e-3}:
+        warnings.warn(f"shares reached instead of their targets: {missed}", stacklevel=2)
     p = [F.col(f"_p{i}") for i in range(len(domains))]
     best = F.greatest(*p) if len(p) > 1 else p[0]
     domain = F.coalesce(*[F.when(p[i] == best, F.lit(d)) for i, d in enumerate(domains)])

@@ -36,13 +36,15 @@ WITH lines AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), parsed AS (
-  SELECT doc_id, text, pos, line, string_split_regex(regexp_replace(trim(line), '[0-9]+', '<*>', 'g'), '\s+') AS tok FROM lines
+  SELECT doc_id, text, pos, line, string_split_regex(regexp_replace(trim(line), '[0-9]+', '<*>', 'g'), '\s+') AS tok FROM lines WHERE regexp_matches(line, '[^ \t\n\x0B\f\r]')
 ), counted AS (
   SELECT *, len(tok) AS n, CAST(ceil((len(tok) - 3) / 4.0) AS INTEGER) AS w FROM parsed
 ), templates AS (
   SELECT doc_id, text, pos, n, s, tok[1:3 + w * s] AS head, tok[4 + w * (s + 1):n] AS tail FROM counted, (SELECT unnest([0, 1, 2, 3]) AS s) WHERE n >= 8
   UNION ALL
   SELECT doc_id, text, pos, n, -1, tok, [] FROM counted WHERE n >= 5 AND n < 8
+  UNION ALL
+  SELECT doc_id, text, pos, n, -2, [trim(line)], [] FROM counted WHERE n < 5
 ), firsts AS (
   SELECT n, s, head, tail, min(doc_id) AS first_doc FROM templates GROUP BY ALL HAVING min(doc_id) < max(doc_id)
 ), gone AS (
@@ -58,12 +60,12 @@ FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id AND d.text = k.text
 """
 
 
-def mix_by_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mix_by_labels(spark: SparkSession, docs: DataFrame, sf_dir: str, keep_text: bool = False) -> DataFrame:
     """Domains are language and quality label; the labels teach the classifier."""
     label = F.when(F.col("quality").isin(*QUALITY_SHARES), F.col("quality"))
     rows = labelled_rows(docs, load(spark, sf_dir, "labels"), label, TRAIN_ROWS, extra=("lang",))
     domain = F.when(F.col("lang").isin(*LANGUAGE_SHARES), F.concat_ws("/", "lang", "label"))
-    return mixing.mix(docs, rows.withColumn("domain", domain), MIX_TARGETS)
+    return mixing.mix(docs, rows.withColumn("domain", domain), MIX_TARGETS, keep_text=keep_text)
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +74,9 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [url_rules.host_rule(*r) for r in HOST_RULES] + [url_rules.pattern_rule("block", *p) for p in url_rules.SPAM_PATTERNS]
-    return url_rules.judge(load(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+    pages = load(spark, sf_dir, "pages").select("page_id", "url")
+    rules = url_rules.host_rules(spark.createDataFrame(HOST_RULES, "action string, host string, path string"))
+    return url_rules.judge(pages, rules.unionByName(url_rules.word_rules(pages))).select("page_id", "host", "path", "rule", "verdict")
 
 
 _RULE_ROWS = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in HOST_RULES)
@@ -81,6 +84,10 @@ OP4_SQL = rf"""
 WITH parts AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{url_rules.UPPER}', '{url_rules.LOWER}'), '') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
+), words AS (
+  SELECT DISTINCT w FROM (SELECT unnest(string_split(j, '-')) AS w FROM (SELECT unnest(regexp_extract_all(host, '{url_rules.JOINED}')) AS j FROM parts)) WHERE length(w) >= {url_rules.WORD}
+), bad AS (
+  SELECT DISTINCT host FROM (SELECT host, unnest(list_slice(string_split_regex(host, '[.-]'), 1, -2)) AS w FROM (SELECT DISTINCT host FROM parts)) JOIN words USING (w)
 ), rules(action, rule_host, rule_path) AS (VALUES {_RULE_ROWS}),
 fits AS (
   SELECT DISTINCT host, path, action, rule_host || rule_path AS rule FROM parts JOIN rules
@@ -88,7 +95,7 @@ fits AS (
 ), best AS (
   SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action FROM fits GROUP BY host, path
 )
-SELECT page_id, p.host, p.path, rule, coalesce(action, CASE WHEN regexp_matches(p.host || p.path, '^[^/]*(^|[.-])({"|".join(url_rules.SPAM_WORDS)})[.-]') THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, p.host, p.path, rule, coalesce(action, CASE WHEN p.host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
 """
 

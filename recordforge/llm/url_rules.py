@@ -8,42 +8,50 @@ expressions. Host rules ("this host and its subdomains, paths that start so")
 are compiled to such patterns too; of those that fit, the longest wins. Where
 none fits, the blocking patterns decide, and URLs that no rule touches pass.
 
-Built-in functions and joins only. Distinct URLs are judged once, so a URL that
-fills a third of the table costs no more than any other.
+Built-in functions and joins only; rules are a table of any size (action,
+pattern, tokens, rule, rank), such as `host_rules` and `word_rules` make. Distinct
+URLs are judged once, so a URL that fills a third of the table costs no more than
+any other; so are tokens that a third of all URLs hold, as a rule is filed under
+its rarest.
 
 Defined cases: a null URL, or one without `://`, has an empty host and path and
 passes; an empty path fits no host rule, as every rule's path begins with `/`;
-repeated rows get equal verdicts; an empty table gives an empty result.
+repeated rows get equal verdicts; repeated rules count once; of rules of equal
+rank the one with the larger pattern wins; a rule without tokens is an error; no
+rules leave the default; columns named host, path, rule or verdict are replaced,
+all others kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-#: (pattern over host + path, literal tokens of it). Words that mark spam hosts.
-SPAM_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")
-SPAM_PATTERNS = tuple((rf"^[^/]*(^|[.-]){w}[.-]", (w,)) for w in SPAM_WORDS)
+#: Joined words of a host, and the length from which one of them makes a rule.
+JOINED, WORD = "[a-z0-9]+(?:-[a-z0-9]+)+", 3
+RULES = "action string, pattern string, tokens array<string>, rule string, rank int"
 
 
-def escape(literal: str) -> str:
-    return re.sub(r"([.^$*+?()\[\]{}|\\])", r"\\\1", literal)
+def _escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"([.^$*+?()\[\]{}|\\])", r"\\$1")
 
 
-def host_rule(action: str, host: str, path: str) -> dict:
-    """A rule on a host, its subdomains and a path prefix.
+def host_rules(rules: DataFrame) -> DataFrame:
+    """Rules on hosts (action, host, path): the host and its subdomains, paths that start so.
 
     Tokens: those of the host, and those of the path that a delimiter ends.
     """
-    tokens = re.findall("[a-z0-9]+", host) + [t for t in re.findall("([a-z0-9]+)(?=[^a-z0-9])", path.lower())]
-    return {"rule": host + path, "action": action, "pattern": rf"^([^/]*\.)?{escape(host)}{escape(path)}", "tokens": tokens, "rank": len(host + path)}
+    tokens = F.concat(F.regexp_extract_all("host", F.lit("([a-z0-9]+)")), F.regexp_extract_all(F.lower("path"), F.lit("([a-z0-9]+)(?=[^a-z0-9])")))
+    pattern = F.concat(F.lit(r"^([^/]*\.)?"), _escaped(F.col("host")), _escaped(F.col("path")))
+    return rules.select("action", pattern.alias("pattern"), tokens.alias("tokens"), F.concat("host", "path").alias("rule"), F.length(F.concat("host", "path")).alias("rank"))
 
 
-def pattern_rule(action: str, pattern: str, tokens: tuple) -> dict:
-    return {"rule": None, "action": action, "pattern": pattern, "tokens": list(tokens), "rank": 0}
+def word_rules(df: DataFrame, url_col: str = "url") -> DataFrame:
+    """Rules that block hosts by the words that the table's own hosts join by hyphens, as keyword hosts do."""
+    joined = F.explode(F.regexp_extract_all("host", F.lit(JOINED), F.lit(0))).alias("_joined")
+    words = split_url(df, url_col).select("host").distinct().select(joined).select(F.explode(F.split("_joined", "-")).alias("word")).filter(F.length("word") >= WORD).distinct()
+    return words.select(F.lit("block").alias("action"), F.concat(F.lit("^[^/]*(^|[.-])"), "word", F.lit("[.-]")).alias("pattern"), F.array("word").alias("tokens"), F.lit(None).cast("string").alias("rule"), F.lit(0).alias("rank"))
 
 
 def split_url(df: DataFrame, url_col: str = "url") -> DataFrame:
@@ -52,21 +60,19 @@ def split_url(df: DataFrame, url_col: str = "url") -> DataFrame:
     return df.withColumns({"host": F.translate(part(1), UPPER, LOWER), "path": part(2)})
 
 
-def judge(df: DataFrame, rules: list[dict], url_col: str = "url", default: str = "allow") -> DataFrame:
+def judge(df: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow") -> DataFrame:
     """Adds host, path, rule and verdict to every row."""
-    spark = df.sparkSession
-    for r in rules:
-        if not r["tokens"]:
-            raise ValueError(f"rule without a literal token: {r['pattern']}")
-    table = spark.createDataFrame([(i, r["rule"], r["action"], r["pattern"], r["rank"], r["tokens"]) for i, r in enumerate(rules)], "rule_id int, rule string, action string, pattern string, rank int, tokens array<string>")
+    if bad := rules.filter("tokens is null or size(tokens) = 0").head():
+        raise ValueError(f"rule without a literal token: {bad['pattern']}")
+    table = rules.dropDuplicates(["pattern"])
     parsed = split_url(df.drop("host", "path", "rule", "verdict"), url_col)
     urls = parsed.select("host", "path").filter("host <> '' or path <> ''").distinct()
     full = F.concat("host", "path")
     tokens = urls.select("host", "path", F.explode(F.array_distinct(F.split(F.translate(full, UPPER, LOWER), "[^a-z0-9]+"))).alias("token"))
-    wanted = table.select("rule_id", F.explode("tokens").alias("token"))
+    wanted = table.select("pattern", F.explode("tokens").alias("token"))
     seen = tokens.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    rarest = Window.partitionBy("rule_id").orderBy(F.coalesce("n", F.lit(0)), "token")
-    index = wanted.join(seen, "token", "left").withColumn("k", F.row_number().over(rarest)).filter("k = 1").select("rule_id", "token").join(table.drop("tokens"), "rule_id")
+    rarest = Window.partitionBy("pattern").orderBy(F.coalesce("n", F.lit(0)), "token")
+    index = wanted.join(seen, "token", "left").withColumn("k", F.row_number().over(rarest)).filter("k = 1").select("pattern", "token").join(table.drop("tokens"), "pattern")
     fits = tokens.join(index, "token").filter(F.expr("regexp_like(concat(host, path), pattern)"))
-    best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "action"), F.struct("rank", -F.col("rule_id"))).alias("_best"))
+    best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "action"), F.struct("rank", "pattern")).alias("_best"))
     return parsed.join(best, ["host", "path"], "left").select(*[c for c in parsed.columns if c not in ("host", "path")], "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.action", F.lit(default)).alias("verdict"))
