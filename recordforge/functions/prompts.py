@@ -15,6 +15,23 @@ LIST_CLOSING = "\nThe list {name} has exactly {n} elements. Return a JSON array
 #: Headers and footers by name.
 PRESETS = {"data_gen": ("You write records of synthetic data.", "Be varied and precise."), "eval": ("You judge records.", "Judge each record alone.")}
 
+#: Whole templates by name. Their variables: user_instruction; optional topic and good, bad and duplicate examples.
+COMPLETE = {
+    "data_gen": "You write records of synthetic data.\nTask: {{ user_instruction }}"
+    "{% if topic %}\nKeep to the topic {{ topic }}.{% endif %}"
+    "{% if good_examples %}\nRecords should be as good as these: {{ good_examples }}{% endif %}"
+    "{% if bad_examples %}\nThey must not have the faults of these: {{ bad_examples }}{% endif %}"
+    "{% if duplicate_examples %}\nThese are taken, so write others: {{ duplicate_examples }}{% endif %}"
+    "\nLet no two records be alike."
+}
+
+
+def complete_preset(name: str) -> str:
+    """A whole template, for `render_prompt`."""
+    if name not in COMPLETE:
+        raise ValueError(f"unknown complete preset {name!r}; use one of {sorted(COMPLETE)}")
+    return COMPLETE[name]
+
 
 def double_braces(template: str) -> str:
     """`{name}` becomes `{{ name }}`; doubled braces, blocks and JSON literals stay."""
@@ -71,10 +88,15 @@ def compile_template(template: str, types: Mapping[str, str]) -> Column:
     """The text of a template as one Column over columns of the given types.
 
     Supports variables, dotted names and if / if not / else. A null variable is
-    an empty text; a condition holds for a value that is not null, empty, zero
-    or false.
+    an empty text, a list or struct its JSON; a condition holds for a value that
+    is not null, empty, zero or false.
     """
     text, tokens, at = double_braces(template), [], 0
+
+    def as_text(name: str) -> Column:
+        nested = types[name.split(".")[0]].startswith(("array", "map", "struct")) and "." not in name
+        return F.to_json(F.col(name)) if nested else F.col(name).cast("string")
+
     for m in TOKEN.finditer(text):
         tokens.append(("text", text[at : m.start()]))
         if m[1] is not None:
@@ -93,13 +115,13 @@ def compile_template(template: str, types: Mapping[str, str]) -> Column:
                 parts += [F.lit(value)] if value else []
             elif kind == "value":
                 known = value.split(".")[0] in types
-                parts.append(F.coalesce(F.col(value).cast("string"), F.lit("")) if known else F.lit(""))
+                parts.append(F.coalesce(as_text(value), F.lit("")) if known else F.lit(""))
             else:
                 name, negate, yes, no = value
                 truth = F.lit(False)
                 if name.split(".")[0] in types:
                     c = F.col(name)
-                    truth = F.coalesce(c if types[name.split(".")[0]] == "boolean" else ~c.cast("string").isin("", "0", "0.0", "false"), F.lit(False))
+                    truth = F.coalesce(c if types[name.split(".")[0]] == "boolean" else ~as_text(name).isin("", "0", "0.0", "false", "[]", "{}"), F.lit(False))
                 parts.append(F.when(~truth if negate else truth, build(yes)).otherwise(build(no)))
         return F.concat(*parts) if parts else F.lit("")
 

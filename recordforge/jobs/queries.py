@@ -489,6 +489,13 @@ def render_prompt(spark, d):
     return prompts.render_prompt(rows, "Write about {name}{% if segment %} in {{ segment }}.{% else %}.{% endif %}", "[]", num_records=3).select("c_custkey", "prompt")
 
 
+@query("""SELECT c_custkey, 'You write records of synthetic data.' || chr(10) || 'Task: about ' || c_name || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || 'Keep to the topic ' || c_mktsegment || '.' ELSE '' END || CASE WHEN c_custkey % 3 = 0 THEN chr(10) || 'Records should be as good as these: ["' || c_name || '"]' ELSE '' END
+  || chr(10) || 'Let no two records be alike.' || chr(10) || 'Return exactly 1 records as JSON of this form:' || chr(10) || '[]' AS prompt FROM customer""")
+def render_preset(spark, d):
+    rows = load(spark, d, "customer").select("c_custkey", F.concat(F.lit("about "), "c_name").alias("user_instruction"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("topic"), F.when(F.col("c_custkey") % 3 == 0, F.array("c_name")).otherwise(F.array().cast("array<string>")).alias("good_examples"))
+    return prompts.render_prompt(rows, prompts.complete_preset("data_gen"), "[]").select("c_custkey", "prompt")
+
+
 @query("""SELECT n_regionkey, 'Describe <names>' || '["' || string_agg(n_name, '","' ORDER BY n_name) || '"]</names>' || chr(10) || 'The list names has exactly ' || count(*) || ' elements. Return a JSON array of exactly ' || count(*) || ' results, in the same order, of this form:' || chr(10) || '[]' AS prompt FROM nation GROUP BY n_regionkey""")
 def render_list_prompt(spark, d):
     rows = load(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))

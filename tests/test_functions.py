@@ -167,6 +167,15 @@ def test_templates(spark):
     assert got[0].startswith("About Rome\n") and got[1].startswith("About Oslo: cold!\n") and "exactly 1 records" in got[0]
 
 
+def test_complete_preset(spark):
+    df = spark.createDataFrame([("cities", None, ["a", "b"], [], "x"), ("rivers", "Rhine", None, ["c"], None)], "user_instruction string, topic string, good_examples array<string>, bad_examples array<string>, duplicate_examples string")
+    got = [r.prompt for r in prompts.render_prompt(df, prompts.complete_preset("data_gen"), num_records=2).collect()]
+    assert "Task: cities" in got[0] and '["a","b"]' in got[0] and "faults" not in got[0] and "taken, so write others: x" in got[0] and "topic" not in got[0]
+    assert "topic Rhine" in got[1] and '["c"]' in got[1] and "as good as" not in got[1] and "exactly 2 records" in got[1]
+    with pytest.raises(ValueError, match="unknown complete preset"):
+        prompts.complete_preset("none")
+
+
 def test_template_errors(spark):
     df = spark.createDataFrame([(None,)], "city string")
     with pytest.raises(ValueError, match="missing required"):
