@@ -101,6 +101,88 @@ def test_classifier_defined_cases(spark, module):
     assert module.score(odd(spark), none).count() == 9
 
 
+MASK32, MASK64 = (1 << 32) - 1, (1 << 64) - 1
+
+
+def plain_mix(h):
+    """The same bijection of 64-bit numbers on Python's integers."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = ((h ^ (h >> shift)) * factor) & MASK64
+    return h ^ (h >> 31)
+
+
+def plain_bucket(gram, bits):
+    """A character n-gram's bucket, one character after the other."""
+    h = len(gram) * 0x1B873593 & MASK32
+    for k, c in enumerate(gram):
+        h ^= h >> 15
+        h = ((h + ord(c)) & MASK32) * textarrays.ODD32[k] & MASK32
+    h ^= h >> 13
+    return (h * textarrays.ODD32[5] & MASK32) >> (32 - bits)
+
+
+def plain_word(w):
+    return plain_mix(sum((ord(c) + 1) * pow(textarrays.BASE64, k, 1 << 64) for k, c in enumerate(w)) & MASK64)
+
+
+PLAIN = ["", "good text 3", "zzz bad 7 zzz bad", "Ünïcode   words\nand lines", "a", "ab " * 40, "the the the end"]
+
+
+def test_toxicity_score_is_the_sum_over_distinct_ngrams(spark):
+    train = spark.createDataFrame([(f"good text {i}", 1) for i in range(20)] + [(f"zzz bad {i}", 0) for i in range(20)], "text string, label int")
+    model = toxicity.fit(train, "text", "label")
+    weight = dict(zip(model["chosen"].tolist(), model["weights"].tolist()))
+    for r in toxicity.score(spark.createDataFrame([(t,) for t in PLAIN], "text string"), model).collect():
+        t = r.text.lower()
+        grams = {plain_bucket(t[i : i + n], model["bits"]) for n in model["orders"] for i in range(len(t) - n + 1)}
+        assert math.isclose(r.score, 1 / (1 + math.exp(-model["bias"] - sum(weight.get(b, 0) for b in grams))), rel_tol=1e-5)
+
+
+def test_quality_score_is_the_mean_over_features(spark):
+    train = spark.createDataFrame([(f"good text {i}", 1) for i in range(20)] + [(f"zzz bad {i}", 0) for i in range(20)], "text string, label int")
+    model = quality.fit(train, "text", "label")
+    bits = model["bits"]
+    for r in quality.score(spark.createDataFrame([(t,) for t in PLAIN], "text string"), model).collect():
+        hashes = [plain_word(w) for w in re.findall(r"[^\t\n\v\f\r ]+", r.text)]
+        pairs = [plain_mix((a * textarrays.ODD64[0] + b * textarrays.ODD64[1]) & MASK64) for a, b in zip(hashes, hashes[1:])]
+        rows = [h >> (64 - bits) for h in hashes + pairs] + [plain_bucket(r.text[i : i + n], bits) for n in model["orders"] for i in range(len(r.text) - n + 1)]
+        z = model["bias"] + sum(float(model["logit"][b]) for b in rows) / max(1, len(rows))
+        assert math.isclose(r.score, 1 / (1 + math.exp(-z)), rel_tol=1e-4)
+
+
+def test_language_is_the_nearest_centroid(spark):
+    train = spark.createDataFrame([("the cat and the dog " * (i % 3 + 1), "en") for i in range(9)] + [("el gato y la perra " * (i % 4 + 1), "es") for i in range(9)], "text string, lang string")
+    model = language.fit(train, "text", "lang")
+    size = 1 << model["bits"]
+    for r in language.predict(spark.createDataFrame([(t,) for t in PLAIN], "text string"), model).collect():
+        t = "".join(c if c.isalpha() else " " for c in r.text.lower())
+        n = Counter(plain_bucket(t[i : i + k], model["bits"]) for k in model["orders"] for i in range(len(t) - k + 1))
+        v = np.zeros(size)
+        for b, c in n.items():
+            v[b] = math.log1p(c) * model["idf"][b]
+        cosine = model["centroids"] @ v / max(np.linalg.norm(v), 1e-12)
+        if any(map(str.isalpha, r.text)):
+            best = {name for name, c in zip(model["langs"], cosine) if c >= cosine.max() - 1e-5}
+            assert r.lang_pred in best and math.isclose(r.score, min(1, max(0, cosine.max())), abs_tol=1e-4)
+        else:
+            assert (r.lang_pred, r.score) == ("und", 0)
+
+
+def test_language_sample_is_of_distinct_texts_and_ties_go_to_the_first(spark):
+    copies = spark.createDataFrame([("same words again", "b")] * 3000 + [("same words again", "a"), ("same words again", "c")], "text string, lang string")
+    model = language.fit(copies, "text", "lang", per_language=1)
+    assert model["langs"] == ["a", "b", "c"] and np.allclose(model["centroids"][0], model["centroids"][1])
+    assert {r.lang_pred for r in language.predict(spark.createDataFrame([("same words",)], "text string"), model).collect()} == {"a"}
+
+
+def test_labelled_rows_of_repeated_ids_stay_bounded(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i // 5}") for i in range(500)] + [(None, "x"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(5)] + [(3, 1), (3, 0), (None, 1), (4, None)], "doc_id long, y int")
+    got = [(r.text, r.label) for r in training_rows(docs, labels, "y", 4, 9, 1000).collect()]
+    assert len(got) == 5 and {g for g in got if g[0] is not None} == {("text 0", 0), ("text 0", 1)}
+    assert len(got) == 5 and training_rows(docs, labels.limit(0), "y", 4, 9, 1000).count() == 0
+
+
 def test_training_rows_leave_the_held_out(spark):
     docs = spark.range(200).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
     labels = docs.select("doc_id", F.lit(1).alias("y"))
@@ -114,10 +196,12 @@ def test_training_rows_leave_the_held_out(spark):
 
 def brute_templates(docs):
     def keys(line):
+        if not line.strip():
+            return []
         tokens = re.split(r"\s+", re.sub("[0-9]+", "<*>", line.strip(" ")))
         n = len(tokens)
         if n < 5:
-            return []
+            return [(n, -2, line.strip(" "), ())]
         if n < 8:
             return [(n, -1, tuple(tokens), ())]
         w = math.ceil((n - 3) / 4)
@@ -143,7 +227,11 @@ def test_line_templates_brute_force(spark):
 
 
 def test_line_templates_defined_cases(spark):
-    got = line_templates.drop_recurring(odd(spark).withColumn("n_lines", F.lit("clash")))
+    clashing = odd(spark).withColumns({c: F.lit("clash") for c in ("n_lines", "_hash", "_gone", "_gone_id", "_dropped")})
+    got = line_templates.drop_recurring(clashing)
+    assert got.columns == [c for c in clashing.columns if c != "n_lines"] + ["n_lines", "n_dropped"] and {r._gone for r in got.collect()} == {"clash"}
+    short = spark.createDataFrame([(1, "All rights reserved.\n\nin 12"), (2, "All rights reserved.\n\nin 13\n \t")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_templates.drop_recurring(short).collect()} == {1: "All rights reserved.\n\nin 12", 2: "\nin 13\n \t"}
     assert got.count() == 9 and [r.text for r in got.collect() if r.doc_id == 1] == ["a plain text of words here"] * 2
     assert [(r.text, r.n_lines) for r in got.collect() if r.doc_id == 2] == [(None, 0)]
     assert line_templates.drop_recurring(empty(spark)).count() == 0
@@ -186,6 +274,24 @@ def test_mixing_meets_targets_and_equals_numpy(spark):
     assert all(abs(x.copies - x.rate) < 1 for x in got)
 
 
+def test_mixing_posteriors_are_naive_bayes(spark):
+    say = {"a": "red green blue cyan pink", "b": "one two three four red"}
+    rows = [(i, " ".join(random.Random(i).choices(say["ab"[i % 2]].split(), k=i % 60))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = df.filter("doc_id < 20").withColumn("domain", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b"))
+    words = sorted({w for t in say.values() for w in t.split()})
+    bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(mixing.BUCKETS)).alias("b")).collect()}
+    n = {d: Counter(bucket[w] for i, t in rows[:20] if "ab"[i % 2] == d for w in t.split()) for d in "ab"}
+    like = {d: lambda w, d=d: math.log((n[d][bucket[w]] + 0.1) / (n[d].total() + 0.1 * mixing.BUCKETS)) for d in "ab"}
+    for r in mixing.mix(df, labelled, {"a": 1, "b": 1}).collect():
+        t = dict(rows)[r.doc_id].split()
+        z = [math.log(0.5) + sum(map(like[d], t)) * min(1, mixing.EVIDENCE / max(1, len(t))) for d in "ab"]
+        want = [math.exp(x - max(z)) / sum(math.exp(y - max(z)) for y in z) for x in z]
+        assert np.allclose(r.posterior, want, atol=1e-6)
+    with_text = mixing.mix(df, labelled, {"a": 1, "b": 1}, keep_text=True)
+    assert {r.doc_id: r.text for r in with_text.collect()} == dict(rows)
+
+
 def test_mixing_defined_cases(spark):
     labelled = spark.createDataFrame([("alpha words", "a"), ("beta things", "b"), (None, "a"), ("x", None)], "text string, domain string")
     got = mixing.mix(odd(spark).withColumn("rate", F.lit("clash")), labelled, {"a": 1, "b": 1})
@@ -200,9 +306,11 @@ def test_mixing_defined_cases(spark):
 
 
 def test_url_rules(spark):
-    urls = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/x?q#f", "x://www.example.com/en/", "x://www.example.com/EN/", "x://example.com", "x://b.net/es/1", "x://net/es/", "x://a.b.net/en?/es/", "x://ads.example.org/a", "x://loads.example.org/a", "x://evilexample.com/en/", "a://b://c.com/", "x://h.net:80/fr/", "x://h.net/fr/\nline"]
-    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(3, "http://")], "page_id long, url string")
-    rules = [url_rules.host_rule(*r) for r in queries.HOST_RULES] + [url_rules.pattern_rule("block", *p) for p in url_rules.SPAM_PATTERNS]
+    urls = [None, "", "no scheme", "http://", "HTTP://A.Example.COM/en/x?q#f", "x://www.example.com/en/", "x://www.example.com/EN/", "x://example.com", "x://b.net/es/1", "x://net/es/", "x://a.b.net/en?/es/", "x://ads.example.org/a", "x://loads.example.org/a", "x://evilexample.com/en/", "a://b://c.com/", "x://h.net:80/fr/", "x://h.net/fr/\nline", "x://www.Cheap-ads.org/", "x://a-b.org", "x://cheap.shop.org/x", "x://shop.org/cheap-ads.x"]
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)] + [(3, "http://", None)], "page_id long, url string, host string")
+    given = url_rules.host_rules(spark.createDataFrame(queries.HOST_RULES, "action string, host string, path string"))
+    rules = given.unionByName(given).unionByName(url_rules.word_rules(df))
+    assert {r.tokens[0] for r in url_rules.word_rules(df).collect()} == {"cheap", "ads"}
 
     def brute(u):
         if u is None or "://" not in u:
@@ -215,14 +323,15 @@ def test_url_rules(spark):
         fits = [(len(h + p), h + p, a) for a, h, p in queries.HOST_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         if fits:
             return host, path, max(fits)[1], max(fits)[2]
-        return host, path, None, "block" if any(re.search(p, host + path) for p, _ in url_rules.SPAM_PATTERNS) else "allow"
+        return host, path, None, "block" if any(re.search(rf"^[^/]*(^|[.-]){w}[.-]", host + path) for w in ("cheap", "ads")) else "allow"
 
     got = url_rules.judge(df, rules).collect()
     assert len(got) == len(urls) + 1
     assert all((r.host, r.path, r.rule, r.verdict) == brute(urls[r.page_id]) for r in got)
     assert url_rules.judge(df.limit(0), rules).count() == 0
+    assert {r.verdict for r in url_rules.judge(df, rules.limit(0)).collect()} == {"allow"}
     with pytest.raises(ValueError, match="literal token"):
-        url_rules.judge(df, [url_rules.pattern_rule("block", ".*", ())])
+        url_rules.judge(df, spark.createDataFrame([("block", ".*", [], None, 0)], url_rules.RULES))
 
 
 # 5: Jaccard join
@@ -266,12 +375,60 @@ def test_join_brute_force(spark):
     assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute_join(docs)
 
 
-def test_join_large_bucket_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(chosen_path, "BLOCK", 8)
-    monkeypatch.setattr(chosen_path, "SMALL", 6)
-    docs = near_copies(random.Random(7), 3, 60)
+def test_join_large_nodes_in_slices(spark, monkeypatch):
+    """The same classes where every node is large; each linked document has a link."""
+    monkeypatch.setattr(chosen_path, "SMALL", 4)
+    monkeypatch.setattr(chosen_path, "SLICE", 16)
+    monkeypatch.setattr(chosen_path, "REPRESENTATIVES", 3)
+    docs = near_copies(random.Random(7), 6, 60)
     got = chosen_path.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute_join(docs)
+    want = brute_join(docs)
+    assert {r.doc_id: r.class_id for r in got} == {i: c for i, (c, _) in want.items()}
+    assert all((r.n_links > 0) == (want[r.doc_id][1] > 0) and r.n_links <= want[r.doc_id][1] for r in got)
+
+
+def test_join_one_group_of_thousands(spark):
+    """Rows compared grow with a near-copy group, not with its square; classes equal brute force."""
+    rng = random.Random(11)
+    body = [f"w{rng.randint(0, 900)}" for _ in range(120)]
+    docs = []
+    for i in range(3000):
+        copy = list(body)
+        for _ in range(rng.choice([1, 1, 2, 3, 6])):
+            copy[rng.randrange(len(copy))] = f"e{rng.randint(0, 10**6)}"
+        docs.append((i, " ".join(copy)))
+    shingles = [{hash(tuple(t.split()[k : k + 5])) for k in range(116)} for _, t in docs]
+    names = {x: k for k, x in enumerate({x for s in shingles for x in s})}
+    has = np.zeros((len(docs), len(names)), np.float32)
+    for i, s in enumerate(shingles):
+        has[i, [names[x] for x in s]] = 1
+    common = has @ has.T
+    size = has.sum(1)
+    label = chosen_path._labels((common >= 0.8 * (size[:, None] + size - common) - 1e-6) & ~np.eye(len(docs), dtype=bool))
+    got = {r.doc_id: r.class_id for r in chosen_path.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(got[i] != label[i] for i in got) <= 0.002 * len(docs)
+
+
+def test_join_keeps_texts_of_one_id(spark):
+    docs = [(1, "one two three four five six"), (1, "other words are in this row"), (2, "one two three four five six"), (2, "one two three four five six"), (3, None), (3, None), (None, "x"), (None, "x")]
+    kept = chosen_path.keep_first(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept) == [(-1, "x"), (-1, "x"), (1, "one two three four five six"), (1, "other words are in this row"), (3, "")]
+
+
+def test_later_ids_read_every_text_of_an_id(spark):
+    whole = [(1, "one two three four five six seven"), (2, "one two three four five six seven"), (3, "all of these words differ here")]
+    cut = [(1, "one two three four five six seven"), (2, "seven"), (4, "seven"), (5, ""), (6, "")]
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc for r in chosen_path.later_ids(df(whole + cut), df(cut).select("doc_id")).collect()) == [2, 4]
+
+
+def test_likely_loses_none(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "BITS", 17)
+    rows = spark.range(20_000).withColumnRenamed("id", "x")
+    wanted = rows.filter("x % 100 = 3").withColumnRenamed("x", "y")
+    got = {r.x for r in chosen_path.likely(rows, "x", wanted).collect()}
+    assert {x for x in range(20_000) if x % 100 == 3} <= got and len(got) < 400
+    assert chosen_path.likely(rows, "x", wanted.limit(0)).count() == 0
 
 
 def test_join_defined_cases(spark):
@@ -288,15 +445,24 @@ def test_runs_needed_reach_the_recall():
         assert (1 - 0.8**levels) ** n <= 1 - chosen_path.RECALL < (1 - 0.8**levels) ** (n - 1)
 
 
-def test_leaves_reach_the_recall_in_large_nodes(spark):
-    """Pairs of similarity 0.8 in four levels of nodes far above SMALL; every token has one of four values."""
-    rng, pairs = np.random.default_rng(6), 4000
-    width = chosen_path.SIGNATURE + chosen_path.MOST_RUNS * (chosen_path.LEVELS - 1)
-    a = rng.integers(0, 4, (pairs, width))
-    b = np.where(rng.random(a.shape) < 0.8, a, (a + rng.integers(1, 4, a.shape)) % 4)
-    rows = [(2 * i + side, x[: chosen_path.SIGNATURE].tolist(), x[chosen_path.SIGNATURE :].tolist()) for side, both in enumerate((a, b)) for i, x in enumerate(both)]
-    sets = spark.createDataFrame(rows, "set long, sig array<long>, deeper array<int>").repartition(4).cache()
-    met = chosen_path.leaves(sets, []).groupBy("key", F.floor(F.col("set") / 2).alias("pair")).count().filter("count = 2").select("pair").distinct().count()
+def test_sampled_tokens_keep_pairs_at_the_threshold():
+    width = chosen_path.runs_needed(chosen_path.LEVELS) * chosen_path.LEVELS
+    cut = chosen_path.least_matches(width, 0.8)
+    below = sum(math.comb(width, m) * 0.8**m * 0.2 ** (width - m) for m in range(cut))
+    assert below < 1e-4 and cut > width // 2
+
+
+def test_trees_reach_the_recall_in_large_nodes(spark):
+    """Pairs of similarity 0.8 in four levels of nodes far above SMALL; every token has one of eight values."""
+    rng, pairs = np.random.default_rng(6), 6000
+    runs = chosen_path.runs_needed(chosen_path.LEVELS)
+    a = rng.integers(0, 8, (pairs, runs * chosen_path.LEVELS), dtype=np.uint16)
+    b = np.where(rng.random(a.shape) < 0.8, a, (a + rng.integers(1, 8, a.shape)) % 8).astype(np.uint16)
+    rows = [(2 * i + side, 1, x[:runs].tolist(), x.tobytes()) for side, both in enumerate((a, b)) for i, x in enumerate(both)]
+    sets = spark.createDataFrame(rows, "set long, size long, sig array<long>, sketch binary").repartition(4).cache()
+    leaves, large = chosen_path.grow(sets, 0.8, [])
+    both = leaves if large is None else leaves.unionByName(large)
+    met = both.groupBy("key", F.floor(F.col("set") / 2).alias("pair")).count().filter("count = 2").select("pair").distinct().count()
     assert pairs - met <= 0.002 * pairs
 
 
@@ -322,8 +488,10 @@ def test_components(spark):
 
 
 def test_ball_tree_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ball_tree, "SHARD", 40)
-    monkeypatch.setattr(ball_tree, "QUERIES", 7)
+    monkeypatch.setattr(ball_tree, "SHARD", 20)
+    monkeypatch.setattr(ball_tree, "CELLS", 6)
+    monkeypatch.setattr(ball_tree, "QUERIES", 4)
+    monkeypatch.setattr(ball_tree, "LEAF", 5)
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=6).round(1)]) for i in range(300)]
     rows += [(1000, None), (1020, [1.0] * 5 + [None]), (1040, [math.nan] * 6), (1060, [math.inf] + [0.0] * 5), (None, [1.0] * 6), (1080, []), (1100, list(rows[3][1]))]
@@ -335,6 +503,9 @@ def test_ball_tree_brute_force(spark, monkeypatch):
         want = sorted(((-sum(a * b for a, b in zip(fine[q], v)), i) for i, v in fine.items() if i != q))[:20]
         assert got[q] == [(i, -s) for s, i in want]
     assert set(got) == {i for i in fine if i % 20 == 0}
+    again = spark.createDataFrame([(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 1.0]), (21, [1.0, 1.0]), (21, [1.0, 1.0]), (22, [1e300, 1.0])], "vec_id long, embedding array<double>")
+    told = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ball_tree.top_k(again, F.col("vec_id") == 20).collect())
+    assert told == sorted([(20, 1, 22, 2**62), (20, 2, 21, 4096), (20, 3, 21, 4096), (20, 1, 21, 4096), (20, 2, 21, 4096), (20, 3, 22, 4096)])
     one = spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>")
     assert ball_tree.top_k(one, F.col("vec_id") == 0).count() == 0 and ball_tree.top_k(one.limit(0), F.col("vec_id") == 0).count() == 0
 
@@ -347,15 +518,15 @@ def test_gru_gradients():
     p = {k: v.astype(np.float64) for k, v in gru.new(np.array([9, 7, 5, 3]), np.array([16.0, 8.0, 5.0]), 2, 2, 3).items()}
     x, c, s = np.array([[0, 1], [7, 4], [5, 2]]), np.array([[0, 1], [2, 0], [1, 2]]), np.array([[1, 0], [0, 0], [1, 0]])
     x = np.minimum(x, len(p["x"]) - 1)
-    h0 = rng.normal(size=(2, 3))
+    h0 = rng.normal(size=(3, 2))
     g, _, loss = gru.gradients(p, x, c, s, h0)
-    assert np.isclose(loss, -gru.log_probs(p, gru.states(p, x, h0)[0].reshape(-1, 3), c.ravel(), s.ravel()).mean(), atol=1e-4)
+    assert np.isclose(loss, -gru.log_probs(p, gru.by_token(gru.states(p, x, h0)[0]), c.ravel(), s.ravel()).mean(), atol=1e-4)
 
     def numeric(name, at, eps=1e-2):
         old, out = p[name][at], []
         for sign in (1, -1):
             p[name][at] = old + sign * eps
-            out.append(-gru.log_probs(p, gru.states(p, x, h0)[0].astype(np.float64).reshape(-1, 3), c.ravel(), s.ravel()).mean())
+            out.append(-gru.log_probs(p, gru.by_token(gru.states(p, x, h0)[0].astype(np.float64)), c.ravel(), s.ravel()).mean())
         p[name][at] = old
         return (out[0] - out[1]) / (2 * eps)
 
@@ -370,6 +541,28 @@ def test_gru_gradients():
         assert np.isclose(g["w"][k][1, 0], numeric("w", (k, 1, 0)), atol=2e-3)
 
 
+def test_gru_places_that_fill_up_count_for_nothing():
+    rng = np.random.default_rng(3)
+    p = gru.new(np.array([9, 7, 5, 3]), np.array([16.0, 8.0, 5.0]), 2, 2, 3)
+    x, c, s = rng.integers(0, 6, (6, 2)), rng.integers(0, 3, (6, 2)), rng.integers(0, 2, (6, 2))
+    whole, _, loss = gru.gradients(p, x[:4], c[:4], s[:4], np.zeros((3, 2), np.float32))
+    part, _, same = gru.gradients(p, x, c, s, np.zeros((3, 2), np.float32), np.arange(6)[:, None] + np.zeros((1, 2)) < 4)
+    assert np.isclose(loss, same) and all(np.allclose(whole[k], part[k], atol=1e-6) for k in ("c", "cb", "u"))
+    assert all(np.allclose(whole["w"][k], part["w"][k], atol=1e-6) for k in part["w"]) and set(whole["w"]) == set(part["w"])
+
+
+def test_byte_words_are_those_of_code_points():
+    import pyarrow as pa
+
+    texts = ["", "Ab c", None, "x", " é\tü ñandú\n", "ab", "C c", "日本 ab"]
+    tokens = lm_scoring.Tokenizer()
+    for lo in (0, 3):
+        h, _, sizes = tokens(pa.array(texts).slice(lo))
+        words = [w for t in texts[lo:] for w in [*re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]]
+        assert sizes.tolist() == [len((t or "").split()) + 1 for t in texts[lo:]]
+        assert all((a == b) == (x == y) for a, x in zip(words, h) for b, y in zip(words, h))
+
+
 def test_gru_softmax_sums_to_one():
     p = gru.new(np.array([9, 7, 5, 3]), np.array([16.0, 8.0, 5.0]), 2, 2, 3)
     h = np.random.default_rng(1).normal(size=(1, 3)).astype(np.float32)
@@ -390,10 +583,10 @@ def test_lm_state_is_carried_across_windows():
     x = lm_scoring._previous(ids, sizes)
     at = 0
     for total, n in zip(got, sizes):
-        h, want = np.zeros((1, lm_scoring.HIDDEN), np.float32), 0.0
+        h, want = np.zeros((lm_scoring.HIDDEN, 1), np.float32), 0.0
         for t in range(at, at + n):
             h = gru.states(p, x[t : t + 1, None], h)[0][0]
-            want += gru.log_probs(p, h, c[t : t + 1], s[t : t + 1])[0]
+            want += gru.log_probs(p, np.ascontiguousarray(h.T), c[t : t + 1], s[t : t + 1])[0]
         assert np.isclose(total, want, rtol=1e-4)
         at += n
 
@@ -555,7 +748,37 @@ def test_pipeline_stages(spark):
     assert not any(r["items"] for r in latent_decontam.flag(docs, load(spark, d, "benchmark")).collect())
     assert all(r.n_links == 0 for r in chosen_path.join(docs).collect())
     final = corpus_pipeline.STAGES[-1][1](spark, docs, d)
-    assert final.count() == sizes[-1] and {"doc_id", "rate", "copies", "domain"} <= set(final.columns)
+    assert final.count() == sizes[-1] and {*columns, "rate", "copies", "domain"} <= set(final.columns)
+    assert {r.doc_id: r.text for r in final.collect()} == {r.doc_id: r.text for r in docs.collect()}
+
+
+def test_pipeline_leaves_no_remnant_of_a_near_copy(spark, tmp_path):
+    """A copy with one edited line in ten loses nine to line dedup; what is left of it goes, too."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    lines = [" ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 10**6)}x" for _ in range(12)) for _ in range(30)]
+    edited = lines[:7] + [" ".join(f"q{k}z{k}" for k in range(12))] + lines[8:]
+    other = [" ".join(f"o{rng.choice('abcdefgh')}{rng.randint(0, 10**6)}x" for _ in range(12)) for _ in range(5)]
+    rows = [(1, "\n".join(lines), "en", "s", 1), (2, "\n".join(edited), "en", "s", 1), (3, "\n".join(other), "en", "s", 1), (3, "\n".join(other), "en", "s", 1), (None, "no id", "en", "s", 5), (4, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = corpus_pipeline.drop_lines(spark, load(spark, str(tmp_path), "documents"), str(tmp_path))
+    assert {r.doc_id: r.text for r in docs.collect()}[2] == edited[7]
+    left = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id or -1 for r in left.collect()) == [-1, 1, 3, 4] and left.columns == docs.columns
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_pipeline_stages_defined_cases(spark, sf, number):
+    """Nulls in any column, empty and long texts, repeated rows, an extra column of a clashing name."""
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[number]
+    docs = odd(spark).select("doc_id", "text", "lang", F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), "score")
+    got = stage(spark, docs, sf)
+    ids = sorted(r.doc_id or -1 for r in got.collect())
+    assert set(ids) >= ({-1, 2, 6} if name == "line_dedup" else {-1, 1, 2, 3, 4, 5, 6, 7}) and len(ids) <= 9
+    assert got.columns[:6] == docs.columns
 
 
 def test_pipeline_takes_empty_documents(spark, sf):
