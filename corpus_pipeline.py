@@ -1,9 +1,16 @@
 """The corpus pipeline: five stages from raw documents to a weighted training mix.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame. `run` writes each
-stage's result to shared storage as Parquet and reads it back for the next one.
-The last stage returns a manifest: the columns of documents but the text, with
-each document's domain, rate and number of copies.
+stage's result to shared storage as Parquet, reads it back for the next one and deletes
+what the stage needed on the way. The last stage returns the columns of
+documents with each document's domain, rate and number of copies.
+
+Defined cases of all stages: rows with a null id or text pass every stage
+that would have to judge them by it (a null text counts as empty, a null id as a
+document of its own, whose lines are not cut); repeated rows are judged alike,
+and the third stage keeps one of them; empty tables give empty results; long
+texts are read whole. The stages return the columns of documents that they are
+given, extra ones too, but for columns of the last stage's names, which it replaces.
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from recordforge.llm import chosen_path, latent_decontam, line_templates, toxicity
 from recordforge.llm.labelled import labelled_rows
 from recordforge.llm.queries import TRAIN_ROWS, mix_by_labels
-from recordforge.sources.tables import load, materialise
+from recordforge.sources.tables import discard, load, materialise, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +38,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of similar documents the one with the smallest id stays."""
-    return chosen_path.keep_first(docs).select(docs.columns)
+    """Of each class of similar documents the one with the smallest id stays.
+
+    A near copy whose shared lines an earlier stage cut resembles nothing any
+    more. So each document is judged by its text as given and as `documents`
+    has it; texts of one id are one document here. Of a repeated row one stays.
+    """
+    texts = docs.select("doc_id", "text").unionByName(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    later = chosen_path.later_ids(texts, docs.select("doc_id"))
+    once = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null")
+    kept = docs.join(later, F.col("doc_id") == F.col("doc"), "left_anti")
+    if once.isEmpty():
+        return kept
+    return kept.withColumn("_text_hash", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text"))).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +60,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rates that bring the expected token totals of the domains to their targets."""
-    return mix_by_labels(spark, docs, sf_dir)
+    return mix_by_labels(spark, docs, sf_dir, keep_text=True)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("jaccard_join", drop_near_copies), ("decontamination", drop_contaminated), ("mixing", mix)]
@@ -52,7 +70,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as paths:
+            after = materialise(stage(spark, docs, sf_dir), name)
+            paths.pop()
+        discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
