@@ -57,7 +57,7 @@ def fit_domains(labelled: DataFrame, text_col: str, domain_col: str) -> tuple[Da
         return None, [], []
     counts = _words(rows, ["_domain"]).groupBy("_bucket").agg(*[F.sum(F.when(F.col("_domain") == d, 1).otherwise(0)).alias(f"_c{i}") for i, d in enumerate(domains)])
     all_buckets = labelled.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("_bucket"))
-    counts = materialise(all_buckets.join(counts, "_bucket", "left").na.fill(0).coalesce(1), "mixing-words")
+    counts = materialise(all_buckets.join(counts, "_bucket", "left").na.fill(0), "mixing-words")
     totals = counts.agg(*[F.sum(f"_c{i}").alias(f"_c{i}") for i in range(len(domains))]).first()
     table = counts.select("_bucket", *[F.log((F.col(f"_c{i}") + 0.1) / (totals[i] + 0.1 * BUCKETS)).alias(f"_l{i}") for i in range(len(domains))])
     n = sum(priors.values())
