@@ -44,8 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     more. So each document is judged by its text as given and as `documents`
     has it; texts of one id are one document here. Of a repeated row one stays.
     """
-    texts = docs.select("doc_id", "text").unionByName(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    later = chosen_path.later_ids(texts, docs.select("doc_id"))
+    later = chosen_path.later_ids([docs, load(spark, sf_dir, "documents")], docs.select("doc_id"))
     once = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null")
     kept = docs.join(later, F.col("doc_id") == F.col("doc"), "left_anti")
     if once.isEmpty():
