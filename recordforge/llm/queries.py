@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from recordforge.llm import ball_tree, chosen_path, language, latent_decontam, line_templates, lm_scoring, mixing, quality, toxicity, url_rules
+from recordforge.llm import ball_tree, chosen_path, impact_search, language, latent_decontam, line_templates, lm_scoring, mixing, quality, shared_spans, toxicity, url_rules, word_runs
 from recordforge.llm.labelled import labelled_rows, training_rows
 from recordforge.llm.textarrays import held_out
 from recordforge.sources.tables import load
@@ -143,5 +143,123 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("items") > 0).cast("int").alias("contaminated"), "items", "overlap")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_mix, op4_url_rules, op5_jaccard_join, op6_ball_tree, op7_quality, op8_lm_score, op9_language, op10_decontaminate)}
-ORACLE_SQL = {"op2_line_templates": OP2_SQL, "op4_url_rules": OP4_SQL, "op6_ball_tree": OP6_SQL}
+#: The six ASCII blanks between words, and a word.
+BLANKS, WORD = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
+
+
+def periodic(docs: DataFrame) -> DataFrame:
+    """The documents, of which every tenth repeats a stretch of its words to its end; ids decide where and how."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    cut = docs.select("doc_id", "text", crc.alias("h"), F.when(crc % 10 == 0, F.filter(F.split("text", BLANKS), lambda w: w != "")).alias("w"))
+    cut = cut.select("doc_id", "text", "w", F.size("w").cast("long").alias("n"), F.floor(F.col("h") / 10).alias("g")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    cut = cut.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    as_int = lambda x: x.cast("int")
+    period = F.slice("w", as_int(F.col("a") + 1), as_int(F.col("p")))
+    tail = F.slice(F.flatten(F.array_repeat(period, as_int(F.ceil((F.col("n") - F.col("a")) / F.col("p"))))), 1, as_int(F.col("n") - F.col("a")))
+    return cut.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("w", 1, as_int(F.col("a"))), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs.collapse_runs(periodic(load(spark, sf_dir, "documents")))
+    # By start and period already: only a greater exponent takes the place of an earlier run.
+    most = F.reduce("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda best, r: F.when(best.isNull() | (r.length * best.period > best.length * r.period), r).otherwise(best))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string"))), "\n")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), most.alias("most"), F.concat(lines, F.when(F.size("runs") > 0, "\n").otherwise("")).alias("lines"), F.coalesce("collapsed", F.lit("")).alias("collapsed"))
+    return found.select("doc_id", "n_runs", "most.start", "most.length", "most.period", F.floor(1000 * F.col("most.length") / F.col("most.period")).alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def _op11_sql(most_words: int = 1 << 17) -> str:
+    """Units of 2, 4, 8 .. words; the next equal unit tells the period, as within a run they are equal at its multiples only."""
+    steps, unions, k = [], [], 2
+    while k <= most_words // 2:
+        half = "w AS half, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS other FROM words" if k == 2 else f"name AS half, lead(name, {k // 2}) OVER (PARTITION BY doc_id ORDER BY i) AS other FROM unit{k // 2}"
+        steps.append(f"unit{k} AS MATERIALIZED (SELECT doc_id, i, CASE WHEN half IS NOT NULL AND other IS NOT NULL THEN dense_rank() OVER (ORDER BY doc_id, half, other) END AS name FROM (SELECT doc_id, i, {half}) WHERE {k // 2} <= (SELECT max(i) + 1 FROM words))")
+        unions.append(f"SELECT doc_id, i, {k} AS k, lead(i) OVER (PARTITION BY name ORDER BY i) - i AS q FROM unit{k} WHERE name IS NOT NULL")
+        k *= 2
+    return ",\n".join(steps) + ",\nnear AS (" + "\nUNION ALL ".join(unions) + ")"
+
+
+OP11_SQL = rf"""
+WITH crc AS (
+  SELECT doc_id, text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda x, y: list_reduce(list_prepend(xor(x, y), range(8)), lambda u, v: CASE WHEN u & 1 = 1 THEN xor(u >> 1, 3988292384::BIGINT) ELSE u >> 1 END)), 4294967295::BIGINT) AS h FROM documents
+), cut AS (
+  SELECT doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM crc
+), shape AS (
+  SELECT *, len(ws) AS n, g % nullif(len(ws), 0) AS a FROM cut
+), source AS (
+  SELECT doc_id, ws, n, unnest(range(n)) AS i, CASE WHEN h % 10 = 0 THEN a ELSE n END AS a, 1 + (n - a) // (3 + g % 8) AS p FROM shape
+), words AS MATERIALIZED (
+  SELECT doc_id, i, CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % p + 1] END AS w FROM source
+),
+{_op11_sql()},
+runs AS MATERIALIZED (
+  SELECT doc_id, min(i) AS start, max(i) - min(i) + q + any_value(k) AS length, q AS period
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, k, q ORDER BY i) AS island FROM near WHERE q >= k // 2 AND q < k)
+  GROUP BY doc_id, q, island HAVING length >= greatest(6, 4 * q)
+), best AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min({{'start': start, 'length': length, 'period': period}}, [-length::DOUBLE / period, start, period]) AS m,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, m.start AS start, m.length AS length, m.period AS period, 1000 * m.length // m.period AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+def op12_shared_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shared_spans.drop_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP12_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + {shared_spans.WINDOW - 1}], ' ') AS k FROM (SELECT *, unnest(range(1, len(ws) - {shared_spans.WINDOW - 2})) AS i FROM d)
+), firsts AS (
+  SELECT k, min(doc_id) AS f FROM windows GROUP BY k HAVING min(doc_id) < max(doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, i + j AS i FROM windows JOIN firsts USING (k), (SELECT unnest(range({shared_spans.WINDOW})) AS j) WHERE doc_id > f
+), words AS (
+  SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(w, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+def op13_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.search(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+OP13_SQL = rf"""
+WITH doc_terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{url_rules.UPPER}', '{url_rules.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents
+), item_terms AS (
+  SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, '{url_rules.UPPER}', '{url_rules.LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL
+), tf AS (
+  SELECT doc_id, t, count(*) AS tf FROM doc_terms GROUP BY ALL
+), lengths AS (
+  SELECT doc_id, count(*) AS n FROM doc_terms GROUP BY doc_id
+), corpus AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM lengths
+), norms AS (
+  SELECT doc_id, 25 + (75 * n * n_docs) // n_terms AS m FROM lengths, corpus
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM tf, corpus GROUP BY t, n_docs
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM item_terms JOIN weights USING (t) JOIN tf USING (t) JOIN norms USING (doc_id) GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= {impact_search.TOP}
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_templates, op3_mix, op4_url_rules, op5_jaccard_join, op6_ball_tree, op7_quality, op8_lm_score, op9_language, op10_decontaminate, op11_word_runs, op12_shared_spans, op13_impact_search)}
+ORACLE_SQL = {"op2_line_templates": OP2_SQL, "op4_url_rules": OP4_SQL, "op6_ball_tree": OP6_SQL, "op11_word_runs": OP11_SQL, "op12_shared_spans": OP12_SQL, "op13_impact_search": OP13_SQL}

@@ -191,6 +191,43 @@ def byte_words(column: pa.Array, inside: np.ndarray, values: np.ndarray, powers:
     return mix((pre[end] - pre[begin]) * down[begin]), begin, end, np.searchsorted(begin, at), raw
 
 
+def byte_lane(lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For `byte_words`: words are runs of other than the six ASCII blanks, A-Z lower-cased or not."""
+    inside = np.ones(256, bool)
+    inside[[9, 10, 11, 12, 13, 32]] = False
+    values = np.arange(1, 257, dtype=np.uint64)
+    if lower:
+        values[65:91] += np.uint64(32)
+    return inside, values
+
+
+def word_spans(h: np.ndarray, powers: Powers) -> Callable:
+    """A function (begins, ends) -> hashes of the words from begin to end, one mixed number for each stretch."""
+    up, down = powers.upto(len(h) + 1)
+    pre = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * up[: len(h)], out=pre[1:])
+    return lambda lo, hi: mix((pre[hi] - pre[lo]) * down[lo])
+
+
+def kept_text(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """The kept words of each text, joined by one space; arguments as `byte_words` returns them."""
+    last = np.zeros(len(begin) + 1, np.int64)
+    np.cumsum(keep, out=last[1:])
+    kept = np.flatnonzero(keep)
+    closing = np.zeros(len(begin), bool)  # the last kept word of its text takes no blank along
+    some = last[first[1:]] > last[first[:-1]]
+    closing[kept[last[first[1:]][some] - 1]] = True
+    width = np.where(keep, end - begin + ~closing, 0)
+    edge = np.zeros(len(raw) + 2, np.int8)
+    edge[begin[kept]] += 1
+    edge[(begin + width)[kept]] -= 1
+    out = raw[np.cumsum(edge[: len(raw)], dtype=np.int8) > 0]
+    out[(out == 32) | ((out >= 9) & (out <= 13))] = 32
+    sizes = np.zeros(len(begin) + 1, np.int64)
+    np.cumsum(width, out=sizes[1:])
+    return pa.Array.from_buffers(pa.string(), len(first) - 1, [None, pa.py_buffer(sizes[first].astype(np.int32)), pa.py_buffer(out)])
+
+
 def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable, text_col: str) -> DataFrame:
     """Adds columns computed by `make()(list of texts) -> list of arrays`, from texts of about a chunk at a time.
 
