@@ -88,6 +88,8 @@ class Shard:
 
     def search(self, terms: np.ndarray, times: np.ndarray, floor: int, top: int, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) of all that reach the top or the floor, exact; some more may come along."""
+        if not len(self.docs):
+            return self.docs, self.impact
         start, stop = self.start[terms], self.start[terms + 1]
         lower = np.zeros(self.n_docs, np.int64)
         entry, of = np.zeros(0, np.int64), np.zeros(0, np.int64)
