@@ -165,22 +165,101 @@ def struct_of(fields: Sequence[dict]) -> T.StructType:
     return T.StructType([T.StructField(f["name"], one(f)) for f in fields])
 
 
+def resolved(schema: dict, part: dict, within: tuple) -> tuple[dict | None, tuple]:
+    """A part of a JSON schema behind its references and optional forms, and the references on the way; None in a cycle."""
+    described = {k: part[k] for k in ("description", "default") if k in part}
+    while "$ref" in part or "anyOf" in part:
+        if "anyOf" in part:
+            part = next((x for x in part["anyOf"] if x.get("type") != "null"), {})
+            continue
+        if part["$ref"] in within:
+            return None, within
+        within = (*within, part["$ref"])
+        found: dict = schema
+        for step in part["$ref"].removeprefix("#").strip("/").split("/"):
+            found = found.get(step, {}) if step else found
+        part = found
+    return {**part, **described}, within
+
+
+def json_schema_of(fields: Sequence[dict]) -> dict:
+    """A field list as a JSON schema object."""
+    kinds = {"str": "string", "int": "integer", "float": "number", "bool": "boolean", "list": "array", "dict": "object", "null": "null"}
+
+    def one(f: dict) -> dict:
+        out = {"type": kinds[f["type"]]} | ({"description": f["description"]} if f.get("description") else {})
+        if f["type"] == "dict" and f.get("properties"):
+            out |= json_schema_of(f["properties"])
+        if f["type"] == "list" and f.get("items"):
+            out["items"] = one(f["items"])
+        return out
+
+    struct_of(fields)  # errors for unknown types and missing names
+    return {"type": "object", "properties": {f["name"]: one(f) for f in fields}, "required": [f["name"] for f in fields if f.get("required", True)]}
+
+
+#: What stands for a value of each type in the schema text; other types are empty objects.
+SAMPLES = {"string": '""', "integer": "number", "number": "number", "boolean": "true or false", "array": "[]"}
+
+
+def schema_text(schema: dict | Sequence[dict], wrapper: str | None = None, shown: int = 1) -> str:
+    """What a prompt says of the JSON that it wants, from a field list or a JSON schema.
+
+    A list of `shown` sample objects (under the key `wrapper`, if given), in which every field has a sample
+    value and a comment: its description and whether it is required. References are
+    followed; a type that holds itself is shown once.
+    """
+    schema = schema if isinstance(schema, dict) else json_schema_of(schema)
+
+    def fields(s: dict, depth: int, within: tuple) -> list[str]:
+        """The fields of an object, one under the other, with commas between them."""
+        blocks = [value(f'"{name}": ', part, name in s.get("required", ()), depth, within) for name, part in s.get("properties", {}).items()]
+        return [line + ("," if last and i < len(blocks) - 1 else "") for i, block in enumerate(blocks) for line, last in zip(block, [False] * (len(block) - 1) + [True])]
+
+    def value(label: str, part: dict, required: bool, depth: int, within: tuple) -> list[str]:
+        pad, whole = "  " * depth, part
+        s, inside = resolved(schema, part, within)
+        note = f"  // {(s or whole).get('description', '')} ({'required' if required else 'optional'})"
+        if s is None:
+            return [f"{pad}{label}{{}}{note}"]
+        if s.get("type") == "object" and s.get("properties"):
+            return [f"{pad}{label}{{{note}", *fields(s, depth + 1, inside), f"{pad}}}"]
+        if s.get("type") == "array" and s.get("items"):
+            item, deeper = resolved(schema, s["items"], inside)
+            if item and item.get("properties"):
+                body = [f"{pad}  {{", *fields(item, depth + 2, deeper), f"{pad}  }}", f"{pad}  // ... more items ..."]
+            else:
+                body = [f"{pad}  // Example items of type {(item or {}).get('type', 'object')}"]
+            return [f"{pad}{label}[{note}", *body, f"{pad}]"]
+        return [f"{pad}{label}{SAMPLES.get(s.get('type', 'string'), '{}')}{note}"]
+
+    top, within = resolved(schema, schema, ())
+    depth = 3 if wrapper else 2
+    sample = ["    {", *fields(top or {}, depth, within), "    }"]
+    samples = [line for i in range(shown) for line in ([*sample[:-1], "    },"] if i < shown - 1 else sample)]
+    lines = ["{", f'  "{wrapper}": [', *samples, "    ...", "  ]", "}"] if wrapper else ["[", *samples, "    ...", "]"]
+    about = [str(schema[k]) for k in ("title", "description") if schema.get(k)]
+    needed = (top or {}).get("required") or []
+    return "\n".join([*lines, *([""] + about if about else []), *([f"\nRequired fields: {', '.join(needed)}"] if needed else [])])
+
+
 def struct_of_json_schema(schema: dict) -> T.StructType:
-    """The Spark type of a JSON schema object; $ref, $defs and anyOf-with-null are resolved."""
-    defs = schema.get("$defs", {})
-
-    def one(s: dict) -> T.DataType:
-        if "$ref" in s:
-            return one(defs[s["$ref"].rsplit("/", 1)[1]])
-        if "anyOf" in s:
-            return one(next(x for x in s["anyOf"] if x.get("type") != "null"))
+    """The Spark type of a JSON schema object; $ref, $defs and anyOf-with-null are resolved.
+
+    A type that holds itself is a variant from there on.
+    """
+
+    def one(s: dict, within: tuple = ()) -> T.DataType:
+        s, within = resolved(schema, s, within)
+        if s is None:
+            return T.VariantType()
         kind = s.get("type")
         if kind == "array":
-            return T.ArrayType(one(s["items"]) if s.get("items") else T.VariantType())
+            return T.ArrayType(one(s["items"], within) if s.get("items") else T.VariantType())
         if kind == "object":
             if s.get("properties"):
-                return T.StructType([T.StructField(k, one(x)) for k, x in s["properties"].items()])
-            return T.MapType(T.StringType(), one(s["additionalProperties"])) if isinstance(s.get("additionalProperties"), dict) else T.VariantType()
+                return T.StructType([T.StructField(k, one(x, within)) for k, x in s["properties"].items()])
+            return T.MapType(T.StringType(), one(s["additionalProperties"], within)) if isinstance(s.get("additionalProperties"), dict) else T.VariantType()
         simple = {"string": T.StringType(), "integer": T.LongType(), "number": T.DoubleType(), "boolean": T.BooleanType(), "null": T.StringType()}
         return simple.get(kind, T.VariantType())
 
@@ -198,8 +277,11 @@ def _kept(errors: list[Column]) -> Column:
     return F.array_compact(F.array(*errors))
 
 
-def item_errors(v: Column, fields: Sequence[dict], type_check: bool = False) -> Column:
-    """Errors of one item: missing required fields, unexpected ones, and with `type_check` nulls and wrong types, nested ones too."""
+def item_errors(v: Column, fields: Sequence[dict], type_check: bool = False, strict_bool: bool = False) -> Column:
+    """Errors of one item: missing required fields, unexpected ones, and with `type_check` nulls and wrong types, nested ones too.
+
+    Booleans pass as numbers unless `strict_bool`.
+    """
     required = [f["name"] for f in fields if f.get("required", True)]
     names = [f["name"] for f in fields]
     keys = _keys(v)
@@ -212,20 +294,21 @@ def item_errors(v: Column, fields: Sequence[dict], type_check: bool = False) ->
         kind = _kind(got)
         right = F.lit(False)
         for prefix in VARIANT_PREFIXES[f["type"]]:
-            right = right | kind.startswith(prefix)
+            if not (strict_bool and prefix == "BOOLEAN" and f["type"] != "bool"):
+                right = right | kind.startswith(prefix)
         there = F.array_contains(keys, f["name"])
         out = F.concat(out, _kept([F.when(there & (kind == "VOID") & F.lit(f["type"] != "null"), F.lit(f"null: {f['name']}")).when(there & ~right, F.concat(F.lit(f"type: {f['name']} is "), F.lower(F.regexp_extract(kind, "^[A-Z]+", 0))))]))
         if f["type"] == "dict" and f.get("properties"):
-            out = F.concat(out, F.when(kind.startswith("OBJECT"), item_errors(got, f["properties"], True)).otherwise(F.array().cast("array<string>")))
+            out = F.concat(out, F.when(kind.startswith("OBJECT"), item_errors(got, f["properties"], True, strict_bool)).otherwise(F.array().cast("array<string>")))
         if f["type"] == "list" and (f.get("items") or {}).get("properties"):
             inner = F.try_variant_get(got, "$", "array<variant>")
-            out = F.concat(out, F.coalesce(F.flatten(F.transform(inner, lambda x: item_errors(x, f["items"]["properties"], True))), F.array().cast("array<string>")))  # noqa: B023
+            out = F.concat(out, F.coalesce(F.flatten(F.transform(inner, lambda x: item_errors(x, f["items"]["properties"], True, strict_bool))), F.array().cast("array<string>")))  # noqa: B023
     return F.when(_kind(v).startswith("OBJECT"), out).otherwise(F.array(F.lit("no object")))
 
 
-def validate_items(items: Column, fields: Sequence[dict], type_check: bool = False) -> Column:
+def validate_items(items: Column, fields: Sequence[dict], type_check: bool = False, strict_bool: bool = False) -> Column:
     """Errors of all items of an array of variants, each with its position."""
-    return F.flatten(F.transform(items, lambda v, i: F.transform(item_errors(v, fields, type_check), lambda e: F.concat(i.cast("string"), F.lit(": "), e))))
+    return F.flatten(F.transform(items, lambda v, i: F.transform(item_errors(v, fields, type_check, strict_bool), lambda e: F.concat(i.cast("string"), F.lit(": "), e))))
 
 
 def parse_replies(df: DataFrame, reply: str, fields: Sequence[dict], wrapper: str | None = None, strict: bool = False, type_check: bool = False) -> DataFrame:

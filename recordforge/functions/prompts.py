@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
+from recordforge.functions.jsonx import schema_text
+
 NAME = r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*"
 TOKEN = re.compile(r"\{\{\s*(.*?)\s*\}\}|\{%-?\s*(.*?)\s*-?%\}", re.S)
 #: Closing block of every prompt; {n} and {schema} are filled in.
@@ -128,29 +130,34 @@ def compile_template(template: str, types: Mapping[str, str]) -> Column:
     return build(_parse(tokens, ())[0])
 
 
-def render_prompt(df, template: str, schema: str = "{}", preset: str | None = None, num_records: int | str = 1):
+def _schema(schema: str | dict | Sequence[dict]) -> str:
+    return schema if isinstance(schema, str) else schema_text(schema)
+
+
+def render_prompt(df, template: str, schema: str | dict | Sequence[dict] = "{}", preset: str | None = None, num_records: int | str = 1):
     """Adds prompt and prompt_error (null where every required variable has a value).
 
     A required variable that is no column is an error; one that is null fails its row.
+    schema: what the prompt says of the JSON that it wants, as it stands, or a field list or JSON schema to describe.
     """
     full = with_preset(template, preset)
     required, _ = variables(full)
     if missing := required - set(df.columns):
         raise ValueError(f"missing required variables: {sorted(missing)}")
     n = F.col(num_records).cast("string") if isinstance(num_records, str) else F.lit(str(num_records))
-    before, after = CLOSING.replace("{schema}", schema).split("{n}")
+    before, after = (part.replace("{schema}", _schema(schema)) for part in CLOSING.split("{n}"))
     text = F.concat(compile_template(full, dict(df.dtypes)), F.lit(before), F.coalesce(n, F.lit("1")), F.lit(after))
     return _finish(df, text, required)
 
 
-def render_list_prompt(df, template: str, list_col: str, schema: str = "{}"):
+def render_list_prompt(df, template: str, list_col: str, schema: str | dict | Sequence[dict] = "{}"):
     """The same with a list variable: it becomes tagged JSON, and as many results are asked for."""
     required, _ = variables(template)
     if missing := required - set(df.columns):
         raise ValueError(f"missing required variables: {sorted(missing)}")
     tagged = F.concat(F.lit(f"<{list_col}>"), F.to_json(list_col), F.lit(f"</{list_col}>"))
     n = F.size(list_col).cast("string")
-    before, middle, after = LIST_CLOSING.replace("{name}", list_col).replace("{schema}", schema).split("{n}")
+    before, middle, after = (part.replace("{name}", list_col).replace("{schema}", _schema(schema)) for part in LIST_CLOSING.split("{n}"))
     inner = df.withColumn("_list", F.col(list_col)).withColumn(list_col, tagged)
     body = compile_template(template, dict(inner.dtypes))
     out = inner.withColumn("_body", body).withColumn(list_col, F.col("_list"))

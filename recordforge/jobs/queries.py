@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from recordforge.functions import jsonx, prompts, text
+from recordforge.functions import bpe, jsonx, prompts, text
 from recordforge.jobs import base, offline, templates
 from recordforge.operators import attempts as at, inputs as ins, ledger, run as runs_, topics as tp
 from recordforge.sources import files
@@ -39,6 +39,11 @@ def read_inputs(spark, d):
     return ins.read_inputs(spark, f"{d}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment")
 
 
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS idx, c_custkey, c_name FROM customer")
+def number_inputs(spark, d):
+    return ins.number_inputs(spark, f"{d}/customer.parquet").select("idx", "c_custkey", "c_name")
+
+
 @query("""SELECT CAST(i - 1 AS BIGINT) AS idx, names[i] AS city_name, keys[i] AS n, 'fixed' AS kind, region
   FROM (SELECT list(n_name ORDER BY n_nationkey) AS names, list(n_nationkey ORDER BY n_nationkey) AS keys, n_regionkey AS region FROM nation GROUP BY n_regionkey), LATERAL (SELECT unnest(range(1, len(names) + 1)) AS i)""")
 def zip_inputs(spark, d):
@@ -216,6 +221,17 @@ def upsert_ledger(spark, d):
     return ledger.upsert_ledger(rows.select("record_uid", "status", F.lit(1).alias("version")), changes, "record_uid", "version")
 
 
+@query("""SELECT record_uid, arg_max(status, v) AS status, max(v) AS version FROM (
+  SELECT record_uid, status, 1 AS v FROM records UNION ALL SELECT record_uid, 'rerun' AS status, 2 AS v FROM records WHERE quantity > 49 UNION ALL SELECT 'new-' || job_id, 'added', 2 FROM tasks) GROUP BY record_uid""", base.RECORDS, base.TASKS)
+def upsert_buckets(spark, d):
+    table = ledger.BucketedTable(spark, scratch_path(spark, "ledger"), "record_uid", 16)
+    rows = base.records(spark, d)
+    table.create(rows.select("record_uid", "status", F.lit(1).alias("version")))
+    table.upsert(rows.filter("quantity > 49").select("record_uid", F.lit("rerun").alias("status"), F.lit(2).alias("version")), "version")
+    table.upsert(base.tasks(spark, d).select(F.concat(F.lit("new-"), "job_id").alias("record_uid"), F.lit("added").alias("status"), F.lit(2).alias("version")), "version")
+    return table.read().select("record_uid", "status", "version")
+
+
 @query("""SELECT t.job_id, CASE WHEN s.n IS NULL THEN t.status ELSE 'closed' END AS status, CASE WHEN s.n IS NULL THEN t.end_time ELSE coalesce(s.stop, t.end_time) END AS end_time,
     CASE WHEN s.n IS NULL THEN t.job_id % 7 ELSE s.completed END AS completed, CASE WHEN s.n IS NULL THEN t.job_id % 5 ELSE s.failed END AS failed
   FROM tasks t LEFT JOIN (SELECT job_id, count(*) AS n, max(start_time) AS stop, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed FROM records WHERE job_id % 3 > 0 GROUP BY job_id) s USING (job_id)""", base.TASKS, base.RECORDS)
@@ -251,6 +267,18 @@ def list_records(spark, d):
     return ledger.list_rows(base.records(spark, d), None, ["completed", "failed"], "start_time", "record_uid", None, 100).select("record_uid", "status", "start_time")
 
 
+@query("SELECT record_uid, status, start_time FROM records WHERE status IN ('completed', 'failed') ORDER BY start_time DESC, record_uid LIMIT 300 OFFSET 1500", base.RECORDS)
+def page_records(spark, d):
+    rows, chosen = base.records(spark, d), F.col("status").isin("completed", "failed")
+    table = ledger.PagedTable(spark, scratch_path(spark, "pages"), "start_time", "record_uid")
+    table.create(rows, 40)
+    last = None
+    for size in (1000, 500):  # each page begins after the last row of the one before
+        place = F.struct(-F.unix_micros(F.col("start_time").cast("timestamp")), "record_uid")
+        last = table.page(size, last, chosen).agg(F.max_by(F.struct("start_time", "record_uid"), place).alias("r")).first()["r"]
+    return table.page(300, last, chosen).select("record_uid", "status", "start_time")
+
+
 @query("SELECT master_job_id, name, status FROM runs WHERE master_job_id = 7", base.RUNS)
 def get_by_id(spark, d):
     return ledger.get_by_id(base.runs(spark, d), "master_job_id", 7).select("master_job_id", "name", "status")
@@ -334,7 +362,7 @@ def auto_topics(spark, d):
     return tp.auto_topics(known, 20)
 
 
-@query("SELECT pos, topic, CAST(unnest(range(1, n + 1)) AS INTEGER) AS k FROM topics WHERE n > 0", base.TOPICS)
+@query("SELECT pos, topic, unnest(range(1, n + 1)) AS k FROM topics WHERE n > 0", base.TOPICS)
 def fan_out_topics(spark, d):
     return tp.fan_out_topics(base.topics(spark, d)).select("pos", "topic", "k")
 
@@ -455,6 +483,16 @@ def split_tokens(spark, d):
     return load(spark, d, "documents").select("doc_id", F.posexplode(text.split_tokens(F.col("text"))).alias("pos", "chunk")).withColumn("chunk", F.md5("chunk"))
 
 
+#: A public vocabulary of byte-pair ranks and the pattern that cuts its texts first.
+RANKS, RANKS_PATTERN = "/opt/tokenizers/byte_bpe_50k.tiktoken", r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@query()
+def split_bpe(spark, d):
+    windows = bpe.split_bpe(spark, F.col("text"), RANKS, RANKS_PATTERN)
+    return load(spark, d, "documents").select("doc_id", F.posexplode(windows).alias("pos", "w")).select("doc_id", "pos", "w.n_tokens", F.md5("w.chunk").alias("chunk"))
+
+
 # The same packing as a fold in SQL: state and paragraphs have one type there.
 _TAIL = r"trim(list_reduce(list_prepend({'t': '', 'x': false}, list_transform(list_reverse(list_filter(string_split(regexp_replace(a.held, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')), lambda s: {'t': s, 'x': false})), lambda b, s: CASE WHEN NOT b.x AND length(b.t) + length(s.t) <= 20 THEN {'t': s.t || ' ' || b.t, 'x': false} ELSE {'t': b.t, 'x': true} END).t)"
 PACKED = rf"""packed AS (SELECT doc_id, CASE WHEN s.held <> '' AND length(s.held) >= 100 THEN list_append(s.chunks, s.held) ELSE s.chunks END AS chunks FROM (
@@ -496,6 +534,25 @@ def render_preset(spark, d):
     return prompts.render_prompt(rows, prompts.complete_preset("data_gen"), "[]").select("c_custkey", "prompt")
 
 
+@query("""SELECT c_custkey, 'Write about ' || c_name || chr(10) || 'Return exactly 1 records as JSON of this form:' || chr(10) || '[
+    {
+    "question": ""  // what is asked (required),
+    "tags": [  //  (optional)
+      // Example items of type string
+    ],
+    "source": {  // where from (required)
+      "page": number  //  (required)
+    }
+    }
+    ...
+]
+
+Required fields: question, source' AS prompt FROM customer""")
+def render_schema(spark, d):
+    fields = [{"name": "question", "type": "str", "description": "what is asked"}, {"name": "tags", "type": "list", "items": {"type": "str"}, "required": False}, {"name": "source", "type": "dict", "description": "where from", "properties": [{"name": "page", "type": "int"}]}]
+    return prompts.render_prompt(load(spark, d, "customer").select("c_custkey", F.col("c_name").alias("name")), "Write about {name}", fields).select("c_custkey", "prompt")
+
+
 @query("""SELECT n_regionkey, 'Describe <names>' || '["' || string_agg(n_name, '","' ORDER BY n_name) || '"]</names>' || chr(10) || 'The list names has exactly ' || count(*) || ' elements. Return a JSON array of exactly ' || count(*) || ' results, in the same order, of this form:' || chr(10) || '[]' AS prompt FROM nation GROUP BY n_regionkey""")
 def render_list_prompt(spark, d):
     rows = load(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("names"))
@@ -609,6 +666,26 @@ def run_to_target(spark, d):
     return got.select("idx", "status")
 
 
+@query(f"""SELECT idx, status, CAST(CASE WHEN status = 'completed' THEN 1 ELSE 0 END AS BIGINT) AS completed, CAST(CASE WHEN status = 'filtered' THEN 3 ELSE 0 END AS BIGINT) AS filtered,
+    CAST(CASE WHEN status = 'duplicate' THEN 3 ELSE 0 END AS BIGINT) AS duplicate, CAST(CASE WHEN status = 'failed' THEN 3 ELSE 0 END AS BIGINT) AS failed, CASE WHEN status = 'failed' THEN 'offline failure' END AS error_message,
+    CAST(CASE status WHEN 'completed' THEN n WHEN 'failed' THEN 3 ELSE 3 * n END AS BIGINT) AS n_records, CAST(CASE WHEN status = 'completed' THEN n ELSE 0 END AS BIGINT) AS n_payload
+  FROM (SELECT DISTINCT idx, status, n FROM ({RUN}))""")
+def run_ledger(spark, d):
+    hooks = [runs_.seen_before(F.get("output", F.lit(0))["answer"]), runs_.drop_if(base.bucket(F.concat(F.lit("f"), "idx"), 10) == 0)]
+    tables = ledger.run_ledger(runs_.run_records(_cities(load(spark, d, "customer"), "c_custkey", 400), offline.answers, "answer string", hooks=hooks))
+    stored = tables["records"].join(tables["payload"], "record_uid", "left").groupBy("job_id").agg(F.count("*").alias("n_records"), F.count("payload").alias("n_payload"))
+    return tables["tasks"].join(stored, "job_id").select("idx", "status", *ledger.COUNTERS, "error_message", "n_records", "n_payload")
+
+
+# A session that stops at 100 completed inputs, and one that goes on without a target; what the first one saw is a duplicate in the second.
+@query(f"""SELECT idx, CASE WHEN fails THEN 'failed' WHEN idx > first THEN 'duplicate' ELSE 'completed' END AS status
+  FROM (SELECT c_custkey AS idx, min(c_custkey) OVER (PARTITION BY c_custkey % 400) AS first, {_FAILS} AS fails FROM customer)""")
+def continue_run(spark, d):
+    path, hooks = scratch_path(spark, "continued"), [runs_.seen_before(F.get("output", F.lit(0))["answer"])]
+    runs_.start_run(_cities(load(spark, d, "customer"), "c_custkey", 400), offline.answers, "answer string", path, hooks, threshold=1, target=100, wave=40)
+    return runs_.continue_run(spark, path, offline.answers, hooks, target=0).select("idx", "status")
+
+
 QA = [{"name": "question", "type": "str"}, {"name": "answer", "type": "str"}]
 
 
@@ -685,11 +762,12 @@ def curate_documents(spark, d):
 # Files and snapshots
 
 
-@query(f"SELECT page_id, {NAME} AS name, page_id AS text FROM (SELECT page_id, {PATH} AS path FROM pages)")
+@query(f"SELECT {NAME} AS name, md5(text) AS text FROM (SELECT {PAGE_TEXT} AS text, {PATH} AS path FROM pages)")
 def write_documents(spark, d):
     path = scratch_path(spark, "texts")
-    files.write_documents(_paths(spark, d).select(text.output_name(F.col("path")).alias("name"), F.col("page_id").alias("text")), path)
-    return spark.read.parquet(path).select(F.col("text").alias("page_id"), "name", "text")
+    pages = _paths(spark, d).join(load(spark, d, "pages").select("page_id", "html"), "page_id")
+    files.write_documents(pages.select(text.output_name(F.col("path")).alias("name"), text.html_to_text(F.col("html")).alias("text")), path)
+    return spark.read.parquet(path).select("name", F.md5("text").alias("text"))
 
 
 @query("SELECT o_orderkey AS idx, o_orderstatus AS status, 'orders' AS source FROM orders")
@@ -726,19 +804,33 @@ def stream_run(spark, d):
     return _worked_off(_stream(spark, d, "events"), run).select("idx", "status", F.size("output").alias("n"))
 
 
+def _arriving(df: DataFrame, step, parts: int = 5) -> DataFrame:
+    """What a stream gives whose rows arrive in `parts` portions, in the order of idx, one batch for each."""
+    spark, root = df.sparkSession, scratch_path(df.sparkSession, "stream")
+    low, high = df.agg(F.min("idx"), F.max("idx")).first()
+    with streams.rocks_db(spark):
+        for i in range(parts):
+            edge = [low + (high + 1 - low) * k // parts for k in (i, i + 1)]
+            df.filter(F.col("idx").between(edge[0], edge[1] - 1)).write.mode("append").parquet(f"{root}/in")
+            streams.stream_run(step(spark.readStream.schema(df.schema).parquet(f"{root}/in")), lambda batch: batch, f"{root}/out", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out")
+
+
 @query("SELECT doc_id AS idx, doc_id > min(doc_id) OVER (PARTITION BY text) AS duplicate FROM documents")
 def stream_mark_duplicates(spark, d):
-    root = scratch_path(spark, "stream")
-    rows = _stream(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.md5("text").alias("key"))
-    streams.stream_mark_duplicates(rows, ["key"], f"{root}/out", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/out").select("idx", "duplicate")
+    rows = load(spark, d, "documents").select(F.col("doc_id").alias("idx"), F.md5("text").alias("key"))
+    return _arriving(rows, lambda source: streams.stream_mark_duplicates(source, ["key"])).select("idx", "duplicate")
 
 
-@query("SELECT source AS topic, count(*) AS n, count(*) - 1 AS longest, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS looked_back, bit_xor(doc_id) AS ids FROM documents GROUP BY source")
+@query("SELECT topic, slice, string_agg(value, '|' ORDER BY idx) AS history FROM (SELECT *, (row_number() OVER (PARTITION BY topic ORDER BY idx) - 1) // 200 AS slice FROM vals) GROUP BY topic, slice", VALUES)
 def stream_topic_memory(spark, d):
-    rows = _stream(spark, d, "documents").select(F.col("source").alias("topic"), F.col("doc_id").alias("idx"), F.col("lang").alias("value"))
-    with streams.rocks_db(spark):
-        got = _worked_off(streams.stream_topic_memory(rows))
+    slices = _arriving(_values(spark, d), lambda source: streams.stream_topic_memory(source, 200))
+    return streams.latest_slices(slices).select("topic", "slice", F.array_join("history", "|").alias("history"))
+
+
+@query("SELECT source AS topic, count(*) AS n, count(*) - 1 AS longest, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS looked_back, bit_xor(doc_id) AS ids FROM documents GROUP BY source")
+def stream_topic_places(spark, d):
+    got = _arriving(_values(spark, d), streams.stream_topic_places)
     return got.groupBy("topic").agg(F.count("*").alias("n"), F.max("earlier").alias("longest"), F.sum("earlier").alias("looked_back"), F.bit_xor("idx").alias("ids"))
 
 
@@ -782,12 +874,12 @@ def read_records(spark, d):
     return ledger.read_records(spark, path, "101").select("record_uid", "status")
 
 
-@query("SELECT c_custkey AS idx, c_mktsegment AS segment, CAST(c_custkey % 5 = 0 AS INTEGER) AS target FROM customer")
+@query("SELECT c_custkey AS idx, c_mktsegment AS segment, CAST(c_custkey % 5 = 0 AS INTEGER) AS target, 9 AS seen FROM customer")
 def load_run_snapshot(spark, d):
     path = scratch_path(spark, "snapshot")
-    ledger.save_run_snapshot(load(spark, d, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_mktsegment").alias("segment")), {"every": 5}, path)
-    back, config = ledger.load_run_snapshot(spark, path)
-    return back.withColumn("target", (F.col("idx") % config["every"] == 0).cast("int"))
+    ledger.save_run_snapshot(load(spark, d, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_mktsegment").alias("segment")), {"every": 5}, path, {"seen": 9})
+    back, config, state = ledger.load_run_snapshot(spark, path, with_state=True)
+    return back.withColumn("target", (F.col("idx") % config["every"] == 0).cast("int")).withColumn("seen", F.lit(state["seen"]))
 
 
 @query("SELECT run_id, CAST(100 + count(*) FILTER (status = 'failed') AS BIGINT) AS failed FROM attempts GROUP BY run_id", A)

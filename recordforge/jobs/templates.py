@@ -42,8 +42,8 @@ def generate_by_topic(plan: DataFrame, template: str, fields: list[dict], model:
             earlier = rank_within(said.filter("pos = 0").select(F.col("_topic"), F.col("idx").alias("_at"), F.to_json(F.struct(*[f["name"] for f in fields])).alias("example")), ["_topic"], F.floor(F.col("_at") / 100_000), [F.col("_at")], "_rank")
             sizes = earlier.groupBy(F.col("_topic").alias("_of")).agg(F.count("*").alias("_n"))
             h = F.conv(F.substring(F.md5(F.concat(F.col("idx").cast("string"), F.lit(f"-{seed}"))), 1, 8), 16, 10).cast("long")
-            drawn = mine.join(sizes, F.col("topic") == F.col("_of"), "left").withColumn("_pick", h % F.col("_n") + 1)
-            shown = drawn.join(earlier, (F.col("topic") == F.col("_topic")) & (F.col("_pick") == F.col("_rank")), "left").select("idx", "topic", "k", "example")
+            drawn = mine.join(sizes, F.col("topic").eqNullSafe(F.col("_of")), "left").withColumn("_pick", h % F.col("_n") + 1)
+            shown = drawn.join(earlier, F.col("topic").eqNullSafe(F.col("_topic")) & (F.col("_pick") == F.col("_rank")), "left").select("idx", "topic", "k", "example")
         asked = ask_model(render_prompt(shown, template, json.dumps(fields)), "prompt", fields, model)
         items = materialise(_items(asked, ["idx", "topic", "example"], {f["name"]: "string" for f in fields}).withColumnRenamed("topic", "_topic"), "topic-items")
         said = items if said is None else said.unionByName(items)

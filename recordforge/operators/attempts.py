@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from recordforge.functions.names import free_names
 from recordforge.operators.inputs import rank_within
 from recordforge.sources.tables import materialise
 
@@ -167,11 +168,12 @@ def mark_duplicates(df: DataFrame, keys: Sequence[str], order: str = "idx") -> D
     of the keys and joins back, so a key of very many rows never fills a window.
     Rows that tie for first are all firsts.
     """
-    key = F.md5(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
-    keyed = df.withColumn("_key", key)
+    kept = df.drop("duplicate")
+    key, first = free_names(kept.columns, "_key", "_first")
+    keyed = kept.withColumn(key, F.md5(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})))
     # Written, so that both sides of the join are plain exchanges, which Spark splits where a key is hot.
-    repeated = materialise(keyed.groupBy("_key").agg(F.min(order).alias("_first"), F.max(order).alias("_last")).filter("_first < _last").drop("_last"), "repeated-keys")
-    return keyed.join(repeated, "_key", "left").withColumn("duplicate", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_key", "_first")
+    repeated = materialise(keyed.groupBy(key).agg(F.min(order).alias(first), F.max(order).alias("last")).filter(F.col(first) < F.col("last")).drop("last"), "repeated-keys")
+    return keyed.join(repeated, key, "left").withColumn("duplicate", F.coalesce(F.col(order) > F.col(first), F.lit(False))).drop(key, first)
 
 
 def apply_hooks(df: DataFrame, duplicate: Sequence[Column] = (), filtered: Sequence[Column] = ()) -> DataFrame:

@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from recordforge.functions.names import free_names
+from recordforge.sources.tables import materialise
+
 
 def read_inputs(spark: SparkSession, src, fmt: str = "parquet") -> DataFrame:
     """A record set from a path (parquet, json, csv) or a list of dicts."""
@@ -17,6 +20,34 @@ def read_inputs(spark: SparkSession, src, fmt: str = "parquet") -> DataFrame:
     return spark.createDataFrame(src)
 
 
+#: Splits whose row numbers are sent to every task; more of them are joined.
+MOST_SPLITS = 100_000
+
+
+def number_inputs(spark: SparkSession, path: str, fmt: str = "parquet", name: str = "idx", schema=None) -> DataFrame:
+    """The rows of files with their position as `name`, from 0, in the order of file names and of rows within a file.
+
+    The rows of each split are counted, and the counts added up over files and splits; within
+    a split a row's number is its place. So there is no sort of rows, and the numbers do not
+    depend on how the files are read: only new files or other names change them. A column
+    of this name in the files is replaced.
+    """
+    reader = spark.read.format(fmt)
+    if fmt == "csv":
+        reader = reader.option("header", "true")
+    rows = (reader.schema(schema) if schema else reader).load(path)
+    columns = [c for c in rows.columns if c != name]
+    file, block, place, least, before = free_names(rows.columns, "_file", "_block", "_place", "_least", "_before")
+    # Within a partition ids follow the order of rows, so those of a split are a range.
+    placed = rows.select(*columns, F.col("_metadata.file_path").alias(file), F.col("_metadata.file_block_start").alias(block), F.monotonically_increasing_id().alias(place))
+    splits = placed.groupBy(file, block).agg(F.min(place).alias(least), F.count("*").alias("n"))
+    earlier = Window.orderBy(file, block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialise(splits.select(F.col(file).alias(f"{file}2"), F.col(block).alias(f"{block}2"), least, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before)), "splits")
+    known = F.broadcast(offsets) if offsets.count() <= MOST_SPLITS else offsets
+    joined = placed.join(known, (F.col(file) == F.col(f"{file}2")) & (F.col(block) == F.col(f"{block}2")))
+    return joined.select((F.col(before) + F.col(place) - F.col(least)).cast("long").alias(name), *columns)
+
+
 def check_columns(df: DataFrame, required: Sequence[str], optional: Sequence[str] = ()) -> None:
     """Errors for a missing required or an unknown column."""
     if missing := set(required) - set(df.columns):

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+
+from recordforge.sources.tables import discard, materialise
 
 COUNTERS = ("completed", "filtered", "duplicate", "failed")
 
@@ -60,6 +62,56 @@ def list_rows(df: DataFrame, where: Column | None, statuses: Sequence[str], newe
     return page(df, [F.desc_nulls_last(newest), F.col(key)], limit, offset)
 
 
+def after_row(newest: str, key: str, time, last) -> Column:
+    """The rows that come after the one with this time and key, newest first and ties by key."""
+    if time is None:
+        return F.col(newest).isNull() & (F.col(key) > F.lit(last))
+    # The first part alone is for the scan, which knows the least and largest time of each file.
+    return (F.col(newest).isNull() | (F.col(newest) <= F.lit(time))) & (F.col(newest).isNull() | (F.col(newest) < F.lit(time)) | (F.col(key) > F.lit(last)))
+
+
+class PagedTable:
+    """Ledger rows sorted over files by time, for pages of any depth that read few files.
+
+    Beside the files lies an index of a row for each: its place, its largest and least time and its rows.
+    A page begins after the last row of the one before, and reads only files from there on: as many as
+    hold enough rows, and twice as many again while filters leave too few.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, newest: str, key: str) -> None:
+        self.spark, self.path, self.newest, self.key = spark, path, newest, key
+
+    def create(self, df: DataFrame, files: int) -> None:
+        """Writes the rows into about so many files, newest first, null times last."""
+        order = [F.desc_nulls_last(self.newest), F.col(self.key)]
+        df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/rows")
+        rows = self.spark.read.parquet(f"{self.path}/rows")
+        index = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.max(self.newest).alias("top"), F.min(self.newest).alias("low"), F.count("*").alias("n"), F.count_if(F.col(self.newest).isNull()).alias("nulls"))
+        index.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/index")
+
+    def page(self, limit: int, after: tuple | None = None, where: Column | None = None) -> DataFrame:
+        """`limit` rows after the row (time, key) `after`, or the first ones. where: a filter of rows."""
+        rows = self.spark.read.parquet(f"{self.path}/rows")
+        index = self.spark.read.parquet(f"{self.path}/index")
+        if after is not None:
+            rows = rows.filter(after_row(self.newest, self.key, *after))
+            index = index.filter((F.col("nulls") > 0) | (F.col("low") <= F.lit(after[0])) if after[0] is not None else F.col("nulls") > 0)
+        rows = rows if where is None else rows.filter(where)
+        order = [F.desc_nulls_last(self.newest), F.col(self.key)]
+        earlier = Window.orderBy(F.desc_nulls_last("top"), F.desc_nulls_last("low"), "file").rowsBetween(Window.unboundedPreceding, -1)
+        held, files, wanted = index.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))), index.count(), limit
+        while True:
+            # The files from here on until they hold so many rows; the first may lie before the page in part.
+            chosen = held.filter(F.col("before") <= 2 * wanted).agg(F.min("low").alias("low"), F.sum("nulls").alias("nulls"), F.count("*").alias("files")).first()
+            if chosen.files == files or chosen.nulls:
+                return rows.orderBy(*order).limit(limit)
+            # Times of the last file may go on in the next one, so the bound is part of the page only as a whole.
+            found = rows.filter(F.col(self.newest) >= F.lit(chosen.low))
+            if found.limit(limit).count() == limit:
+                return found.orderBy(*order).limit(limit)
+            wanted *= 4
+
+
 def get_by_id(table: DataFrame, key: str, value) -> DataFrame:
     return table.filter(F.col(key) == value)
 
@@ -119,14 +171,98 @@ def read_records(spark: SparkSession, path: str, prefix: str | None = None) -> D
     return df if prefix is None else df.filter((F.col("p1") == prefix[:2]) & F.col("record_uid").startswith(prefix))
 
 
-def save_run_snapshot(inputs: DataFrame, config: dict, path: str) -> None:
-    """The inputs as Parquet and the configuration as one JSON row."""
+def save_run_snapshot(inputs: DataFrame, config: dict, path: str, state: dict | None = None) -> None:
+    """The inputs as Parquet, the configuration and the start values of the state as one JSON row each."""
     inputs.write.mode("overwrite").parquet(f"{path}/inputs")
-    inputs.sparkSession.createDataFrame([(json.dumps(config, sort_keys=True),)], "config string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+    for name, values in (("state", state or {}), ("config", config)):
+        inputs.sparkSession.createDataFrame([(json.dumps(values, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
 
 
-def load_run_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+def load_run_snapshot(spark: SparkSession, path: str, with_state: bool = False) -> tuple:
+    """(inputs, configuration), and with `with_state` the start values too."""
     rows = spark.read.text(f"{path}/config").take(1)
     if not rows:
         raise ValueError(f"no run at {path}")
-    return spark.read.parquet(f"{path}/inputs"), json.loads(rows[0][0])
+    found = spark.read.parquet(f"{path}/inputs"), json.loads(rows[0][0])
+    return (*found, json.loads(spark.read.text(f"{path}/state").first()[0])) if with_state else found
+
+
+def job_id(run_id: Column, idx: Column) -> Column:
+    """A task's id: one for each input of a run."""
+    return F.sha2(F.concat_ws("\x1f", run_id, idx.cast("string")), 256)
+
+
+def run_ledger(attempts: DataFrame, inputs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The ledger rows of attempts: tables `runs`, `tasks`, `records` and `payload`.
+
+    A task is an input of a run; it has the status of its completed attempt, else that of its last
+    one, and counts its attempts. A record is an output item, or a failed attempt with its error;
+    the payload holds the items of completed attempts as JSON. A run with tasks that did not complete
+    is `completed_with_errors`. inputs: (idx, run_config_hash), for the tasks; without it the
+    hash is the task's id. Attempts of one input need no order; inputs that were never tried have no row.
+    """
+    rows = attempts.withColumn("job_id", job_id(F.col("run_id"), F.col("idx")))
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in COUNTERS]
+    last = F.max_by(F.struct("status", "err_str"), F.struct(F.col("status") == "completed", "attempt"))
+    tasks = rows.groupBy("job_id").agg(F.first("run_id").alias("master_job_id"), F.first("idx").alias("idx"), last.alias("_last"), F.min("started").alias("start_time"), F.max("ended").alias("end_time"), *counts)
+    tasks = tasks.select("job_id", "master_job_id", "idx", F.col("_last.status").alias("status"), "start_time", "end_time", *COUNTERS, F.col("_last.err_str").alias("error_message"))
+    if inputs is None:
+        tasks = tasks.withColumn("run_config_hash", F.col("job_id"))
+    else:
+        named = inputs.select(F.col("idx").cast("long").alias("_input"), "run_config_hash")
+        tasks = tasks.join(named, F.col("idx") == F.col("_input"), "left").drop("_input")
+    done = F.count_if(F.col("status") == "completed")
+    runs = tasks.groupBy("master_job_id").agg(F.count("*").alias("tasks"), done.alias("done"), F.min("start_time").alias("start_time"), F.max("end_time").alias("end_time"), *[F.sum(c).alias(c) for c in COUNTERS])
+    runs = runs.withColumn("status", F.when(F.col("done") == F.col("tasks"), "completed").otherwise("completed_with_errors"))
+    one = F.array(F.lit(None).cast(attempts.schema["output"].dataType.elementType))
+    items = rows.select("job_id", "attempt", "status", "started", "ended", "err_str", F.posexplode(F.when(F.col("status") == "failed", one).otherwise(F.col("output"))).alias("pos", "item"))
+    # In the order of attempts and items, as outputs are put together by record ids.
+    uid = F.concat_ws("-", "job_id", F.lpad(F.col("attempt").cast("string"), 4, "0"), F.lpad(F.col("pos").cast("string"), 9, "0"))
+    items = items.withColumn("record_uid", uid)
+    records = items.select("record_uid", "job_id", "status", F.col("started").alias("start_time"), F.col("ended").alias("end_time"), F.col("err_str").alias("error_message"))
+    payload = items.filter("status = 'completed'").select("record_uid", F.to_json("item", {"ignoreNullFields": "false"}).alias("payload"))
+    return {"runs": runs, "tasks": tasks, "records": records, "payload": payload}
+
+
+class BucketedTable:
+    """A ledger table in hash buckets of its key, so that a change reads and writes only the buckets it touches.
+
+    Rows with a null key make a bucket of their own. The number of buckets is fixed when the table is first
+    written; choose it for buckets of about a file each. An upsert that is killed leaves every
+    bucket as it was or as it is to be, and can be repeated.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 256) -> None:
+        self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.coalesce(F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets)), F.lit(-1)).cast("int"))
+
+    def _write(self, df: DataFrame) -> None:
+        # Rows are hashed as the writer's partitions are, so each bucket is written by one task.
+        df.repartition(min(self.buckets, 2000), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+
+    def create(self, df: DataFrame) -> None:
+        """A new table."""
+        self._write(self._bucketed(df))
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path).drop("bucket")
+
+    def find(self, value) -> DataFrame:
+        """The rows of one key, from its bucket alone."""
+        bucket = self._bucketed(self.spark.createDataFrame([(value,)], [self.key]).select(F.col(self.key).cast(self.read().schema[self.key].dataType))).first()["bucket"]
+        return self.spark.read.parquet(self.path).filter((F.col("bucket") == bucket) & (F.col(self.key) == value)).drop("bucket")
+
+    def upsert(self, changes: DataFrame, version: str) -> list[int]:
+        """`upsert_ledger` on the buckets of the changed keys, whose numbers it returns (no more than there are buckets)."""
+        changed = materialise(self._bucketed(changes), "changes")
+        touched = sorted(r.bucket for r in changed.select("bucket").distinct().collect())
+        if touched:
+            base = self.spark.read.parquet(self.path).filter(F.col("bucket").isin(touched)).drop("bucket")
+            # Written before it replaces what it is made of.
+            merged = materialise(self._bucketed(upsert_ledger(base, changed.drop("bucket"), self.key, version)), "upserted")
+            self._write(merged)
+            discard(merged)
+        discard(changed)
+        return touched

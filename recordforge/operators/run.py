@@ -2,11 +2,14 @@
 
 `fn` takes a list of input dicts (a batch) and returns, for each, a list of
 output dicts or an exception. It runs inside `mapInPandas`; every round's
-attempts are written once and read back, so that no plan calls it twice.
+attempts are written to a log once and read back, so that no plan calls it twice
+and a run that was killed goes on after its last whole round.
 """
 
 from __future__ import annotations
 
+import datetime
+import json
 import queue
 import threading
 import time
@@ -14,12 +17,13 @@ import traceback
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from recordforge.functions.jsonx import parse_replies
 from recordforge.operators.attempts import STATUSES, mark_duplicates, stop_point
-from recordforge.operators.ledger import done_inputs, pending_inputs, restore_outputs
-from recordforge.sources.tables import materialise
+from recordforge.operators.ledger import done_inputs, load_run_snapshot, pending_inputs, restore_outputs, save_run_snapshot
+from recordforge.operators.log import AttemptLog
+from recordforge.sources.tables import materialise, scratch_path
 
 #: (a round's attempts, all earlier ones or None, the state) -> the attempts with their status.
 Hook = Callable[[DataFrame, DataFrame | None, dict], DataFrame]
@@ -97,23 +101,33 @@ def attempt(fn: Callable[[list], list], inputs: list, retries: int, timeout: flo
     return out
 
 
-def _round(pending: DataFrame, fn, out: T.StructType, run_id: str, threshold: int, retries: int, timeout: float, batch_size: int, concurrency: int) -> DataFrame:
-    """One attempt of every row of `pending` (idx, attempt, _input)."""
+#: Numbers that an input's attempts may take up in `seq`.
+MOST_ATTEMPTS = 1024
+
+
+def _attempts_schema(out: T.StructType, given: T.StructField) -> T.StructType:
     fields = "run_id string, idx long, attempt int, seq long, status string"
-    schema = T.StructType([*T.StructType.fromDDL(fields).fields, T.StructField("output", T.ArrayType(out)), *T.StructType.fromDDL("err_str string, err_trace array<string>").fields, pending.schema["_input"]])
-    names = [f.name for f in out.fields]
+    return T.StructType([*T.StructType.fromDDL(fields).fields, T.StructField("output", T.ArrayType(out)), *T.StructType.fromDDL("err_str string, err_trace array<string>, started timestamp, ended timestamp").fields, given])
+
+
+def _round(pending: DataFrame, fn, schema: T.StructType, run_id: str, retries: int, timeout: float, batch_size: int, concurrency: int) -> DataFrame:
+    """One attempt of every row of `pending` (idx, attempt, _input)."""
+    names = [f.name for f in schema["output"].dataType.elementType.fields]
 
     def run(frames):
         for frame in frames:
             raw = frame["_input"].tolist()
             inputs = [x if isinstance(x, dict) else x.asDict() for x in raw]
             rows = []
-            for idx, k, given, got in zip(frame["idx"].tolist(), frame["attempt"].tolist(), raw, attempt(fn, inputs, retries, timeout, batch_size, concurrency)):
+            began = datetime.datetime.now(datetime.timezone.utc)
+            results = attempt(fn, inputs, retries, timeout, batch_size, concurrency)
+            ended = datetime.datetime.now(datetime.timezone.utc)
+            for idx, k, given, got in zip(frame["idx"].tolist(), frame["attempt"].tolist(), raw, results):
                 if isinstance(got, Exception):
                     trace = [line for part in traceback.format_exception(got) for line in part.splitlines()]
-                    rows.append((run_id, idx, k, idx * threshold + k - 1, "failed", None, str(got), trace, given))
+                    rows.append((run_id, idx, k, idx * MOST_ATTEMPTS + k - 1, "failed", None, str(got), trace, began, ended, given))
                 else:
-                    rows.append((run_id, idx, k, idx * threshold + k - 1, "completed", [{n: x.get(n) for n in names} for x in got], None, None, given))
+                    rows.append((run_id, idx, k, idx * MOST_ATTEMPTS + k - 1, "completed", [{n: x.get(n) for n in names} for x in got], None, None, began, ended, given))
             yield pd.DataFrame(rows, columns=schema.names)
 
     return pending.mapInPandas(run, schema)
@@ -121,9 +135,9 @@ def _round(pending: DataFrame, fn, out: T.StructType, run_id: str, threshold: in
 
 def run_records(
     df: DataFrame, fn: Callable[[list[dict]], list], out: T.StructType | str, retries: int = 1, threshold: int = 3, timeout: float = 60, batch_size: int = 64, run_id: str = "run", concurrency: int = 10,
-    hooks: Sequence[Hook] = (), state: dict | None = None, updates: dict[str, Column] | None = None, retry_statuses: Sequence[str] = STATUSES[1:], target: int = 0, stop_after: int = 0, wave: int = 0,
+    hooks: Sequence[Hook] = (), state: dict | None = None, updates: dict[str, Column] | None = None, retry_statuses: Sequence[str] = STATUSES[1:], target: int = 0, stop_after: int = 0, wave: int = 0, log: str | None = None,
 ) -> DataFrame:
-    """Attempts (run_id, idx, attempt, seq, status, output, err_str, err_trace) of the rows of `df`.
+    """Attempts (run_id, idx, attempt, seq, status, output, err_str, err_trace, started, ended) of the rows of `df`.
 
     Rounds. A round makes one attempt for every pending input: up to retries + 1
     calls, of which `concurrency` batches run at a time in a partition. Then each
@@ -141,35 +155,53 @@ def run_records(
     waves of `wave` (or the target) in the order of idx. No wave begins once the
     target of completed inputs is reached, or once n attempts in a row of all
     so far have not completed.
+
+    Log. Each round is appended to the folder `log` (by default one of its own) and
+    committed with the state. A folder that holds rounds is gone on with: inputs that are
+    through are not called again, others go on counting their attempts (a higher threshold gives dead
+    letters more of them), hooks see all earlier attempts, and the state is the last one committed.
+
+    idx names an input: a null is an error, and it should not repeat (see `index_audit`; `number_inputs` makes one).
     """
+    if not 1 <= threshold <= MOST_ATTEMPTS:
+        raise ValueError(f"an input has 1 to {MOST_ATTEMPTS} attempts")
+    spark = df.sparkSession
     out = T.StructType.fromDDL(out) if isinstance(out, str) else out
-    inputs = df.select(F.col("idx").cast("long").alias("idx"), F.struct(*[c for c in df.columns if c != "idx"]).alias("_input"))
-    state, done = dict(state or {}), None
+    idx = F.coalesce(F.col("idx").cast("long"), F.raise_error(F.lit("an input without idx")).cast("long"))
+    inputs = df.select(idx.alias("idx"), F.struct(*[c for c in df.columns if c != "idx"]).alias("_input"))
+    kept = AttemptLog(spark, log or scratch_path(spark, "run"), _attempts_schema(out, inputs.schema["_input"]))
+    held = kept.commit()
+    state, completed = {**(state or {}), **held["state"]}, held["completed"]
+    before = kept.rows()
     for part in _waves(inputs, wave or target) if target or stop_after else [inputs]:
+        if kept.last and (target and completed >= target or stop_after and not stop_point(kept.rows(), stop_after).isEmpty()):
+            break
         pending = part.select("idx", F.lit(1).alias("attempt"), "_input")
-        for k in range(1, threshold + 1):
-            raw = materialise(_round(pending, fn, out, run_id, threshold, retries, timeout, batch_size, concurrency), "calls")
-            judged = raw
-            for hook in hooks:
-                got = hook(judged.withColumn("_before", F.col("status")), done, state)
-                status = F.when(F.col("_before").isin("failed", "duplicate") | (F.col("status") == "duplicate"), F.when(F.col("_before") == "failed", "failed").otherwise("duplicate"))
-                judged = got.withColumn("status", status.when(F.col("_before") == "filtered", "filtered").otherwise(F.col("status"))).drop("_before")
+        if before is not None:
+            told = before.groupBy(F.col("idx").alias("_idx")).agg(F.max("attempt").alias("_tried"), F.max_by("status", "attempt").alias("_last"))
+            open_ = F.col("_last").isNull() | F.col("_last").isin(*retry_statuses) & (F.col("_tried") < threshold)
+            pending = part.join(told, F.col("idx") == F.col("_idx"), "left").filter(open_).select("idx", (F.coalesce("_tried", F.lit(0)) + 1).alias("attempt"), "_input")
+            if pending.isEmpty():
+                continue
+        while True:
+            called = _round(pending, fn, kept.schema, run_id, retries, timeout, batch_size, concurrency)
             if hooks:
-                judged = materialise(judged.select(raw.columns), "attempts")
-            done = judged if done is None else done.unionByName(judged)
-            if updates:
-                row = judged.agg(*[c.alias(n) for n, c in updates.items()]).first()
-                state |= {n: state.get(n, 0) + (row[n] or 0) for n in updates}
-            again = judged.filter(F.col("status").isin(*retry_statuses))
-            if k == threshold or again.isEmpty():
+                called, earlier = materialise(called, "calls"), kept.rows()
+                for hook in hooks:
+                    got = hook(called.withColumn("_before", F.col("status")), earlier, state)
+                    status = F.when(F.col("_before").isin("failed", "duplicate") | (F.col("status") == "duplicate"), F.when(F.col("_before") == "failed", "failed").otherwise("duplicate"))
+                    called = got.withColumn("status", status.when(F.col("_before") == "filtered", "filtered").otherwise(F.col("status"))).select(kept.schema.names)
+            judged = kept.write(called)
+            row = judged.agg(F.count_if(F.col("status") == "completed").alias("_completed"), *[c.alias(n) for n, c in (updates or {}).items()]).first()
+            state, completed = state | {n: state.get(n, 0) + (row[n] or 0) for n in updates or {}}, completed + row["_completed"]
+            kept.close(state, completed)
+            again = judged.filter(F.col("status").isin(*retry_statuses) & (F.col("attempt") < threshold))
+            if again.isEmpty():
                 break
-            pending = again.select("idx", F.lit(k + 1).alias("attempt"), "_input")
-        if target and done.filter("status = 'completed'").select("idx").distinct().count() >= target:
-            break
-        if stop_after and not stop_point(done, stop_after).isEmpty():
-            break
-    result = done.drop("_input")
-    result.run_state = state
+            pending = again.select("idx", (F.col("attempt") + 1).alias("attempt"), "_input")
+    rows = kept.rows()
+    result = (spark.createDataFrame([], kept.schema) if rows is None else rows).drop("_input")
+    result.run_state, result.run_log = state, kept.path
     return result
 
 
@@ -274,3 +306,27 @@ def with_overrides(config: dict, **overrides) -> dict:
     if unknown := set(overrides) - set(OVERRIDES):
         raise ValueError(f"cannot override {sorted(unknown)}; use {OVERRIDES}")
     return config | {k: v for k, v in overrides.items() if v is not None}
+
+
+def start_run(df: DataFrame, fn: Callable[[list[dict]], list], out: T.StructType | str, path: str, hooks: Sequence[Hook] = (), state: dict | None = None, updates: dict[str, Column] | None = None, **config) -> DataFrame:
+    """`run_records` with its inputs, configuration, start values and log under `path`, for `continue_run`."""
+    out = T.StructType.fromDDL(out) if isinstance(out, str) else out
+    save_run_snapshot(df, {**config, "out": out.json()}, path, state)
+    return run_records(df, fn, out, hooks=hooks, state=state, updates=updates, log=f"{path}/log", **config)
+
+
+def run_state(spark: SparkSession, log: str) -> dict:
+    """The state of a run after its last committed round."""
+    return AttemptLog(spark, log).commit()["state"]
+
+
+def continue_run(spark: SparkSession, path: str, fn: Callable[[list[dict]], list], hooks: Sequence[Hook] = (), updates: dict[str, Column] | None = None, **overrides) -> DataFrame:
+    """All attempts of a run begun by `start_run`, those of this session included.
+
+    Functions are given again; inputs, configuration and state come from `path`, and
+    overrides (see `OVERRIDES`) hold for this session. What hooks remember is what the log holds:
+    values that completed in an earlier session are seen by `seen_before`.
+    """
+    inputs, config, state = load_run_snapshot(spark, path, with_state=True)
+    out = T.StructType.fromJson(json.loads(config.pop("out")))
+    return run_records(inputs, fn, out, hooks=hooks, state=state, updates=updates, log=f"{path}/log", **with_overrides(config, **overrides))

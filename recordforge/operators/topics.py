@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from recordforge.functions.names import free_names
 from recordforge.operators.inputs import global_rank, rank_within
 
 WIDTH = 100_000
@@ -49,9 +50,19 @@ def auto_topics(known: DataFrame, n: int, spark: SparkSession | None = None) ->
     return free.orderBy("pos").limit(n).select("pos", "topic")
 
 
-def fan_out_topics(topics: DataFrame) -> DataFrame:
-    """A topic row once for each of its n records, with k from 1."""
-    return topics.filter("n > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
+def fan_out_topics(topics: DataFrame, span: int = WIDTH) -> DataFrame:
+    """A topic row once for each of its n records, with k from 1.
+
+    First in ranges of at most `span` records, which are dealt over the partitions, so one
+    topic of very many records is many tasks' work and no array is longer than a range.
+    """
+    low, high, part = free_names(topics.columns, "_low", "_high", "_part")
+    rows = topics.filter("n > 0").withColumns({low: F.lit(0).cast("long"), high: F.col("n").cast("long")})
+    for size in (span * span, span):
+        ranges = F.sequence(F.lit(0).cast("long"), F.floor((F.col(high) - F.col(low) - 1) / size))
+        rows = rows.withColumn(part, F.explode(ranges)).withColumn(low, F.col(low) + F.col(part) * size).withColumn(high, F.least(high, F.col(low) + size))
+    dealt = rows.repartition(F.xxhash64("topic", low))
+    return dealt.select(*topics.columns, F.explode(F.sequence(F.col(low) + 1, F.col(high))).alias("k"))
 
 
 def plan_topics(topics: DataFrame, generated: DataFrame, total: int | None, per_topic: int) -> DataFrame:
@@ -106,13 +117,15 @@ def earlier_example(rows: DataFrame, seed: int = 0, width: int = 100_000) -> Dat
     """Adds example: the value of one earlier row of the same topic, null for the first.
 
     Instead of growing lists, each row draws the rank of an earlier row by a
-    hash and joins it. Ranks are made in slices of `width` indexes.
+    hash and joins it. Ranks are made in slices of `width` indexes. Rows of a
+    null topic are a topic of their own.
     """
-    ranked = rank_within(rows, ["topic"], F.floor(F.col("idx") / width), [F.col("idx")], "_rank")
+    rank, pick, of, source_rank = free_names([*rows.columns, "example"], "_rank", "_pick", "_topic", "_source")
+    ranked = rank_within(rows.drop("example"), ["topic"], F.floor(F.col("idx") / width), [F.col("idx")], rank)
     h = F.conv(F.substring(F.md5(F.concat(F.col("idx").cast("string"), F.lit(f"-{seed}"))), 1, 8), 16, 10).cast("long")
-    drawn = ranked.withColumn("_pick", F.when(F.col("_rank") > 1, h % (F.col("_rank") - 1) + 1))
-    source = ranked.select(F.col("topic").alias("_topic"), F.col("_rank").alias("_source"), F.col("value").alias("example"))
-    return drawn.join(source, (F.col("topic") == F.col("_topic")) & (F.col("_pick") == F.col("_source")), "left").drop("_rank", "_pick", "_topic", "_source")
+    drawn = ranked.withColumn(pick, F.when(F.col(rank) > 1, h % (F.col(rank) - 1) + 1))
+    source = ranked.select(F.col("topic").alias(of), F.col(rank).alias(source_rank), F.col("value").alias("example"))
+    return drawn.join(source, F.col("topic").eqNullSafe(F.col(of)) & (F.col(pick) == F.col(source_rank)), "left").drop(rank, pick, of, source_rank)
 
 
 def topic_batches(n: Column, size: int = 5) -> Column:

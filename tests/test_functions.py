@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F, types as T
 
-from recordforge.functions import jsonx, prompts, text
+from recordforge.functions import bpe, jsonx, prompts, text
 from recordforge.sources.files import decode_office_files, office_text, read_text_files
 
 
@@ -226,3 +226,97 @@ def test_read_text_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ntwo")
     row = read_text_files(spark, f"{tmp_path}/*.txt").first()
     assert row.text == "one\ntwo" and row.size == 7 and row.path.endswith("a.txt")
+
+
+BROKEN_PAGES = ["<meta ", '<meta "', "<meta '\"", "<title", "<title>", "<!--", "<", "<a ", "<script>", "&#", "<![", "<!", "<?", "</", '<a b="', '<meta name="description" content="x">']
+
+
+@pytest.mark.parametrize("piece", BROKEN_PAGES)
+def test_broken_pages_take_linear_time(piece):
+    began = time.time()
+    page = piece * (1_000_000 // len(piece))
+    found = text.page_meta(page)
+    text.page_text(page)
+    assert time.time() - began < 10 and found["description"] == ("x" if "content" in piece else None)
+
+
+def test_meta_tags_of_broken_pages():
+    page = '<meta <p>x" <meta name=description content=a><meta content="b>c" name=Description><title>t\n</title><META PROPERTY="og:type" content=""><meta property=og:type content=later><meta charset=x'
+    assert list(text.meta_tags("<meta a='>'><metal><meta b>")) == ["<meta a='>'>", "<meta b>"]
+    assert text.page_meta(page) == {"title": "t\n", "description": "a", "type": None, "charset": None}
+    assert text.page_meta('<meta content="it\'s"<meta charset="u">') == {"title": None, "description": None, "type": None, "charset": "u"}
+    assert text.page_meta(None) == text.page_meta("") == dict.fromkeys(("title", "description", "type", "charset"))
+
+
+def test_html_meta_of_a_very_long_tag(spark):
+    df = spark.createDataFrame([(1, "<meta " + "x" * 1_000_000), (2, '<meta name="description" content="%s">' % ("y" * 1_000_000)), (3, None)], "id int, html string")
+    got = {r.id: r for r in df.select("id", *[c.alias(k) for k, c in text.html_meta(F.col("html"), F.lit("http://a.b/c")).items()]).collect()}
+    assert got[1].description is None and len(got[2].description) == 1_000_000 and got[3].title is None and got[1].domain == "a.b"
+
+
+def plain_bpe(data: bytes, ranks: dict) -> list[int]:
+    """Merges of the least rank, one after the other."""
+    parts = [data[i : i + 1] for i in range(len(data))]
+    while len(parts) > 1:
+        rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 30), i) for i in range(len(parts) - 1))
+        if rank == 1 << 30:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_bpe_windows_equal_a_plain_encoder(spark, tmp_path):
+    import base64
+
+    import regex
+
+    # A small vocabulary: all bytes, then some merges.
+    merges = [b"th", b"he", b"the", b" t", b" the", b"\xc3\xa9", b"ab", b"abab", b"  "]
+    ranks = {**{bytes([i]): i for i in range(256)}, **{m: 256 + k for k, m in enumerate(merges)}}
+    path, pattern = tmp_path / "ranks", r" ?\p{L}+| ?[^\s\p{L}]+|\s+"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" %d" % r for t, r in ranks.items()))
+    texts = [None, "", "the theme of the  abababab café", "é" * 33, "x" * 50, "\U0001f600 the"]
+    decode = {r: t for t, r in ranks.items()}
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.w for r in df.select("id", bpe.split_bpe(spark, F.col("text"), str(path), pattern, 7, 2).alias("w")).collect()}
+    for i, t in enumerate(texts):
+        if t is None:
+            assert got[i] is None
+            continue
+        tokens = [x for piece in regex.findall(pattern, t) for x in plain_bpe(piece.encode(), ranks)]
+        want = []
+        for lo in range(0, len(tokens), 5):
+            want.append(tokens[lo : lo + 7])
+            if lo + 7 >= len(tokens):
+                break
+        assert [(w.chunk, w.n_tokens) for w in got[i]] == [(b"".join(decode[x] for x in w).decode(errors="replace"), len(w)) for w in want]
+    with pytest.raises(ValueError):
+        bpe.split_bpe(spark, F.col("text"), str(path), pattern, 5, 5)
+
+
+def test_bpe_takes_linear_time():
+    code = bpe.encoder(bpe.read_ranks("/opt/tokenizers/byte_bpe_50k.tiktoken"), r"\p{L}+|[^\p{L}]+")
+    seconds = []
+    for n in (200_000, 400_000):
+        began = time.time()
+        assert sum(len(w) for w in bpe.windows(code.encode_ordinary("ab" * n), 400, 0)) > 0
+        seconds.append(time.time() - began)
+    assert seconds[1] < 4 * seconds[0] + 1
+
+
+def test_schema_text():
+    told = jsonx.schema_text([{"name": "a", "type": "str", "description": "first"}, {"name": "b", "type": "list", "items": {"type": "dict", "properties": [{"name": "c", "type": "int", "required": False}]}}])
+    assert told.split("\n") == ["[", "    {", '    "a": ""  // first (required),', '    "b": [  //  (required)', "      {", '        "c": number  //  (optional)', "      }", "      // ... more items ...", "    ]", "    }", "    ...", "]", "", "Required fields: a, b"]
+    tree = {"title": "Tree", "$ref": "#/$defs/node", "$defs": {"node": {"type": "object", "required": ["name"], "properties": {"name": {"type": "string"}, "up": {"anyOf": [{"$ref": "#/$defs/node"}, {"type": "null"}], "description": "above"}, "kids": {"type": "array", "items": {"$ref": "#/$defs/node"}}}}}}
+    told = jsonx.schema_text(tree, wrapper="rows", shown=2)
+    assert told.startswith('{\n  "rows": [\n    {\n      "name": ""  //  (required),\n      "up": {}  // above (optional),\n      "kids": [') and told.count('"name"') == 2 and "\n\nTree\n\nRequired fields: name" in told
+    assert jsonx.struct_of_json_schema(tree).simpleString() == "struct<name:string,up:variant,kids:array<variant>>"
+    with pytest.raises(ValueError):
+        jsonx.schema_text([{"name": "a", "type": "odd"}])
+
+
+def test_booleans_are_no_numbers_if_strict(spark):
+    df = spark.createDataFrame([('[{"k": true, "f": false, "b": true}]',)], "j string").select(F.try_parse_json("j").alias("v"))
+    fields = [{"name": "k", "type": "int"}, {"name": "f", "type": "float"}, {"name": "b", "type": "bool"}]
+    told = lambda strict: df.select(jsonx.validate_items(jsonx.unwrap_json(F.col("v")), fields, True, strict).alias("e")).first().e
+    assert told(False) == [] and told(True) == ["0: type: k is boolean", "0: type: f is boolean"]

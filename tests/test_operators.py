@@ -243,23 +243,55 @@ def test_streams_equal_batch(spark, tmp_path):
     firsts = collect(streams.stream_first_rows(source(), ["topic", "value"]), "firsts")
     assert firsts.count() == at.mark_duplicates(rows, ["topic", "value"]).filter("not duplicate").count()
     with streams.rocks_db(spark):
-        memory = collect(streams.stream_topic_memory(source()), "memory").collect()
+        places = collect(streams.stream_topic_places(source()), "places").collect()
+        memory = streams.latest_slices(collect(streams.stream_topic_memory(source(), 4), "memory")).collect()
     assert spark.conf.get(streams.PROVIDER, None) is None or "RocksDB" not in spark.conf.get(streams.PROVIDER)
     full = {r.topic: r.history for r in tp.topic_history(rows).collect()}
     for topic, history in full.items():
-        mine = [r for r in memory if r.topic == topic]
+        mine = [r for r in places if r.topic == topic]
         assert sorted(r.earlier for r in mine) == list(range(len(history))) and sorted(r.value for r in mine) == sorted(history)
+    assert sorted(memory) == sorted(tp.topic_history(rows, 4).collect())
+
+
+def test_stream_topic_memory_over_batches(spark, tmp_path):
+    """Slices that a batch leaves open go on in the next one; null topics and values are values."""
+    schema, rows = "topic string, idx long, value string", []
+    for lo in (0, 7, 9, 30):
+        part = [(("a", None, "b")[i % 3], i, None if i % 5 == 0 else f"v{i}") for i in range(lo, lo + 13)]
+        rows += part
+        spark.createDataFrame(part, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        with streams.rocks_db(spark):
+            streams.stream_run(streams.stream_topic_memory(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 3), lambda b: b, str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = {(r.topic, r.slice): r.history for r in streams.latest_slices(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    for topic in ("a", None, "b"):
+        values = [v for t, _, v in rows if t == topic]
+        assert [got[topic, k] for k in range(-(-len(values) // 3))] == [values[i : i + 3] for i in range(0, len(values), 3)]
+    last = spark.read.parquet(str(tmp_path / "out")).filter("batch = 3")
+    assert last.count() < len(got)
 
 
 def test_stream_marks_duplicates_of_earlier_batches(spark, tmp_path):
-    schema = "idx long, key string"
+    schema = "idx long, key string, other string"
     source = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     got = {}
-    for rows in ([(3, "a"), (1, "b"), (2, "a")], [(0, "a"), (5, None), (6, None), (7, "c")]):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
-        streams.stream_mark_duplicates(source(), ["key"], str(tmp_path / "out"), str(tmp_path / "ck"))
-        got = {r.idx: r.duplicate for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {1: False, 2: False, 3: True, 0: True, 5: False, 6: True, 7: False}
+    for rows in ([(3, "a"), (1, "b"), (2, "a")], [(0, "a"), (5, None), (6, None), (7, "c")], [(8, None), (9, "d"), (None, "d")], [(10, "d"), (None, "e"), (11, "e")], [(12, "f")]):
+        spark.createDataFrame([(*r, "x") for r in rows], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        with streams.rocks_db(spark):
+            streams.stream_run(streams.stream_mark_duplicates(source(), ["key"]), lambda b: b, str(tmp_path / "out"), str(tmp_path / "ck"))
+        out = spark.read.parquet(str(tmp_path / "out"))
+        got = {(r.idx, r.key): r.duplicate for r in out.collect()}
+    assert {k for k, v in got.items() if v} == {(3, "a"), (0, "a"), (6, None), (8, None), (10, "d")} and len(got) == 14 and "other" in out.columns
+
+
+def test_stream_duplicates_of_a_hot_key(spark, tmp_path):
+    """One key's rows in several frames, the first of them in the last."""
+    rows = spark.range(30_000).select((30_000 - F.col("id")).alias("idx"), (F.col("id") % 1000 == 7).alias("other"), F.lit("k").alias("_key"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    with streams.rocks_db(spark):
+        streams.stream_run(streams.stream_mark_duplicates(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), ["other"]), lambda b: b, str(tmp_path / "out"), str(tmp_path / "ck"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    want = at.mark_duplicates(rows, ["other"])
+    assert out.drop("batch").exceptAll(want.select(out.drop("batch").columns)).isEmpty() and out.count() == 30_000 and out.filter("not duplicate").count() == 2
 
 
 def test_histories_in_slices(spark):
@@ -295,3 +327,165 @@ def test_sample_exact_and_shuffle(spark):
     assert ins.sample_exact(df, 20).count() == 20 and ins.sample_exact(df, 80).count() == 50
     assert [r.idx for r in ins.sample_exact(df, 20, seed=1).collect()] == [r.idx for r in ins.sample_exact(df, 20, seed=1).collect()]
     assert sorted(r.place for r in ins.shuffle_rows(df).collect()) == list(range(1, 51))
+
+
+# Runs that go on, ledgers, numbers, pages
+
+
+class Killed(Exception):
+    pass
+
+
+def test_a_killed_run_goes_on(spark, tmp_path):
+    """Killed in the second round: the first is kept, its calls are not made again, and the end is that of a run without a break."""
+    df = spark.range(30).select(F.col("id").alias("idx"), F.concat(F.lit("c"), F.col("id") % 7).alias("city"))
+    flag = tmp_path / "calls"
+    flag.mkdir()
+
+    def fn(rows):
+        for r in rows:
+            (flag / f"{r['city']}-{len(list(flag.iterdir()))}").touch()
+        return [ValueError("no") if r["city"] == "c3" else [{"answer": r["city"]}] for r in rows]
+
+    seen = runs.seen_before(F.col("output")[0]["answer"])
+
+    def kill(rows, earlier, state):
+        if state["rounds"] == 1:
+            raise Killed
+        return rows
+
+    how = {"threshold": 3, "batch_size": 4, "updates": {"rounds": F.lit(1).cast("long") * F.max(F.lit(1))}, "state": {"rounds": 0}}
+    with pytest.raises(Killed):
+        runs.run_records(df.coalesce(1), fn, OUT, hooks=[seen, kill], log=str(tmp_path / "log"), **how)
+    called = len(list(flag.iterdir()))
+    got = runs.run_records(df.coalesce(1), fn, OUT, hooks=[seen], log=str(tmp_path / "log"), **how)
+    want = runs.run_records(df, lambda rows: [ValueError("no") if r["city"] == "c3" else [{"answer": r["city"]}] for r in rows], OUT, hooks=[seen], **how)
+    key = lambda rows: sorted((r.idx, r.attempt, r.status) for r in rows.collect())
+    assert key(got) == key(want) and got.run_state == want.run_state == runs.run_state(spark, str(tmp_path / "log")) == {"rounds": 3}
+    assert called >= 30 and got.select("idx", "attempt").distinct().count() == got.count()
+    done = at.flatten_outputs(got.filter("attempt = 1"))
+    assert at.index_audit(done, 30).count() == 0
+    tables = ledger.run_ledger(got)
+    assert tables["tasks"].count() == 30 and tables["tasks"].filter("status = 'failed'").count() == 4 and tables["records"].filter("error_message = 'no'").count() == 12
+
+
+def test_log_without_its_commit_does_not_count(spark, tmp_path):
+    import shutil
+
+    df = spark.range(6).select(F.col("id").alias("idx"), F.lit("x").alias("city"))
+    bad = lambda rows: [ValueError("no")] * len(rows)
+    first = runs.run_records(df, bad, OUT, threshold=2, log=str(tmp_path / "log"))
+    assert first.count() == 12
+    (tmp_path / "log" / "commits" / "000002.json").unlink()
+    assert runs.AttemptLog(spark, str(tmp_path / "log")).rows().count() == 6
+    again = runs.run_records(df, lambda rows: [[{"answer": "a"}] for _ in rows], OUT, threshold=2, log=str(tmp_path / "log"))
+    assert sorted((r.idx, r.attempt, r.status) for r in again.collect()) == sorted([(i, 1, "failed") for i in range(6)] + [(i, 2, "completed") for i in range(6)])
+    assert runs.run_records(df, bad, OUT, threshold=2, log=str(tmp_path / "log")).count() == 12  # nothing is left to do
+    (tmp_path / "log" / "commits" / "000001.json").unlink()
+    with pytest.raises(ValueError, match="lacks a round"):
+        runs.AttemptLog(spark, str(tmp_path / "log"))
+    shutil.rmtree(tmp_path / "log" / "commits")
+
+
+def test_a_second_session_knows_the_first(spark, tmp_path):
+    """Values, state, counts and configuration go on; overrides hold; dead letters get more attempts."""
+    df = spark.range(40).select(F.col("id").alias("idx"), F.concat(F.lit("c"), F.col("id") % 20).alias("city"))
+    one = lambda rows: [ValueError("no") if r["city"] == "c1" else [{"answer": r["city"]}] for r in rows]
+    hooks, updates, path = [runs.seen_before(F.col("output")[0]["answer"])], {"tries": F.count("*")}, str(tmp_path / "run")
+    first = runs.start_run(df, one, "answer string", path, hooks, {"tries": 100}, updates, threshold=1, target=10, wave=10)
+    assert first.count() == 20 and first.run_state == {"tries": 120}
+    same = runs.continue_run(spark, path, one, hooks, updates)
+    assert same.count() == 20 and same.run_state == {"tries": 120}  # the target is reached
+    second = runs.continue_run(spark, path, one, hooks, updates, target=20)
+    rows = {(r.idx, r.attempt): r.status for r in second.collect()}
+    assert len(rows) == 40 and second.run_state == {"tries": 140}
+    assert all(rows[i, 1] == ("failed" if i % 20 == 1 else "duplicate") for i in range(20, 40))
+    third = runs.continue_run(spark, path, lambda rows: [[{"answer": "new " + r["city"]}] for r in rows], hooks, updates, target=0, threshold=2)
+    last = {r.idx: (r.attempt, r.status) for r in third.collect() if r.attempt == 2}
+    assert last == {**{1: (2, "completed"), 21: (2, "duplicate")}, **{i: (2, "duplicate" if i % 20 == 1 else "completed") for i in range(20, 40)}}
+
+
+def test_run_refuses_null_idx(spark):
+    df = spark.createDataFrame([(None, "a"), (1, "b")], "idx long, city string")
+    one = lambda rows: [[{"answer": r["city"]}] for r in rows]
+    for how in ({}, {"target": 1}):
+        with pytest.raises(Exception, match="without idx"):
+            runs.run_records(df, one, OUT, **how).count()
+    assert runs.run_records(df.filter("false"), one, OUT).count() == 0
+
+
+def test_ledger_of_a_run_is_restored(spark):
+    df = ins.config_hash(spark.range(12).select(F.col("id").alias("idx"), F.concat(F.lit("c"), "id").alias("city")), ["idx", "city"])
+    two = lambda rows: [ValueError("x") if r["city"] == "c5" else [{"answer": r["city"]}, {"answer": None}] for r in rows]
+    tables = ledger.run_ledger(runs.run_records(df, two, OUT, threshold=2, run_id="r"), df)
+    assert [(r.master_job_id, r.status, r.completed, r.failed) for r in tables["runs"].collect()] == [("r", "completed_with_errors", 11, 2)]
+    assert ledger.orphans(tables["records"], tables["tasks"], "job_id", "job_id").isEmpty() and ledger.task_durations(tables["tasks"]).filter("seconds >= 0").count() == 12
+    again = lambda rows: rows.select("idx", F.array(F.lit("n")).alias("output"))
+    got = runs.resume_run(df, tables["tasks"], tables["records"], tables["payload"], F.lit(True), again).collect()
+    assert {r.idx: r.output for r in got} == {i: ["n"] if i == 5 else [f'{{"answer":"c{i}"}}', '{"answer":null}'] for i in range(12)}
+
+
+def test_upsert_touches_only_its_buckets(spark, tmp_path):
+    import os
+
+    rows = spark.range(1000).select(F.when(F.col("id") != 3, F.col("id")).alias("uid"), F.lit("a").alias("status"), F.lit(1).alias("v"))
+    table = ledger.BucketedTable(spark, str(tmp_path / "t"), "uid", 32)
+    table.create(rows)
+    times = lambda: {d: max(os.stat(os.path.join(p, f)).st_mtime_ns for f in fs) for p, _, fs in os.walk(tmp_path / "t") if fs and (d := os.path.basename(p)).startswith("bucket=")}
+    before = times()
+    changes = spark.createDataFrame([(5, "b", 2), (5, "c", 3), (7, "old", 0), (2000, "new", 1)], "uid long, status string, v int")
+    touched = table.upsert(changes, "v")
+    after = times()
+    assert {b for b in after if after[b] != before.get(b)} == {f"bucket={b}" for b in touched} and 1 <= len(touched) <= 3
+    assert sorted(map(str, table.read().collect())) == sorted(map(str, ledger.upsert_ledger(rows, changes, "uid", "v").collect()))
+    assert [r.status for r in table.find(5).collect()] == ["c"] and table.find(99999).isEmpty() and table.upsert(changes.filter("false"), "v") == []
+
+
+def test_pages_by_key_are_those_by_offset(spark, tmp_path):
+    at_ = lambda k: F.when(k % 17 != 0, (k * 7919 % 211).cast("timestamp"))
+    rows = spark.range(3000).select(F.concat(F.lit("u"), "id").alias("uid"), at_(F.col("id")).alias("at"), (F.col("id") % 3 == 0).alias("ok"))
+    table = ledger.PagedTable(spark, str(tmp_path / "t"), "at", "uid")
+    table.create(rows, 12)
+    for where, size in ((None, 400), (F.col("ok"), 130)):
+        last, offset = None, 0
+        while got := table.page(size, last, where).collect():
+            want = ledger.list_rows(rows, where, [], "at", "uid", size, offset).collect() if where is None or offset < 600 else got
+            assert got == want
+            last, offset = (got[-1].at, got[-1].uid), offset + len(got)
+        assert offset == rows.filter(F.lit(True) if where is None else where).count()
+    deep = ledger.list_rows(rows, None, [], "at", "uid", 1, 1500).first()
+    plan = table.page(50, (deep.at, deep.uid))._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "IsNotNull(at)" in pushed and "LessThanOrEqual(at" in pushed  # of the lower and of the upper bound
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json", "csv"])
+def test_positions_do_not_depend_on_how_files_are_read(spark, tmp_path, fmt):
+    rows = spark.range(5000).select("id", F.repeat(F.col("id").cast("string"), 20).alias("text"), F.lit("old").alias("idx"))
+    rows.repartition(3).write.format(fmt).option("header", "true").save(str(tmp_path / "in"))
+    got = []
+    for size in ("128m", "40k", "9k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got.append({int(r.id): r.idx for r in ins.number_inputs(spark, str(tmp_path / "in"), fmt).collect()})
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got[0] == got[1] == got[2] and sorted(got[0].values()) == list(range(5000))
+
+
+def test_fan_out_of_a_huge_topic(spark):
+    topics = spark.createDataFrame([(1, "big", 600_000_000), (2, "small", 3), (3, "none", 0), (4, None, 2)], "pos long, topic string, n long")
+    got = tp.fan_out_topics(topics)
+    assert got.filter("topic = 'small' or topic is null").orderBy("pos", "k").select("pos", "k").collect() == [(2, 1), (2, 2), (2, 3), (4, 1), (4, 2)]
+    few = tp.fan_out_topics(topics.withColumn("n", F.least("n", F.lit(1003))).withColumn("_low", F.lit("x")), 7)
+    assert few.filter("topic = 'big'").agg(F.count("*"), F.count_distinct("k"), F.min("k"), F.max("k")).first() == (1003, 1003, 1, 1003) and few.columns[-2:] == ["_low", "k"]
+    top = got.filter("topic = 'big'").agg(F.count("*").alias("n"), F.max("k").alias("m")).first()
+    assert (top.n, top.m) == (600_000_000, 600_000_000)
+
+
+def test_names_and_null_topics(spark):
+    rows = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), ("t", 3, "c")], "topic string, idx long, value string").withColumns({"_rank": F.lit(1), "_topic": F.lit(2)})
+    got = {r.idx: r.example for r in tp.earlier_example(rows).collect()}
+    assert got == {1: None, 2: "a", 3: None} and "_rank" in tp.earlier_example(rows).columns
+    marked = at.mark_duplicates(rows.withColumn("_key", F.lit("mine")).withColumn("_first", F.lit("too")), ["topic"])
+    assert {(r.idx, r.duplicate, r["_key"], r["_first"]) for r in marked.collect()} == {(1, False, "mine", "too"), (2, True, "mine", "too"), (3, False, "mine", "too")}
