@@ -194,7 +194,8 @@ def json_schema_of(fields: Sequence[dict]) -> dict:
             out["items"] = one(f["items"])
         return out
 
-    struct_of(fields)  # errors for unknown types and missing names
+    if any(not f.get("name") or f.get("type") not in kinds for f in fields):
+        raise ValueError("a field needs a name and one of the types " + ", ".join(kinds))
     return {"type": "object", "properties": {f["name"]: one(f) for f in fields}, "required": [f["name"] for f in fields if f.get("required", True)]}
 
 

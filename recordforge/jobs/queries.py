@@ -11,7 +11,7 @@ from recordforge.jobs import base, offline, templates
 from recordforge.operators import attempts as at, inputs as ins, ledger, run as runs_, topics as tp
 from recordforge.sources import files
 from recordforge.sources.files import read_html_pages
-from recordforge.sources.tables import load, scratch_path
+from recordforge.sources.tables import load, make_folder, move, scratch_path
 from recordforge.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -808,11 +808,15 @@ def _arriving(df: DataFrame, step, parts: int = 5) -> DataFrame:
     """What a stream gives whose rows arrive in `parts` portions, in the order of idx, one batch for each."""
     spark, root = df.sparkSession, scratch_path(df.sparkSession, "stream")
     low, high = df.agg(F.min("idx"), F.max("idx")).first()
-    with streams.rocks_db(spark):
+    for i in range(parts):
+        edge = [low + (high + 1 - low) * k // parts for k in (i, i + 1)]
+        df.filter(F.col("idx").between(edge[0], edge[1] - 1)).write.parquet(f"{root}/waiting/{i}")
+    make_folder(spark, f"{root}/in")
+    source = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    with streams.rocks_db(spark), streams.running(step(source), f"{root}/out", f"{root}/checkpoint") as stream:
         for i in range(parts):
-            edge = [low + (high + 1 - low) * k // parts for k in (i, i + 1)]
-            df.filter(F.col("idx").between(edge[0], edge[1] - 1)).write.mode("append").parquet(f"{root}/in")
-            streams.stream_run(step(spark.readStream.schema(df.schema).parquet(f"{root}/in")), lambda batch: batch, f"{root}/out", f"{root}/checkpoint")
+            move(spark, f"{root}/waiting/{i}", f"{root}/in/{i}")  # a whole portion appears at once
+            stream.processAllAvailable()
     return spark.read.parquet(f"{root}/out")
 
 

@@ -77,6 +77,23 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _at(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at, files = _at(spark, path)
+    files.delete(at, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    at, files = _at(spark, path)
+    files.mkdirs(at)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a folder, so that all it holds appears in its new place at once."""
+    at, files = _at(spark, path)
+    if not files.rename(at, _at(spark, to)[0]):
+        raise OSError(f"{path} could not be moved to {to}")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from recordforge.functions.names import free_names
 
@@ -27,6 +27,21 @@ def stream_run(source: DataFrame, step: Callable[[DataFrame], DataFrame], out: s
     source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+@contextlib.contextmanager
+def running(source: DataFrame, out: str, checkpoint: str) -> Iterator[StreamingQuery]:
+    """Keeps appending what a stream gives to `out`, a folder for each batch, until the block ends. A batch
+    that is tried again writes over its own folder."""
+
+    def one(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    stream = source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()
+    try:
+        yield stream
+    finally:
+        stream.stop()
+
+
 class TopicPlaces(StatefulProcessor):
     """Counts the values of each topic; tells each row how many came before it."""
 
