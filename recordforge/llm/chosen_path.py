@@ -56,8 +56,8 @@ from recordforge.llm.textarrays import ODD64, Powers, alnum_table, chunked, enco
 from recordforge.sources.tables import discard, materialise
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
-#: Leaf size, similarity at which a node is not split further, sets that estimate it, levels.
-SMALL, ALIKE, SAMPLED, LEVELS = 512, 0.4, 64, 4
+#: Leaf size; share of pairs near the threshold in a node that is not split further, how near, sets that estimate it; levels and passes.
+SMALL, ALIKE, NEAR, SAMPLED, LEVELS, PASSES = 512, 0.5, 0.1, 64, 4, 8
 #: Sets of a bucket whose links are all listed. Of a large node: representatives, sets and shingles of a slice.
 LISTED, REPRESENTATIVES, SLICE, SHINGLES = 64, 32, 512, 2_000_000
 #: Bits, as a power of two, that tell which texts are not needed.
@@ -116,8 +116,8 @@ def _fixed(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def signatures(docs: DataFrame, text_col: str, id_col: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc, text_hash, set, size, sig, sketch) of the rows with an id.
+def signatures(docs: DataFrame, text_col: str, id_col: str, threshold: float = THRESHOLD, nth: int = 0) -> DataFrame:
+    """(doc, text_hash, set, size, sig, sketch) of the rows with an id, by the tokens of the nth pass.
 
     sig: the token that begins each run. sketch: 16 bits of these and of every
     run's token for each deeper level. A text without words has size 0 and zeros.
@@ -127,7 +127,7 @@ def signatures(docs: DataFrame, text_col: str, id_col: str, threshold: float = T
 
     def run(batches):
         table, powers = alnum_table(), Powers()
-        seeds = mix(np.arange(1, every + 1, dtype=np.uint64) * np.uint64(ODD64[1]))
+        seeds = mix(np.arange(nth * every + 1, (nth + 1) * every + 1, dtype=np.uint64) * np.uint64(ODD64[1]))
         for batch in batches:
             for lo, hi, texts in text_slices(batch.column(2)):
                 whole, count, flat = _shingles(texts, table, powers)
@@ -161,16 +161,16 @@ class _Found:
         return out
 
 
-def _alike(big: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, alike) of large nodes: whether their sets share `ALIKE` of their tokens on average; no row if no set was drawn."""
+def _alike(big: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
+    """(key, alike) of large nodes: whether `ALIKE` of their pairs are near the threshold; no row if no set was drawn."""
 
     def run(batches):
         held: list[tuple[int, bytes]] = []
 
         def share() -> tuple[int, bool]:
             s = np.frombuffer(b"".join(x for _, x in held), np.uint16).reshape(len(held), -1)
-            same = sum(float((np.unique(c, return_counts=True)[1].astype(float) ** 2).sum() - len(s)) for c in s.T)
-            return held[0][0], same >= ALIKE * s.shape[1] * len(s) * (len(s) - 1)
+            same = np.array([(s == row).mean(1) >= threshold - NEAR for row in s])
+            return held[0][0], len(s) > 1 and same.sum() - len(s) >= ALIKE * len(s) * (len(s) - 1)
 
         for batch in batches:
             out = []
@@ -179,68 +179,88 @@ def _alike(big: DataFrame, sets: DataFrame) -> DataFrame:
                     out.append(share())
                     held.clear()
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([a for _, a in out], pa.bool_())], names=["key", "alike"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([bool(a) for _, a in out], pa.bool_())], names=["key", "alike"])
         if held:
             key, alike = share()
-            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([alike])], names=["key", "alike"])
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([bool(alike)])], names=["key", "alike"])
 
     few = big.filter(F.pmod(F.xxhash64("set", "key", F.lit("alike")), F.col("n")) < SAMPLED)
-    return few.join(sets.select("set", "sketch"), "set").select("key", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, alike boolean")
-
-
-def _run_trees(sets: DataFrame, first_run: int, runs: int, most: int, leaves: _Found, large: _Found, scratch: list) -> tuple[int, DataFrame | None]:
-    """Adds leaves and large nodes (key, set) of some runs; the levels they took, and the sets of nodes that were split."""
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        scratch.append(materialise(df, name))
-        return scratch[-1]
-
-    level = sets.select("set", F.posexplode(F.slice("sig", first_run + 1, runs)).alias("run", "token")).withColumn("run", F.col("run") + first_run).select("set", "run", F.xxhash64("run", "token").alias("key"))
-    deep = None
-    for depth in range(1, LEVELS + 1):
-        # Written before the join, so that both its sides are plain exchanges, which Spark splits where a key is hot.
-        sizes = keep(level.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "path-sizes")
-        nodes = keep(level.join(sizes, "key"), "path-level")
-        leaves.parts.append(nodes.filter(F.col("n") <= SMALL).select("key", "set"))
-        big = nodes.filter(F.col("n") > SMALL)
-        if big.isEmpty():
-            return depth, deep
-        if depth == LEVELS:
-            large.parts.append(big.select("key", "set"))
-            return depth, deep
-        alike = keep(_alike(big, sets).filter("alike"), "path-alike")
-        large.parts.append(big.join(alike, "key").select("key", "set"))
-        apart = big.join(alike, "key", "left_anti")
-        if deep is None:
-            deep = apart.select("set").distinct()
-        token = lambda run: F.substring("sketch", ((run + most * depth) * 2 + 1).cast("int"), F.lit(2))  # noqa: B023, E731
-        second = F.pmod(F.xxhash64("key", F.lit(depth)), F.lit(4)) == 0
-        another = F.pmod(F.col("run") + 1 + F.pmod(F.xxhash64("key"), F.lit(most - 1)), F.lit(most))
-        children = F.array_compact(F.array(F.xxhash64("key", F.lit(0), token(F.col("run"))), F.when(second, F.xxhash64("key", F.lit(1), token(another)))))
-        level = keep(apart.join(sets.select("set", "sketch"), "set").select("set", "run", F.explode(children).alias("key")), "path-children")
-    return LEVELS, deep
-
-
-def grow(sets: DataFrame, threshold: float, scratch: list) -> tuple[DataFrame, DataFrame | None]:
-    """Leaves, and nodes that stayed large, of as many runs as the target recall needs at the depth that they reach.
-
-    A pair that shares a run's first token is together in a leaf, in a large
-    node, or both sets are in a node that was split. So only sets of split nodes
-    need more runs than a depth of one asks for.
-    """
-    leaves, large = _Found(), _Found()
-    most = runs_needed(LEVELS, threshold)
-    done, depth, left = 0, 1, sets
-    while done < runs_needed(depth, threshold):
-        more = runs_needed(depth, threshold) - done
-        level, deep = _run_trees(left, done, more, most, leaves, large, scratch)
-        done, depth = done + more, max(depth, level)
-        if deep is None:
+    return few.join(tokens.select("set", "sketch"), "set").select("key", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, alike boolean")
+
+
+class _Forest:
+    """The leaves (key, set) of all passes, the large nodes of similar sets, and those that the present pass leaves open."""
+
+    def __init__(self, threshold: float, scratch: list) -> None:
+        self.leaves, self.large, self.open = _Found(), _Found(), _Found()
+        self.threshold, self.most, self.scratch = threshold, runs_needed(LEVELS, threshold), scratch
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.scratch.append(materialise(df, name))
+        return self.scratch[-1]
+
+    def trees(self, members: DataFrame | None, tokens: DataFrame, first_run: int, runs: int) -> tuple[int, DataFrame | None]:
+        """Some runs over the members (within, set), or all sets; the levels they took, and the members of nodes that were split."""
+        begun = tokens.select(F.lit(0).cast("long").alias("within"), "set", "sig") if members is None else members.join(tokens.select("set", "sig"), "set")
+        level = begun.select("within", "set", F.posexplode(F.slice("sig", first_run + 1, runs)).alias("run", "token")).withColumn("run", F.col("run") + first_run).select("within", "set", "run", F.xxhash64("within", "run", "token").alias("key"))
+        deep = None
+        for depth in range(1, LEVELS + 1):
+            # Written before the join, so that both its sides are plain exchanges, which Spark splits where a key is hot.
+            sizes = self.keep(level.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "path-sizes")
+            nodes = self.keep(level.join(sizes, "key"), "path-level")
+            self.leaves.parts.append(nodes.filter(F.col("n") <= SMALL).select("key", "set"))
+            big = nodes.filter(F.col("n") > SMALL)
+            if big.isEmpty():
+                return depth, deep
+            alike = self.keep(_alike(big, tokens, self.threshold).filter("alike"), "path-alike")
+            self.large.parts.append(big.join(alike, "key").select("key", "set"))
+            apart = big.join(alike, "key", "left_anti")
+            if depth == LEVELS:
+                self.open.parts.append(apart.select("key", "set"))
+                return depth, deep
+            if deep is None:
+                deep = apart.select("within", "set").distinct()
+            token = lambda run: F.substring("sketch", ((run + self.most * depth) * 2 + 1).cast("int"), F.lit(2))  # noqa: B023, E731
+            second = F.pmod(F.xxhash64("key", F.lit(depth)), F.lit(4)) == 0
+            another = F.pmod(F.col("run") + 1 + F.pmod(F.xxhash64("key"), F.lit(self.most - 1)), F.lit(self.most))
+            children = F.array_compact(F.array(F.xxhash64("key", F.lit(0), token(F.col("run"))), F.when(second, F.xxhash64("key", F.lit(1), token(another)))))
+            level = self.keep(apart.join(tokens.select("set", "sketch"), "set").select("within", "set", "run", F.explode(children).alias("key")), "path-children")
+        return LEVELS, deep
+
+    def grow(self, members: DataFrame | None, tokens: DataFrame) -> None:
+        """As many runs as the target recall needs at the depth that they reach.
+
+        A pair that shares a run's first token is together in a leaf, in a large
+        node, or both sets are in a node that was split. So only members of split nodes
+        need more runs than a depth of one asks for.
+        """
+        done, depth = 0, 1
+        while done < runs_needed(depth, self.threshold):
+            more = runs_needed(depth, self.threshold) - done
+            level, deep = self.trees(members, tokens, done, more)
+            done, depth = done + more, max(depth, level)
+            if deep is None:
+                break
+            if depth > 1:
+                members = self.keep(deep, "path-deep")
+
+
+def grow(sets: DataFrame, threshold: float, scratch: list, fresh) -> tuple[DataFrame, DataFrame | None]:
+    """Leaves, and nodes that stayed large, of all passes. fresh(pass, sets): (set, sig, sketch) by that pass's tokens."""
+    forest, members, tokens = _Forest(threshold, scratch), None, sets
+    for nth in range(1, PASSES + 1):
+        forest.grow(members, tokens)
+        still = forest.open.read()
+        if still is None:
             break
-        if depth > 1:
-            left = materialise(left.join(deep, "set", "left_semi"), "path-deep")
-            scratch.append(left)
-    return leaves.read(), large.read()
+        still, forest.open = forest.keep(still.distinct(), "path-open"), _Found()
+        if still.isEmpty():
+            break
+        if nth == PASSES:
+            forest.large.parts.append(still)
+            break
+        members, tokens = still.select(F.col("key").alias("within"), "set"), fresh(nth, still.select("set").distinct())
+    return forest.leaves.read(), forest.large.read()
 
 
 def _labels(linked: np.ndarray) -> np.ndarray:
@@ -498,7 +518,16 @@ def classes(docs: DataFrame, text_col: str, id_col: str, threshold: float, ids:
     signed = materialise(signed, "path-signatures")
     sets = materialise(signed.filter("size > 0").groupBy("set").agg(F.min("doc").alias("first"), F.count("*").alias("weight"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "path-sets")
     scratch: list[DataFrame] = []
-    leaves, large = grow(sets, threshold, scratch)
+
+    def fresh(nth: int, wanted: DataFrame) -> DataFrame:
+        chosen = materialise(sets.select("set", "first").join(wanted, "set"), "path-fresh-sets")
+        rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+        texts = likely(rows, "doc", chosen.select("first")).hint("merge").join(chosen.select(F.col("first").alias("doc")).distinct(), "doc")
+        again = signatures(texts, "text", "doc", threshold, nth).join(chosen.select("set"), "set", "left_semi").groupBy("set").agg(F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+        scratch.extend((chosen, materialise(again, "path-fresh")))
+        return scratch[-1]
+
+    leaves, large = grow(sets, threshold, scratch, fresh)
     small = buckets(leaves, sets, threshold)
     places = small.select("set", _place("bucket", 0, 1, 0, 1, 2, F.col("set")).alias("place"))
     dealt = None

@@ -460,7 +460,7 @@ def test_trees_reach_the_recall_in_large_nodes(spark):
     b = np.where(rng.random(a.shape) < 0.8, a, (a + rng.integers(1, 8, a.shape)) % 8).astype(np.uint16)
     rows = [(2 * i + side, 1, x[:runs].tolist(), x.tobytes()) for side, both in enumerate((a, b)) for i, x in enumerate(both)]
     sets = spark.createDataFrame(rows, "set long, size long, sig array<long>, sketch binary").repartition(4).cache()
-    leaves, large = chosen_path.grow(sets, 0.8, [])
+    leaves, large = chosen_path.grow(sets, 0.8, [], None)
     both = leaves if large is None else leaves.unionByName(large)
     met = both.groupBy("key", F.floor(F.col("set") / 2).alias("pair")).count().filter("count = 2").select("pair").distinct().count()
     assert pairs - met <= 0.002 * pairs
