@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from recordforge.functions.names import free_names
 from recordforge.llm import chosen_path, latent_decontam, line_templates, toxicity
 from recordforge.llm.labelled import labelled_rows
 from recordforge.llm.queries import TRAIN_ROWS, mix_by_labels
@@ -26,14 +27,16 @@ from recordforge.sources.tables import discard, load, materialise, scratch
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go; labels teach it."""
     rows = labelled_rows(docs, load(spark, sf_dir, "labels"), F.col("toxic").cast("int"), TRAIN_ROWS)
-    scored = toxicity.score(docs, toxicity.fit(rows, "text", "label"), score_col="_toxicity", flag_col="_toxic")
-    return scored.filter("_toxic = 0").select(docs.columns)
+    score, flag = free_names(docs.columns, "_toxicity", "_toxic")
+    scored = toxicity.score(docs, toxicity.fit(rows, "text", "label"), score_col=score, flag_col=flag)
+    return scored.filter(F.col(flag) == 0).select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go; so do documents of which nothing is left."""
-    cut = line_templates.drop_recurring(docs).filter("n_dropped = 0 or text rlike '[^\\\\s]'")
-    columns = [F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    lines, dropped = free_names(docs.columns, "_lines", "_dropped")
+    cut = line_templates.drop_recurring(docs, lines_col=lines, dropped_col=dropped).filter((F.col(dropped) == 0) | F.col("text").rlike(r"[^\s]"))
+    columns = [F.when(F.col(dropped) > 0, F.length("text")).otherwise(F.col(c)).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return cut.select(columns)
 
 
@@ -44,17 +47,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     more. So each document is judged by its text as given and as `documents`
     has it; texts of one id are one document here. Of a repeated row one stays.
     """
-    later = chosen_path.later_ids([docs, load(spark, sf_dir, "documents")], docs.select("doc_id"))
+    later_id, text_hash = free_names(docs.columns, "_later", "_text_hash")
+    later = chosen_path.later_ids([docs, load(spark, sf_dir, "documents")], docs.select("doc_id")).toDF(later_id)
     once = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null")
-    kept = docs.join(later, F.col("doc_id") == F.col("doc"), "left_anti")
+    kept = docs.join(later, F.col("doc_id") == F.col(later_id), "left_anti")
     if once.isEmpty():
         return kept
-    return kept.withColumn("_text_hash", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text"))).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    return kept.withColumn(text_hash, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("text"))).dropDuplicates(["doc_id", text_hash]).drop(text_hash)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return latent_decontam.flag(docs, load(spark, sf_dir, "benchmark")).filter(F.size("items") == 0).select(docs.columns)
+    items, overlap = free_names(docs.columns, "_found", "_share")
+    return latent_decontam.flag(docs, load(spark, sf_dir, "benchmark"), items_col=items, overlap_col=overlap).filter(F.size(items) == 0).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,6 +47,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from recordforge.functions.names import free_names
 from recordforge.llm import sums
 from recordforge.llm.textarrays import Powers, alnum_table, append_columns, encode, text_slices, words
 
@@ -329,12 +330,12 @@ def _find(docs: DataFrame, blocks: list[_Block], short: dict, text_col: str, nam
     return append_columns(docs, [T.StructField(names[0], T.ArrayType(T.LongType())), T.StructField(names[1], T.DoubleType())], make, text_col)
 
 
-def flag(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Adds items (ids of the benchmark items held) and overlap (the largest share, 0 if none)."""
+def flag(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", items_col: str = "items", overlap_col: str = "overlap") -> DataFrame:
+    """Adds the ids of the benchmark items held, and the largest share of one (0 if none)."""
     known = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).filter("item is not null and text is not null").distinct()
     n = max(1, -(-known.count() // ITEMS))
     counts = occurrences(docs, text_col)
-    out = docs.drop("items", "overlap")
+    out = docs.drop(items_col, overlap_col)
     names = []
     for lo in range(0, n, PASS):
         all_items = [Items(sorted((r["item"], r["text"]) for r in known.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).collect()), counts) for b in range(lo, min(n, lo + PASS))]
@@ -343,12 +344,12 @@ def flag(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
         if not some and not short:
             continue
         blocks = [_Block(x, basis) for x, basis in zip(some, latent_spaces(docs, text_col, some))] if some else []
-        names.append((f"_items{lo}", f"_overlap{lo}"))
+        names.append(free_names(out.columns, "_items", "_overlap"))
         out = _find(out, blocks, short, text_col, names[-1])
     if not names:
-        return out.withColumns({"items": F.array().cast("array<bigint>"), "overlap": F.lit(0.0)})
-    items, overlap = F.array_sort(F.array_distinct(F.flatten(F.array(*[a for a, _ in names])))), [F.col(b) for _, b in names]
-    return out.withColumns({"items": items, "overlap": F.greatest(*overlap) if len(overlap) > 1 else overlap[0]}).drop(*[c for pair in names for c in pair])
+        return out.withColumns({items_col: F.array().cast("array<bigint>"), overlap_col: F.lit(0.0)})
+    items, overlaps = F.array_sort(F.array_distinct(F.flatten(F.array(*[a for a, _ in names])))), [F.col(b) for _, b in names]
+    return out.withColumns({items_col: items, overlap_col: F.greatest(*overlaps) if len(overlaps) > 1 else overlaps[0]}).drop(*[c for pair in names for c in pair])
 
 
 def _merged(tables: list[dict]) -> dict:

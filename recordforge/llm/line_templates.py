@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from recordforge.functions.names import free_names
 from recordforge.sources.tables import materialise
 
 LEAD, SEGMENTS, LEAST, WILD = 3, 4, 5, 8
@@ -53,15 +54,15 @@ def dropped_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     return keys.join(recurring, ["_n", "_key"]).filter("_id > _first").groupBy("_id", "_hash").agg(F.collect_set("_pos").alias("_dropped"))
 
 
-def drop_recurring(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def drop_recurring(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lines_col: str = "n_lines", dropped_col: str = "n_dropped") -> DataFrame:
     """Every document without the lines whose template an earlier document holds.
 
-    Adds n_lines (0 for a null text) and n_dropped.
+    Adds the numbers of its lines (0 for a null text) and of those dropped.
     """
-    kept = docs.drop("n_lines", "n_dropped")
-    gone_id, gone_hash, gone = (next(n for k in range(len(kept.columns) + 1) if (n := f"{name}{k or ''}") not in kept.columns) for name in ("_gone_id", "_gone_hash", "_gone"))
+    kept = docs.drop(lines_col, dropped_col)
+    gone_id, gone_hash, gone = free_names(kept.columns, "_gone_id", "_gone_hash", "_gone")
     found = dropped_lines(kept, text_col, id_col).toDF(gone_id, gone_hash, gone)
     lines = F.split(F.col(text_col), "\n")
     joined = kept.join(found, (F.col(id_col) == F.col(gone_id)) & (F.xxhash64(text_col) == F.col(gone_hash)), "left")
     text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(gone, i)), "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in kept.columns], F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"), F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).alias("n_dropped"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in kept.columns], F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias(lines_col), F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).alias(dropped_col))

@@ -276,10 +276,10 @@ def score(docs: DataFrame, train: Column, text_col: str = "text", held_out_col:
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(batch.num_columns - 1)), pa.array(sizes.astype(np.int64)), pa.array(sums(n > 0).astype(np.int64)), pa.array(base), pa.array(model), pa.ListArray.from_arrays(cuts, pa.array(fh[at].view(np.int64))), pa.ListArray.from_arrays(cuts, pa.array(times))], names=[*batch.schema.names[:-1], "n_tokens", "_near", "_base", "_model", "_far", "_times"])
 
     others = [c for c in docs.columns if c != text_col]
-    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), *others, F.col(text_col).alias("_text"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("_row"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.col(text_col).alias("_text"))
     schema = T.StructType([*numbered.schema.fields[:-1], *T.StructType.fromDDL("n_tokens long, _near long, _base double, _model double, _far array<long>, _times array<int>").fields])
     scored = materialise(numbered.mapInArrow(run, schema), "lm-scored")
     far = scored.select("_row", F.explode(F.arrays_zip("_far", "_times")).alias("_f")).select("_row", F.col("_f._far").alias("token"), F.col("_f._times").alias("_times"))
     rest = far.join(counts.select("token", "n"), "token").groupBy("_row").agg(F.sum("_times").alias("_known"), F.sum(F.col("_times") * F.log10(F.col("n") + 1.0)).alias("_log"))
     log = F.coalesce("_log", F.lit(0.0))
-    return scored.drop("_far", "_times").join(rest, "_row", "left").select(*others, "n_tokens", (F.col("_near") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(int(vocab["N"])).cast("long").alias("train_tokens"), (F.col("_base") + log).alias("base_score"), (F.col("_model") + log).alias("score"))
+    return scored.drop("_far", "_times").join(rest, "_row", "left").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(others)], "n_tokens", (F.col("_near") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(int(vocab["N"])).cast("long").alias("train_tokens"), (F.col("_base") + log).alias("base_score"), (F.col("_model") + log).alias("score"))

@@ -20,7 +20,7 @@ Defined cases: a null or empty text has no tokens, the prior as its posterior
 and a rate like any other; labels that are null, or of absent documents, are
 not learned from; repeated rows get equal rates; without labels or without
 documents the result is empty or has rate 1; columns of the new names are
-replaced. Targets must name every domain that the labels have.
+replaced, all others kept, whatever their names. Targets must name every domain that the labels have.
 """
 
 from __future__ import annotations
@@ -133,7 +133,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text_co
     if missing := set(domains) - set(targets):
         raise ValueError(f"no target for {sorted(missing)}")
     total = sum(targets[d] for d in domains)
-    soft = materialise(posteriors(docs, text_col, id_col, table, domains, log_priors, keep_text), "mixing-posteriors")
+    # Numbered names on the way, so that any name may be among the given ones.
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    soft = materialise(posteriors(docs.toDF(*inner.values()), inner[text_col], inner[id_col], table, domains, log_priors, keep_text), "mixing-posteriors")
     wanted = [targets[d] / total for d in domains]
     steps, reached = fit_rates(soft, wanted)
     if missed := {d: round(r, 4) for d, w, r in zip(domains, wanted, reached) if abs(r - w) > 1e-3}:
@@ -141,5 +143,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], text_co
     p = [F.col(f"_p{i}") for i in range(len(domains))]
     best = F.greatest(*p) if len(p) > 1 else p[0]
     domain = F.coalesce(*[F.when(p[i] == best, F.lit(d)) for i, d in enumerate(domains)])
-    unit = F.pmod(F.xxhash64(F.lit("copies"), F.col(id_col)), F.lit(1_000_003)) / 1_000_003
-    return soft.select(*kept, F.col("_tokens").alias("n_tokens"), domain.alias("domain"), F.array(*p).alias("posterior"), _rate(steps).alias("rate")).withColumn("copies", F.floor(F.col("rate") + unit).cast("int"))
+    unit = F.pmod(F.xxhash64(F.lit("copies"), F.col(inner[id_col])), F.lit(1_000_003)) / 1_000_003
+    mixed = soft.select(*[inner[c] for c in kept], F.col("_tokens").alias("_n"), domain.alias("_domain"), F.array(*p).alias("_posterior"), _rate(steps).alias("_rate"))
+    mixed = mixed.withColumn("_copies", F.floor(F.col("_rate") + unit).cast("int"))
+    return mixed.toDF(*kept, *new)

@@ -15,6 +15,19 @@ TRAIN_ROWS = 20_000
 QUALITY_TRAIN_ROWS = 8_000
 #: The rules of the URL query: action, host, path.
 HOST_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+#: Words that mark a host, or a folder of it, as unwanted, whatever else the table holds.
+KEYWORDS = (
+    # gambling
+    "bet", "bets", "betting", "bingo", "casino", "casinos", "gambling", "jackpot", "lottery", "poker", "roulette", "slots", "wager",
+    # pharmacy
+    "cialis", "pharmacy", "pills", "steroids", "tramadol", "viagra", "xanax",
+    # adult
+    "adult", "escort", "escorts", "nude", "porn", "sex", "webcam", "xxx",
+    # advertising and tracking
+    "ad", "ads", "adserver", "adservice", "banner", "banners", "clicktrack", "popunder", "popup", "tracker", "tracking",
+    # spam and fraud
+    "crack", "keygen", "linkfarm", "malware", "payday", "phishing", "spam", "torrent", "torrents", "warez",
+)
 #: Target shares of tokens, by language and by quality label.
 LANGUAGE_SHARES = {"de": 0.2, "en": 0.4, "es": 0.2, "fr": 0.2}
 QUALITY_SHARES = {0: 0.05, 1: 0.95}
@@ -76,7 +89,8 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
     rules = url_rules.host_rules(spark.createDataFrame(HOST_RULES, "action string, host string, path string"))
-    return url_rules.judge(pages, rules.unionByName(url_rules.word_rules(pages))).select("page_id", "host", "path", "rule", "verdict")
+    words = spark.createDataFrame([("block", w) for w in KEYWORDS], "action string, word string")
+    return url_rules.judge(pages, rules.unionByName(url_rules.keyword_rules(words))).select("page_id", "host", "path", "rule", "verdict")
 
 
 _RULE_ROWS = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in HOST_RULES)
@@ -84,10 +98,10 @@ OP4_SQL = rf"""
 WITH parts AS (
   SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{url_rules.UPPER}', '{url_rules.LOWER}'), '') AS host,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages
-), words AS (
-  SELECT DISTINCT w FROM (SELECT unnest(string_split(j, '-')) AS w FROM (SELECT unnest(regexp_extract_all(host, '{url_rules.JOINED}')) AS j FROM parts)) WHERE length(w) >= {url_rules.WORD}
+), marks AS (
+  SELECT DISTINCT host, path, list_concat(list_slice(string_split_regex(host, '[.-]'), 1, -2), list_slice(string_split(translate(path, '{url_rules.UPPER}', '{url_rules.LOWER}'), '/'), 2, -1)) AS ws FROM parts
 ), bad AS (
-  SELECT DISTINCT host FROM (SELECT host, unnest(list_slice(string_split_regex(host, '[.-]'), 1, -2)) AS w FROM (SELECT DISTINCT host FROM parts)) JOIN words USING (w)
+  SELECT host, path FROM marks WHERE list_has_any(ws, [{", ".join(f"'{w}'" for w in KEYWORDS)}])
 ), rules(action, rule_host, rule_path) AS (VALUES {_RULE_ROWS}),
 fits AS (
   SELECT DISTINCT host, path, action, rule_host || rule_path AS rule FROM parts JOIN rules
@@ -95,8 +109,8 @@ fits AS (
 ), best AS (
   SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action FROM fits GROUP BY host, path
 )
-SELECT page_id, p.host, p.path, rule, coalesce(action, CASE WHEN p.host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict
-FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
+SELECT page_id, p.host, p.path, rule, coalesce(action, CASE WHEN bad.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path LEFT JOIN bad ON p.host = bad.host AND p.path = bad.path
 """
 
 
