@@ -7,16 +7,17 @@ connected component of the links.
 
 Chosen path. The root of a run splits all sets on a sampled token: a minhash of
 the set, so that two sets follow the same path with the probability of their
-similarity. A node of up to `SMALL` sets is a leaf. A larger node splits again,
-on the token of its run and level, and on a second one for every fourth node, so
-that a path of similar sets keeps as many branches as it loses. The runs share
-no token of these, so their chances to keep a pair are independent; a second
-token is that of another run and can only add to them. A node whose members
-are alike on average (by about `SAMPLED` of them) is not split further, as that
-would only part similar sets; neither is one after `LEVELS` levels. Runs repeat until the chance to miss
-a pair at the threshold, over the levels that the trees reached, is below
-`1 - RECALL`; sets that were in no node that was split are done after the runs
-for one level. Only ids and node keys go through the levels.
+similarity. A node of up to `SMALL` sets is a leaf. Of a larger one about `SAMPLED`
+sets are looked at. If `GROUP` of them are near as many others, the node holds a
+group of near copies and is not split, as that would only part similar sets.
+Else it is split once more, on every sampled token but those of boilerplate, which
+more than `COMMON` of its sets have. Children of up to `SMALL` sets are leaves.
+Larger ones are looked at in the same way: a large group of near copies has
+children that are little else, and each set goes on to `CHOSEN` of those at the
+most; the others hold boilerplate only, and what is similar in them meets in
+other children. So the split loses a pair only if it shares none of some fifty tokens
+that are not boilerplate. Runs repeat until the chance that a pair at the
+threshold shares no root is below `1 - RECALL`. Only ids and node keys are shuffled.
 
 Leaves are brute-forced twice. First on the sampled tokens, 16 bits of each: a
 pair needs `least_matches` equal ones, which a pair at the threshold misses with
@@ -56,8 +57,10 @@ from recordforge.llm.textarrays import ODD64, Powers, alnum_table, chunked, enco
 from recordforge.sources.tables import discard, materialise
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
-#: Leaf size, similarity at which a node is not split further, sets that estimate it, levels.
-SMALL, ALIKE, SAMPLED, LEVELS = 512, 0.4, 64, 4
+#: Leaf size; sets that are looked at in a larger node, how near they are to a group's, and its least share; share of a node that boilerplate exceeds.
+SMALL, SAMPLED, NEAR, GROUP, COMMON = 512, 64, 0.13, 0.3, 0.4
+#: Sampled tokens are as many as runs of so many levels would take; large children that a set of a split node goes on to.
+LEVELS, CHOSEN = 4, 4
 #: Sets of a bucket whose links are all listed. Of a large node: representatives, sets and shingles of a slice.
 LISTED, REPRESENTATIVES, SLICE, SHINGLES = 64, 32, 512, 2_000_000
 #: Bits, as a power of two, that tell which texts are not needed.
@@ -161,85 +164,69 @@ class _Found:
         return out
 
 
-def _alike(big: DataFrame, sets: DataFrame) -> DataFrame:
-    """(key, alike) of large nodes: whether their sets share `ALIKE` of their tokens on average; no row if no set was drawn."""
+def _groups(big: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(key) of the large nodes that hold a group: `GROUP` of the sets drawn are near as many of them."""
 
     def run(batches):
         held: list[tuple[int, bytes]] = []
 
-        def share() -> tuple[int, bool]:
+        def group() -> bool:
             s = np.frombuffer(b"".join(x for _, x in held), np.uint16).reshape(len(held), -1)
-            same = sum(float((np.unique(c, return_counts=True)[1].astype(float) ** 2).sum() - len(s)) for c in s.T)
-            return held[0][0], same >= ALIKE * s.shape[1] * len(s) * (len(s) - 1)
+            near = np.array([((s == row).mean(1) >= threshold - NEAR).sum() - 1 for row in s])
+            return (near >= max(1, GROUP * (len(s) - 1))).sum() >= GROUP * len(s)
 
         for batch in batches:
-            out = []
+            found = []
             for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if held and held[0][0] != row[0]:
-                    out.append(share())
+                    if group():
+                        found.append(held[0][0])
                     held.clear()
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([a for _, a in out], pa.bool_())], names=["key", "alike"])
-        if held:
-            key, alike = share()
-            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([alike])], names=["key", "alike"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["key"])
+        if held and group():
+            yield pa.RecordBatch.from_arrays([pa.array([held[0][0]])], names=["key"])
+
+    few = big.filter(F.pmod(F.xxhash64("set", "key", F.lit("drawn")), F.col("n")) < SAMPLED)
+    return few.join(sets.select("set", "sketch"), "set").select("key", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long")
 
-    few = big.filter(F.pmod(F.xxhash64("set", "key", F.lit("alike")), F.col("n")) < SAMPLED)
-    return few.join(sets.select("set", "sketch"), "set").select("key", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, alike boolean")
 
+def grow(sets: DataFrame, threshold: float, scratch: list) -> tuple[DataFrame, DataFrame | None]:
+    """Leaves (key, set), and large nodes that hold groups, of as many runs as the target recall needs.
 
-def _run_trees(sets: DataFrame, first_run: int, runs: int, most: int, leaves: _Found, large: _Found, scratch: list) -> tuple[int, DataFrame | None]:
-    """Adds leaves and large nodes (key, set) of some runs; the levels they took, and the sets of nodes that were split."""
+    A pair that shares a run's first token is together in a leaf, in a node that
+    holds a group, or in one that is split on all tokens.
+    """
+    leaves, large = _Found(), _Found()
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         scratch.append(materialise(df, name))
         return scratch[-1]
 
-    level = sets.select("set", F.posexplode(F.slice("sig", first_run + 1, runs)).alias("run", "token")).withColumn("run", F.col("run") + first_run).select("set", "run", F.xxhash64("run", "token").alias("key"))
-    deep = None
-    for depth in range(1, LEVELS + 1):
-        # Written before the join, so that both its sides are plain exchanges, which Spark splits where a key is hot.
-        sizes = keep(level.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "path-sizes")
-        nodes = keep(level.join(sizes, "key"), "path-level")
-        leaves.parts.append(nodes.filter(F.col("n") <= SMALL).select("key", "set"))
-        big = nodes.filter(F.col("n") > SMALL)
-        if big.isEmpty():
-            return depth, deep
-        if depth == LEVELS:
-            large.parts.append(big.select("key", "set"))
-            return depth, deep
-        alike = keep(_alike(big, sets).filter("alike"), "path-alike")
-        large.parts.append(big.join(alike, "key").select("key", "set"))
-        apart = big.join(alike, "key", "left_anti")
-        if deep is None:
-            deep = apart.select("set").distinct()
-        token = lambda run: F.substring("sketch", ((run + most * depth) * 2 + 1).cast("int"), F.lit(2))  # noqa: B023, E731
-        second = F.pmod(F.xxhash64("key", F.lit(depth)), F.lit(4)) == 0
-        another = F.pmod(F.col("run") + 1 + F.pmod(F.xxhash64("key"), F.lit(most - 1)), F.lit(most))
-        children = F.array_compact(F.array(F.xxhash64("key", F.lit(0), token(F.col("run"))), F.when(second, F.xxhash64("key", F.lit(1), token(another)))))
-        level = keep(apart.join(sets.select("set", "sketch"), "set").select("set", "run", F.explode(children).alias("key")), "path-children")
-    return LEVELS, deep
-
-
-def grow(sets: DataFrame, threshold: float, scratch: list) -> tuple[DataFrame, DataFrame | None]:
-    """Leaves, and nodes that stayed large, of as many runs as the target recall needs at the depth that they reach.
-
-    A pair that shares a run's first token is together in a leaf, in a large
-    node, or both sets are in a node that was split. So only sets of split nodes
-    need more runs than a depth of one asks for.
-    """
-    leaves, large = _Found(), _Found()
-    most = runs_needed(LEVELS, threshold)
-    done, depth, left = 0, 1, sets
-    while done < runs_needed(depth, threshold):
-        more = runs_needed(depth, threshold) - done
-        level, deep = _run_trees(left, done, more, most, leaves, large, scratch)
-        done, depth = done + more, max(depth, level)
-        if deep is None:
-            break
-        if depth > 1:
-            left = materialise(left.join(deep, "set", "left_semi"), "path-deep")
-            scratch.append(left)
+    roots = sets.select("set", F.posexplode(F.slice("sig", 1, runs_needed(1, threshold))).alias("run", "token")).select("set", F.xxhash64("run", "token").alias("key"))
+    # Written before the join, so that both its sides are plain exchanges, which Spark splits where a key is hot.
+    sizes = keep(roots.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "path-sizes")
+    nodes = keep(roots.join(sizes, "key"), "path-nodes")
+    leaves.parts.append(nodes.filter(F.col("n") <= SMALL).select("key", "set"))
+    big = nodes.filter(F.col("n") > SMALL)
+    if big.isEmpty():
+        return leaves.read(), None
+    groups = keep(_groups(big, sets, threshold), "path-groups")
+    large.parts.append(big.join(groups, "key").select("key", "set"))
+    token = lambda i: F.xxhash64("key", i, F.substring("sketch", (i * 2 + 1).cast("int"), F.lit(2)))
+    apart = big.join(groups, "key", "left_anti").join(sets.select("set", "sketch"), "set")
+    apart = keep(apart.select("key", "set", "n", F.transform(F.sequence(F.lit(0), F.lit(runs_needed(LEVELS, threshold) * LEVELS - 1)), token).alias("children")), "path-apart")
+    if apart.isEmpty():
+        return leaves.read(), large.read()
+    children = apart.select("key", "set", "n", F.explode("children").alias("child"))
+    held = keep(children.groupBy("child").agg(F.count("*").alias("m"), F.first("n").alias("_n")).filter((F.col("m") > 1) & (F.col("m") <= COMMON * F.col("_n"))).select("child", "m"), "path-child-sizes")
+    split = keep(children.select("key", "set", "child").join(held, "child"), "path-children")
+    leaves.parts.append(split.filter(F.col("m") <= SMALL).select(F.col("child").alias("key"), "set"))
+    wide = split.filter(F.col("m") > SMALL)
+    groups = keep(_groups(wide.select("set", F.col("child").alias("key"), F.col("m").alias("n")), sets, threshold).withColumnRenamed("key", "child"), "path-groups")
+    # By a hash of the child, the same for all sets that have it: a pair chooses alike at least as often as it is similar.
+    chosen = wide.join(groups, "child").groupBy("key", "set").agg(F.collect_list(F.struct(F.xxhash64("child", F.lit("chosen")).alias("h"), "child")).alias("_c"))
+    large.parts.append(keep(chosen.select(F.explode(F.slice(F.array_sort("_c"), 1, CHOSEN)["child"]).alias("key"), "set"), "path-chosen-children"))
     return leaves.read(), large.read()
 
 

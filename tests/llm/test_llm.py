@@ -440,6 +440,50 @@ def test_join_one_group_of_thousands(spark):
     assert sum(got[i] != label[i] for i in got) <= 0.002 * len(docs)
 
 
+def boilerplate(rng, n, share, copies=0):
+    """Documents of 120 words, of which `share` are the same in all and the rest random, and some near copies of the first ones."""
+    common = [f"c{i}" for i in range(int(120 * share))]
+    docs = [(i, " ".join([*common, *(f"w{rng.randrange(10**7)}" for _ in range(120 - len(common)))])) for i in range(n)]
+    for i in range(copies):
+        copy = docs[i][1].split()
+        copy[rng.randrange(len(common), 120)] = "edit"
+        docs.append((n + i, " ".join(copy)))
+    return docs
+
+
+def compared_rows(monkeypatch):
+    """A list that gets the rows that each call of `verify` compares."""
+    rows, verify = [], chosen_path.verify
+    places = lambda n, one: F.when(F.col(f"p.{one}").isNull(), F.col(f"p.{n}")).otherwise(1)
+
+    def counted(content, threshold):
+        rows.append(content.select(F.explode("places").alias("p")).agg(F.sum(places("slices", "slice") * places("others", "other"))).first()[0] or 0)
+        return verify(content, threshold)
+
+    monkeypatch.setattr(chosen_path, "verify", counted)
+    return rows
+
+
+@pytest.mark.parametrize("share", [0.4, 0.6, 0.75])
+def test_join_compares_no_boilerplate(spark, monkeypatch, share):
+    """Documents that share boilerplate and are not similar: compared rows grow no faster than the documents."""
+    rows, each = compared_rows(monkeypatch), []
+    for n in (2000, 8000):
+        done = sum(rows)
+        got = chosen_path.join(spark.createDataFrame(boilerplate(random.Random(n), n, share), "doc_id long, text string").repartition(4))
+        assert got.filter("doc_id <> class_id or n_links > 0").count() == 0
+        each.append((sum(rows) - done) / n)
+    assert each[1] <= each[0] + 1 and each[0] < 20, each
+
+
+def test_join_finds_copies_within_boilerplate(spark, monkeypatch):
+    rows = compared_rows(monkeypatch)
+    docs = boilerplate(random.Random(3), 3000, 0.6, 400)
+    got = {r.doc_id: r.class_id for r in chosen_path.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(got[3000 + i] == i for i in range(400)) >= 0.99 * 400
+    assert all(got[i] == i for i in range(3000)) and sum(rows) <= 10 * len(docs)
+
+
 def test_join_keeps_texts_of_one_id(spark):
     docs = [(1, "one two three four five six"), (1, "other words are in this row"), (2, "one two three four five six"), (2, "one two three four five six"), (3, None), (3, None), (None, "x"), (None, "x")]
     kept = chosen_path.keep_first(spark.createDataFrame(docs, "doc_id long, text string")).collect()
