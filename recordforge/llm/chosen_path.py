@@ -25,7 +25,7 @@ a chance below 1e-4. What is connected so is a bucket, equal buckets of several
 runs are one, and a bucket's shingles are compared exactly, all pairs. A bucket
 of up to `LISTED` sets returns all links, a larger one such as connect its sets.
 
-A node that stays large is dealt in slices of bounded numbers of sets and
+A large node that holds a group is dealt in slices of bounded numbers of sets and
 shingles. About `REPRESENTATIVES` of its sets go to every slice and are compared
 exactly with all sets there: as many rows as the node has sets, and a few. Sets
 that a representative connects are in one class and are not compared with each
