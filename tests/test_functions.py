@@ -43,6 +43,11 @@ def test_token_windows(spark):
     assert got == {0: ["0 1 2 3", "3 4 5 6", "6 7 8 9"], 1: [], 2: ["a"], 3: None}
 
 
+def test_page_text_reads_closed_references_only():
+    page = "<title>x &amp;&amp</title><p>a &lt; b &ltc &copy;&copy &ampd; &#65;&#66 &#x43; &am</p>&amp"
+    assert text.page_text(page) == "x &&ampa < b &ltc ©&copy &ampd; A&#66 C &am&amp"
+
+
 def test_page_text_drops_script_and_breaks_at_double_blanks():
     html = "<title>T</title><script>var t='</p>';</script><style>p{}</style><p> a  b </p>\n<p>&amp; c</p><!-- no -->"
     assert text.page_text(html) == "T a\nb\n& c" or text.page_text(html).replace("\n", " ") == "T a b & c"
