@@ -14,7 +14,8 @@ COUNTERS = ("completed", "filtered", "duplicate", "failed")
 
 def upsert_ledger(base: DataFrame, changes: DataFrame, key: str, version: str) -> DataFrame:
     """Insert or replace by key: the row with the largest version stays; of equal versions the change."""
-    both = base.withColumn("_from", F.lit(0)).unionByName(changes.withColumn("_from", F.lit(1)))
+    # Dealt by key first: keys rarely repeat within a task, so an aggregate before it would sort each task's rows and merge few.
+    both = base.withColumn("_from", F.lit(0)).unionByName(changes.withColumn("_from", F.lit(1))).repartition(key)
     row = F.struct(*[c for c in base.columns if c != key])
     newest = both.groupBy(key).agg(F.max_by(row, F.struct(version, "_from")).alias("_row"))
     return newest.select(*[F.col(c) if c == key else F.col(f"_row.{c}").alias(c) for c in base.columns])
@@ -228,7 +229,7 @@ class BucketedTable:
     """A ledger table in hash buckets of its key, so that a change reads and writes only the buckets it touches.
 
     Rows with a null key make a bucket of their own. The number of buckets is fixed when the table is first
-    written; choose it for buckets of about a file each. An upsert that is killed leaves every
+    written; choose it for buckets of about a file each (larger ones are several). An upsert that is killed leaves every
     bucket as it was or as it is to be, and can be repeated.
     """
 
@@ -239,8 +240,8 @@ class BucketedTable:
         return df.withColumn("bucket", F.coalesce(F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(self.buckets)), F.lit(-1)).cast("int"))
 
     def _write(self, df: DataFrame) -> None:
-        # Rows are hashed as the writer's partitions are, so each bucket is written by one task.
-        df.repartition(min(self.buckets, 2000), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        # By bucket, so that most are one file; Spark splits the partitions that are large, so no task's rows grow with the table.
+        df.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
     def create(self, df: DataFrame) -> None:
         """A new table."""

@@ -441,6 +441,23 @@ def test_upsert_touches_only_its_buckets(spark, tmp_path):
     assert [r.status for r in table.find(5).collect()] == ["c"] and table.find(99999).isEmpty() and table.upsert(changes.filter("false"), "v") == []
 
 
+def test_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(0, 200_000, 1, 8).select(F.md5(F.col("id").cast("string")).alias("uid"), F.lit("a").alias("status"), F.lit(1).alias("v"))
+    table = ledger.BucketedTable(spark, str(tmp_path / "t"), "uid", 2)
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "512k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        table.create(rows)
+        created = len(list((tmp_path / "t").rglob("*.parquet")))
+        table.upsert(rows.withColumn("v", F.lit(2)), "v")
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert created > 2 and len(list((tmp_path / "t").rglob("*.parquet"))) > 2
+    assert table.read().agg(F.count("*"), F.countDistinct("uid"), F.min("v")).first()[:] == (200_000, 200_000, 2)
+
+
 def test_pages_by_key_are_those_by_offset(spark, tmp_path):
     at_ = lambda k: F.when(k % 17 != 0, (k * 7919 % 211).cast("timestamp"))
     rows = spark.range(3000).select(F.concat(F.lit("u"), "id").alias("uid"), at_(F.col("id")).alias("at"), (F.col("id") % 3 == 0).alias("ok"))
