@@ -425,6 +425,39 @@ def test_ledger_of_a_run_is_restored(spark):
     assert {r.idx: r.output for r in got} == {i: ["n"] if i == 5 else [f'{{"answer":"c{i}"}}', '{"answer":null}'] for i in range(12)}
 
 
+def test_attempt_frees_its_inputs_without_a_collection():
+    import gc
+    import weakref
+
+    class Input:
+        pass
+
+    def call() -> weakref.ref:
+        inputs = [Input() for _ in range(5)]
+        assert runs.attempt(lambda b: list(range(len(b))), inputs, 1, 5, 2, 2) == [0, 1, 0, 1, 0]
+        return weakref.ref(inputs[0])
+
+    gc.collect()
+    gc.disable()
+    try:
+        held = call()
+        for _ in range(50):  # the last thread may still be ending
+            if held() is None:
+                break
+            time.sleep(0.01)
+        assert held() is None
+    finally:
+        gc.enable()
+
+
+def test_asking_a_model_takes_up_few_rows_at_a_time(spark):
+    """Replies come as they are asked for: no more prompts than `AT_ONCE` times those asked at once lie between."""
+    rows = spark.range(0, 100, 1, 1).select("id", F.when(F.col("id") != 7, F.concat(F.lit("p"), "id")).alias("prompt"), F.array("id").alias("more"))
+    got = runs.ask_model(rows, "prompt", [{"name": "question", "type": "str"}], lambda b: [f'[{{"question": "{len(b)}{p}"}}]' for p in b], batch_size=5, concurrency=2).orderBy("id").collect()
+    sizes = [int(r.reply.split('"')[3].split("p")[0]) for r in got if r.reply]
+    assert len(got) == 100 and got[7].reply is None and sizes[:15] == [5] * 15 and sizes[15:19] == [4] * 4 and set(sizes[19:]) == {5} and [r.more for r in got] == [[i] for i in range(100)]
+
+
 def test_upsert_touches_only_its_buckets(spark, tmp_path):
     import os
 
