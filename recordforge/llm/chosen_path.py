@@ -33,9 +33,12 @@ other. Only the sets outside the node's largest class so far meet all slices, in
 blocks, so a pair of different classes is lost in no node. Every block returns
 links that connect its sets, at most one for each set.
 
-`n_links` counts the documents (copies with them) that a document was linked to
-by links that were returned: all similar ones in buckets of up to `LISTED` sets;
-beyond, where links within a class are not listed one by one, at least one.
+`n_links` counts all documents (copies with them) of its class that a document is
+similar to. The links above may be fewer, so they are counted once classes are
+known: a class's sets are dealt in slices, each pair of slices is a block that is
+compared exactly and returns a number for each set, no pairs. So memory is that of
+a block; work grows with the square of the different sets of a class, and what is
+shuffled with that square over `SLICE`, in as many tasks as there are blocks.
 
 Defined cases: null ids take no part and have no class; a null text, or one
 without words, is a class of its own; a text of fewer than five words is one
@@ -219,7 +222,11 @@ def grow(sets: DataFrame, threshold: float, scratch: list) -> tuple[DataFrame, D
     if apart.isEmpty():
         return leaves.read(), large.read()
     children = apart.select("key", "set", "n", F.explode("children").alias("child"))
-    held = keep(children.groupBy("child").agg(F.count("*").alias("m"), F.first("n").alias("_n")).filter((F.col("m") > 1) & (F.col("m") <= COMMON * F.col("_n"))).select("child", "m"), "path-child-sizes")
+    who = F.bit_xor(F.xxhash64("set", F.lit("who"))).alias("who")
+    held = keep(children.groupBy("child").agg(F.count("*").alias("m"), F.first("n").alias("_n"), who).filter((F.col("m") > 1) & (F.col("m") <= COMMON * F.col("_n"))).select("child", "m", "who"), "path-child-sizes")
+    # Similar sets meet in most of their children. Of small children with the same sets, by a hash of them, one is enough.
+    small = held.filter(F.col("m") <= SMALL).groupBy("who", "m").agg(F.min("child").alias("child")).select("child", "m")
+    held = keep(small.unionByName(held.filter(F.col("m") > SMALL).select("child", "m")), "path-children-once")
     split = keep(children.select("key", "set", "child").join(held, "child"), "path-children")
     leaves.parts.append(split.filter(F.col("m") <= SMALL).select(F.col("child").alias("key"), "set"))
     wide = split.filter(F.col("m") > SMALL)
@@ -474,10 +481,70 @@ def _rest(dealt: DataFrame, roots: DataFrame, scratch: list) -> DataFrame:
     return judged.select("set", F.explode(F.array_compact(F.array(member, F.when(F.col("root") != F.col("main"), apart)))).alias("place"))
 
 
-def classes(docs: DataFrame, text_col: str, id_col: str, threshold: float, ids: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def count_links(ids: np.ndarray, side: np.ndarray, weight: np.ndarray, shingles: list, threshold: float) -> np.ndarray:
+    """Weights of the sets that each set of a block is similar to: any two of side 2, or one of side 0 and one of side 1."""
+    out = np.zeros(len(ids), np.int64)
+    rows = np.flatnonzero(side != 1)
+    if not len(rows) or len(ids) < 2:
+        return out
+    sizes = np.fromiter(map(len, shingles), np.int64, len(ids))
+    common = _common(sizes, shingles, rows)
+    linked = common >= threshold * (sizes[rows, None] + sizes[None, :] - common) - 1e-6
+    linked[np.arange(len(rows)), rows] = False
+    linked[:, side == 0] = False
+    out[rows] = linked @ weight
+    ends = side == 1
+    out[ends] = weight[rows] @ linked[:, ends]
+    return out
+
+
+def all_links(content: DataFrame, sets: DataFrame, roots: DataFrame, threshold: float, scratch: list) -> DataFrame:
+    """(set, links) of the sets that have links: the weights of all sets of its class that are similar, by exact comparison."""
+    member = materialise(roots.select(F.col("node").alias("set"), "root").join(sets.select("set", "weight", "size"), "set"), "path-members")
+    shape = materialise(member.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / SLICE, F.sum("size") / SHINGLES)).cast("int").alias("slices")), "path-classes-shape")
+    dealt = materialise(member.join(shape, "root").select("set", "root", "weight", "slices", _slice_of("slices", "count").alias("own")), "path-counted")
+    scratch += [member, shape, dealt]
+    meets = content.select("set", "shingles").join(dealt, "set").select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    placed = meets.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "set", side.cast("long").alias("side"), "weight", "shingles")
+
+    def run(batches):
+        held: list[list] = [[], [], [], []]
+        now = None
+
+        def done():
+            ids, side, weight = (np.array(x, np.int64) for x in held[:3])
+            n = count_links(ids, side, weight, [np.frombuffer(x, np.uint64) for x in held[3]], threshold)
+            for x in held:
+                x.clear()
+            return ids[n > 0], n[n > 0]
+
+        for batch in batches:
+            at = [np.asarray(batch.column(i)) for i in range(3)]
+            cuts = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in at])) + 1
+            found = []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at[0])]):
+                if a == b:
+                    continue
+                this = tuple(int(x[a]) for x in at)
+                if now is not None and this != now:
+                    found.append(done())
+                now = this
+                for x, i in zip(held, range(3, 7)):
+                    x += batch.column(i).slice(a, b - a).to_pylist()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["set", "links"])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in done()], names=["set", "links"])
+
+    blocks = placed.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
+    return blocks.mapInArrow(run, "set long, links long").groupBy("set").agg(F.sum("links").alias("links"))
+
+
+def classes(docs: DataFrame, text_col: str, id_col: str, threshold: float, ids: DataFrame | None = None, links_too: bool = True) -> tuple[DataFrame, DataFrame]:
     """Signatures of the rows with an id, and (set, first, root, weight, links) of all sets.
 
-    With `ids`, only rows of these ids take part.
+    With `ids`, only rows of these ids take part. Without `links_too`, links are null.
     """
     signed = signatures(docs, text_col, id_col, threshold)
     if ids is not None:
@@ -508,21 +575,21 @@ def classes(docs: DataFrame, text_col: str, id_col: str, threshold: float, ids:
             links = materialise(links.unionByName(more).distinct(), "path-links")
             known = roots.unionByName(joined.select(F.col("old").alias("node"), F.col("old").alias("root"))).distinct()
             roots = materialise(known.join(joined, F.col("root") == F.col("old"), "left").groupBy("node").agg(F.min(F.coalesce("new", "root")).alias("root")), "path-roots")
-    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("set"), F.col("v").alias("to")), F.struct(F.col("v").alias("set"), F.col("u").alias("to")))).alias("_e")).select("_e.*")
-    counted = ends.join(sets.select(F.col("set").alias("to"), "weight"), "to").groupBy("set").agg(F.sum("weight").alias("links"))
-    placed = sets.select("set", "first", "weight").join(counted, "set", "left").join(roots, F.col("set") == F.col("node"), "left").select("set", "first", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "set").alias("root"))
+    counted = all_links(content, sets, roots, threshold, scratch) if links_too else sets.select("set", F.lit(None).cast("long").alias("links")).limit(0)
+    placed = sets.select("set", "first", "weight").join(counted, "set", "left").join(roots, F.col("set") == F.col("node"), "left").select("set", "first", "weight", (F.coalesce("links", F.lit(0)) if links_too else F.col("links")).alias("links"), F.coalesce("root", "set").alias("root"))
     placed = materialise(placed, "path-classes")
     for table in [*scratch, sets, content, links, roots]:
         discard(table)
     return signed, placed
 
 
-def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, ids: DataFrame | None = None) -> DataFrame:
+def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, ids: DataFrame | None = None, links_too: bool = True) -> DataFrame:
     """(id, class_id, n_links) of every row: the smallest id of its class, and how many other rows it is linked to.
 
-    With `ids`, only rows of these ids, and those without one, are there.
+    With `ids`, only rows of these ids, and those without one, are there. Without
+    `links_too`, links are not counted, and n_links says nothing.
     """
-    signed, placed = classes(docs, text_col, id_col, threshold, ids)
+    signed, placed = classes(docs, text_col, id_col, threshold, ids, links_too)
     least = placed.groupBy("root").agg(F.min("first").alias("class_id"))
     by_set = placed.join(least, "root").select("set", "class_id", (F.col("weight") - 1 + F.col("links")).alias("n_links"))
     rows = signed.select("doc", F.when(F.col("size") > 0, F.col("set")).alias("set")).join(by_set, "set", "left").select(F.col("doc").alias(id_col), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -532,7 +599,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", thresh
 
 def keep_first(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row of `docs` for each class: of the rows with its smallest id, one text, once. Rows without an id stay."""
-    signed, placed = classes(docs, text_col, id_col, threshold)
+    signed, placed = classes(docs, text_col, id_col, threshold, links_too=False)
     rows = signed.select("doc", "text_hash", F.when(F.col("size") > 0, F.col("set")).alias("set")).join(placed.select("set", "root"), "set", "left")
     alone = lambda c: F.when(F.col("root").isNull(), F.col(c)).alias(f"_{c}")
     first = rows.groupBy("root", alone("doc"), alone("text_hash")).agg(F.min(F.struct("doc", "text_hash")).alias("_first"))
@@ -545,6 +612,6 @@ def later_ids(tables: list[DataFrame], ids: DataFrame, text_col: str = "text", i
     """(doc): the ids of each class but the smallest, where each table's texts of `ids` link their ids."""
     edges = None
     for table in tables:
-        mine = join(table.select(id_col, text_col), text_col, id_col, threshold, ids).filter(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("u"), F.col("class_id").alias("v"))
+        mine = join(table.select(id_col, text_col), text_col, id_col, threshold, ids, links_too=False).filter(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("u"), F.col("class_id").alias("v"))
         edges = mine if edges is None else edges.unionByName(mine)
     return components(edges).filter("node <> root").select(F.col("node").alias("doc"))

@@ -418,6 +418,16 @@ def test_join_large_nodes_in_slices(spark, monkeypatch):
     assert all((r.n_links > 0) == (want[r.doc_id][1] > 0) and r.n_links <= want[r.doc_id][1] for r in got)
 
 
+def test_join_counts_every_link_of_large_groups(spark, monkeypatch):
+    """More sets than `LISTED` in a bucket, and classes of several slices: numbers of links are those of all pairs."""
+    monkeypatch.setattr(chosen_path, "LISTED", 8)
+    monkeypatch.setattr(chosen_path, "SMALL", 32)
+    monkeypatch.setattr(chosen_path, "SLICE", 16)
+    docs = near_copies(random.Random(11), 5, 90)
+    got = chosen_path.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute_join(docs)
+
+
 def test_join_one_group_of_thousands(spark):
     """Rows compared grow with a near-copy group, not with its square; classes equal brute force."""
     rng = random.Random(11)
