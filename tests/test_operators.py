@@ -427,6 +427,7 @@ def test_ledger_of_a_run_is_restored(spark):
 
 def test_attempt_frees_its_inputs_without_a_collection():
     import gc
+    import time
     import weakref
 
     class Input:
