@@ -14,11 +14,18 @@ Else it is split once more, on every sampled token but those of boilerplate, whi
 more than `COMMON` of its sets have. Children of up to `SMALL` sets are leaves.
 Larger ones are looked at in the same way: a large group of near copies has
 children that are little else, and each set goes on to `CHOSEN` of those at the
-most; the others hold boilerplate only, and what is similar in them meets in
-other children. So the split loses a pair only if it shares none of some fifty tokens
-that are not boilerplate. Runs repeat until the chance that a pair at the
+most; the others hold boilerplate only, and what is similar in them mostly meets in
+other children. Runs repeat until the chance that a pair at the
 threshold shares no root is below `1 - RECALL`. Only ids and node keys are shuffled.
 
+What is left. A pair that meets in no child which is compared has all its equal
+tokens in the others, so both its sets have `least_matches` tokens there or more. All such
+sets are kept and, once classes are known, meet exactly: two similar sets share one
+of their rarest shingles, of which each set has one more than it may lack. Most
+sets have that many shingles that no other has, and drop out before any join; the
+shingles of the rest are nodes, and in a node the sets outside its largest class are
+compared with all, in blocks as below. So no pair is lost by the bounds on children.
+
 Leaves are brute-forced twice. First on the sampled tokens, 16 bits of each: a
 pair needs `least_matches` equal ones, which a pair at the threshold misses with
 a chance below 1e-4. What is connected so is a bucket, equal buckets of several
@@ -56,7 +63,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from recordforge.llm.components import components
-from recordforge.llm.textarrays import ODD64, Powers, alnum_table, chunked, encode, mix, text_slices, words
+from recordforge.llm.textarrays import ODD64, Powers, alnum_table, chunked, column_slices, encode, mix, text_slices, words
 from recordforge.sources.tables import discard, materialise
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -194,11 +201,13 @@ def _groups(big: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return few.join(sets.select("set", "sketch"), "set").select("key", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long")
 
 
-def grow(sets: DataFrame, threshold: float, scratch: list) -> tuple[DataFrame, DataFrame | None]:
+def grow(sets: DataFrame, threshold: float, scratch: list, left: list | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Leaves (key, set), and large nodes that hold groups, of as many runs as the target recall needs.
 
     A pair that shares a run's first token is together in a leaf, in a node that
-    holds a group, or in one that is split on all tokens.
+    holds a group, or in one that is split on all tokens. Of the last kind, sets
+    that may be similar to others which they meet in no child that is compared
+    are appended to `left`, as a table (set); `prefixes` is for them.
     """
     leaves, large = _Found(), _Found()
 
@@ -223,7 +232,8 @@ def grow(sets: DataFrame, threshold: float, scratch: list) -> tuple[DataFrame, D
         return leaves.read(), large.read()
     children = apart.select("key", "set", "n", F.explode("children").alias("child"))
     who = F.bit_xor(F.xxhash64("set", F.lit("who"))).alias("who")
-    held = keep(children.groupBy("child").agg(F.count("*").alias("m"), F.first("n").alias("_n"), who).filter((F.col("m") > 1) & (F.col("m") <= COMMON * F.col("_n"))).select("child", "m", "who"), "path-child-sizes")
+    sized = keep(children.groupBy("child").agg(F.count("*").alias("m"), F.first("n").alias("_n"), who).filter("m > 1"), "path-child-sizes")
+    held = sized.filter(F.col("m") <= COMMON * F.col("_n")).select("child", "m", "who")
     # Similar sets meet in most of their children. Of small children with the same sets, by a hash of them, one is enough.
     small = held.filter(F.col("m") <= SMALL).groupBy("who", "m").agg(F.min("child").alias("child")).select("child", "m")
     held = keep(small.unionByName(held.filter(F.col("m") > SMALL).select("child", "m")), "path-children-once")
@@ -233,7 +243,14 @@ def grow(sets: DataFrame, threshold: float, scratch: list) -> tuple[DataFrame, D
     groups = keep(_groups(wide.select("set", F.col("child").alias("key"), F.col("m").alias("n")), sets, threshold).withColumnRenamed("key", "child"), "path-groups")
     # By a hash of the child, the same for all sets that have it: a pair chooses alike at least as often as it is similar.
     chosen = wide.join(groups, "child").groupBy("key", "set").agg(F.collect_list(F.struct(F.xxhash64("child", F.lit("chosen")).alias("h"), "child")).alias("_c"))
-    large.parts.append(keep(chosen.select(F.explode(F.slice(F.array_sort("_c"), 1, CHOSEN)["child"]).alias("key"), "set"), "path-chosen-children"))
+    chosen = keep(chosen.select("key", "set", F.slice(F.array_sort("_c"), 1, CHOSEN)["child"].alias("_c")), "path-chosen-children")
+    large.parts.append(chosen.select(F.explode("_c").alias("key"), "set"))
+    if left is not None:
+        # What meets in no child that is compared has its equal tokens, as many as leaves ask for, in those that are not.
+        broad = sized.filter((F.col("m") > COMMON * F.col("_n")) | (F.col("m") > SMALL)).select("child")
+        shut = likely(children.select("key", "set", "child"), "child", broad).select("key", "set", F.lit(1).alias("shut")).unionByName(chosen.select("key", "set", (-F.size("_c")).alias("shut")))
+        cut = least_matches(runs_needed(LEVELS, threshold) * LEVELS, threshold)
+        left.append(keep(shut.groupBy("key", "set").agg(F.sum("shut").alias("shut")).filter(F.col("shut") >= cut).select("set").distinct(), "path-left"))
     return leaves.read(), large.read()
 
 
@@ -481,6 +498,41 @@ def _rest(dealt: DataFrame, roots: DataFrame, scratch: list) -> DataFrame:
     return judged.select("set", F.explode(F.array_compact(F.array(member, F.when(F.col("root") != F.col("main"), apart)))).alias("place"))
 
 
+def prefixes(left: DataFrame, content: DataFrame, roots: DataFrame, threshold: float, scratch: list) -> DataFrame:
+    """(key, set): nodes in which all similar sets of `left` meet that have different roots so far.
+
+    Sets that are similar share one of their rarest shingles: of so many as are
+    more than those that they may differ in. Each such shingle that several sets
+    have is a node. Most sets have too many shingles of their own and go to none;
+    a node whose sets are of one class, or are those of another node, is left out.
+    """
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(materialise(df, name))
+        return scratch[-1]
+
+    def explode(batches):
+        for batch in batches:
+            for lo, hi, part in column_slices(batch.column(1)):
+                own = [np.frombuffer(x, np.int64) for x in part.to_pylist()]
+                size = np.fromiter(map(len, own), np.int64, len(own))
+                ids = np.asarray(batch.column(0))[lo:hi]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, size)), pa.array(np.repeat(size, size)), pa.array(np.concatenate(own))], names=["set", "size", "shingle"])
+
+    rows = lambda wanted: likely(content.select("set", "shingles"), "set", wanted).mapInArrow(explode, "set long, size long, shingle long")
+    least = F.ceil(threshold * F.col("size") - 1e-6)
+    # Written before the joins, so that both their sides are plain exchanges, which Spark splits where a key is hot.
+    counts = keep(rows(left).groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"), "path-shared")
+    able = keep(likely(rows(left), "shingle", counts).groupBy("set").agg(F.count("*").alias("c"), F.first("size").alias("size")).filter(F.col("c") >= least).select("set"), "path-able")
+    ordered = rows(able).join(counts, "shingle").groupBy("set").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("_s"))
+    # Shingles of no other set are rarer still, so they stand in front of the list.
+    first = F.greatest(F.size("_s") - least + 1, F.lit(0)).cast("int")
+    listed = ordered.select("set", F.explode(F.slice("_s", 1, first)["shingle"]).alias("shingle")).select(F.xxhash64("shingle", F.lit("prefix")).alias("key"), "set")
+    nodes = keep(listed.join(roots, F.col("set") == F.col("node"), "left").select("key", "set", F.coalesce("root", "set").alias("root")), "path-prefixes")
+    apart = nodes.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("set", F.lit("who"))).alias("who"), F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a < _b")
+    return keep(nodes.select("key", "set").join(keep(apart.groupBy("who", "m").agg(F.min("key").alias("key")).select("key"), "path-prefixes-once"), "key"), "path-prefixes")
+
+
 def count_links(ids: np.ndarray, side: np.ndarray, weight: np.ndarray, shingles: list, threshold: float) -> np.ndarray:
     """Weights of the sets that each set of a block is similar to: any two of side 2, or one of side 0 and one of side 1."""
     out = np.zeros(len(ids), np.int64)
@@ -552,9 +604,13 @@ def classes(docs: DataFrame, text_col: str, id_col: str, threshold: float, ids:
     signed = materialise(signed, "path-signatures")
     sets = materialise(signed.filter("size > 0").groupBy("set").agg(F.min("doc").alias("first"), F.count("*").alias("weight"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "path-sets")
     scratch: list[DataFrame] = []
-    leaves, large = grow(sets, threshold, scratch)
+    left: list[DataFrame] = []
+    leaves, large = grow(sets, threshold, scratch, left)
     small = buckets(leaves, sets, threshold)
     places = small.select("set", _place("bucket", 0, 1, 0, 1, 2, F.col("set")).alias("place"))
+    left = [x for x in left if not x.isEmpty()]
+    for x in left:
+        places = places.unionByName(x.select("set", F.lit(None).cast(PLACE).alias("place")))  # in no place yet
     dealt = None
     if large is not None and not large.isEmpty():
         dealt = _dealt(large, sets, scratch)
@@ -562,9 +618,13 @@ def classes(docs: DataFrame, text_col: str, id_col: str, threshold: float, ids:
     content = contents(places, sets, docs, text_col, id_col, scratch)
     links = verify(content, threshold)
     roots = materialise(components(links), "path-roots")
+    for x in left:
+        again = _dealt(prefixes(x, content, roots, threshold, scratch), sets, scratch)
+        dealt = again if dealt is None else dealt.unionByName(again)
     if dealt is not None:
-        rest = _rest(dealt, roots, scratch).groupBy("set").agg(F.collect_list("place").alias("places"))
-        held = content.filter(F.exists("places", lambda p: p["side"] != 2)).select("set", "shingles")
+        rest = materialise(_rest(dealt, roots, scratch).groupBy("set").agg(F.collect_list("place").alias("places")), "path-rest")
+        scratch.append(rest)
+        held = likely(content.select("set", "shingles"), "set", rest)
         more = verify(held.join(rest, "set").select("set", "places", "shingles"), threshold)
         scratch.append(more)
         if not more.isEmpty():

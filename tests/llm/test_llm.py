@@ -494,6 +494,31 @@ def test_join_finds_copies_within_boilerplate(spark, monkeypatch):
     assert all(got[i] == i for i in range(3000)) and sum(rows) <= 10 * len(docs)
 
 
+def test_join_finds_what_shares_only_boilerplate(spark, monkeypatch):
+    """Documents that are boilerplate and a few words are similar, though every sampled token that they share is common in their nodes."""
+    monkeypatch.setattr(chosen_path, "SMALL", 32)
+    rng = random.Random(4)
+    docs = boilerplate(rng, 1000, 0.7)
+    docs += [(1000 + i, " ".join([*docs[0][1].split()[:84], *(f"x{rng.randrange(10**7)}" for _ in range(4))])) for i in range(30)]
+    got = chosen_path.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == {i: (i, 0) if i < 1000 else (1000, 29) for i, _ in docs}
+
+
+def test_join_in_split_nodes_equals_brute_force(spark, monkeypatch):
+    """Split nodes with documents that are boilerplate and more or fewer other words, in lists of one slice and of several."""
+    monkeypatch.setattr(chosen_path, "SMALL", 16)
+    monkeypatch.setattr(chosen_path, "SLICE", 16)
+    monkeypatch.setattr(chosen_path, "REPRESENTATIVES", 3)
+    rng = random.Random(8)
+    docs = boilerplate(rng, 450, 0.7)
+    common = docs[0][1].split()[:84]
+    for own, n in ((3, 25), (6, 25), (14, 12), (20, 12), (0, 1)):
+        block = [f"b{own}-{i}" for i in range(rng.choice([0, 4, 12]))]
+        docs += [(len(docs) + i, " ".join([*common, *block, *(f"x{rng.randrange(10**7)}" for _ in range(rng.randint(own // 2, own)))])) for i in range(n)]
+    got = chosen_path.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute_join(docs)
+
+
 def test_join_keeps_texts_of_one_id(spark):
     docs = [(1, "one two three four five six"), (1, "other words are in this row"), (2, "one two three four five six"), (2, "one two three four five six"), (3, None), (3, None), (None, "x"), (None, "x")]
     kept = chosen_path.keep_first(spark.createDataFrame(docs, "doc_id long, text string")).collect()
