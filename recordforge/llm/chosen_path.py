@@ -11,7 +11,10 @@ similarity. A node of up to `SMALL` sets is a leaf. Of a larger one about `SAMPL
 sets are looked at. If `GROUP` of them are near as many others, the node holds a
 group of near copies and is not split, as that would only part similar sets.
 Else it is split once more, on every sampled token but those of boilerplate, which
-more than `COMMON` of its sets have. Children of up to `SMALL` sets are leaves.
+more than `COMMON` of its sets have. Children of up to `SMALL` sets are leaves,
+each of those sets to which it is among their rarest: a set goes to one child more
+than it may lack equal tokens, those that it shares with no other set counted first,
+so that no pair with `least_matches` equal tokens is lost (`_rarest`).
 Larger ones are looked at in the same way: a large group of near copies has
 children that are little else, and each set goes on to `CHOSEN` of those at the
 most; the others hold boilerplate only, and what is similar in them mostly meets in
@@ -60,7 +63,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from recordforge.llm.components import components
 from recordforge.llm.textarrays import ODD64, Powers, alnum_table, chunked, column_slices, encode, mix, text_slices, words
@@ -201,6 +204,22 @@ def _groups(big: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return few.join(sets.select("set", "sketch"), "set").select("key", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long")
 
 
+def _rarest(split: DataFrame, width: int, cut: int) -> DataFrame:
+    """(key, set) of the rarest children of each set of a split node, as many as pairs need to meet in one.
+
+    split: (key, set, child, m, w) of small children, each for `w` with the same sets,
+    and a row without a child for the `w` that are not small. Pairs with `cut` equal
+    tokens of `width` differ in the others only. In one order of all children, those of
+    no other set first, then small ones from the rarest on, the first that both sets
+    have is among the first `width - cut + 1` of each, if they share a small one.
+    """
+    node = Window.partitionBy("key", "set")
+    before = F.coalesce(F.sum("w").over(node.orderBy(F.col("child").isNull(), "m", "child").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    alone = width - F.sum("w").over(node)
+    placed = split.select("key", "set", "child", before.alias("_before"), alone.alias("_alone"))
+    return placed.filter(F.col("child").isNotNull() & (F.col("_alone") + F.col("_before") <= width - cut)).select(F.col("child").alias("key"), "set")
+
+
 def grow(sets: DataFrame, threshold: float, scratch: list, left: list | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Leaves (key, set), and large nodes that hold groups, of as many runs as the target recall needs.
 
@@ -230,26 +249,34 @@ def grow(sets: DataFrame, threshold: float, scratch: list, left: list | None = N
     apart = keep(apart.select("key", "set", "n", F.transform(F.sequence(F.lit(0), F.lit(runs_needed(LEVELS, threshold) * LEVELS - 1)), token).alias("children")), "path-apart")
     if apart.isEmpty():
         return leaves.read(), large.read()
+    width = runs_needed(LEVELS, threshold) * LEVELS
+    cut = least_matches(width, threshold)
     children = apart.select("key", "set", "n", F.explode("children").alias("child"))
     who = F.bit_xor(F.xxhash64("set", F.lit("who"))).alias("who")
-    sized = keep(children.groupBy("child").agg(F.count("*").alias("m"), F.first("n").alias("_n"), who).filter("m > 1"), "path-child-sizes")
-    held = sized.filter(F.col("m") <= COMMON * F.col("_n")).select("child", "m", "who")
-    # Similar sets meet in most of their children. Of small children with the same sets, by a hash of them, one is enough.
-    small = held.filter(F.col("m") <= SMALL).groupBy("who", "m").agg(F.min("child").alias("child")).select("child", "m")
-    held = keep(small.unionByName(held.filter(F.col("m") > SMALL).select("child", "m")), "path-children-once")
-    split = keep(children.select("key", "set", "child").join(held, "child"), "path-children")
-    leaves.parts.append(split.filter(F.col("m") <= SMALL).select(F.col("child").alias("key"), "set"))
-    wide = split.filter(F.col("m") > SMALL)
-    groups = keep(_groups(wide.select("set", F.col("child").alias("key"), F.col("m").alias("n")), sets, threshold).withColumnRenamed("key", "child"), "path-groups")
-    # By a hash of the child, the same for all sets that have it: a pair chooses alike at least as often as it is similar.
-    chosen = wide.join(groups, "child").groupBy("key", "set").agg(F.collect_list(F.struct(F.xxhash64("child", F.lit("chosen")).alias("h"), "child")).alias("_c"))
-    chosen = keep(chosen.select("key", "set", F.slice(F.array_sort("_c"), 1, CHOSEN)["child"].alias("_c")), "path-chosen-children")
-    large.parts.append(chosen.select(F.explode("_c").alias("key"), "set"))
+    sized = keep(children.groupBy("child").agg(F.count("*").alias("m"), F.first("n").alias("_n"), F.first("key").alias("_key"), who).filter("m > 1"), "path-child-sizes")
+    held = sized.filter(F.col("m") <= COMMON * F.col("_n")).select("_key", "child", "m", "who")
+    # Similar sets meet in most of their children. Of small ones with the same sets, by a hash of them, one stands for all of its node.
+    small = keep(held.filter(F.col("m") <= SMALL).groupBy("_key", "who", "m").agg(F.min("child").alias("child"), F.count("*").alias("w")).select("child", "m", "w"), "path-children-once")
+    broad = sized.filter((F.col("m") > COMMON * F.col("_n")) | (F.col("m") > SMALL)).select("child")
+    shut = likely(children.select("key", "set", "child"), "child", broad).groupBy("key", "set").agg(F.count("*").alias("w"))
+    split = children.select("key", "set", "child").join(small, "child")
+    split = keep(split.unionByName(shut, allowMissingColumns=True), "path-children")
+    leaves.parts.append(_rarest(split, width, cut))
+    wide = keep(held.filter(F.col("m") > SMALL).select("child", F.col("m").alias("n")), "path-children-wide")
+    chosen = None
+    if not wide.isEmpty():
+        of = lambda some: children.select("set", F.col("child").alias("key")).join(some.withColumnRenamed("child", "key"), "key")
+        groups = keep(_groups(of(wide), sets, threshold).withColumnRenamed("key", "child"), "path-groups")
+        if not groups.isEmpty():
+            # By a hash of the child, the same for all sets that have it: a pair chooses alike at least as often as it is similar.
+            chosen = children.join(groups, "child").groupBy("key", "set").agg(F.collect_list(F.struct(F.xxhash64("child", F.lit("chosen")).alias("h"), "child")).alias("_c"))
+            chosen = keep(chosen.select("key", "set", F.slice(F.array_sort("_c"), 1, CHOSEN)["child"].alias("_c")), "path-chosen-children")
+            large.parts.append(chosen.select(F.explode("_c").alias("key"), "set"))
     if left is not None:
         # What meets in no child that is compared has its equal tokens, as many as leaves ask for, in those that are not.
-        broad = sized.filter((F.col("m") > COMMON * F.col("_n")) | (F.col("m") > SMALL)).select("child")
-        shut = likely(children.select("key", "set", "child"), "child", broad).select("key", "set", F.lit(1).alias("shut")).unionByName(chosen.select("key", "set", (-F.size("_c")).alias("shut")))
-        cut = least_matches(runs_needed(LEVELS, threshold) * LEVELS, threshold)
+        shut = split.filter("child is null").select("key", "set", F.col("w").alias("shut"))
+        if chosen is not None:
+            shut = shut.unionByName(chosen.select("key", "set", (-F.size("_c")).cast("long").alias("shut")))
         left.append(keep(shut.groupBy("key", "set").agg(F.sum("shut").alias("shut")).filter(F.col("shut") >= cut).select("set").distinct(), "path-left"))
     return leaves.read(), large.read()
 

@@ -576,6 +576,28 @@ def test_trees_reach_the_recall_in_large_nodes(spark):
     assert pairs - met <= 0.002 * pairs
 
 
+@pytest.mark.parametrize("n", [1000, 4000])
+def test_split_nodes_place_sets_by_their_rarest_tokens(spark, n):
+    """Half of the tokens of one large node are of its boilerplate: few sets go to a leaf, and all pairs with the least equal tokens meet in one."""
+    rng, pairs = np.random.default_rng(n), 200
+    runs = chosen_path.runs_needed(chosen_path.LEVELS)
+    width = runs * chosen_path.LEVELS
+    cut = chosen_path.least_matches(width, 0.8)
+    token = lambda size: np.where(rng.random(size) < 0.5, rng.integers(0, 12, size), rng.integers(12, 2**16, size)).astype(np.uint16)
+    a = token((n, width))
+    b = token((pairs, width))
+    for i in range(pairs):
+        same = rng.permutation(width)[:cut]
+        b[i, same] = a[i, same]
+    rows = [(i, 1, [7, *rng.integers(0, 2**60, runs - 1).tolist()], x.tobytes()) for i, x in enumerate(np.concatenate((a, b)))]
+    sets = spark.createDataFrame(rows, "set long, size long, sig array<long>, sketch binary").repartition(4).cache()
+    leaves, large = chosen_path.grow(sets, 0.8, [])
+    assert large is None or large.isEmpty()
+    met = leaves.withColumn("pair", F.when(F.col("set") < n, F.col("set")).otherwise(F.col("set") - n)).groupBy("key", "pair").count().filter("count = 2").select("pair").distinct().count()
+    assert met == pairs
+    assert leaves.count() <= 4 * n
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(30)]
