@@ -208,7 +208,7 @@ def _rarest(split: DataFrame, width: int, cut: int) -> DataFrame:
     """(key, set) of the rarest children of each set of a split node, as many as pairs need to meet in one.
 
     split: (key, set, child, m, w) of small children, each for `w` with the same sets,
-    and a row without a child for the `w` that are not small. Pairs with `cut` equal
+    and rows without a child for the `w` that are not small. Pairs with `cut` equal
     tokens of `width` differ in the others only. In one order of all children, those of
     no other set first, then small ones from the rarest on, the first that both sets
     have is among the first `width - cut + 1` of each, if they share a small one.
@@ -257,12 +257,18 @@ def grow(sets: DataFrame, threshold: float, scratch: list, left: list | None = N
     held = sized.filter(F.col("m") <= COMMON * F.col("_n")).select("_key", "child", "m", "who")
     # Similar sets meet in most of their children. Of small ones with the same sets, by a hash of them, one stands for all of its node.
     small = keep(held.filter(F.col("m") <= SMALL).groupBy("_key", "who", "m").agg(F.min("child").alias("child"), F.count("*").alias("w")).select("child", "m", "w"), "path-children-once")
-    broad = sized.filter((F.col("m") > COMMON * F.col("_n")) | (F.col("m") > SMALL)).select("child")
-    shut = likely(children.select("key", "set", "child"), "child", broad).groupBy("key", "set").agg(F.count("*").alias("w"))
+    wide = keep(held.filter(F.col("m") > SMALL).select("child", F.col("m").alias("n")), "path-children-wide")
+    # At most so many a token as `COMMON` fits into 1, so a list for each node.
+    broad = keep(sized.filter(F.col("m") > COMMON * F.col("_n")).groupBy("_key").agg(F.collect_list("child").alias("_broad")), "path-children-broad")
+    apart = apart.join(broad, F.col("key") == F.col("_key"), "left").withColumn("children", F.coalesce(F.array_except("children", "_broad"), "children"))
+    apart = keep(apart.select("key", "set", "n", "children"), "path-apart-open")
+    children = apart.select("key", "set", "n", F.explode("children").alias("child"))
+    shut = apart.select("key", "set", (width - F.size("children")).cast("long").alias("w")).filter("w > 0")
+    if not wide.isEmpty():
+        shut = shut.unionByName(likely(children.select("key", "set", "child"), "child", wide).groupBy("key", "set").agg(F.count("*").alias("w")))
     split = children.select("key", "set", "child").join(small, "child")
     split = keep(split.unionByName(shut, allowMissingColumns=True), "path-children")
     leaves.parts.append(_rarest(split, width, cut))
-    wide = keep(held.filter(F.col("m") > SMALL).select("child", F.col("m").alias("n")), "path-children-wide")
     chosen = None
     if not wide.isEmpty():
         of = lambda some: children.select("set", F.col("child").alias("key")).join(some.withColumnRenamed("child", "key"), "key")
