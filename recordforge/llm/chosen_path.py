@@ -67,13 +67,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from recordforge.llm.components import components
 from recordforge.llm.textarrays import ODD64, Powers, alnum_table, chunked, column_slices, encode, mix, text_slices, words
-from recordforge.sources.tables import discard, materialise
+from recordforge.sources.tables import discard, few_tasks, materialise
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Leaf size; sets that are looked at in a larger node, how near they are to a group's, and its least share; share of a node that boilerplate exceeds.
 SMALL, SAMPLED, NEAR, GROUP, COMMON = 512, 64, 0.13, 0.3, 0.4
 #: Sampled tokens are as many as runs of so many levels would take; large children that a set of a split node goes on to.
 LEVELS, CHOSEN = 4, 4
+#: For `few_tasks`: the rows of a few numbers that a row with a list of sampled tokens, or a text, is as much work as; shingles of a set, more than most have.
+WIDE, TEXT, LONG = 8, 16, 1024
 #: Sets of a bucket whose links are all listed. Of a large node: representatives, sets and shingles of a slice.
 LISTED, REPRESENTATIVES, SLICE, SHINGLES = 64, 32, 512, 2_000_000
 #: Bits, as a power of two, that tell which texts are not needed.
@@ -177,8 +179,8 @@ class _Found:
         return out
 
 
-def _groups(big: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(key) of the large nodes that hold a group: `GROUP` of the sets drawn are near as many of them."""
+def _groups(big: DataFrame, sets: DataFrame, threshold: float, rows: int) -> DataFrame:
+    """(key) of the large nodes that hold a group: `GROUP` of the sets drawn are near as many of them. rows: those of `big`, or more."""
 
     def run(batches):
         held: list[tuple[int, bytes]] = []
@@ -201,13 +203,14 @@ def _groups(big: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([held[0][0]])], names=["key"])
 
     few = big.filter(F.pmod(F.xxhash64("set", "key", F.lit("drawn")), F.col("n")) < SAMPLED)
-    return few.join(sets.select("set", "sketch"), "set").select("key", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long")
+    drawn = few.join(sets.select("set", "sketch"), "set").select("key", "sketch").repartition("key")
+    return few_tasks(drawn, WIDE * rows * SAMPLED // SMALL).sortWithinPartitions("key").mapInArrow(run, "key long")
 
 
-def _rarest(split: DataFrame, width: int, cut: int) -> DataFrame:
+def _rarest(split: DataFrame, width: int, cut: int, rows: int) -> DataFrame:
     """(key, set) of the rarest children of each set of a split node, as many as pairs need to meet in one.
 
-    split: (key, set, child, m, w) of small children, each for `w` with the same sets,
+    split: (key, set, child, m, w) of small children of `rows` keys and sets, each for `w` with the same sets,
     and rows without a child for the `w` that are not small. Pairs with `cut` equal
     tokens of `width` differ in the others only. In one order of all children, those of
     no other set first, then small ones from the rarest on, the first that both sets
@@ -217,73 +220,76 @@ def _rarest(split: DataFrame, width: int, cut: int) -> DataFrame:
     before = F.coalesce(F.sum("w").over(node.orderBy(F.col("child").isNull(), "m", "child").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     alone = width - F.sum("w").over(node)
     placed = split.select("key", "set", "child", before.alias("_before"), alone.alias("_alone"))
-    return placed.filter(F.col("child").isNotNull() & (F.col("_alone") + F.col("_before") <= width - cut)).select(F.col("child").alias("key"), "set")
+    return few_tasks(placed, width * rows).filter(F.col("child").isNotNull() & (F.col("_alone") + F.col("_before") <= width - cut)).select(F.col("child").alias("key"), "set")
 
 
-def grow(sets: DataFrame, threshold: float, scratch: list, left: list | None = None) -> tuple[DataFrame, DataFrame | None]:
+def grow(sets: DataFrame, threshold: float, scratch: list, left: list | None = None, n: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Leaves (key, set), and large nodes that hold groups, of as many runs as the target recall needs.
 
     A pair that shares a run's first token is together in a leaf, in a node that
     holds a group, or in one that is split on all tokens. Of the last kind, sets
     that may be similar to others which they meet in no child that is compared
-    are appended to `left`, as a table (set); `prefixes` is for them.
+    are appended to `left`, as a table (set); `prefixes` is for them. n: the number of sets.
     """
     leaves, large = _Found(), _Found()
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        scratch.append(materialise(df, name))
+    def keep(df: DataFrame, name: str, rows: int) -> DataFrame:
+        scratch.append(materialise(few_tasks(df, rows), name))
         return scratch[-1]
 
+    placed = (sets.count() if n is None else n) * runs_needed(1, threshold)
     roots = sets.select("set", F.posexplode(F.slice("sig", 1, runs_needed(1, threshold))).alias("run", "token")).select("set", F.xxhash64("run", "token").alias("key"))
     # Written before the join, so that both its sides are plain exchanges, which Spark splits where a key is hot.
-    sizes = keep(roots.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "path-sizes")
-    nodes = keep(roots.join(sizes, "key"), "path-nodes")
+    sizes = keep(roots.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "path-sizes", placed)
+    nodes = keep(roots.join(sizes, "key"), "path-nodes", placed)
     leaves.parts.append(nodes.filter(F.col("n") <= SMALL).select("key", "set"))
     big = nodes.filter(F.col("n") > SMALL)
     if big.isEmpty():
         return leaves.read(), None
-    groups = keep(_groups(big, sets, threshold), "path-groups")
+    groups = keep(_groups(big, sets, threshold, placed), "path-groups", placed)
     large.parts.append(big.join(groups, "key").select("key", "set"))
     token = lambda i: F.xxhash64("key", i, F.substring("sketch", (i * 2 + 1).cast("int"), F.lit(2)))
     apart = big.join(groups, "key", "left_anti").join(sets.select("set", "sketch"), "set")
-    apart = keep(apart.select("key", "set", "n", F.transform(F.sequence(F.lit(0), F.lit(runs_needed(LEVELS, threshold) * LEVELS - 1)), token).alias("children")), "path-apart")
-    if apart.isEmpty():
+    apart = keep(apart.select("key", "set", "n", F.transform(F.sequence(F.lit(0), F.lit(runs_needed(LEVELS, threshold) * LEVELS - 1)), token).alias("children")), "path-apart", WIDE * placed)
+    n_apart = apart.count()
+    if not n_apart:
         return leaves.read(), large.read()
     width = runs_needed(LEVELS, threshold) * LEVELS
     cut = least_matches(width, threshold)
+    tokens = n_apart * width
     children = apart.select("key", "set", "n", F.explode("children").alias("child"))
     who = F.bit_xor(F.xxhash64("set", F.lit("who"))).alias("who")
-    sized = keep(children.groupBy("child").agg(F.count("*").alias("m"), F.first("n").alias("_n"), F.first("key").alias("_key"), who).filter("m > 1"), "path-child-sizes")
+    sized = keep(children.groupBy("child").agg(F.count("*").alias("m"), F.first("n").alias("_n"), F.first("key").alias("_key"), who).filter("m > 1"), "path-child-sizes", tokens)
     held = sized.filter(F.col("m") <= COMMON * F.col("_n")).select("_key", "child", "m", "who")
     # Similar sets meet in most of their children. Of small ones with the same sets, by a hash of them, one stands for all of its node.
-    small = keep(held.filter(F.col("m") <= SMALL).groupBy("_key", "who", "m").agg(F.min("child").alias("child"), F.count("*").alias("w")).select("child", "m", "w"), "path-children-once")
-    wide = keep(held.filter(F.col("m") > SMALL).select("child", F.col("m").alias("n")), "path-children-wide")
+    small = keep(held.filter(F.col("m") <= SMALL).groupBy("_key", "who", "m").agg(F.min("child").alias("child"), F.count("*").alias("w")).select("child", "m", "w"), "path-children-once", tokens)
+    wide = keep(held.filter(F.col("m") > SMALL).select("child", F.col("m").alias("n")), "path-children-wide", tokens)
     # At most so many a token as `COMMON` fits into 1, so a list for each node.
-    broad = keep(sized.filter(F.col("m") > COMMON * F.col("_n")).groupBy("_key").agg(F.collect_list("child").alias("_broad")), "path-children-broad")
+    broad = keep(sized.filter(F.col("m") > COMMON * F.col("_n")).groupBy("_key").agg(F.collect_list("child").alias("_broad")), "path-children-broad", n_apart)
     apart = apart.join(broad, F.col("key") == F.col("_key"), "left").withColumn("children", F.coalesce(F.array_except("children", "_broad"), "children"))
-    apart = keep(apart.select("key", "set", "n", "children"), "path-apart-open")
+    apart = keep(apart.select("key", "set", "n", "children"), "path-apart-open", WIDE * n_apart)
     children = apart.select("key", "set", "n", F.explode("children").alias("child"))
     shut = apart.select("key", "set", (width - F.size("children")).cast("long").alias("w")).filter("w > 0")
     if not wide.isEmpty():
         shut = shut.unionByName(likely(children.select("key", "set", "child"), "child", wide).groupBy("key", "set").agg(F.count("*").alias("w")))
     split = children.select("key", "set", "child").join(small, "child")
-    split = keep(split.unionByName(shut, allowMissingColumns=True), "path-children")
-    leaves.parts.append(_rarest(split, width, cut))
+    split = keep(split.unionByName(shut, allowMissingColumns=True), "path-children", tokens)
+    leaves.parts.append(_rarest(split, width, cut, n_apart))
     chosen = None
     if not wide.isEmpty():
         of = lambda some: children.select("set", F.col("child").alias("key")).join(some.withColumnRenamed("child", "key"), "key")
-        groups = keep(_groups(of(wide), sets, threshold).withColumnRenamed("key", "child"), "path-groups")
+        groups = keep(_groups(of(wide), sets, threshold, tokens).withColumnRenamed("key", "child"), "path-groups", tokens)
         if not groups.isEmpty():
             # By a hash of the child, the same for all sets that have it: a pair chooses alike at least as often as it is similar.
             chosen = children.join(groups, "child").groupBy("key", "set").agg(F.collect_list(F.struct(F.xxhash64("child", F.lit("chosen")).alias("h"), "child")).alias("_c"))
-            chosen = keep(chosen.select("key", "set", F.slice(F.array_sort("_c"), 1, CHOSEN)["child"].alias("_c")), "path-chosen-children")
+            chosen = keep(chosen.select("key", "set", F.slice(F.array_sort("_c"), 1, CHOSEN)["child"].alias("_c")), "path-chosen-children", n_apart)
             large.parts.append(chosen.select(F.explode("_c").alias("key"), "set"))
     if left is not None:
         # What meets in no child that is compared has its equal tokens, as many as leaves ask for, in those that are not.
         shut = split.filter("child is null").select("key", "set", F.col("w").alias("shut"))
         if chosen is not None:
             shut = shut.unionByName(chosen.select("key", "set", (-F.size("_c")).cast("long").alias("shut")))
-        left.append(keep(shut.groupBy("key", "set").agg(F.sum("shut").alias("shut")).filter(F.col("shut") >= cut).select("set").distinct(), "path-left"))
+        left.append(keep(shut.groupBy("key", "set").agg(F.sum("shut").alias("shut")).filter(F.col("shut") >= cut).select("set").distinct(), "path-left", n_apart))
     return leaves.read(), large.read()
 
 
@@ -299,8 +305,8 @@ def _labels(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def buckets(leaves: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, set): the connected sets of each leaf by sampled tokens; equal ones of several leaves once."""
+def buckets(leaves: DataFrame, sets: DataFrame, threshold: float, n: int) -> DataFrame:
+    """(bucket, set): the connected sets of each leaf by sampled tokens; equal ones of several leaves once. n: the number of sets."""
     width = runs_needed(LEVELS, threshold) * LEVELS
     cut = least_matches(width, threshold)
 
@@ -348,7 +354,8 @@ def buckets(leaves: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             yield work(*held)
 
     placed = leaves.join(sets.select("set", "sketch"), "set").select("key", "set", "sketch")
-    return placed.repartition("key").sortWithinPartitions("key", "set").mapInArrow(run, "bucket long, set long").distinct()
+    found = placed.repartition("key").sortWithinPartitions("key", "set").mapInArrow(run, "bucket long, set long").distinct()
+    return few_tasks(found, n * runs_needed(1, threshold) * (width - cut + 1))
 
 
 def _common(sizes: np.ndarray, shingles: list, rows: np.ndarray) -> np.ndarray:
@@ -429,10 +436,10 @@ def likely(rows: DataFrame, col: str, wanted: DataFrame) -> DataFrame:
     return marked.filter(F.getbit(octet, (place % 8).cast("int")) == 1).select(rows.columns)
 
 
-def contents(places: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, id_col: str, scratch: list) -> DataFrame:
-    """(set, places, shingles) of the sets that are compared. places: (set, place)."""
+def contents(places: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, id_col: str, scratch: list, n: int) -> DataFrame:
+    """(set, places, shingles) of the sets that are compared, of `n` sets in all. places: (set, place)."""
     chosen = sets.select("set", "first").join(places.groupBy("set").agg(F.collect_list("place").alias("places")), "set")
-    chosen = materialise(chosen.select("first", "set", "places"), "path-chosen")
+    chosen = materialise(few_tasks(chosen.select("first", "set", "places"), WIDE * n), "path-chosen")
     scratch.append(chosen)
     rows = docs.select(F.col(id_col).cast("long").alias("first"), F.col(text_col).alias("text"))
     # The same plan at every size: the texts of these sets, and of few others, are shuffled once.
@@ -454,11 +461,11 @@ def contents(places: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str,
                 own = [np.unique(flat[cuts[i] : cuts[i] + count[i]]) for i in right]
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([x.tobytes() for x in own], pa.binary())], names=["set", "places", "shingles"])
 
-    return materialise(texts.mapInArrow(shingle, f"set long, places array<{PLACE}>, shingles binary"), "path-contents")
+    return materialise(few_tasks(texts, TEXT * n).mapInArrow(shingle, f"set long, places array<{PLACE}>, shingles binary"), "path-contents")
 
 
 def verify(content: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): links of all blocks, by exact comparison of shingles. content: (set, places, shingles)."""
+    """(u, v): links of all blocks, by exact comparison of shingles; one of several blocks stands there for each. content: (set, places, shingles)."""
     every = lambda one, n: F.explode(F.when(F.col(one).isNull(), F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array(one)))
     placed = content.select("set", "shingles", F.explode("places").alias("_p")).select("set", "shingles", "_p.*")
     placed = placed.select("set", "shingles", "block", "side", "root", "other", "others", every("slice", "slices").alias("p")).select("block", "p", every("other", "others").alias("q"), "set", "side", "root", "shingles")
@@ -493,15 +500,15 @@ def verify(content: DataFrame, threshold: float) -> DataFrame:
         if now is not None:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in done()], names=["u", "v"])
 
-    links = blocks.mapInArrow(run, "u long, v long").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    return materialise(links, "path-links")
+    return materialise(blocks.mapInArrow(run, "u long, v long"), "path-links")
 
 
-def _dealt(large: DataFrame, sets: DataFrame, scratch: list) -> DataFrame:
-    """(key, set, n, slices) of the sets of large nodes."""
-    sized = materialise(large.join(sets.select("set", "size"), "set").select("key", "set", "size"), "path-large")
-    shape = materialise(sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("_all")).select("key", "n", F.ceil(F.greatest(F.col("n") / SLICE, F.col("_all") / SHINGLES)).cast("int").alias("slices")), "path-shape")
-    dealt = materialise(sized.join(shape, "key").select("key", "set", "n", "slices"), "path-dealt")
+def _dealt(large: DataFrame, sets: DataFrame, scratch: list, most: int) -> DataFrame:
+    """(key, set, n, slices) of the sets of large nodes; `most` rows."""
+    sized = materialise(few_tasks(large.join(sets.select("set", "size"), "set").select("key", "set", "size"), most), "path-large")
+    rows = sized.count()
+    shape = materialise(few_tasks(sized.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("_all")).select("key", "n", F.ceil(F.greatest(F.col("n") / SLICE, F.col("_all") / SHINGLES)).cast("int").alias("slices")), rows), "path-shape")
+    dealt = materialise(few_tasks(sized.join(shape, "key").select("key", "set", "n", "slices"), rows), "path-dealt")
     scratch += [sized, shape, dealt]
     return dealt
 
@@ -520,10 +527,11 @@ def _stars(dealt: DataFrame) -> DataFrame:
 
 def _rest(dealt: DataFrame, roots: DataFrame, scratch: list) -> DataFrame:
     """(set, place): the sets outside a node's largest class in blocks, each with every slice of the node."""
-    rooted = materialise(dealt.join(roots, F.col("set") == F.col("node"), "left").select("key", "set", "n", "slices", F.coalesce("root", "set").alias("root")), "path-rooted")
+    rows = dealt.count()
+    rooted = materialise(few_tasks(dealt.join(roots, F.col("set") == F.col("node"), "left").select("key", "set", "n", "slices", F.coalesce("root", "set").alias("root")), rows), "path-rooted")
     parts = rooted.groupBy("key", "root").agg(F.count("*").alias("c"), F.first("n").alias("n"))
     others = parts.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.first("n") - F.max("c")).alias("left")).filter(F.col("left") > 0)
-    others = materialise(others, "path-left")
+    others = materialise(few_tasks(others, rows), "path-left")
     scratch += [rooted, others]
     judged = rooted.join(others, "key").withColumn("blocks", F.ceil(F.greatest(F.col("left") / SLICE, F.col("left") / F.col("n") * F.col("slices"))).cast("int"))
     member = _place("key", _slice_of("slices", "slice"), 1, None, F.col("blocks"), 1, F.col("root"))
@@ -540,8 +548,10 @@ def prefixes(left: DataFrame, content: DataFrame, roots: DataFrame, threshold: f
     a node whose sets are of one class, or are those of another node, is left out.
     """
 
+    many = left.count() * LONG
+
     def keep(df: DataFrame, name: str) -> DataFrame:
-        scratch.append(materialise(df, name))
+        scratch.append(materialise(few_tasks(df, many), name))
         return scratch[-1]
 
     def explode(batches):
@@ -583,11 +593,11 @@ def count_links(ids: np.ndarray, side: np.ndarray, weight: np.ndarray, shingles:
     return out
 
 
-def all_links(content: DataFrame, sets: DataFrame, roots: DataFrame, threshold: float, scratch: list) -> DataFrame:
-    """(set, links) of the sets that have links: the weights of all sets of its class that are similar, by exact comparison."""
-    member = materialise(roots.select(F.col("node").alias("set"), "root").join(sets.select("set", "weight", "size"), "set"), "path-members")
-    shape = materialise(member.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / SLICE, F.sum("size") / SHINGLES)).cast("int").alias("slices")), "path-classes-shape")
-    dealt = materialise(member.join(shape, "root").select("set", "root", "weight", "slices", _slice_of("slices", "count").alias("own")), "path-counted")
+def all_links(content: DataFrame, sets: DataFrame, roots: DataFrame, threshold: float, scratch: list, n: int) -> DataFrame:
+    """(set, links) of the sets that have links: the weights of all sets of its class that are similar, by exact comparison. n: the number of sets."""
+    member = materialise(few_tasks(roots.select(F.col("node").alias("set"), "root").join(sets.select("set", "weight", "size"), "set"), n), "path-members")
+    shape = materialise(few_tasks(member.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / SLICE, F.sum("size") / SHINGLES)).cast("int").alias("slices")), n), "path-classes-shape")
+    dealt = materialise(few_tasks(member.join(shape, "root").select("set", "root", "weight", "slices", _slice_of("slices", "count").alias("own")), n), "path-counted")
     scratch += [member, shape, dealt]
     meets = content.select("set", "shingles").join(dealt, "set").select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
@@ -623,7 +633,7 @@ def all_links(content: DataFrame, sets: DataFrame, roots: DataFrame, threshold:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in done()], names=["set", "links"])
 
     blocks = placed.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q")
-    return blocks.mapInArrow(run, "set long, links long").groupBy("set").agg(F.sum("links").alias("links"))
+    return few_tasks(blocks.mapInArrow(run, "set long, links long").groupBy("set").agg(F.sum("links").alias("links")), n)
 
 
 def classes(docs: DataFrame, text_col: str, id_col: str, threshold: float, ids: DataFrame | None = None, links_too: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -635,27 +645,29 @@ def classes(docs: DataFrame, text_col: str, id_col: str, threshold: float, ids:
     if ids is not None:
         signed = signed.join(ids.select(F.col(id_col).cast("long").alias("doc")).distinct(), "doc", "left_semi")
     signed = materialise(signed, "path-signatures")
-    sets = materialise(signed.filter("size > 0").groupBy("set").agg(F.min("doc").alias("first"), F.count("*").alias("weight"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "path-sets")
+    sets = materialise(few_tasks(signed.filter("size > 0").groupBy("set").agg(F.min("doc").alias("first"), F.count("*").alias("weight"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), WIDE * signed.count()), "path-sets")
+    n = sets.count()
     scratch: list[DataFrame] = []
     left: list[DataFrame] = []
-    leaves, large = grow(sets, threshold, scratch, left)
-    small = buckets(leaves, sets, threshold)
+    leaves, large = grow(sets, threshold, scratch, left, n)
+    small = buckets(leaves, sets, threshold, n)
     places = small.select("set", _place("bucket", 0, 1, 0, 1, 2, F.col("set")).alias("place"))
     left = [x for x in left if not x.isEmpty()]
     for x in left:
         places = places.unionByName(x.select("set", F.lit(None).cast(PLACE).alias("place")))  # in no place yet
     dealt = None
     if large is not None and not large.isEmpty():
-        dealt = _dealt(large, sets, scratch)
+        dealt = _dealt(large, sets, scratch, n * runs_needed(1, threshold) * (1 + CHOSEN))
         places = places.unionByName(_stars(dealt))
-    content = contents(places, sets, docs, text_col, id_col, scratch)
+    content = contents(places, sets, docs, text_col, id_col, scratch, n)
     links = verify(content, threshold)
-    roots = materialise(components(links), "path-roots")
+    roots = components(links)
     for x in left:
-        again = _dealt(prefixes(x, content, roots, threshold, scratch), sets, scratch)
+        nodes = prefixes(x, content, roots, threshold, scratch)
+        again = _dealt(nodes, sets, scratch, nodes.count())
         dealt = again if dealt is None else dealt.unionByName(again)
     if dealt is not None:
-        rest = materialise(_rest(dealt, roots, scratch).groupBy("set").agg(F.collect_list("place").alias("places")), "path-rest")
+        rest = materialise(few_tasks(_rest(dealt, roots, scratch).groupBy("set").agg(F.collect_list("place").alias("places")), WIDE * n), "path-rest")
         scratch.append(rest)
         held = likely(content.select("set", "shingles"), "set", rest)
         more = verify(held.join(rest, "set").select("set", "places", "shingles"), threshold)
@@ -663,14 +675,14 @@ def classes(docs: DataFrame, text_col: str, id_col: str, threshold: float, ids:
         if not more.isEmpty():
             of = lambda df, c, name: df.join(roots, F.col(c) == F.col("node"), "left").withColumn(name, F.coalesce("root", c)).drop("node", "root")
             between = of(of(more, "u", "a"), "v", "b").select(F.col("a").alias("u"), F.col("b").alias("v"))
-            joined = materialise(components(between).select(F.col("node").alias("old"), F.col("root").alias("new")), "path-joined")
-            scratch += [roots, joined, links]
-            links = materialise(links.unionByName(more).distinct(), "path-links")
+            parts = components(between)
+            scratch += [roots, parts]
+            joined = parts.select(F.col("node").alias("old"), F.col("root").alias("new"))
             known = roots.unionByName(joined.select(F.col("old").alias("node"), F.col("old").alias("root"))).distinct()
-            roots = materialise(known.join(joined, F.col("root") == F.col("old"), "left").groupBy("node").agg(F.min(F.coalesce("new", "root")).alias("root")), "path-roots")
-    counted = all_links(content, sets, roots, threshold, scratch) if links_too else sets.select("set", F.lit(None).cast("long").alias("links")).limit(0)
+            roots = materialise(few_tasks(known.join(joined, F.col("root") == F.col("old"), "left").groupBy("node").agg(F.min(F.coalesce("new", "root")).alias("root")), n), "path-roots")
+    counted = all_links(content, sets, roots, threshold, scratch, n) if links_too else sets.select("set", F.lit(None).cast("long").alias("links")).limit(0)
     placed = sets.select("set", "first", "weight").join(counted, "set", "left").join(roots, F.col("set") == F.col("node"), "left").select("set", "first", "weight", (F.coalesce("links", F.lit(0)) if links_too else F.col("links")).alias("links"), F.coalesce("root", "set").alias("root"))
-    placed = materialise(placed, "path-classes")
+    placed = materialise(few_tasks(placed, n), "path-classes")
     for table in [*scratch, sets, content, links, roots]:
         discard(table)
     return signed, placed
@@ -686,6 +698,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", thresh
     least = placed.groupBy("root").agg(F.min("first").alias("class_id"))
     by_set = placed.join(least, "root").select("set", "class_id", (F.col("weight") - 1 + F.col("links")).alias("n_links"))
     rows = signed.select("doc", F.when(F.col("size") > 0, F.col("set")).alias("set")).join(by_set, "set", "left").select(F.col("doc").alias(id_col), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = few_tasks(rows, signed.count())
     nothing = docs.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return rows.unionByName(nothing)
 

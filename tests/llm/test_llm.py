@@ -18,6 +18,7 @@ from oracle import check, connect
 
 from recordforge.llm import ball_tree, chosen_path, components, gru, language, latent_decontam, line_templates, lm_scoring, mixing, quality, queries, textarrays, toxicity, url_rules
 from recordforge.llm.labelled import labelled_rows, training_rows
+from recordforge.sources import tables
 from recordforge.sources.tables import load
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -519,6 +520,52 @@ def test_join_in_split_nodes_equals_brute_force(spark, monkeypatch):
     assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute_join(docs)
 
 
+def test_join_takes_few_tasks_for_small_tables(spark, monkeypatch):
+    """With many shuffle partitions each step on a small table, but those that compare texts, writes few files; same classes and links."""
+    files, materialise = {}, chosen_path.materialise
+
+    def counted(df, name):
+        out = materialise(df, name)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(chosen_path, "materialise", counted)
+    monkeypatch.setattr(components, "materialise", counted)
+    monkeypatch.setattr(chosen_path, "SMALL", 16)
+    rng = random.Random(9)
+    docs = boilerplate(rng, 150, 0.7, 30)
+    common = docs[0][1].split()[:84]
+    docs += [(180 + i, " ".join([*common, *(f"x{rng.randrange(10**7)}" for _ in range(rng.randint(1, 4)))])) for i in range(30)]
+    hot = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in hot}
+    try:
+        for k, v in hot.items():
+            spark.conf.set(k, v)
+        got = chosen_path.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute_join(docs)
+    assert {"path-sets", "path-children", "path-left", "path-prefixes", "roots", "path-classes"} <= set(files)
+    # Two tasks for each of four cores; a task that has rows writes one file.
+    assert {name: n for name, n in files.items() if name != "path-links" and max(n) > 8} == {}
+
+
+def test_few_tasks_grow_with_the_rows(spark):
+    rows = spark.range(1000).repartition(50, "id").withColumn("was", F.spark_partition_id()).withColumn("_", F.rand())
+    tasks = lambda n: tables.few_tasks(rows, n).rdd.getNumPartitions()
+    assert [tasks(n) for n in (0, 1000, 8 * tables.TASK_ROWS, 20 * tables.TASK_ROWS, 10**9)] == [8, 8, 8, 20, 50]
+    now = tables.few_tasks(rows, 1000).withColumn("now", F.spark_partition_id())
+    assert now.count() == 1000 and now.groupBy("was").agg(F.count_distinct("now").alias("n")).filter("n > 1").isEmpty()
+
+
+def test_components_of_repeated_edges(spark):
+    edges = [(2, 1), (1, 2), (2, 1), (3, 2), (3, 2), (7, 7), (9, 8), (9, 8), (12, 9), (11, 12), (11, 12)]
+    got = components.components(spark.createDataFrame(edges, "u long, v long"))
+    assert sorted((r.node, r.root) for r in got.collect()) == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8), (11, 8), (12, 8)]
+    assert got._scratch  # a table that `discard` deletes
+
+
 def test_join_keeps_texts_of_one_id(spark):
     docs = [(1, "one two three four five six"), (1, "other words are in this row"), (2, "one two three four five six"), (2, "one two three four five six"), (3, None), (3, None), (None, "x"), (None, "x")]
     kept = chosen_path.keep_first(spark.createDataFrame(docs, "doc_id long, text string")).collect()
